@@ -5,14 +5,16 @@ document's component of links. The join is exact and emits no pairs inside a gro
 
 1. one pass makes each document's shingle set and a set id, and counts shingles in a sketch of fixed size;
    documents of the same set id are one node from here on;
-2. under the order "rarest first" (by the sketch, then by hash) two linked sets share a shingle of their prefixes
-   of n - ceil(0.8 n) + 1 shingles. Prefixes are dealt by shingle hash, packed, and only shingles of two or more
-   sets survive: the hyper table;
+2. under the order "rarest first" (by the sketch, then by hash) the prefixes of two linked sets, of n - ceil(0.8 n) + l
+   shingles with l = 1 + n // 20, share l shingles of the smaller set. Prefixes are dealt by shingle hash, packed, and
+   only shingles of two or more sets survive: the hyper table;
 3. each set is checked against the leader that most of its shared shingles name (the most common content), so that
-   a large group of near copies costs one check a member; linked sets form the first groups;
-4. groups are cut to at most about GROUP sets, each with the union of its shingles: the token-group matrix. A set q
-   meets a group of another component only through a shared prefix shingle, opens it only if
-   |q & union| >= 0.8 |q|, and is then checked against its members.
+   a large group of near copies costs one check a member; linked sets form the groups;
+4. groups are cut to about GROUP sets, each a column of the token-group matrix: the union of its sets' shingles. A set
+   q of another component is a candidate for a group if their shared prefix shingles allow 0.8 |q|; it opens the group
+   only if |q & union| >= 0.8 |q| over the whole sets, and is then checked against each member.
+
+Whole sets are made again from the texts, and only for sets that are candidates.
 
 Nulls and texts without words: n_shingles 0, linked with nothing. Repeated rows and tied ids: every input row gives
 an output row; a null doc_id is its own row without a say in the component. Other columns pass unread.
@@ -120,7 +122,7 @@ def _light_pass(words: int, seed: int):
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
-    return n - -(-percent * n // 100) + 1
+    return n - -(-percent * n // 100) + 1 + n // 20
 
 
 def _prefix_pass(words: int, seed: int, percent: int, cells, buckets: int):
@@ -238,31 +240,41 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = WORDS,
     run, packed = _prefix_pass(words, seed, percent, cells, buckets)
     dealt = docs.mapInArrow(run, "bucket int, entries binary")
     hyper = stored(spark, dealt.groupBy("bucket").applyInArrow(_shared_tokens(packed), "token long, sid long, leader long"), "hyper")
-    wanted = hyper.select("sid").distinct().join(nodes.where("rep is not null").selectExpr("sid", "rep doc_id"), "sid")
-    flags = spark.sparkContext.broadcast(merged_sketch(wanted.coalesce(8).mapInArrow(_flag_pass, "block int, part int, cells binary"), "or", "uint8", FLAG_BYTES))
-    sets = stored(spark, docs.mapInArrow(_set_pass(words, seed, flags), "sid long, shingles array<long>"), "shingles")
+    #: shingles that a linked set of the smallest size allowed must share with q's prefix
+    least = f"1 + cast(ceil({percent} * n / 100) as long) div 20"
+
+    def whole_sets(sids: DataFrame) -> DataFrame:
+        wanted = sids.join(nodes.where("rep is not null").selectExpr("sid", "rep doc_id"), "sid")
+        flags = spark.sparkContext.broadcast(merged_sketch(wanted.coalesce(8).mapInArrow(_flag_pass, "block int, part int, cells binary"), "or", "uint8", FLAG_BYTES))
+        return stored(spark, docs.mapInArrow(_set_pass(words, seed, flags), "sid long, shingles array<long>"), "shingles")
+
     votes = hyper.where("sid <> leader").groupBy("sid", "leader").count()
-    pairs = votes.groupBy("sid").agg(F.expr("max_by(leader, struct(count, leader))").alias("b")).selectExpr("sid a", "b")
+    pairs = votes.groupBy("sid").agg(F.expr("max_by(leader, struct(count, leader))").alias("b"), F.max("count").alias("c"))
+    pairs = stored(spark, pairs.join(nodes.select("sid", "n"), "sid").where(f"2 * c >= {least}").selectExpr("sid a", "b"), "pairs")
+    sets = whole_sets(pairs.selectExpr("a sid").union(pairs.selectExpr("b")).distinct())
     links = stored(spark, _linked(pairs, sets, percent), "links")
     groups = components(spark, links)
     # the token-group matrix
     home = hyper.select("sid").distinct().join(groups.withColumnRenamed("node", "sid"), "sid", "left").selectExpr("sid", "coalesce(root, sid) comp")
     wide = home.groupBy("comp").agg(F.ceil(F.count("*") / GROUP).alias("cuts"))
-    home = stored(spark, home.join(wide, "comp").selectExpr("sid", "comp", "pmod(xxhash64(sid), cuts) cut"), "groups")
+    home = stored(spark, home.join(wide, "comp").join(nodes.select("sid", "n"), "sid").selectExpr("sid", "n", "comp", "pmod(xxhash64(sid), cuts) cut"), "groups")
     rows = hyper.select("token", "sid").join(home, "sid")
     mixed = rows.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
     rows = stored(spark, rows.join(mixed, "token"), "mixed")
-    cells_of = rows.select("token", F.col("comp").alias("g"), F.col("cut").alias("k")).distinct()
-    meets = rows.join(cells_of, "token").where("comp <> g").select(F.col("sid").alias("a"), "comp", "g", "k").distinct()
-    meets = stored(spark, meets.where("comp > g"), "meets")  # each pair of components from one side
-    unions = sets.join(home, "sid").join(meets.selectExpr("g comp", "k cut").distinct(), ["comp", "cut"]).groupBy("comp", "cut").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("tokens")).selectExpr("comp g", "cut k", "tokens")
+    columns = rows.select("token", F.col("comp").alias("g"), F.col("cut").alias("k")).distinct()
+    meets = rows.join(columns, "token").where("comp > g")  # each pair of components from one side
+    meets = meets.groupBy(F.col("sid").alias("a"), "n", "g", "k").count().where(f"count >= {least}").select("a", "g", "k")
+    meets = stored(spark, meets, "meets")
+    members = home.selectExpr("sid b", "comp g", "cut k").join(meets.select("g", "k").distinct(), ["g", "k"])
+    members = stored(spark, members, "members")
+    sets = whole_sets(meets.selectExpr("a sid").union(members.selectExpr("b")).distinct())
+    unions = members.join(sets.selectExpr("sid b", "shingles"), "b").groupBy("g", "k").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("tokens"))
     opened = (
         meets.join(sets.selectExpr("sid a", "shingles x"), "a").join(unions, ["g", "k"])
         .where(F.size(F.array_intersect("x", "tokens")) * 100 >= percent * F.size("x"))
         .select("a", "g", "k")
     )
-    more = opened.join(home.selectExpr("sid b", "comp g", "cut k"), ["g", "k"]).select("a", "b")
-    links = links.union(_linked(more, sets, percent))
+    links = links.union(_linked(opened.join(members, ["g", "k"]).select("a", "b"), sets, percent))
     roots = components(spark, links)
     named = nodes.select("sid", "rep").join(roots.withColumnRenamed("node", "sid"), "sid", "left").selectExpr("sid", "rep", "coalesce(root, sid) root")
     first = named.groupBy("root").agg(F.min("rep").alias("component_id"))
