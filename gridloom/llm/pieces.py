@@ -65,6 +65,7 @@ class PieceModel:
     """A byte-pair SentencePiece model read from its file."""
 
     def __init__(self, path: str):
+        self.path = path
         from sentencepiece import sentencepiece_model_pb2 as proto
 
         model = proto.ModelProto()
@@ -139,15 +140,21 @@ class PieceModel:
             return [chunk]
         parts, score = list(chunk), self.score
         if len(parts) <= CACHED_LENGTH:
-            while len(parts) > 1:
-                best, where = None, -1
-                for i in range(len(parts) - 1):
-                    s = score.get(parts[i] + parts[i + 1])
-                    if s is not None and (best is None or s > best):
-                        best, where = s, i
-                if best is None:
+            none = float("-inf")
+            get = score.get
+            pairs = [get(x + y, none) for x, y in zip(parts, parts[1:])]
+            while pairs:
+                best = max(pairs)
+                if best == none:
                     break
-                parts[where : where + 2] = [parts[where] + parts[where + 1]]
+                i = pairs.index(best)
+                both = parts[i] + parts[i + 1]
+                parts[i : i + 2] = [both]
+                del pairs[i]
+                if i:
+                    pairs[i - 1] = get(parts[i - 1] + both, none)
+                if i < len(pairs):
+                    pairs[i] = get(both + parts[i + 1], none)
             return parts
         size = len(parts)
         after, before = [*range(1, size), -1], [-1, *range(size - 1)]
@@ -246,20 +253,50 @@ class PieceModel:
         return self.surface(ids, first=True)
 
 
-class ChunkCache(dict):
-    """What `make` gives for a chunk, remembered while there is room."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, chunk: str):
-        value = self.make(chunk)
-        if len(chunk) <= CACHED_LENGTH:
-            if len(self) >= CACHED:
-                self.clear()
-            self[chunk] = value
-        return value
+class ChunkCache:
+    """What `form` makes of the ids of a chunk; two generations of remembered chunks bound the memory."""
+
+    def __init__(self, model: PieceModel, form):
+        import sentencepiece
+
+        self.model, self.form = model, form
+        self.young, self.old = {}, {}
+        self.many = sentencepiece.SentencePieceProcessor(model_file=model.path).encode
+
+    def learn(self, chunks: set[str]) -> None:
+        """Have a value for each of the chunks until the next call."""
+        young, old = self.young, self.old
+        missing = [c for c in chunks if c not in young]
+        if len(young) + len(missing) > CACHED and young:
+            self.old, self.young = old, young = young, {}
+            missing = list(chunks)
+        fresh = []
+        for c in missing:
+            if (v := old.get(c)) is not None:
+                young[c] = v
+            elif c[0] == SPACE != c:
+                fresh.append(c)  # the encoder puts the first space back
+            else:
+                young[c] = self.form([i for p in self.model.merge(c) for i in self.model.ids_of(p)], c)
+        for c, ids in zip(fresh, self.many([c[1:].replace(SPACE, " ") for c in fresh], num_threads=1), strict=True):
+            young[c] = self.form(ids, c)
+
+    def texts(self, texts: list[str | None]):
+        """For each text its chunks' values, or None where it takes the slow path."""
+        held, size = [], 0
+        for text in texts:
+            held.append(plain_chunks(self.model, text or ""))
+            size += len(text or "")
+            if size > 1 << 20:
+                yield from self._values(held)
+                held, size = [], 0
+        yield from self._values(held)
+
+    def _values(self, held):
+        self.learn(set().union(*[c for c in held if c]))
+        young = self.young
+        for chunks in held:
+            yield None if chunks is None else [young[c] for c in chunks]
 
 
 def plain_chunks(model: PieceModel, text: str) -> list[str] | None:
@@ -270,29 +307,33 @@ def plain_chunks(model: PieceModel, text: str) -> list[str] | None:
 
 
 def encoded(model: PieceModel):
-    """A function of a text: (ids joined by commas, count, decoded text, ends of the spans as int64 bytes)."""
-
-    def of(chunk: str):
-        ids, widths = [], []
+    """A function of texts: of each (ids joined by commas, count, decoded text, ends of the spans as int64 bytes)."""
+    spelt = frozenset(model.bytes.values())
+    width = [len(p.encode()) - 2 * p.count(SPACE) for p in model.pieces]
+    words = [p.replace(SPACE, " ") for p in model.pieces]
+
+    def form(ids: list[int], chunk: str):
+        if spelt.isdisjoint(ids):
+            return ",".join(map(str, ids)), len(ids), "".join([words[i] for i in ids]), np.array([width[i] for i in ids], np.int32).tobytes()
+        widths = []
         for piece in model.merge(chunk):
-            own = model.ids_of(piece)
-            ids += own
-            widths += [0] * (len(own) - 1) + [len(piece.encode()) - 2 * piece.count(SPACE)]
+            widths += [0] * (len(model.ids_of(piece)) - 1) + [len(piece.encode()) - 2 * piece.count(SPACE)]
         return ",".join(map(str, ids)), len(ids), model.surface(ids), np.array(widths, np.int32).tobytes()
 
-    cache = ChunkCache(of)
-
-    def run(text: str):
-        chunks = plain_chunks(model, text)
-        if chunks is None:
-            tokens = model.encode_offsets(text)
-            ids = [t[0] for t in tokens]
-            return ",".join(map(str, ids)), len(ids), model.decode(ids), np.array([t[3] for t in tokens], np.int64).tobytes()
-        if not chunks:
-            return "", 0, "", b""
-        own = [cache[c] for c in chunks]
-        ends = np.cumsum(np.frombuffer(b"".join([v[3] for v in own]), np.int32), dtype=np.int64) - 1  # the first space is ours
-        return ",".join([v[0] for v in own]), sum([v[1] for v in own]), "".join([v[2] for v in own])[1:], ends.tobytes()
+    cache = ChunkCache(model, form)
+
+    def run(texts: list[str | None]):
+        for text, own in zip(texts, cache.texts(texts), strict=True):
+            if own is None:
+                tokens = model.encode_offsets(text)
+                ids = [t[0] for t in tokens]
+                yield ",".join(map(str, ids)), len(ids), model.decode(ids), np.array([t[3] for t in tokens], np.int64).tobytes()
+            elif not own:
+                yield "", 0, "", b""
+            else:
+                ids, n, back, widths = zip(*own, strict=True)
+                ends = np.cumsum(np.frombuffer(b"".join(widths), np.int32), dtype=np.int64) - 1  # the first space is ours
+                yield ",".join(ids), sum(n), "".join(back)[1:], ends.tobytes()
 
     return run
 
@@ -321,8 +362,7 @@ def digests(docs: DataFrame, model_path: str | None = None) -> DataFrame:
         one = encoded(PieceModel(path))
         for batch in batches:
             n, ids, back, ends = [], [], [], []
-            for text in batch.column("text"):
-                a, b, c, d = one(text.as_py() or "")
+            for a, b, c, d in one(batch.column("text").to_pylist()):
                 n.append(b)
                 ids.append(sha256(a.encode()).hexdigest())
                 back.append(sha256(c.encode()).hexdigest())

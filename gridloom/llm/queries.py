@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import ngram_join
+from gridloom.llm import mpeg_audio, ngram_join, pieces, training_order
 from gridloom.llm.common import documents
 
 
@@ -10,7 +10,24 @@ def op2_ngram_join(spark, sf_dir):
     return ngram_join.jaccard_components(spark, documents(spark, sf_dir))
 
 
-QUERIES = {"op2_ngram_join": op2_ngram_join}
+def op1_training_order(spark, sf_dir):
+    return training_order.records(training_order.write_shards(spark, documents(spark, sf_dir)))
+
+
+def op9_mpeg_audio(spark, sf_dir):
+    return mpeg_audio.stored_texts(documents(spark, sf_dir))
+
+
+def op10_pieces(spark, sf_dir):
+    return pieces.digests(documents(spark, sf_dir))
+
+
+QUERIES = {
+    "op1_training_order": op1_training_order,
+    "op2_ngram_join": op2_ngram_join,
+    "op9_mpeg_audio": op9_mpeg_audio,
+    "op10_pieces": op10_pieces,
+}
 
 ORACLES = {
     "op2_ngram_join": r"""
