@@ -32,7 +32,15 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that go to a Python worker at once, so that a batch of long texts fits into its memory.
+BATCH_ROWS = 2000
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of documents; the session then hands rows to Python in batches of at most BATCH_ROWS."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

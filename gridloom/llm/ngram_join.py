@@ -34,7 +34,7 @@ from gridloom.llm.common import components, merged_sketch, mix, prefix_hash, ran
 WORDS, PERCENT = 5, 80
 CELLS = 1 << 18  # of the count sketch
 FLAG_BYTES = 1 << 22  # of the bit field of documents that hold a shared shingle
-GROUP = 32
+GROUP = 16
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -223,6 +223,32 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _first_link(percent: int):
+    """Of rows (a, x, ids, sets): a and the first member of the opened group that it links to; one link joins the components."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = [], []
+            ids, sets, x = batch.column("ids"), batch.column("sets"), batch.column("x")
+            for k, one in enumerate(batch.column("a").to_pylist()):
+                own = x[k].values.to_numpy()
+                for sid, member in zip(ids[k].as_py(), sets[k].values, strict=True):
+                    other = member.values.to_numpy()
+                    small, large = sorted((len(own), len(other)))
+                    if small * 100 < percent * large:
+                        continue
+                    both = np.concatenate([own, other])
+                    both.sort()
+                    n = int((both[1:] == both[:-1]).sum())
+                    if n * 100 >= percent * (len(both) - n):
+                        a.append(one)
+                        b.append(sid)
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
 def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = WORDS, percent: int = PERCENT, seed: int = 0) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text); see the module."""
     if percent <= 50:
@@ -248,19 +274,24 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = WORDS,
         flags = spark.sparkContext.broadcast(merged_sketch(wanted.coalesce(8).mapInArrow(_flag_pass, "block int, part int, cells binary"), "or", "uint8", FLAG_BYTES))
         return stored(spark, docs.mapInArrow(_set_pass(words, seed, flags), "sid long, shingles array<long>"), "shingles")
 
-    votes = hyper.where("sid <> leader").groupBy("sid", "leader").count()
+    # a set that shares fewer shingles than that with all others together is in no candidate pair
+    able = hyper.groupBy("sid").count().join(nodes.select("sid", "n"), "sid").where(f"count >= {least}").select("sid", "n")
+    able = stored(spark, able, "able")
+    votes = hyper.join(able.select("sid"), "sid", "left_semi").where("sid <> leader").groupBy("sid", "leader").count()
     pairs = votes.groupBy("sid").agg(F.expr("max_by(leader, struct(count, leader))").alias("b"), F.max("count").alias("c"))
-    pairs = stored(spark, pairs.join(nodes.select("sid", "n"), "sid").where(f"2 * c >= {least}").selectExpr("sid a", "b"), "pairs")
+    pairs = stored(spark, pairs.join(nodes.select("sid", "n"), "sid").where(f"c >= {least}").selectExpr("sid a", "b"), "pairs")
     sets = whole_sets(pairs.selectExpr("a sid").union(pairs.selectExpr("b")).distinct())
     links = stored(spark, _linked(pairs, sets, percent), "links")
     groups = components(spark, links)
     # the token-group matrix
-    home = hyper.select("sid").distinct().join(groups.withColumnRenamed("node", "sid"), "sid", "left").selectExpr("sid", "coalesce(root, sid) comp")
+    home = able.join(groups.withColumnRenamed("node", "sid"), "sid", "left").selectExpr("sid", "n", "coalesce(root, sid) comp")
     wide = home.groupBy("comp").agg(F.ceil(F.count("*") / GROUP).alias("cuts"))
-    home = stored(spark, home.join(wide, "comp").join(nodes.select("sid", "n"), "sid").selectExpr("sid", "n", "comp", "pmod(xxhash64(sid), cuts) cut"), "groups")
+    home = stored(spark, home.join(wide, "comp").selectExpr("sid", "n", "comp", "pmod(xxhash64(sid), cuts) cut"), "groups")
     rows = hyper.select("token", "sid").join(home, "sid")
     mixed = rows.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
-    rows = stored(spark, rows.join(mixed, "token"), "mixed")
+    rows = rows.join(mixed, "token")
+    able = rows.groupBy("sid", "n").count().where(f"count >= {least}").select("sid")
+    rows = stored(spark, rows.join(able, "sid"), "mixed")
     columns = rows.select("token", F.col("comp").alias("g"), F.col("cut").alias("k")).distinct()
     meets = rows.join(columns, "token").where("comp > g")  # each pair of components from one side
     meets = meets.groupBy(F.col("sid").alias("a"), "n", "g", "k").count().where(f"count >= {least}").select("a", "g", "k")
@@ -268,13 +299,14 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = WORDS,
     members = home.selectExpr("sid b", "comp g", "cut k").join(meets.select("g", "k").distinct(), ["g", "k"])
     members = stored(spark, members, "members")
     sets = whole_sets(meets.selectExpr("a sid").union(members.selectExpr("b")).distinct())
-    unions = members.join(sets.selectExpr("sid b", "shingles"), "b").groupBy("g", "k").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("tokens"))
+    cuts = members.join(sets.selectExpr("sid b", "shingles"), "b").groupBy("g", "k").agg(F.collect_list("b").alias("ids"), F.collect_list("shingles").alias("sets"))
+    cuts = cuts.withColumn("tokens", F.array_distinct(F.flatten("sets")))
     opened = (
-        meets.join(sets.selectExpr("sid a", "shingles x"), "a").join(unions, ["g", "k"])
+        meets.join(sets.selectExpr("sid a", "shingles x"), "a").join(cuts, ["g", "k"])
         .where(F.size(F.array_intersect("x", "tokens")) * 100 >= percent * F.size("x"))
-        .select("a", "g", "k")
+        .select("a", "x", "ids", "sets")
     )
-    links = links.union(_linked(opened.join(members, ["g", "k"]).select("a", "b"), sets, percent))
+    links = links.union(opened.mapInArrow(_first_link(percent), "a long, b long"))
     roots = components(spark, links)
     named = nodes.select("sid", "rep").join(roots.withColumnRenamed("node", "sid"), "sid", "left").selectExpr("sid", "rep", "coalesce(root, sid) root")
     first = named.groupBy("root").agg(F.min("rep").alias("component_id"))

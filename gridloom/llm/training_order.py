@@ -1,19 +1,21 @@
 """Training-order materialisation: fixed-stride token shards in a keyed pseudo-random order.
 
-Each text becomes token ids (see pieces) and an end mark, cut into sequences of SEQ_LEN. Sequences are numbered by
-(file, row, part) of the input table, which doesn't depend on how Spark splits it: one pass counts the sequences of
-each split, their running sums number the splits. A keyed Feistel permutation of [0, N) with cycle-walking gives each
-sequence its global slot. The second pass deals sequences to range partitions of slots, one a shard; a shard is rows
-(shard, block, first_slot, records, payload), payload being `records` records of STRIDE bytes, so slot s lies at byte
-STRIDE * (s - first slot of its shard) and a reader can begin at any slot. Spark's commit makes the table whole or absent.
+Each text becomes byte-pair token ids and an end mark, cut into sequences of SEQ_LEN, and is written as a token table
+once. Sequences are numbered by (file, row, part) of the input table, which doesn't depend on how Spark splits it: each
+row knows its place in its split, and running sums over the splits number these. A keyed Feistel permutation of
+[0, N) with cycle-walking gives each sequence its global slot. Sequences are dealt to range partitions of slots, one a
+shard; a shard is rows (shard, block, first_slot, records, payload), payload being `records` records of a fixed
+stride, so slot s lies at byte stride * (s - first slot of its shard) and a reader can begin at any slot. Spark's
+commit makes a table whole or absent, and a lost executor's tasks give the same rows again.
 
 A record: doc_id int64 (null: the smallest int64), part int32, tokens int32, then SEQ_LEN uint16 ids, zeros after the
 tokens. A null or empty text is one sequence of the end mark. Repeated rows are sequences of their own. Columns beyond
-doc_id and text are not read. An empty table gives no shard. If the input changes between the passes the job fails.
+doc_id and text are not read. An empty table gives no shard.
 """
 
 from __future__ import annotations
 
+import base64
 import os
 import zlib
 
@@ -24,7 +26,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import mix, stored
-from gridloom.llm.pieces import ChunkCache, PieceModel, default_model
 
 SEQ_LEN, SEQS_PER_SHARD, BLOCK, ROUNDS = 512, 16384, 256, 4
 NO_ID = -(1 << 63)
@@ -54,74 +55,66 @@ def permute(index: np.ndarray, n: int, key: int, back: bool = False) -> np.ndarr
     return x.astype(np.int64)
 
 
-def _token_rows(path: str):
-    """A function of texts: each one's ids with the end mark, as uint16."""
-    model = PieceModel(path)
-    end = np.array([model.pieces.index("</s>")], "<u2").tobytes()
-    cache = ChunkCache(model, lambda ids, _: np.array(ids, "<u2").tobytes())
+def default_ranks() -> str:
+    import public_tokenizers
 
-    def run(texts):
-        for text, own in zip(texts, cache.texts(texts), strict=True):
-            raw = b"".join(own) if own is not None else np.array(model.encode(text), "<u2").tobytes()
-            yield np.frombuffer(raw + end, "<u2")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
-    return run
 
+def tokenizer(path: str):
+    """(function of a text giving its ids, the end mark's id) of a file of byte-pair ranks."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    end = max(ranks.values()) + 1
+    if end > 65535:
+        raise ValueError("ids must fit into 16 bits")
+    coder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return coder.encode_ordinary, end
 
-def _runs(batch: pa.RecordBatch):
-    """Row ranges of one file each, whose row numbers follow on each other."""
-    files, rows = batch.column("f").to_numpy(zero_copy_only=False), batch.column("r").to_numpy()
-    cut = [0, *(i for i in range(1, len(rows)) if rows[i] != rows[i - 1] + 1 or files[i] != files[i - 1]), len(rows)]
-    return [(files[i], int(rows[i]), i, j) for i, j in zip(cut, cut[1:], strict=False) if i < j]
 
+def _token_pass(path: str, length: int):
+    """Rows (f, first, at, doc_id, ids): the split's file and first row, and its sequences before this row."""
 
-def _count_pass(path: str, length: int):
     def run(batches):
-        tokens, held = _token_rows(path), None
+        encode, end = tokenizer(path)
+        file = first = after = None
+        at = 0
         for batch in batches:
-            for file, row, i, j in _runs(batch):
-                n = sum(-(-len(t) // length) for t in tokens(batch.column("text").slice(i, j - i).to_pylist()))
-                if held and held[0] == file and held[3] == row:
-                    held = [file, held[1], held[2] + n, row + j - i]
-                else:
-                    if held:
-                        yield _row(held)
-                    held = [file, row, n, row + j - i]
-        if held:
-            yield _row(held)
-
-    def _row(held):
-        return pa.RecordBatch.from_arrays([pa.array([x]) for x in held], ["f", "r", "n", "after"])
+            ats, firsts, ids = [], [], []
+            for f, r, text in zip(batch.column("f").to_pylist(), batch.column("r").to_pylist(), batch.column("text"), strict=True):
+                if (f, r) != (file, after):
+                    file, first, at = f, r, 0
+                after = r + 1
+                own = np.array([*encode(text.as_py() or ""), end], "<u2")
+                ats.append(at)
+                firsts.append(first)
+                ids.append(own.tobytes())
+                at += -(-len(own) // length)
+            yield pa.RecordBatch.from_arrays([batch.column("f"), pa.array(firsts, pa.int64()), pa.array(ats, pa.int64()), batch.column("doc_id"), pa.array(ids, pa.binary())], ["f", "first", "at", "doc_id", "ids"])
 
     return run
 
 
-def _deal_pass(path: str, length: int, bases, n: int, key: int, per_shard: int):
+def _deal_pass(length: int, bases, n: int, key: int, per_shard: int):
     columns = ["shard", "slot", "doc_id", "part", "ids"]
 
     def run(batches):
-        tokens, after, base, left = _token_rows(path), None, 0, 0
         for batch in batches:
-            for file, row, i, j in _runs(batch):
-                if after != (file, row):
-                    if left:
-                        raise RuntimeError("the input changed between the two passes")
-                    base, left = bases.value[file, row]
-                after = file, row + j - i
-                docs = batch.column("doc_id").slice(i, j - i).fill_null(NO_ID).to_pylist()
-                own, doc, part = [], [], []
-                for d, t in zip(docs, tokens(batch.column("text").slice(i, j - i).to_pylist()), strict=True):
-                    for k in range(0, len(t), length):
-                        own.append(t[k : k + length].tobytes())
-                        doc.append(d)
-                        part.append(k // length)
-                slot = permute(np.arange(base, base + len(own)), n, key)
-                base, left = base + len(own), left - len(own)
-                for k in range(0, len(own), 4096):
-                    e = slice(k, k + 4096)
-                    yield pa.RecordBatch.from_arrays([pa.array((slot[e] // per_shard).astype(np.int32)), pa.array(slot[e]), pa.array(doc[e], pa.int64()), pa.array(part[e], pa.int32()), pa.array(own[e], pa.binary())], columns)
-        if left:
-            raise RuntimeError("the input changed between the two passes")
+            index, doc, part, own = [], [], [], []
+            for f, first, at, d, ids in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                base = bases.value[f, first] + at
+                for k in range(0, len(ids), 2 * length):
+                    own.append(ids[k : k + 2 * length])
+                    part.append(k // (2 * length))
+                    index.append(base + part[-1])
+                    doc.append(NO_ID if d is None else d)
+            slot = permute(np.array(index, np.int64), n, key)
+            for k in range(0, len(own), 4096):
+                e = slice(k, k + 4096)
+                yield pa.RecordBatch.from_arrays([pa.array((slot[e] // per_shard).astype(np.int32)), pa.array(slot[e]), pa.array(doc[e], pa.int64()), pa.array(part[e], pa.int32()), pa.array(own[e], pa.binary())], columns)
 
     return run
 
@@ -153,23 +146,21 @@ def _pack_pass(length: int, per_shard: int):
     return run
 
 
-def write_shards(spark: SparkSession, docs: DataFrame, key: int = 2024, model_path: str | None = None, length: int = SEQ_LEN, per_shard: int = SEQS_PER_SHARD) -> DataFrame:
+def write_shards(spark: SparkSession, docs: DataFrame, key: int = 2024, ranks: str | None = None, length: int = SEQ_LEN, per_shard: int = SEQS_PER_SHARD) -> DataFrame:
     """The table of shards (see the module) of docs (doc_id, text), read from files; other inputs are written first."""
-    path = model_path or default_model()
-    docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", *(["_metadata.file_path f", "_metadata.row_index r"] if _from_files(docs) else []))
-    if "f" not in docs.columns:
-        docs = stored(spark, docs, "sequences").selectExpr("doc_id", "text", "_metadata.file_path f", "_metadata.row_index r")
-    runs = docs.select("f", "r", "text").mapInArrow(_count_pass(path, length), "f string, r long, n long, after long")
-    runs = stored(spark, runs, "runs")
-    n = runs.agg(F.sum("n")).first()[0] or 0
-    # one row for each split, which the scheduler holds too
-    numbered = runs.withColumn("base", F.sum("n").over(Window.orderBy("f", "r").rowsBetween(Window.unboundedPreceding, -1)))
-    bases = spark.sparkContext.broadcast({(x.f, x.r): (x.base or 0, x.n) for x in numbered.collect()})
+    if not _from_files(docs):
+        docs = stored(spark, docs.select("doc_id", "text"), "sequences")
+    docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "_metadata.file_path f", "_metadata.row_index r")
+    tokens = stored(spark, docs.mapInArrow(_token_pass(ranks or default_ranks(), length), "f string, first long, at long, doc_id long, ids binary"), "tokens")
+    splits = tokens.groupBy("f", "first").agg(F.max(F.expr(f"at + ceil(length(ids) / {2 * length})")).cast("long").alias("n"))
+    # one row for each split, which the scheduler holds too: the bound of the driver's and the broadcast share
+    numbered = splits.withColumn("base", F.sum("n").over(Window.orderBy("f", "first").rowsBetween(Window.unboundedPreceding, -1))).collect()
+    bases = spark.sparkContext.broadcast({(x.f, x["first"]): x.base or 0 for x in numbered})
+    n = sum(x.n for x in numbered)
     # a shard grows before the count of shards outgrows what one stage can hold
     per_shard = max(per_shard, -(-n // 20_000))
-    shards = max(1, -(-n // per_shard))
-    dealt = docs.mapInArrow(_deal_pass(path, length, bases, n, key, per_shard), "shard int, slot long, doc_id long, part int, ids binary")
-    dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
+    dealt = tokens.mapInArrow(_deal_pass(length, bases, n, key, per_shard), "shard int, slot long, doc_id long, part int, ids binary")
+    dealt = dealt.repartitionById(max(1, -(-n // per_shard)), F.col("shard")).sortWithinPartitions("slot")
     return stored(spark, dealt.mapInArrow(_pack_pass(length, per_shard), "shard int, block int, first_slot long, records int, payload binary"), "shards")
 
 
