@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import mpeg_audio, ngram_join, pieces, training_order
+from gridloom.llm import language, mixing, mpeg_audio, ngram_join, outliers, pieces, training_order
 from gridloom.llm.common import documents
 
 
@@ -14,6 +14,19 @@ def op1_training_order(spark, sf_dir):
     return training_order.records(training_order.write_shards(spark, documents(spark, sf_dir)))
 
 
+def op4_language(spark, sf_dir):
+    return language.predicted(spark, documents(spark, sf_dir))
+
+
+def op6_outliers(spark, sf_dir):
+    return outliers.judged(spark, documents(spark, sf_dir))
+
+
+def op7_mixing(spark, sf_dir):
+    found = mixing.mixed(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_mpeg_audio(spark, sf_dir):
     return mpeg_audio.stored_texts(documents(spark, sf_dir))
 
@@ -25,6 +38,9 @@ def op10_pieces(spark, sf_dir):
 QUERIES = {
     "op1_training_order": op1_training_order,
     "op2_ngram_join": op2_ngram_join,
+    "op4_language": op4_language,
+    "op6_outliers": op6_outliers,
+    "op7_mixing": op7_mixing,
     "op9_mpeg_audio": op9_mpeg_audio,
     "op10_pieces": op10_pieces,
 }
@@ -43,5 +59,30 @@ p AS (
 r AS (SELECT doc_id node, doc_id root FROM s UNION SELECT p.b, r.root FROM r JOIN p ON p.a = r.node)
 SELECT s.doc_id, CAST(len(sh) AS BIGINT) n_shingles, min(r.root) component_id
 FROM s JOIN r ON r.node = s.doc_id GROUP BY s.doc_id, sh
+""",
+    "op7_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') t FROM documents),
+z AS (
+  SELECT doc_id, source, CAST(len([x for x in string_split_regex(t, '[\x20\x09-\x0D]+') if x <> '']) AS BIGINT) size,
+    CAST(length(translate(t, '0123456789#*$%&|<>!=_{}[]^~@/+\', '')) AS DOUBLE) / greatest(length(t), 1) share,
+    (CAST(CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(t)), 1, 12) AS BIGINT) AS DOUBLE) + 0.5::DOUBLE) / 281474976710656::DOUBLE u FROM d),
+k AS (SELECT *, -ln(u) / greatest(0.05::DOUBLE, share * share) key FROM z),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) source_size FROM z GROUP BY source),
+w AS (
+  SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] weight FROM s),
+v AS (
+  SELECT *, CAST(sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER o, 0) AS DOUBLE) / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS DOUBLE) level FROM w
+  WINDOW o AS (ORDER BY CAST(source_size AS DOUBLE) / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (
+  SELECT source, source_size, least(3.0::DOUBLE * source_size, coalesce(max(CASE WHEN 3 * source_size >= level * weight THEN level END) OVER (), 'infinity'::DOUBLE) * weight) target FROM v),
+e AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / CAST(source_size AS DOUBLE) + 1e-9::DOUBLE) AS BIGINT) ELSE 0 END epochs FROM g),
+r AS (
+  SELECT k.doc_id, k.size, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size rest,
+    coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) before
+  FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target,
+  CAST(size * (epochs + CASE WHEN rest > 0.5 AND before < rest AND 2 * (rest - before) >= size THEN 1 ELSE 0 END) AS BIGINT) taken FROM r
 """,
 }
