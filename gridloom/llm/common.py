@@ -26,14 +26,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Nothing can need the shuffles behind a written table again; Spark drops their files once the driver's JVM has
+    collected what stood for them, which would otherwise wait for the periodic collection.
+    """
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
 #: Rows that go to a Python worker at once, so that a batch of long texts fits into its memory.
-BATCH_ROWS = 2000
+BATCH_ROWS = 500
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,10 +9,11 @@ document's component of links. The join is exact and emits no pairs inside a gro
    shingles with l = 1 + n // 20, share l shingles of the smaller set. Prefixes are dealt by shingle hash, packed, and
    only shingles of two or more sets survive: the hyper table;
 3. each set is checked against the leader that most of its shared shingles name (the most common content), so that
-   a large group of near copies costs one check a member; linked sets form the groups;
-4. groups are cut to about GROUP sets, each a column of the token-group matrix: the union of its sets' shingles. A set
-   q of another component is a candidate for a group if their shared prefix shingles allow 0.8 |q|; it opens the group
-   only if |q & union| >= 0.8 |q| over the whole sets, and is then checked against each member.
+   a large group of near copies costs one check a member, and linked sets are one component from here on;
+4. sets that named the same leader form groups, cut to about GROUP sets, each a column of the token-group matrix: the
+   union of its sets' shingles. A set q is a candidate for a group with sets of other components if their shared
+   prefix shingles allow 0.8 |q|; it opens the group only if |q & union| >= 0.8 |q| over the whole sets, and is then
+   checked against the members of other components.
 
 Whole sets are made again from the texts, and only for sets that are candidates.
 
@@ -32,9 +33,9 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import components, merged_sketch, mix, prefix_hash, range_hash, sketch_rows, stored, text_slices
 
 WORDS, PERCENT = 5, 80
-CELLS = 1 << 18  # of the count sketch
+CELLS = 1 << 20  # of the count sketch
 FLAG_BYTES = 1 << 22  # of the bit field of documents that hold a shared shingle
-GROUP = 16
+GROUP = 32
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -114,7 +115,7 @@ def _light_pass(words: int, seed: int):
                 size, sid, check = _set_ids(sets)
                 n = len(sets)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), pa.array(sid, mask=size == 0), pa.array(check, mask=size == 0), *(pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.binary()))], ["doc_id", "n", "sid", "check", "block", "part", "cells"])
-        counts = sketch_rows(cells, TaskContext.get().partitionId())
+        counts = sketch_rows(np.minimum(cells, 65535).astype(np.uint16), TaskContext.get().partitionId())
         n = counts.num_rows
         yield pa.RecordBatch.from_arrays([*(pa.nulls(n, pa.int64()) for _ in range(4)), *counts.columns], ["doc_id", "n", "sid", "check", "block", "part", "cells"])
 
@@ -223,19 +224,20 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _first_link(percent: int):
-    """Of rows (a, x, ids, sets): a and the first member of the opened group that it links to; one link joins the components."""
+def _new_links(percent: int):
+    """Of rows (a, comp, x, members): a and the members that it links to, one of each component."""
 
     def run(batches):
         for batch in batches:
             a, b = [], []
-            ids, sets, x = batch.column("ids"), batch.column("sets"), batch.column("x")
+            x, members = batch.column("x"), batch.column("members")
             for k, one in enumerate(batch.column("a").to_pylist()):
-                own = x[k].values.to_numpy()
-                for sid, member in zip(ids[k].as_py(), sets[k].values, strict=True):
+                own, found = x[k].values.to_numpy(), set()
+                group = members[k].values
+                for sid, comp, member in zip(group.field("b").to_pylist(), group.field("c").to_pylist(), group.field("shingles"), strict=True):
                     other = member.values.to_numpy()
                     small, large = sorted((len(own), len(other)))
-                    if small * 100 < percent * large:
+                    if comp in found or small * 100 < percent * large:
                         continue
                     both = np.concatenate([own, other])
                     both.sort()
@@ -243,7 +245,7 @@ def _first_link(percent: int):
                     if n * 100 >= percent * (len(both) - n):
                         a.append(one)
                         b.append(sid)
-                        break
+                        found.add(comp)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
@@ -255,7 +257,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = WORDS,
         raise ValueError("the prefix order is meant for similarities over one half")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     light = stored(spark, docs.mapInArrow(_light_pass(words, seed), "doc_id long, n long, sid long, check long, block int, part int, cells binary"), "sets")
-    cells = spark.sparkContext.broadcast(merged_sketch(light.where("block is not null").select("block", "part", "cells"), "add", "uint32", CELLS))
+    cells = spark.sparkContext.broadcast(merged_sketch(light.where("block is not null").select("block", "part", "cells"), "add", "uint16", CELLS))
     light = light.where("block is null").select("doc_id", "n", "sid", "check")
     nodes = light.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.max("n").alias("n"))
     nodes = stored(spark, nodes, "nodes")
@@ -277,36 +279,38 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = WORDS,
     # a set that shares fewer shingles than that with all others together is in no candidate pair
     able = hyper.groupBy("sid").count().join(nodes.select("sid", "n"), "sid").where(f"count >= {least}").select("sid", "n")
     able = stored(spark, able, "able")
-    votes = hyper.join(able.select("sid"), "sid", "left_semi").where("sid <> leader").groupBy("sid", "leader").count()
+    hyper = stored(spark, hyper.join(able, "sid"), "hyper")
+    votes = hyper.where("sid <> leader").groupBy("sid", "leader").count()
     pairs = votes.groupBy("sid").agg(F.expr("max_by(leader, struct(count, leader))").alias("b"), F.max("count").alias("c"))
-    pairs = stored(spark, pairs.join(nodes.select("sid", "n"), "sid").where(f"c >= {least}").selectExpr("sid a", "b"), "pairs")
+    pairs = stored(spark, pairs.join(able, "sid").where(f"c >= {least}").selectExpr("sid a", "b"), "pairs")
     sets = whole_sets(pairs.selectExpr("a sid").union(pairs.selectExpr("b")).distinct())
     links = stored(spark, _linked(pairs, sets, percent), "links")
-    groups = components(spark, links)
-    # the token-group matrix
-    home = able.join(groups.withColumnRenamed("node", "sid"), "sid", "left").selectExpr("sid", "n", "coalesce(root, sid) comp")
-    wide = home.groupBy("comp").agg(F.ceil(F.count("*") / GROUP).alias("cuts"))
-    home = stored(spark, home.join(wide, "comp").selectExpr("sid", "n", "comp", "pmod(xxhash64(sid), cuts) cut"), "groups")
+    linked = components(spark, links)
+    # the token-group matrix: sets by the leader that they voted for, linked or not, cut to about GROUP
+    home = able.join(linked.withColumnRenamed("node", "sid"), "sid", "left").join(pairs.selectExpr("a sid", "b"), "sid", "left")
+    home = home.selectExpr("sid", "n", "coalesce(root, sid) comp", "coalesce(b, sid) g")
+    wide = home.groupBy("g").agg(F.ceil(F.count("*") / GROUP).alias("cuts"))
+    home = stored(spark, home.join(wide, "g").selectExpr("sid", "n", "comp", "g", "pmod(xxhash64(sid), cuts) k"), "groups")
     rows = hyper.select("token", "sid").join(home, "sid")
     mixed = rows.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
-    rows = rows.join(mixed, "token")
+    rows = stored(spark, rows.join(mixed, "token"), "mixed")
     able = rows.groupBy("sid", "n").count().where(f"count >= {least}").select("sid")
-    rows = stored(spark, rows.join(able, "sid"), "mixed")
-    columns = rows.select("token", F.col("comp").alias("g"), F.col("cut").alias("k")).distinct()
-    meets = rows.join(columns, "token").where("comp > g")  # each pair of components from one side
-    meets = meets.groupBy(F.col("sid").alias("a"), "n", "g", "k").count().where(f"count >= {least}").select("a", "g", "k")
+    rows = rows.join(able, "sid")
+    columns = rows.groupBy("token", "g", "k").agg(F.min("comp").alias("c0")).withColumnsRenamed({"g": "h", "k": "i"})
+    meets = rows.join(columns, "token").where("comp > c0")  # each pair of components from one side
+    meets = meets.groupBy(F.col("sid").alias("a"), "n", "comp", "h", "i").count().where(f"count >= {least}").selectExpr("a", "comp", "h g", "i k")
     meets = stored(spark, meets, "meets")
-    members = home.selectExpr("sid b", "comp g", "cut k").join(meets.select("g", "k").distinct(), ["g", "k"])
+    members = home.selectExpr("sid b", "comp c", "g", "k").join(meets.select("g", "k").distinct(), ["g", "k"])
     members = stored(spark, members, "members")
     sets = whole_sets(meets.selectExpr("a sid").union(members.selectExpr("b")).distinct())
-    cuts = members.join(sets.selectExpr("sid b", "shingles"), "b").groupBy("g", "k").agg(F.collect_list("b").alias("ids"), F.collect_list("shingles").alias("sets"))
-    cuts = cuts.withColumn("tokens", F.array_distinct(F.flatten("sets")))
+    cuts = members.join(sets.selectExpr("sid b", "shingles"), "b").groupBy("g", "k").agg(F.collect_list(F.struct("b", "c", "shingles")).alias("members"))
+    cuts = cuts.withColumn("tokens", F.array_distinct(F.flatten("members.shingles")))
     opened = (
         meets.join(sets.selectExpr("sid a", "shingles x"), "a").join(cuts, ["g", "k"])
         .where(F.size(F.array_intersect("x", "tokens")) * 100 >= percent * F.size("x"))
-        .select("a", "x", "ids", "sets")
+        .select("a", "comp", "x", F.filter("members", lambda m: m.c < F.col("comp")).alias("members"))
     )
-    links = links.union(opened.mapInArrow(_first_link(percent), "a long, b long"))
+    links = links.union(opened.mapInArrow(_new_links(percent), "a long, b long"))
     roots = components(spark, links)
     named = nodes.select("sid", "rep").join(roots.withColumnRenamed("node", "sid"), "sid", "left").selectExpr("sid", "rep", "coalesce(root, sid) root")
     first = named.groupBy("root").agg(F.min("rep").alias("component_id"))

@@ -96,6 +96,7 @@ def estimates(spark: SparkSession, rows: DataFrame) -> DataFrame:
         w = Window.partitionBy("cell")
         cut = counts.withColumn("upto", F.sum("count").over(w.orderBy("bin"))).withColumn("all", F.sum("count").over(w))
         cut = cut.where(F.col("upto") >= F.ceil(COVERAGE * F.col("all"))).groupBy("cell").agg(F.min("bin").alias("cut"))
+        cut = stored(spark, cut, "cuts")  # a table, so that the join may split a hot cell
         near = near.join(cut, "cell").where("bin <= cut")
         sums = near.groupBy("cell").agg(F.count("*").alias("n"), *(F.avg(f"x{i}").alias(f"m{i}") for i in _P), *(F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"e{i}{j}") for i in _P for j in range(i + 1)))
         params = sums.select("cell", *(f"m{i}" for i in _P), *(((F.col(f"e{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * CONSISTENT + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"s{i}{j}") for i in _P for j in range(i + 1)))
