@@ -17,10 +17,13 @@ the fraction takes all or none that fit together, in any order. Empty tables giv
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import stored
+
 WEIGHTS, CAP, BINS, SEED = (5, 2, 1), 3, 1 << 14, "mix-1"
+MADE = ("size", "source_size", "target", "taken", "quality", "key", "bin")
 
 
 def _sized(docs: DataFrame, seed: str) -> DataFrame:
@@ -55,10 +58,22 @@ def targets(sizes: DataFrame) -> DataFrame:
     return w.select("source", "source_size", target.alias("target"))
 
 
-def mixed(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """docs with size, source_size, target (both of the source) and taken (words, repeats counted)."""
-    keys = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "quality", "key", "bin")]
-    rows = _sized(docs.select(keys), seed)
+def mixed(spark: SparkSession, docs: DataFrame, seed: str = SEED) -> DataFrame:
+    """docs with size, source_size, target (both of the source) and taken (words, repeats counted).
+
+    Sizes and keys are worked out once, into a table; columns of docs with these names give way.
+    """
+    docs = docs.drop(*MADE)
+    return _allotted(stored(spark, _sized(docs, seed), "sized"), docs.columns)
+
+
+def shares(spark: SparkSession, docs: DataFrame, seed: str = SEED) -> DataFrame:
+    """What mixed() gives, without the texts: (doc_id, source, size, source_size, target, taken)."""
+    rows = _sized(docs.select("doc_id", "source", "text"), seed).drop("text")
+    return _allotted(stored(spark, rows, "sized"), ["doc_id", "source"])
+
+
+def _allotted(rows: DataFrame, keys: list[str]) -> DataFrame:
     light = rows.select("source", "size", "bin")
     bins = light.groupBy("source", "bin").agg(F.sum("size").alias("size"))
     goal = targets(bins.groupBy("source").agg(F.sum("size").alias("source_size")))
@@ -80,8 +95,8 @@ def mixed(docs: DataFrame, seed: str = SEED) -> DataFrame:
     return inner.unionByName(outer).select(*keys, "size", "source_size", "target", taken)
 
 
-def drawn(docs: DataFrame, seed: str = SEED) -> DataFrame:
+def drawn(spark: SparkSession, docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mix as rows: each document of docs as often as it is taken, with its columns; documents without words stay once."""
-    found = mixed(docs, seed)
+    found = mixed(spark, docs, seed)
     times = F.expr("CASE WHEN size = 0 THEN 1 ELSE cast(taken div size as int) END")
     return found.where("taken > 0 or size = 0").select(*docs.columns, F.explode(F.array_repeat(F.lit(1), times)).alias("_copy")).drop("_copy")

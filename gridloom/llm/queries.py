@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import language, mixing, mpeg_audio, ngram_join, outliers, pieces, training_order
+from gridloom.llm import language, mixing, mpeg_audio, ngram_join, outliers, personal, pieces, suffix_dedup, training_order
 from gridloom.llm.common import documents
 
 
@@ -14,6 +14,10 @@ def op1_training_order(spark, sf_dir):
     return training_order.records(training_order.write_shards(spark, documents(spark, sf_dir)))
 
 
+def op3_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.removed(spark, documents(spark, sf_dir))
+
+
 def op4_language(spark, sf_dir):
     return language.predicted(spark, documents(spark, sf_dir))
 
@@ -23,8 +27,11 @@ def op6_outliers(spark, sf_dir):
 
 
 def op7_mixing(spark, sf_dir):
-    found = mixing.mixed(documents(spark, sf_dir).select("doc_id", "text", "source"))
-    return found.select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.shares(spark, documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_personal(spark, sf_dir):
+    return personal.digests(spark, documents(spark, sf_dir))
 
 
 def op9_mpeg_audio(spark, sf_dir):
@@ -38,9 +45,11 @@ def op10_pieces(spark, sf_dir):
 QUERIES = {
     "op1_training_order": op1_training_order,
     "op2_ngram_join": op2_ngram_join,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_language": op4_language,
     "op6_outliers": op6_outliers,
     "op7_mixing": op7_mixing,
+    "op8_personal": op8_personal,
     "op9_mpeg_audio": op9_mpeg_audio,
     "op10_pieces": op10_pieces,
 }
