@@ -96,7 +96,7 @@ def _allotted(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def drawn(spark: SparkSession, docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """The mix as rows: each document of docs as often as it is taken, with its columns; documents without words stay once."""
+    """The mix as rows: each document of docs as often as it is taken, with its columns; those not taken go, and with them texts without words."""
     found = mixed(spark, docs, seed)
-    times = F.expr("CASE WHEN size = 0 THEN 1 ELSE cast(taken div size as int) END")
-    return found.where("taken > 0 or size = 0").select(*docs.columns, F.explode(F.array_repeat(F.lit(1), times)).alias("_copy")).drop("_copy")
+    times = F.expr("cast(taken div size as int)")
+    return found.where("taken > 0").select(*docs.columns, F.explode(F.array_repeat(F.lit(1), times)).alias("_copy")).drop("_copy")
