@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import language, mixing, mpeg_audio, ngram_join, outliers, personal, pieces, suffix_dedup, training_order
+from gridloom.llm import language, line_templates, mixing, mpeg_audio, ngram_join, outliers, personal, pieces, suffix_dedup, training_order
 from gridloom.llm.common import documents
 
 
@@ -22,6 +22,10 @@ def op4_language(spark, sf_dir):
     return language.predicted(spark, documents(spark, sf_dir))
 
 
+def op5_line_templates(spark, sf_dir):
+    return line_templates.digests(spark, documents(spark, sf_dir))
+
+
 def op6_outliers(spark, sf_dir):
     return outliers.judged(spark, documents(spark, sf_dir))
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op2_ngram_join": op2_ngram_join,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_language": op4_language,
+    "op5_line_templates": op5_line_templates,
     "op6_outliers": op6_outliers,
     "op7_mixing": op7_mixing,
     "op8_personal": op8_personal,
