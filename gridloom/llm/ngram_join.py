@@ -8,8 +8,9 @@ document's component of links. The join is exact and emits no pairs inside a gro
 2. under the order "rarest first" (by the sketch, then by hash) the prefixes of two linked sets, of n - ceil(0.8 n) + l
    shingles with l = 1 + n // 20, share l shingles of the smaller set. Prefixes are dealt by shingle hash, packed, and
    only shingles of two or more sets survive: the hyper table;
-3. each set is checked against the leader that most of its shared shingles name (the most common content), so that
-   a large group of near copies costs one check a member, and linked sets are one component from here on;
+3. a set names the leader that most of its shared shingles name (the most common content); where many name one,
+   each is checked against it, so that a large group of near copies costs one check a member, and linked sets are one
+   component from here on;
 4. sets that named the same leader form groups, cut to about GROUP sets, each a column of the token-group matrix: the
    union of its sets' shingles. A set q is a candidate for a group with sets of other components if their shared
    prefix shingles allow 0.8 |q|; it opens the group only if |q & union| >= 0.8 |q| over the whole sets, and is then
@@ -283,23 +284,28 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = WORDS,
     votes = hyper.where("sid <> leader").groupBy("sid", "leader").count()
     pairs = votes.groupBy("sid").agg(F.expr("max_by(leader, struct(count, leader))").alias("b"), F.max("count").alias("c"))
     pairs = stored(spark, pairs.join(able, "sid").where(f"c >= {least}").selectExpr("sid a", "b"), "pairs")
-    sets = whole_sets(pairs.selectExpr("a sid").union(pairs.selectExpr("b")).distinct())
-    links = stored(spark, _linked(pairs, sets, percent), "links")
+    large = pairs.groupBy("b").count().where(f"count >= {GROUP // 2}").select("b")
+    checked = stored(spark, pairs.join(large, "b").select("a", "b"), "checked")
+    sets = whole_sets(checked.selectExpr("a sid").union(checked.selectExpr("b")).distinct())
+    links = stored(spark, _linked(checked, sets, percent), "links")
     linked = components(spark, links)
-    # the token-group matrix: sets by the leader that they voted for, linked or not, cut to about GROUP
+    # the token-group matrix: sets by the leader that they named, linked or not, cut to about GROUP
     home = able.join(linked.withColumnRenamed("node", "sid"), "sid", "left").join(pairs.selectExpr("a sid", "b"), "sid", "left")
     home = home.selectExpr("sid", "n", "coalesce(root, sid) comp", "coalesce(b, sid) g")
     wide = home.groupBy("g").agg(F.ceil(F.count("*") / GROUP).alias("cuts"))
     home = stored(spark, home.join(wide, "g").selectExpr("sid", "n", "comp", "g", "pmod(xxhash64(sid), cuts) k"), "groups")
+    # candidates for groups of the same leader need no counting
+    own = home.groupBy("g", "k").agg(F.min("comp").alias("c0"))
+    own = home.selectExpr("sid a", "comp", "g").join(own, "g").where("comp > c0").select("a", "comp", "g", "k")
     rows = hyper.select("token", "sid").join(home, "sid")
     mixed = rows.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
     rows = stored(spark, rows.join(mixed, "token"), "mixed")
     able = rows.groupBy("sid", "n").count().where(f"count >= {least}").select("sid")
     rows = rows.join(able, "sid")
     columns = rows.groupBy("token", "g", "k").agg(F.min("comp").alias("c0")).withColumnsRenamed({"g": "h", "k": "i"})
-    meets = rows.join(columns, "token").where("comp > c0")  # each pair of components from one side
+    meets = rows.join(columns, "token").where("comp > c0 and g <> h")  # each pair of components from one side
     meets = meets.groupBy(F.col("sid").alias("a"), "n", "comp", "h", "i").count().where(f"count >= {least}").selectExpr("a", "comp", "h g", "i k")
-    meets = stored(spark, meets, "meets")
+    meets = stored(spark, meets.union(own), "meets")
     members = home.selectExpr("sid b", "comp c", "g", "k").join(meets.select("g", "k").distinct(), ["g", "k"])
     members = stored(spark, members, "members")
     sets = whole_sets(meets.selectExpr("a sid").union(members.selectExpr("b")).distinct())
