@@ -84,6 +84,7 @@ def _allotted(rows: DataFrame, keys: list[str]) -> DataFrame:
     at = full.join(goal, F.col("s").eqNullSafe(F.col("source"))).where("rest > 0.5 and upto >= rest")
     edge = at.groupBy("source").agg(F.min("b").alias("edge"), F.expr("min_by(upto - bin_size, b)").alias("below"))
     goal = goal.join(edge.withColumnRenamed("source", "e"), F.col("source").eqNullSafe(F.col("e")), "left").drop("e").withColumnRenamed("source", "s")
+    goal = stored(rows.sparkSession, goal, "goals")  # a table, so that the join may split a hot source
     rows = rows.join(goal, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     # documents of the bin where the rest runs out, one after the other
     inner = rows.where("bin = edge")

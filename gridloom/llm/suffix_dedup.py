@@ -246,13 +246,17 @@ def _anchor_pass(span: int, gram: int):
     return run
 
 
-def _keyed_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, text (never null) and its key t1, t2."""
+def _keyed_texts(docs: DataFrame, once: bool = False) -> DataFrame:
+    """doc_id, text (never null) and its key t1, t2; `once`: of equal texts in a task only the first."""
 
     def run(batches):
+        seen = set()
         for batch in batches:
             for part, data, offs in text_slices(batch):
                 t1, t2 = _text_keys(data, offs)
+                if once:
+                    new = [k not in seen and not seen.add(k) for k in zip(t1.tolist(), t2.tolist(), strict=True)]
+                    part, t1, t2 = part.filter(pa.array(new)), t1[new], t2[new]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(t1), pa.array(t2)], [*part.schema.names, "t1", "t2"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "coalesce(cast(text as string), '') text").mapInArrow(run, "doc_id long, text string, t1 long, t2 long")
@@ -317,7 +321,7 @@ def repeated(spark: SparkSession, docs: DataFrame, span: int = SPAN, gram: int =
     wanted = blocks.join(many, "q").select("at.t1", "at.t2", F.struct("q", "b1", "b2", "n", "k", "at.lo", "at.hi", "at.anchor").alias("x"))
     wanted = stored(spark, wanted.groupBy("t1", "t2").agg(F.collect_list("x").alias("wanted")), "wanted")
     # copies of a text: any one of them serves
-    texts = _keyed_texts(docs).join(wanted.select("t1", "t2"), ["t1", "t2"], "left_semi")
+    texts = _keyed_texts(docs, once=True).join(wanted.select("t1", "t2"), ["t1", "t2"], "left_semi")
     texts = texts.groupBy("t1", "t2").agg(F.first("text").alias("text")).join(wanted, ["t1", "t2"])
     bodies = texts.select("text", "wanted").mapInArrow(_block_pass(span), "q long, b1 long, b2 long, n long, k long, at int, bytes binary")
     bodies = stored(spark, bodies, "bodies")
