@@ -1,6 +1,735 @@
-"""Queries over the driver's tables by name, and the SQL that gives the same rows."""
+"""Queries over the driver's tables by name, and the SQL that gives the same rows.
+
+The events table plays telemetry: user_id is the device, event_type its state, value a signal, the key in props a
+configuration or a counter. Orders, line items and customers play registries, files and frames.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.functions import scalars as S
+from gridloom.operators import coverage, events, fleet, frames, history, profile, quality, research, silver
+
+RULES = coverage.CoverageRules(interval_seconds=21_600, zone="UTC")
+HOURS = coverage.CoverageRules(interval_seconds=3600, gap_factor=2.0, zone="Asia/Kolkata")
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query, with its SQL."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def telemetry(spark: SparkSession, d: str) -> DataFrame:
+    """events as observations."""
+    e = read(spark, d, "events")
+    return e.select(
+        F.col("user_id").alias("charger_id"), F.col("ts").cast("timestamp").alias("event_time"), F.col("event_id").alias("frame_sequence"),
+        (F.col("event_id") % 3).alias("file_id"), F.col("event_type").alias("state"), "value", F.get_json_object("props", "$.k").alias("k"),
+    )
+
+
+def intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of error events as alarms."""
+    return events.active_intervals(telemetry(spark, d).withColumn("on", F.col("state") == "error"), "on", ["charger_id"])
+
+
+def visits(spark: SparkSession, d: str) -> DataFrame:
+    """Each signup opens a session of its device until the second event after it."""
+    w = events._window(["charger_id"])
+    rows = telemetry(spark, d).withColumn("end_time", F.lead("event_time", 2).over(w)).where("state = 'signup'")
+    return rows.select("charger_id", F.col("event_time").alias("start_time"), "end_time", F.col("frame_sequence").cast("string").alias("session_id"))
+
+
+# pieces of SQL that several oracles share
+_T = "t AS (SELECT user_id charger_id, ts event_time, event_id frame_sequence, event_id % 3 file_id, event_type state, value, CAST(json_extract(props, '$.k') AS VARCHAR) k FROM events)"
+_STEPS = f"""{_T}, d AS (SELECT DISTINCT charger_id, CAST(event_time AS DATE) AS day, event_time FROM t),
+s AS (SELECT *, lead(event_time) OVER w nxt, epoch_us(lead(event_time) OVER w) / 1e6 - epoch_us(event_time) / 1e6 step FROM d WINDOW w AS (PARTITION BY charger_id, day ORDER BY event_time))"""
+_DELTAS = f"""{_T}, p AS (SELECT *, lag(event_time) OVER w prev, epoch_us(event_time) / 1e6 - epoch_us(lag(event_time) OVER w) / 1e6 delta FROM t WINDOW w AS (PARTITION BY charger_id ORDER BY event_time, frame_sequence))"""
+_PROFILE = f"""{_DELTAS}, a AS (SELECT charger_id, count(*) observations, count(*) FILTER (delta = 0) same_second, count(*) FILTER (delta > 0) deltas, list_sort(list(delta) FILTER (delta > 0)) s FROM p GROUP BY charger_id),
+b AS (SELECT *, CASE WHEN deltas > 0 THEN (s[CAST(floor((deltas + 1) / 2.0) AS INT)] + s[CAST(floor(deltas / 2.0) AS INT) + 1]) / 2 END med FROM a),
+f AS (SELECT *, CASE WHEN deltas >= 5 AND len([x for x in s if abs(x - med) <= 0.15 * med]) >= 0.4 * deltas THEN round(med, 1) END expected FROM b)"""
+_RUNS = f"""{_T}, c AS (SELECT *, state = 'error' act, lead(event_time) OVER w nxt, lag(state = 'error') OVER w was FROM t WINDOW w AS (PARTITION BY charger_id ORDER BY event_time, frame_sequence)),
+g AS (SELECT *, sum(CASE WHEN was IS NULL OR was <> act THEN 1 ELSE 0 END) OVER (PARTITION BY charger_id ORDER BY event_time, frame_sequence) isl FROM c),
+r AS (SELECT charger_id, isl, min(event_time) start_time, max(event_time) last_active, count(*) observations, arg_max(coalesce(nxt, TIMESTAMP '9999-01-01'), event_time) e FROM g WHERE act GROUP BY charger_id, isl),
+runs AS (SELECT charger_id, start_time, last_active, observations, CASE WHEN e < TIMESTAMP '9999-01-01' THEN e END end_time FROM r)"""
+
+
+# coverage
+
+
+@query("day_coverage", f"""
+WITH {_STEPS},
+a AS (SELECT charger_id, day business_date, count(*) n, min(event_time) f, max(event_time) l, count(*) FILTER (step > 64800) gap_count,
+  coalesce(sum(step) FILTER (step > 64800), 0) gs, coalesce(max(step) FILTER (step > 64800), 0) lg, median(step) med FROM s GROUP BY ALL)
+SELECT charger_id, business_date, n unique_timestamps, CAST(4 AS INT) expected_timestamps, round(least(100.0, n * 100.0 / 4), 3) sample_pct,
+  round((epoch_us(l) - epoch_us(f)) / 1e6 * 100.0 / 86400, 3) span_pct, gap_count, round(lg, 3) largest_gap_seconds,
+  CASE WHEN n * 25.0 >= 95 THEN 'COMPLETE' WHEN n * 25.0 >= 50 THEN 'PARTIAL' ELSE 'SEVERELY_INCOMPLETE' END completeness FROM a""")
+def day_coverage(spark, d):
+    return coverage.day_coverage(telemetry(spark, d), RULES).select("charger_id", "business_date", "unique_timestamps", "expected_timestamps", "sample_pct", "span_pct", "gap_count", "largest_gap_seconds", "completeness")
+
+
+@query("day_cadence", """
+WITH t AS (SELECT user_id charger_id, ts event_time, CAST(ts + INTERVAL 330 MINUTE AS DATE) AS day FROM events),
+s AS (SELECT charger_id, day, event_time, epoch_us(lead(event_time) OVER w) / 1e6 - epoch_us(event_time) / 1e6 step FROM (SELECT DISTINCT * FROM t) WINDOW w AS (PARTITION BY charger_id, day ORDER BY event_time)),
+a AS (SELECT charger_id, day business_date, count(*) n, count(step) m, list_sort(list(step) FILTER (step IS NOT NULL)) q, min(event_time) f, max(event_time) l FROM s GROUP BY ALL)
+SELECT charger_id, business_date, n unique_timestamps, round(median_interval, 3) median_interval, round(q[CAST(round_even(0.95 * (m - 1), 0) AS INT) + 1], 3) p95_interval,
+  CAST(floor(epoch_us(f) / 1e6 - (epoch(business_date) - 19800)) AS BIGINT) leading_seconds, CAST(floor(epoch(business_date) - 19800 + 86400 - epoch_us(l) / 1e6) AS BIGINT) trailing_seconds,
+  coalesce(abs(round(median_interval, 3) - 3600) > 1800, false) cadence_abnormal
+FROM (SELECT *, CASE WHEN m > 0 THEN (q[CAST(floor((m + 1) / 2.0) AS INT)] + q[CAST(floor(m / 2.0) AS INT) + 1]) / 2 END median_interval FROM a)""")
+def day_cadence(spark, d):
+    return coverage.day_coverage(telemetry(spark, d), HOURS).select("charger_id", "business_date", "unique_timestamps", "median_interval", "p95_interval", "leading_seconds", "trailing_seconds", "cadence_abnormal")
+
+
+@query("day_gaps", f"""
+WITH {_STEPS}
+SELECT charger_id, day business_date, event_time gap_start, nxt gap_end, round(step, 3) duration_seconds, CAST(greatest(0, floor(step / 21600) - 1) AS BIGINT) missing_samples,
+  CASE WHEN step >= 21600 THEN 'CRITICAL' WHEN step >= 7200 THEN 'MAJOR' WHEN step >= 1800 THEN 'MODERATE' ELSE 'MINOR' END severity FROM s WHERE step > 64800""")
+def day_gaps(spark, d):
+    return _plain(coverage.day_gaps(telemetry(spark, d), RULES).withColumn("duration_seconds", F.round("duration_seconds", 3)))
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    """Instants as timestamps without a zone."""
+    return df.select(*(F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in df.dtypes))
+
+
+@query("completeness_mix", f"""
+WITH {_STEPS}, a AS (SELECT charger_id, day, count(*) n FROM s GROUP BY ALL)
+SELECT CASE WHEN n * 25.0 >= 95 THEN 'COMPLETE' WHEN n * 25.0 >= 50 THEN 'PARTIAL' ELSE 'SEVERELY_INCOMPLETE' END completeness, count(*) AS days, CAST(sum(n) AS BIGINT) stamps FROM a GROUP BY 1""")
+def completeness_mix(spark, d):
+    return coverage.day_coverage(telemetry(spark, d), RULES).groupBy("completeness").agg(F.count("*").alias("days"), F.sum("unique_timestamps").alias("stamps"))
+
+
+@query("file_days", f"""
+WITH {_T}, r AS (SELECT file_id, count(*) n FROM t GROUP BY 1),
+d AS (SELECT file_id, charger_id, CAST(event_time AS DATE) business_date, count(DISTINCT CAST(floor(epoch_us(event_time) / 1e6) AS BIGINT)) unique_timestamps FROM t GROUP BY ALL)
+SELECT file_id, charger_id, business_date, unique_timestamps, CAST(round_even(CAST(n AS DOUBLE) * unique_timestamps / sum(unique_timestamps) OVER (PARTITION BY file_id), 0) AS BIGINT) row_count FROM d JOIN r USING (file_id)""")
+def file_days(spark, d):
+    return coverage.file_days(telemetry(spark, d), RULES).drop("offsets")
+
+
+@query("file_intervals", f"""
+WITH {_T}, s AS (SELECT file_id, epoch_us(event_time) / 1e6 - epoch_us(lag(event_time) OVER (PARTITION BY file_id ORDER BY event_time)) / 1e6 step FROM (SELECT DISTINCT file_id, event_time FROM t)),
+a AS (SELECT file_id, count(*) intervals, round(median(step), 3) median_interval, list_sort(list(step)) q, round(min(step), 3) min_interval, round(max(step), 3) max_interval FROM s WHERE step > 0 GROUP BY file_id)
+SELECT file_id, intervals, median_interval, min_interval, max_interval, round(q[CAST(round_even(0.95 * (intervals - 1), 0) AS INT) + 1], 3) p95_interval FROM a""")
+def file_intervals(spark, d):
+    return coverage.file_intervals(telemetry(spark, d))
+
+
+@query("date_span", f"""
+WITH {_T}, n AS (SELECT file_id, CAST(event_time AS DATE) x, count(DISTINCT event_time) c FROM t GROUP BY ALL)
+SELECT file_id, count(*) AS days, min(x) "first", max(x) "last", arg_max(x, c * 100000 - datediff('day', DATE '1970-01-01', x)) dominant_date,
+  CASE WHEN count(*) = 1 THEN 'SINGLE_DAY' WHEN count(*) = 2 AND datediff('day', min(x), max(x)) = 1 THEN 'CROSS_MIDNIGHT' ELSE 'MULTI_DAY' END span FROM n GROUP BY file_id""")
+def date_span(spark, d):
+    return coverage.date_span(telemetry(spark, d), RULES)
+
+
+@query("lateness", """
+SELECT o_orderkey, CASE WHEN o_orderdate > TIMESTAMP '1996-01-02' THEN true ELSE false END is_late, CAST(greatest(0, floor(epoch_us(o_orderdate) / 1e6 - epoch_us(TIMESTAMP '1996-01-02') / 1e6)) AS BIGINT) late_seconds FROM orders""")
+def lateness(spark, d):
+    day = F.lit("1995-12-31").cast("date")
+    return read(spark, d, "orders").select("o_orderkey", coverage.lateness(F.col("o_orderdate").cast("timestamp"), day, RULES).alias("x")).select("o_orderkey", "x.*")
+
+
+# fleet
+
+
+@query("fleet_metrics", f"""
+WITH {_STEPS}, a AS (SELECT charger_id, day business_date, count(*) n FROM s GROUP BY ALL),
+b AS (SELECT business_date, count(*) "rows", round(avg(n), 3) mean, max(n) max, list_sort(list(n)) v FROM a GROUP BY 1)
+SELECT business_date, "rows", mean, max, round(v[CAST(round_even(0.5 * (len(v) - 1), 0) AS INT) + 1], 3) p50, round(v[CAST(round_even(0.95 * (len(v) - 1), 0) AS INT) + 1], 3) p95 FROM b""")
+def fleet_metrics(spark, d):
+    return fleet.daily_metrics(coverage.day_coverage(telemetry(spark, d), RULES), "business_date", "unique_timestamps")
+
+
+@query("expected_vs_received", """
+WITH e AS (SELECT c_custkey k FROM customer WHERE c_mktsegment = 'BUILDING'), r AS (SELECT o_custkey k, count(*) orders, max(o_orderdate) > TIMESTAMP '1998-01-01' late FROM orders GROUP BY 1)
+SELECT coalesce(e.k, r.k) custkey, orders, late, CASE WHEN e.k IS NULL THEN 'UNEXPECTED' WHEN r.k IS NULL THEN 'MISSING' WHEN late THEN 'LATE' ELSE 'RECEIVED' END arrival FROM e FULL JOIN r ON e.k = r.k""")
+def expected_vs_received(spark, d):
+    e = read(spark, d, "customer").where("c_mktsegment = 'BUILDING'").selectExpr("c_custkey custkey")
+    r = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("custkey")).agg(F.count("*").alias("orders"), (F.max("o_orderdate") > F.lit("1998-01-01").cast("timestamp_ntz")).alias("late"))
+    return fleet.reconcile(e, r, "custkey", late="late")
+
+
+@query("arrival_summary", """
+WITH e AS (SELECT c_custkey k FROM customer WHERE c_mktsegment = 'BUILDING'), r AS (SELECT o_custkey k, count(*) orders FROM orders GROUP BY 1)
+SELECT CASE WHEN e.k IS NULL THEN 'UNEXPECTED' WHEN r.k IS NULL THEN 'MISSING' ELSE 'RECEIVED' END arrival, count(*) devices, CAST(coalesce(sum(orders), 0) AS BIGINT) orders FROM e FULL JOIN r ON e.k = r.k GROUP BY 1""")
+def arrival_summary(spark, d):
+    e = read(spark, d, "customer").where("c_mktsegment = 'BUILDING'").selectExpr("c_custkey custkey")
+    r = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("custkey")).agg(F.count("*").alias("orders"))
+    return fleet.reconcile(e, r, "custkey").groupBy("arrival").agg(F.count("*").alias("devices"), F.coalesce(F.sum("orders"), F.lit(0)).alias("orders"))
+
+
+@query("last_success_before", """
+WITH r AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS day, count(*) n FROM orders GROUP BY ALL)
+SELECT o_custkey, max(day) AS day, arg_max(n, day) n FROM r WHERE day < DATE '1997-01-01' GROUP BY 1""")
+def last_success_before(spark, d):
+    r = read(spark, d, "orders").groupBy("o_custkey", F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("n"))
+    return fleet.last_before(r, "o_custkey", "day", F.lit("1997-01-01").cast("date"))
+
+
+@query("worst_first", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal NULLS FIRST, c_custkey LIMIT 50")
+def worst_first(spark, d):
+    return fleet.worst_first(read(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", "c_custkey").limit(50)
+
+
+@query("site_semi", "SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
+def site_semi(spark, d):
+    return read(spark, d, "customer").join(read(spark, d, "nation").where("n_regionkey = 1").selectExpr("n_nationkey c_nationkey"), "c_nationkey", "left_semi").select("c_custkey", "c_nationkey")
+
+
+@query("same_day_semi", """
+SELECT user_id, CAST(ts AS DATE) AS day, count(*) n FROM events e WHERE EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND CAST(x.ts AS DATE) = CAST(e.ts AS DATE) AND x.event_type = 'error') GROUP BY ALL""")
+def same_day_semi(spark, d):
+    e = read(spark, d, "events").withColumn("day", F.to_date("ts"))
+    return e.join(e.where("event_type = 'error'").select("user_id", "day"), ["user_id", "day"], "left_semi").groupBy("user_id", "day").agg(F.count("*").alias("n"))
+
+
+@query("files_of_day", """
+SELECT o_custkey, o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus IN ('F', 'O') AND CAST(o_orderdate AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1995-01-31'""")
+def files_of_day(spark, d):
+    o = fleet.filtered(read(spark, d, "orders"), o_orderstatus=("F", "O"), o_orderpriority=None).where(F.to_date("o_orderdate").between("1995-01-01", "1995-01-31"))
+    return o.join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_custkey", "o_orderkey", "c_name")
+
+
+@query("search_fields", "SELECT p_partkey, p_name, p_type FROM part WHERE contains(lower(p_name), 'a') OR contains(lower(p_type), 'steel')")
+def search_fields(spark, d):
+    p = read(spark, d, "part").select("p_partkey", "p_name", "p_type")
+    return p.where(F.contains(F.lower("p_name"), F.lit("a")) | F.contains(F.lower("p_type"), F.lit("steel")))
+
+
+@query("zero_filled_counts", """
+SELECT s event_type, count(user_id) n FROM (VALUES ('signup'), ('purchase'), ('error'), ('view'), ('click'), ('never')) v(s) LEFT JOIN events ON event_type = s GROUP BY 1""")
+def zero_filled_counts(spark, d):
+    return fleet.zero_filled_counts(read(spark, d, "events"), "event_type", ["signup", "purchase", "error", "view", "click", "never"])
+
+
+@query("keyset_page", """
+SELECT user_id charger_id, ts event_time, event_id frame_sequence, true has_more FROM events WHERE ts > TIMESTAMP '2024-01-10' OR (ts = TIMESTAMP '2024-01-10' AND event_id > 0) ORDER BY ts, event_id LIMIT 100""")
+def keyset_page(spark, d):
+    import datetime as dt
+
+    rows = telemetry(spark, d).select("charger_id", "event_time", "frame_sequence")
+    return _plain(fleet.keyset_page(rows, 100, (dt.datetime(2024, 1, 10, tzinfo=dt.UTC), 0)))
+
+
+@query("latest_per_entity", "SELECT user_id charger_id, max(ts) event_time, arg_max(event_id, ts) frame_sequence, arg_max(event_type, ts) state FROM events GROUP BY 1")
+def latest_per_entity(spark, d):
+    return _plain(fleet.latest_per_entity(telemetry(spark, d).select("charger_id", "event_time", "frame_sequence", "state"), "charger_id", "event_time", "frame_sequence"))
+
+
+# profile
+
+
+@query("value_counts_top", 'SELECT o_custkey "value", count(*) n FROM orders GROUP BY 1 ORDER BY n DESC, o_custkey LIMIT 200')
+def value_counts_top(spark, d):
+    return profile.top_values(read(spark, d, "orders"), "o_custkey")
+
+
+@query("column_profile", """
+WITH u AS (UNPIVOT (SELECT CAST(p_partkey AS VARCHAR) p_partkey, p_name, p_brand, p_type, CAST(p_size AS VARCHAR) p_size FROM part) ON COLUMNS(*) INTO NAME col VALUE v),
+t AS (SELECT count(*) total FROM part), a AS (SELECT col, count(*) non_null, count(DISTINCT v) uc, count(TRY_CAST(v AS DOUBLE)) num, min(TRY_CAST(v AS DOUBLE)) lo, max(TRY_CAST(v AS DOUBLE)) hi, avg(TRY_CAST(v AS DOUBLE)) m, min(v) tmin, max(v) tmax FROM u GROUP BY col)
+SELECT col "column", total "rows", non_null, total - non_null nulls, uc unique_count, CASE WHEN uc = 0 THEN 'ALL_NULL' WHEN uc = 1 THEN 'CONSTANT' ELSE 'VARIABLE' END variability, num >= 0.95 * non_null is_numeric,
+  CASE WHEN num >= 0.95 * non_null THEN lo END num_min, CASE WHEN num >= 0.95 * non_null THEN hi END num_max, CASE WHEN num >= 0.95 * non_null THEN round(m, 4) END num_mean,
+  CASE WHEN num < 0.95 * non_null THEN tmin END text_min, CASE WHEN num < 0.95 * non_null THEN tmax END text_max FROM a, t""")
+def column_profile(spark, d):
+    return profile.column_profile(read(spark, d, "part"), ["p_partkey", "p_name", "p_brand", "p_type", "p_size"]).drop("sentinel_hits")
+
+
+@query("numeric_profile", """
+WITH u AS (UNPIVOT (SELECT l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem) ON COLUMNS(*) INTO NAME col VALUE v)
+SELECT col "column", count(*) n, min(v) min, max(v) max, round(avg(v), 4) mean, round(median(v), 4) median, round(stddev_samp(v), 4) std FROM u GROUP BY 1""")
+def numeric_profile(spark, d):
+    return profile.numeric_profile(read(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+
+
+@query("frequent_values", """
+WITH c AS (SELECT 'o_orderpriority' col, o_orderpriority v, count(*) n FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderstatus', o_orderstatus, count(*) FROM orders GROUP BY 2)
+SELECT col "column", v "value", n, CAST(row_number() OVER (PARTITION BY col ORDER BY n DESC, v) AS INT) "rank" FROM c QUALIFY row_number() OVER (PARTITION BY col ORDER BY n DESC, v) <= 5""")
+def frequent_values(spark, d):
+    return profile.frequent_values(read(spark, d, "orders"), ["o_orderpriority", "o_orderstatus"])
+
+
+@query("exact_duplicates", """
+WITH g AS (SELECT count(*) n FROM documents GROUP BY text, lang)
+SELECT CAST(sum(n) AS BIGINT) "rows", count(*) distinct_rows, CAST(sum(n - 1) AS BIGINT) duplicate_rows, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) participating_rows FROM g""")
+def exact_duplicates(spark, d):
+    return profile.exact_duplicates(read(spark, d, "documents"), ["text", "lang"])
+
+
+@query("logical_collisions", """
+WITH r AS (SELECT l_orderkey, l_returnflag, l_linestatus, count(*) n FROM lineitem GROUP BY ALL), g AS (SELECT l_orderkey, sum(n) n, count(*) kinds FROM r GROUP BY 1)
+SELECT count(*) groups, count(*) FILTER (n > 1) collisions, count(*) FILTER (kinds > 1) conflicting, CAST(max(n) AS BIGINT) max_rows FROM g""")
+def logical_collisions(spark, d):
+    return profile.logical_collisions(read(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus"), ["l_orderkey"])
+
+
+@query("frame_size_histogram", "SELECT n rows_per_key, count(*) keys FROM (SELECT count(*) n FROM lineitem GROUP BY l_orderkey) GROUP BY 1")
+def frame_size_histogram(spark, d):
+    return profile.frame_size_histogram(read(spark, d, "lineitem"), "l_orderkey")
+
+
+@query("modal_frame_size", """
+WITH h AS (SELECT n, count(*) k FROM (SELECT count(*) n FROM lineitem GROUP BY l_orderkey) GROUP BY 1), m AS (SELECT n modal_size FROM h ORDER BY k DESC, n LIMIT 1)
+SELECT modal_size, CAST(coalesce(sum(k) FILTER (n > modal_size), 0) AS BIGINT) larger_keys FROM h, m GROUP BY 1""")
+def modal_frame_size(spark, d):
+    return profile.modal_frame_size(read(spark, d, "lineitem"), "l_orderkey")
+
+
+@query("dominant_id", """
+SELECT user_id, arg_max(event_type, n || '|' || event_type) dominant, max(n) n FROM (SELECT user_id, event_type, lpad(CAST(count(*) AS VARCHAR), 9, '0') n FROM events GROUP BY ALL) GROUP BY 1""".replace("max(n) n", "CAST(max(n) AS BIGINT) n"))
+def dominant_id(spark, d):
+    return profile.dominant(read(spark, d, "events"), ["user_id"], "event_type")
+
+
+# frames
+
+
+def _rows(spark, d) -> DataFrame:
+    """Line items as rows of source frames: the order is the device and stamp, the line's parity its position."""
+    x = read(spark, d, "lineitem")
+    return x.select(F.lit("f").alias("file_id"), F.col("l_orderkey").alias("charger_id"), F.lit(0).alias("event_time"), F.concat(F.lit("C"), F.col("l_linenumber") % 2).alias("position"), F.col("l_returnflag").alias("row_fp"), F.col("l_linenumber").alias("source_row_number"), F.col("l_suppkey").alias("tie"), F.col("l_partkey").alias("tie2"), F.col("l_extendedprice").alias("tie3"))
+
+
+_ROWS = """x AS (SELECT l_orderkey charger_id, 'C' || CAST(l_linenumber % 2 AS VARCHAR) pos, l_returnflag fp,
+  row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 2 ORDER BY l_linenumber, l_suppkey, l_partkey, l_extendedprice) - 1 seq FROM lineitem)"""
+
+
+@query("occurrence_index", f"WITH {_ROWS} SELECT charger_id, pos position, CAST(max(seq) AS INT) last_occurrence, count(*) n FROM x GROUP BY ALL")
+def occurrence_index(spark, d):
+    rows = frames.occurrence_index(_rows(spark, d), ["charger_id", "position"], ["source_row_number", "tie", "tie2", "tie3"])
+    return rows.groupBy("charger_id", "position").agg(F.max("occurrence").alias("last_occurrence"), F.count("*").alias("n"))
+
+
+def _frames(spark, d) -> DataFrame:
+    rows = _rows(spark, d)
+    order = F.struct("source_row_number", "tie", "tie2", "tie3")
+    rows = rows.withColumn("o", order)
+    expected = rows.select("charger_id").distinct().withColumn("expected", F.array(F.lit("C0"), F.lit("C1")))
+    return frames.classify_replays(frames.slice_frames(rows, expected, "o"))
+
+
+_FRAMES = f"""{_ROWS}, f AS (SELECT charger_id, seq, string_agg(pos || '=' || fp, chr(30) ORDER BY pos) pay, count(*) n, max(fp) FILTER (pos = 'C0') p0, max(fp) FILTER (pos = 'C1') p1 FROM x GROUP BY ALL),
+z AS (SELECT f.*, sha256(f.pay) fingerprint, g.pay pay0, g.p0 z0, g.p1 z1 FROM f JOIN f g ON g.charger_id = f.charger_id AND g.seq = 0),
+k AS (SELECT *, (p0 IS NOT NULL AND z0 IS NOT NULL) OR (p1 IS NOT NULL AND z1 IS NOT NULL) shared, coalesce(p0 <> z0, false) OR coalesce(p1 <> z1, false) differs FROM z),
+m AS (SELECT *, seq > 0 AND shared AND NOT differs AND pay <> pay0 part FROM k),
+w AS (SELECT *, min(seq) FILTER (NOT part) OVER (PARTITION BY charger_id, pay) firstseq FROM m)"""
+
+
+@query("frame_slices", f"WITH {_FRAMES} SELECT charger_id, CAST(seq AS INT) frame_sequence, CAST(n AS INT) positions, fingerprint, CASE WHEN n = 2 THEN 'COMPLETE' ELSE 'PARTIAL' END status FROM w")
+def frame_slices(spark, d):
+    return _frames(spark, d).select("charger_id", "frame_sequence", F.size("positions").alias("positions"), "fingerprint", "status")
+
+
+@query("replay_class", f"""
+WITH {_FRAMES} SELECT charger_id, CAST(seq AS INT) frame_sequence, CASE WHEN seq = 0 THEN 'UNIQUE' WHEN firstseq < seq THEN 'FULL_FRAME_REPLAY' WHEN NOT shared THEN 'AMBIGUOUS' WHEN differs THEN 'SAME_TIMESTAMP_DISTINCT_FRAME' ELSE 'PARTIAL_REPLAY' END duplicate_class,
+  CASE WHEN seq = 0 THEN NULL WHEN firstseq < seq THEN firstseq WHEN shared AND NOT differs THEN 0 END replay_of FROM w""")
+def replay_class(spark, d):
+    return _frames(spark, d).select("charger_id", "frame_sequence", "duplicate_class", "replay_of")
+
+
+@query("frame_diff", """
+WITH a AS (SELECT l_linenumber k, l_returnflag x FROM lineitem WHERE l_orderkey = 1), b AS (SELECT l_linenumber k, l_returnflag y FROM lineitem WHERE l_orderkey = 2),
+a1 AS (SELECT k, min(x) x FROM a GROUP BY 1), b1 AS (SELECT k, min(y) y FROM b GROUP BY 1)
+SELECT coalesce(a1.k, b1.k) position, x left_fp, y right_fp, CASE WHEN y IS NULL THEN 'only_left' WHEN x IS NULL THEN 'only_right' WHEN x = y THEN 'same' ELSE 'differs' END outcome FROM a1 FULL JOIN b1 ON a1.k = b1.k""")
+def frame_diff(spark, d):
+    one = lambda k: read(spark, d, "lineitem").where(F.col("l_orderkey") == k).groupBy(F.col("l_linenumber").alias("position")).agg(F.min("l_returnflag").alias("row_fp"))
+    return frames.diff(one(1), one(2))
+
+
+@query("row_fingerprint", """
+SELECT l_orderkey, l_linenumber, sha256(concat_ws(chr(31), 'l_linenumber=' || CAST(l_linenumber AS VARCHAR), 'l_linestatus=' || l_linestatus, 'l_orderkey=' || CAST(l_orderkey AS VARCHAR), 'l_returnflag=' || l_returnflag)) fp, count(*) n FROM lineitem GROUP BY ALL""")
+def row_fingerprint(spark, d):
+    kinds = {"l_orderkey": "INTEGER", "l_linenumber": "INTEGER", "l_returnflag": "ENUM", "l_linestatus": "ENUM"}
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.row_fingerprint(kinds).alias("fp")).groupBy("l_orderkey", "l_linenumber", "fp").agg(F.count("*").alias("n"))
+
+
+@query("reuse_sources", f"""
+WITH {_T} SELECT charger_id, state, count(*) - 1 "sources", arg_min(file_id, (event_time, frame_sequence)) first_file FROM t GROUP BY ALL""")
+def reuse_sources(spark, d):
+    rows = telemetry(spark, d).withColumn("fingerprint", F.col("state")).withColumn("received_at", F.col("event_time"))
+    found = frames.reuse_across_files(rows, any_time=True)
+    return found.groupBy("charger_id", "state").agg(F.sum(F.col("is_source").cast("int")).alias("sources"), F.max("first_file").alias("first_file"))
+
+
+@query("next_sequence", f"WITH {_T} SELECT charger_id, CAST(max(q) AS INT) last_sequence, count(*) n FROM (SELECT charger_id, row_number() OVER (PARTITION BY charger_id, CAST(event_time AS DATE) ORDER BY event_time, file_id, frame_sequence) - 1 q FROM t) GROUP BY 1")
+def next_sequence(spark, d):
+    rows = telemetry(spark, d).withColumn("received_at", F.col("event_time")).withColumn("event_time", F.to_date("event_time"))
+    return frames.next_sequence(rows).groupBy("charger_id").agg(F.max("frame_sequence").alias("last_sequence"), F.count("*").alias("n"))
+
+
+@query("repeated_rows", "SELECT l_orderkey, CAST(sum(n - 1) AS BIGINT) repeated_rows FROM (SELECT l_orderkey, l_returnflag, count(*) n FROM lineitem GROUP BY ALL) GROUP BY 1")
+def repeated_rows(spark, d):
+    return frames.first_seen_duplicates(read(spark, d, "lineitem"), "l_orderkey", "l_returnflag")
+
+
+# silver
+
+
+@query("coerce_silver", """
+SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) k_int, CAST(json_extract(props, '$.k') AS DOUBLE) k_float, CASE CAST(json_extract(props, '$.k') AS VARCHAR) WHEN '1' THEN true WHEN '0' THEN false END k_bool FROM events""")
+def coerce_silver(spark, d):
+    k = F.get_json_object("props", "$.k")
+    return read(spark, d, "events").select("event_id", S.coerce_integer(k).alias("k_int"), S.coerce_float(k).alias("k_float"), S.coerce_boolean(k).alias("k_bool"))
+
+
+@query("sentinel_mask", "SELECT p_partkey, CASE WHEN abs(p_size - 7) < 0.001 OR abs(p_size - 11) < 0.001 THEN NULL ELSE p_size END p_size, coalesce(abs(p_size - 7) < 0.001 OR abs(p_size - 11) < 0.001, false) masked FROM part")
+def sentinel_mask(spark, d):
+    hit = F.coalesce(S.is_sentinel(F.col("p_size"), (7, 11)), F.lit(False))
+    return read(spark, d, "part").select("p_partkey", F.when(~hit, F.col("p_size")).alias("p_size"), hit.alias("masked"))
+
+
+@query("conflict_resolve", """
+WITH u AS (SELECT l_orderkey frame_id, 'l_linestatus' name, l_linestatus v FROM lineitem UNION ALL SELECT l_orderkey, 'l_returnflag', l_returnflag FROM lineitem)
+SELECT frame_id, name, min(v) raw_value, count(DISTINCT v) distinct_values, count(DISTINCT v) > 1 has_conflict, CASE WHEN count(DISTINCT v) > 1 THEN string_agg(DISTINCT v, '|' ORDER BY v) END conflict_values FROM u GROUP BY ALL""")
+def conflict_resolve(spark, d):
+    rows = read(spark, d, "lineitem").withColumnRenamed("l_orderkey", "frame_id")
+    return silver.resolved_long(rows, [silver.FieldSpec("l_returnflag"), silver.FieldSpec("l_linestatus")]).drop("scope_id", "is_sentinel")
+
+
+@query("silver_values", """
+SELECT l_orderkey frame_id, CAST(l_suppkey % 2 + 1 AS VARCHAR) scope_id, CASE WHEN count(DISTINCT l_returnflag) = 1 THEN min(l_returnflag) END l_returnflag, CASE WHEN count(DISTINCT l_linenumber) = 1 THEN CAST(min(l_linenumber) AS BIGINT) END l_linenumber FROM lineitem GROUP BY ALL""")
+def silver_values(spark, d):
+    rows = read(spark, d, "lineitem").withColumnRenamed("l_orderkey", "frame_id").withColumn("unit", F.col("l_suppkey") % 2 + 1)
+    specs = [silver.FieldSpec("l_returnflag", scope="unit", family="connector"), silver.FieldSpec("l_linenumber", "INTEGER", scope="unit", family="connector")]
+    return silver.silver_table(silver.resolved_long(rows, specs), specs)
+
+
+# history
+
+
+@query("sampling_profile", f"""
+WITH {_PROFILE} SELECT charger_id, observations, same_second, deltas, round(med, 2) median_interval, CASE WHEN deltas > 0 THEN round(s[CAST(round_even(0.05 * (deltas - 1), 0) AS INT) + 1], 2) END p05_interval,
+  CASE WHEN deltas > 0 THEN round(s[CAST(round_even(0.95 * (deltas - 1), 0) AS INT) + 1], 2) END p95_interval, expected expected_interval FROM f""")
+def sampling_profile(spark, d):
+    return history.sampling_profile(telemetry(spark, d))
+
+
+@query("history_gaps", f"""
+WITH {_PROFILE} SELECT charger_id, prev start_time, event_time end_time, round(delta, 6) duration_seconds, round(delta / expected, 2) multiple FROM p JOIN f USING (charger_id) WHERE delta > coalesce(greatest(180, expected * 2.5), 300)""")
+def history_gaps(spark, d):
+    return _plain(history.history_gaps(telemetry(spark, d)).withColumn("duration_seconds", F.round("duration_seconds", 6)))
+
+
+@query("counter_transitions", f"""
+WITH {_T}, c AS (SELECT *, lag(value) OVER w prev, max(value) OVER (PARTITION BY charger_id ORDER BY event_time, frame_sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) top FROM t WINDOW w AS (PARTITION BY charger_id ORDER BY event_time, frame_sequence))
+SELECT charger_id, frame_sequence, round(value - prev, 3) delta, CASE WHEN prev IS NULL THEN 'INITIAL' WHEN value > prev THEN 'INCREASED' WHEN value = prev THEN 'UNCHANGED' WHEN top > 10 AND value < 0.5 * top THEN 'RESET_CANDIDATE' ELSE 'DECREASED' END transition FROM c""")
+def counter_transitions(spark, d):
+    return history.counter_transitions(telemetry(spark, d), "value").select("charger_id", "frame_sequence", "delta", "transition")
+
+
+@query("counter_report", f"""
+WITH {_T}, c AS (SELECT *, lag(value) OVER w prev, max(value) OVER (PARTITION BY charger_id ORDER BY event_time, frame_sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) top FROM t WINDOW w AS (PARTITION BY charger_id ORDER BY event_time, frame_sequence))
+SELECT charger_id, count(*) readings, count(*) FILTER (value > prev) increases, count(*) FILTER (value < prev) decreases, count(*) FILTER (value = prev) unchanged, count(*) FILTER (value < prev AND top > 10 AND value < 0.5 * top) resets FROM c GROUP BY 1""")
+def counter_report(spark, d):
+    return history.counter_report(history.counter_transitions(telemetry(spark, d), "value"))
+
+
+@query("component_presence", f"WITH {_T} SELECT charger_id, 'state' component_type, state component_id, min(event_time) first_seen, max(event_time) last_seen, count(*) observations, count(DISTINCT CAST(event_time AS DATE)) dates FROM t GROUP BY ALL")
+def component_presence(spark, d):
+    return _plain(history.component_presence(telemetry(spark, d).withColumn("kind", F.lit("state")), "kind", "state"))
+
+
+@query("signal_matrix", f"WITH {_T} SELECT charger_id, bool_or(value IS NOT NULL) \"value\", bool_or(k IS NOT NULL) k FROM t GROUP BY 1")
+def signal_matrix(spark, d):
+    return history.signal_matrix(telemetry(spark, d), ["value", "k"])
+
+
+@query("eligibility", """
+WITH a AS (SELECT user_id charger_id, count(*) observations, count(DISTINCT CAST(ts AS DATE)) AS days FROM events GROUP BY 1), b AS (SELECT *, CASE WHEN charger_id % 4 = 0 THEN 0.5 ELSE 0.1 END gap_ratio FROM a),
+c AS (SELECT charger_id, concat_ws('; ', CASE WHEN observations <= 1 THEN 'Only a single observation exists' END, CASE WHEN observations > 1 AND days < 25 THEN 'Fewer than 25 days of history (' || days || ')' END,
+  CASE WHEN observations > 1 AND observations < 65 THEN 'Fewer than 65 observations (' || observations || ')' END, CASE WHEN observations > 1 AND gap_ratio > 0.35 THEN 'Gap ratio too high' END) r FROM b)
+SELECT charger_id, r = '' eligible, CASE WHEN r <> '' THEN r || '.' END reason FROM c""")
+def eligibility(spark, d):
+    stats = telemetry(spark, d).groupBy("charger_id").agg(F.count("*").alias("observations"), F.count_distinct(F.to_date("event_time")).alias("days")).withColumn("gap_ratio", F.when(F.col("charger_id") % 4 == 0, 0.5).otherwise(0.1))
+    return history.eligibility(stats, days=25, observations=65).select("charger_id", "eligible", "reason")
+
+
+@query("continuity", f"""
+WITH {_PROFILE}, g AS (SELECT charger_id, count(*) gaps, sum(delta) gs FROM p JOIN f USING (charger_id) WHERE delta > coalesce(greatest(180, expected * 2.5), 300) GROUP BY 1),
+n AS (SELECT charger_id, count(DISTINCT CAST(event_time AS DATE)) AS days, epoch_us(max(event_time)) / 1e6 - epoch_us(min(event_time)) / 1e6 len FROM t GROUP BY 1)
+SELECT charger_id, observations, days, coalesce(gaps, 0) gaps, round(coalesce(coalesce(gs, 0) / nullif(len, 0), 0), 3) gap_ratio, CASE WHEN days > 30 THEN 'LONGITUDINAL' WHEN days > 7 THEN 'MULTI_DAY' WHEN days > 1 THEN 'SHORT' ELSE 'SINGLE_DAY' END depth FROM f JOIN n USING (charger_id) LEFT JOIN g USING (charger_id)""")
+def continuity(spark, d):
+    return history.continuity(telemetry(spark, d)).select("charger_id", "observations", "days", "gaps", F.round("gap_ratio", 3).alias("gap_ratio"), "depth")
+
+
+@query("shared_axis", f"WITH {_T} SELECT charger_id, frame_sequence, value v, CAST(k AS DOUBLE) k FROM t")
+def shared_axis(spark, d):
+    rows = telemetry(spark, d).withColumn("k", F.col("k").cast("double"))
+    return history.shared_axis(rows, ["value", "k"]).select("charger_id", "frame_sequence", F.col("values")["value"].alias("v"), F.col("values")["k"].alias("k"))
+
+
+# events
+
+
+@query("state_transitions", f"""
+WITH {_T}, c AS (SELECT *, lag(state) OVER w from_state, row_number() OVER w n FROM t WINDOW w AS (PARTITION BY charger_id ORDER BY event_time, frame_sequence))
+SELECT charger_id, event_time, frame_sequence, from_state, state to_state FROM c WHERE n > 1 AND state IS DISTINCT FROM from_state""")
+def state_transitions(spark, d):
+    return _plain(events.state_transitions(telemetry(spark, d), "state", ["charger_id"]))
+
+
+@query("config_changes", f"""
+WITH {_T}, c AS (SELECT *, lag(k) OVER w old, row_number() OVER w n FROM t WINDOW w AS (PARTITION BY charger_id ORDER BY event_time, frame_sequence)) SELECT charger_id, frame_sequence, old, k new FROM c WHERE n > 1 AND k IS DISTINCT FROM old""")
+def config_changes(spark, d):
+    rows = telemetry(spark, d).withColumn("config", F.create_map(F.lit("k"), F.col("k")))
+    return events.config_changes(rows, "config", ["charger_id"]).select("charger_id", "frame_sequence", F.col("changes")["k"]["old"].alias("old"), F.col("changes")["k"]["new"].alias("new"))
+
+
+@query("alarm_intervals", f"WITH {_RUNS} SELECT charger_id, start_time, last_active, observations, end_time, round(epoch_us(coalesce(end_time, last_active)) / 1e6 - epoch_us(start_time) / 1e6, 6) duration_seconds, CASE WHEN end_time IS NULL THEN 'MEDIUM' ELSE 'HIGH' END confidence FROM runs")
+def alarm_intervals(spark, d):
+    return _plain(intervals(spark, d).withColumn("duration_seconds", F.round("duration_seconds", 6)).drop("has_gap", "quality_flags"))
+
+
+@query("debounced_alarms", f"""
+WITH {_RUNS}, u AS (SELECT *, CASE WHEN epoch_us(start_time) / 1e6 - epoch_us(lag(end_time) OVER w) / 1e6 > 43200 OR lag(end_time) OVER w IS NULL THEN 1 ELSE 0 END new FROM runs WINDOW w AS (PARTITION BY charger_id ORDER BY start_time)),
+v AS (SELECT *, sum(new) OVER (PARTITION BY charger_id ORDER BY start_time) grp FROM u)
+SELECT charger_id, min(start_time) start_time, max(last_active) last_active, CAST(sum(observations) AS BIGINT) observations, CASE WHEN bool_or(end_time IS NULL) THEN NULL ELSE max(end_time) END end_time FROM v GROUP BY charger_id, grp""")
+def debounced_alarms(spark, d):
+    rows = telemetry(spark, d).withColumn("on", F.col("state") == "error")
+    found = events.active_intervals(rows, "on", ["charger_id"], debounce_seconds=43_200)
+    return _plain(found.select("charger_id", "start_time", "last_active", "observations", "end_time"))
+
+
+@query("open_alarms", f"WITH {_RUNS} SELECT charger_id, start_time, 'ALARM_OPEN_ENDED' flags FROM runs WHERE end_time IS NULL")
+def open_alarms(spark, d):
+    return _plain(intervals(spark, d).where("end_time is null").select("charger_id", "start_time", F.array_join("quality_flags", ",").alias("flags")))
+
+
+@query("fault_intervals", f"WITH {_RUNS} SELECT charger_id, count(*) faults, CAST(sum(observations) AS BIGINT) observations, 'CRITICAL' severity FROM runs GROUP BY 1")
+def fault_intervals(spark, d):
+    rows = telemetry(spark, d).withColumn("on", F.col("state") == "error")
+    return events.fault_intervals(rows, "on", ["charger_id"]).groupBy("charger_id", "severity").agg(F.count("*").alias("faults"), F.sum("observations").alias("observations"))
+
+
+@query("gap_overlap_flags", f"""
+WITH {_RUNS}, p AS (SELECT charger_id, event_time, lead(event_time) OVER (PARTITION BY charger_id ORDER BY event_time) nxt FROM t), gaps AS (SELECT charger_id, event_time gs, nxt ge FROM p WHERE epoch_us(nxt) - epoch_us(event_time) > 86400000000)
+SELECT charger_id, start_time, end_time, EXISTS (SELECT 1 FROM gaps g WHERE g.charger_id = runs.charger_id AND CASE WHEN end_time IS NULL THEN ge >= start_time ELSE NOT (ge <= start_time OR gs >= end_time) END) has_gap FROM runs""")
+def gap_overlap_flags(spark, d):
+    rows = telemetry(spark, d)
+    after = F.lead("event_time").over(events._window(["charger_id"]))
+    gaps = rows.withColumn("gap_end", after).where(S.seconds(F.col("gap_end")) - S.seconds(F.col("event_time")) > 86_400).select("charger_id", F.col("event_time").alias("gap_start"), "gap_end")
+    found = events.with_gap_flag(intervals(spark, d).drop("has_gap"), gaps, ["charger_id"])
+    return _plain(found.select("charger_id", "start_time", "end_time", "has_gap"))
+
+
+@query("sessions")
+def sessions(spark, d):
+    names = {"signup": "preparing", "purchase": "charging", "error": "faulted", "view": "finishing", "click": "available"}
+    pairs = F.create_map(*(F.lit(x) for p in names.items() for x in p))
+    rows = telemetry(spark, d).withColumn("connector_status", pairs[F.col("state")]).withColumn("connector_id", F.lit("1")).withColumn("session_id", F.lit(None).cast("string")).withColumn("meter_energy", F.col("value"))
+    return events.sessions(rows).drop("quality_flags")
+
+
+@query("session_states", """
+SELECT event_type, CASE event_type WHEN 'error' THEN 'FAULTED' ELSE 'UNKNOWN' END state, count(*) n, CASE WHEN event_type = 'error' THEN 'FAULT_STOPPED' ELSE 'NORMAL' END ended FROM events GROUP BY 1""")
+def session_states(spark, d):
+    e = read(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n")).withColumn("state", S.map_state(F.col("event_type")))
+    return e.select("event_type", "state", "n", S.termination(F.col("event_type"), F.col("state")).alias("ended"))
+
+
+@query("timeline_merge", f"""
+WITH {_RUNS}, a AS (SELECT start_time event_time, 'alarm' kind, CAST(charger_id AS VARCHAR) title, 1 r FROM runs), v AS (SELECT ts, 'visit', CAST(user_id AS VARCHAR), 0 FROM events WHERE event_type = 'signup')
+SELECT event_time, kind, title FROM (SELECT * FROM a UNION ALL SELECT * FROM v) ORDER BY event_time, r, title LIMIT 200""")
+def timeline_merge(spark, d):
+    v = visits(spark, d).select(F.col("start_time").alias("event_time"), F.col("charger_id").alias("title"))
+    a = intervals(spark, d).select(F.col("start_time").alias("event_time"), F.col("charger_id").alias("title"))
+    return _plain(events.timeline(200, visit=v, alarm=a))
+
+
+# research
+
+_STAT = """count(v) "valid", count(*) FILTER (raw IS NULL) nulls, count(*) FILTER (raw IS NOT NULL AND v IS NULL) sentinels, count(*) FILTER (v = 0) zeros, round(avg(v), 4) mean, round(stddev_samp(v), 4) std, min(v) min, max(v) max,
+  round(quantile_cont(v, 0.05), 6) p05, round(quantile_cont(v, 0.5), 6) p50, round(quantile_cont(v, 0.95), 6) p95"""
+
+
+@query("signal_stats", f"""
+WITH u AS (UNPIVOT (SELECT l_quantity, l_extendedprice, l_discount FROM lineitem) ON COLUMNS(*) INTO NAME signal VALUE raw), s AS (SELECT signal, raw, CASE WHEN raw IN (-1, -9999, 9999, 65535, 99999, -99999, 255) THEN NULL ELSE raw END v FROM u),
+m AS (SELECT signal, avg(v) mu, stddev_samp(v) sd FROM s GROUP BY 1)
+SELECT signal, {_STAT}, round(avg(pow(v - mu, 3)) / pow(any_value(sd), 3), 4) skew, round(avg(pow(v - mu, 4)) / pow(any_value(sd), 4) - 3, 4) kurtosis FROM s JOIN m USING (signal) GROUP BY 1""")
+def signal_stats(spark, d):
+    found = research.signal_statistics(read(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
+    return found.select("signal", "valid", "nulls", "sentinels", "zeros", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "min", "max", "p05", "p50", "p95", F.round("skew", 4).alias("skew"), F.round("kurtosis", 4).alias("kurtosis"))
+
+
+@query("correlation_matrix", """
+WITH x AS (SELECT l_discount, l_extendedprice, l_quantity, l_tax FROM lineitem)
+SELECT 'l_discount' a, 'l_extendedprice' b, count(*) pairs, round(corr(l_discount, l_extendedprice), 5) r FROM x UNION ALL SELECT 'l_discount', 'l_quantity', count(*), round(corr(l_discount, l_quantity), 5) FROM x
+UNION ALL SELECT 'l_discount', 'l_tax', count(*), round(corr(l_discount, l_tax), 5) FROM x UNION ALL SELECT 'l_extendedprice', 'l_quantity', count(*), round(corr(l_extendedprice, l_quantity), 5) FROM x
+UNION ALL SELECT 'l_extendedprice', 'l_tax', count(*), round(corr(l_extendedprice, l_tax), 5) FROM x UNION ALL SELECT 'l_quantity', 'l_tax', count(*), round(corr(l_quantity, l_tax), 5) FROM x""")
+def correlation_matrix(spark, d):
+    return research.correlation_matrix(read(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]).withColumn("r", F.round("r", 5))
+
+
+@query("spearman", """
+WITH r AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 a, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 b FROM lineitem)
+SELECT count(*) pairs, round(corr(a, b), 5) rho FROM r""")
+def spearman(spark, d):
+    return research.spearman(read(spark, d, "lineitem"), "l_quantity", "l_extendedprice").withColumn("rho", F.round("rho", 5))
+
+
+@query("charger_profile", f"WITH {_T} SELECT charger_id, count(*) observations, count(DISTINCT event_time) timestamps, min(event_time) \"first\", max(event_time) \"last\", round(CAST(count(value) AS DOUBLE) / count(*), 6) value_coverage FROM t GROUP BY 1")
+def charger_profile(spark, d):
+    return _plain(research.charger_profile(telemetry(spark, d), ["value"]))
+
+
+@query("fleet_profile", f"WITH {_T} SELECT count(DISTINCT charger_id) chargers, count(*) observations, min(event_time) \"first\", max(event_time) \"last\", round(1 - count(value) * 1.0 / count(*), 6) missing_rate FROM t")
+def fleet_profile(spark, d):
+    return _plain(research.fleet_profile(research.charger_profile(telemetry(spark, d), ["value"]), ["value"]))
+
+
+@query("telemetry_with_events", f"""
+WITH {_RUNS}, v AS (SELECT charger_id, event_time s, e, CAST(frame_sequence AS VARCHAR) sid FROM (SELECT *, lead(event_time, 2) OVER (PARTITION BY charger_id ORDER BY event_time, frame_sequence) e FROM t) WHERE state = 'signup')
+SELECT p.charger_id, p.event_time, p.frame_sequence, (SELECT arg_min(sid, s) FROM v WHERE v.charger_id = p.charger_id AND p.event_time >= s AND (e IS NULL OR p.event_time <= e)) session_id,
+  (SELECT count(*) FROM runs r WHERE r.charger_id = p.charger_id AND p.event_time >= start_time AND (end_time IS NULL OR p.event_time <= end_time)) > 0 in_alarm FROM t p""")
+def telemetry_with_events(spark, d):
+    points = telemetry(spark, d).select("charger_id", "event_time", "frame_sequence")
+    found = research.telemetry_with_events(points, visits(spark, d), intervals(spark, d).withColumn("code", F.lit("error")), bucket_seconds=86_400)
+    return _plain(found.select("charger_id", "event_time", "frame_sequence", "session_id", (F.size("active_alarms") > 0).alias("in_alarm")))
+
+
+@query("alarm_clusters")
+def alarm_clusters(spark, d):
+    alarms = telemetry(spark, d).where("state in ('error', 'view')").select("charger_id", F.col("event_time").alias("start_time"), F.col("state").alias("code"))
+    return research.alarm_clusters(alarms, window_seconds=86_400)
+
+
+def _stats(spark, d) -> DataFrame:
+    rows = telemetry(spark, d).select("charger_id", *(F.when(F.col("state") == s, F.col("value")).alias(n) for s, n in (("view", "grid_voltage_r"), ("click", "input_current_1"), ("purchase", "input_current_2"), ("error", "cabinet_temp"))))
+    return research.signal_statistics(rows, ["grid_voltage_r", "input_current_1", "input_current_2", "cabinet_temp"], ["charger_id"])
+
+
+_SIGNALS = """u AS (SELECT user_id charger_id, CASE event_type WHEN 'view' THEN 'grid_voltage_r' WHEN 'click' THEN 'input_current_1' WHEN 'purchase' THEN 'input_current_2' WHEN 'error' THEN 'cabinet_temp' END signal, CASE WHEN value IN (255, 9999) THEN NULL ELSE value END v FROM events),
+st AS (SELECT charger_id, signal, count(v) n, round(avg(v), 6) mean, stddev_samp(v) sd, min(v) lo, max(v) hi FROM u WHERE signal IS NOT NULL GROUP BY ALL), fl AS (SELECT signal, round(quantile_cont(v, 0.5), 6) p50, round(quantile_cont(v, 0.95), 6) p95 FROM u GROUP BY 1)"""
+
+
+@query("voltage_patterns", f"""
+WITH {_SIGNALS}, e AS (SELECT charger_id, signal, n, coalesce(CAST(lo < 200 AS INT), 0) + coalesce(CAST(hi > 260 AS INT), 0) + coalesce(CAST(abs(mean - p50) / greatest(p50, 1e-6) > 0.1 AS INT), 0) evidence FROM st JOIN fl USING (signal) WHERE signal = 'grid_voltage_r')
+SELECT charger_id, signal, 'VOLTAGE_ANOMALY' category, CAST(evidence AS INT) evidence, CASE WHEN evidence >= 2 AND n >= 100 THEN 'MODERATE' WHEN evidence >= 2 THEN 'WEAK' ELSE 'OBSERVATION' END AS level, round(least(0.8, 0.3 + 0.1 * evidence), 4)::DOUBLE confidence FROM e WHERE evidence > 0""")
+def voltage_patterns(spark, d):
+    fleet_stats = research.signal_statistics(telemetry(spark, d).where("state = 'view'").withColumn("grid_voltage_r", F.col("value")), ["grid_voltage_r"])
+    return research.voltage_anomalies(_stats(spark, d), fleet_stats)
+
+
+@query("current_patterns", f"""
+WITH {_SIGNALS}, a AS (SELECT charger_id, count(*) n, avg(mean) av, max(mean) hi, min(mean) lo FROM st WHERE signal LIKE 'input_current%' AND mean IS NOT NULL GROUP BY 1), b AS (SELECT charger_id, greatest(hi - av, av - lo) / av dev FROM a WHERE n >= 2 AND av >= 0.01)
+SELECT charger_id, 'CURRENT_IMBALANCE' category, round(dev, 4) deviation, CASE WHEN dev > 0.5 THEN 'MODERATE' WHEN dev > 0.3 THEN 'WEAK' ELSE 'OBSERVATION' END AS level, round(least(0.9, 0.3 + dev), 4) confidence FROM b WHERE dev > 0.2""")
+def current_patterns(spark, d):
+    return research.current_imbalance(_stats(spark, d)).withColumn("deviation", F.round("deviation", 4))
+
+
+@query("thermal_patterns", f"""
+WITH {_SIGNALS}, e AS (SELECT charger_id, signal, coalesce(CAST(sd > 0 AND hi - mean > 5 AS INT), 0) + coalesce(CAST(hi > p95 AS INT), 0) evidence FROM st JOIN fl USING (signal) WHERE signal = 'cabinet_temp')
+SELECT charger_id, signal, 'THERMAL_DRIFT' category, CAST(evidence AS INT) evidence, CASE WHEN evidence >= 2 THEN 'WEAK' ELSE 'OBSERVATION' END AS level, round(least(0.75, 0.3 + 0.15 * evidence), 4)::DOUBLE confidence FROM e WHERE evidence > 0""")
+def thermal_patterns(spark, d):
+    fleet_stats = research.signal_statistics(telemetry(spark, d).where("state = 'error'").withColumn("cabinet_temp", F.col("value")), ["cabinet_temp"])
+    return research.thermal_drift(_stats(spark, d), fleet_stats)
+
+
+@query("session_patterns", """
+WITH s AS (SELECT user_id charger_id, CASE WHEN event_type = 'error' THEN 'FAULT_STOPPED' ELSE 'NORMAL' END c, value e FROM events), a AS (SELECT charger_id, count(*) sessions, avg(CASE WHEN c = 'FAULT_STOPPED' THEN 1.0 ELSE 0 END) fr, avg(CASE WHEN e <= 0.01 THEN 1.0 ELSE 0 END) er FROM s GROUP BY 1)
+SELECT charger_id, 'SESSION_DEGRADATION' category, sessions, round(fr, 4) failed_rate, round(er, 4) empty_rate, round(least(0.7, 0.3 + 0.2 * (CAST(fr > 0.3 AS INT) + CAST(er > 0.2 AS INT))), 4)::DOUBLE confidence FROM a WHERE sessions >= 2 AND (fr > 0.3 OR er > 0.2)""")
+def session_patterns(spark, d):
+    s = telemetry(spark, d).select("charger_id", F.when(F.col("state") == "error", "FAULT_STOPPED").otherwise("NORMAL").alias("termination_class"), F.col("value").alias("energy_delivered_kwh"))
+    return research.session_degradation(s)
+
+
+@query("dataset_charger_time", f"""
+WITH {_SIGNALS}, x AS (SELECT charger_id, max(mean) FILTER (signal = 'cabinet_temp') temp_mean, max(hi) FILTER (signal = 'cabinet_temp') temp_max FROM st GROUP BY 1) SELECT charger_id, temp_mean, temp_max FROM x""")
+def dataset_charger_time(spark, d):
+    found = research.dataset_charger_time(_stats(spark, d))
+    return found.select("charger_id", F.col("features")["cabinet_temp_mean"].alias("temp_mean"), F.col("features")["cabinet_temp_max"].alias("temp_max"))
+
+
+@query("dataset_event_centered", """
+WITH e AS (SELECT user_id charger_id, ts AS at FROM events WHERE event_type = 'error')
+SELECT e.charger_id, e.at AS at, count(p.value) context, round(avg(p.value), 5) mean, min(p.value) min, max(p.value) max FROM e JOIN events p ON p.user_id = e.charger_id AND epoch_us(p.ts) BETWEEN epoch_us(e.at) - 43200000000 AND epoch_us(e.at) + 43200000000 GROUP BY ALL""")
+def dataset_event_centered(spark, d):
+    rows = telemetry(spark, d)
+    return _plain(research.dataset_event_centered(rows.where("state = 'error'"), rows, "value", 43_200, 43_200).withColumn("mean", F.round("mean", 5)))
+
+
+@query("dataset_session", f"""
+WITH {_T}, v AS (SELECT charger_id, event_time s, lead(event_time, 2) OVER (PARTITION BY charger_id ORDER BY event_time, frame_sequence) e, value, state, frame_sequence FROM t)
+SELECT charger_id, CAST(frame_sequence AS VARCHAR) session_id, round(value / ((epoch_us(e) - epoch_us(s)) / 1e6 / 60), 6) kwh_per_minute, 0.7::DOUBLE quality FROM v WHERE state = 'signup'""")
+def dataset_session(spark, d):
+    s = visits(spark, d).join(telemetry(spark, d).select(F.col("frame_sequence").cast("string").alias("session_id"), "value"), "session_id")
+    s = s.select("charger_id", F.lit("1").alias("connector_id"), "session_id", "start_time", (S.seconds(F.col("end_time")) - S.seconds(F.col("start_time"))).alias("duration_seconds"), F.col("value").alias("energy_delivered_kwh"), F.lit(0.0).alias("start_soc"), F.lit(0.0).alias("end_soc"), F.lit("MEDIUM").alias("confidence"), F.lit(False).alias("has_gap"))
+    return research.dataset_session(s).select("charger_id", "session_id", "kwh_per_minute", "quality")
+
+
+@query("readiness", "SELECT count(DISTINCT CAST(ts AS DATE)) AS days, count(*) FILTER (event_type = 'signup') sessions, 'MULTI_DAY' depth, 'READY' status FROM events")
+def readiness(spark, d):
+    one = telemetry(spark, d).agg(F.count_distinct(F.to_date("event_time")).alias("days"), F.count_if(F.col("state") == "signup").alias("sessions"))
+    return research.readiness(one).drop("blockers")
+
+
+# quality and schema
+
+
+@query("schema_compare", """
+WITH a(name, kind, pos) AS (VALUES ('s_suppkey', 'BIGINT', 0), ('s_name', 'STRING', 1), ('s_nationkey', 'INT', 2), ('s_acctbal', 'DOUBLE', 3)), b(name, kind, pos) AS (VALUES ('s_suppkey', 'BIGINT', 0), ('s_acctbal', 'STRING', 1), ('s_phone', 'STRING', 2), ('s_nationkey', 'INT', 3))
+SELECT coalesce(a.name, b.name) name, CASE WHEN b.name IS NULL THEN 'MISSING_REQUIRED' WHEN a.name IS NULL THEN 'ADDITION' WHEN a.kind <> b.kind THEN 'TYPE_CHANGE' WHEN a.pos <> b.pos THEN 'REORDER' ELSE 'SAME' END change FROM a FULL JOIN b ON a.name = b.name""")
+def schema_compare(spark, d):
+    kind = "name string, occurrence int, kind string, position int, required boolean"
+    old = [(f.name, 1, f.dataType.simpleString(), i, True) for i, f in enumerate(read(spark, d, "supplier").schema)]
+    new = [("s_suppkey", 1, "bigint", 0, True), ("s_acctbal", 1, "string", 1, True), ("s_phone", 1, "string", 2, False), ("s_nationkey", 1, "int", 3, True)]
+    return quality.compare_schemas(spark.createDataFrame(old, kind), spark.createDataFrame(new, kind)).select("name", "change")
+
+
+@query("schema_breakdown", """
+SELECT 'p_brand' dimension, p_brand "value", count(*) n FROM part GROUP BY 2 UNION ALL SELECT 'p_type', p_type, count(*) FROM part GROUP BY 2 UNION ALL SELECT 'p_size', CAST(p_size AS VARCHAR), count(*) FROM part GROUP BY 2""")
+def schema_breakdown(spark, d):
+    return quality.schema_breakdown(read(spark, d, "part"), "p_brand", "p_type", "p_size")
+
+
+@query("daily_findings", f"""
+WITH {_STEPS}, a AS (SELECT charger_id, day business_date, count(*) n, coalesce(max(step), 0) lg FROM s GROUP BY ALL),
+r AS (SELECT charger_id, business_date, unnest([CASE WHEN n * 25.0 < 95 AND n * 25.0 >= 50 THEN 'PARTIAL_DAY' END, CASE WHEN n * 25.0 < 50 THEN 'SEVERELY_INCOMPLETE_DAY' END, CASE WHEN lg > 64800 THEN 'TELEMETRY_GAP' END]) code FROM a)
+SELECT charger_id, business_date, code, CASE code WHEN 'SEVERELY_INCOMPLETE_DAY' THEN 'ERROR' ELSE 'WARNING' END severity, sha256(concat_ws(chr(31), code, CAST(charger_id AS VARCHAR), CAST(business_date AS VARCHAR))) issue_hash FROM r WHERE code IS NOT NULL""")
+def daily_findings(spark, d):
+    days = coverage.day_coverage(telemetry(spark, d), RULES)
+    gap = F.when(F.col("gap_count") > 0, coverage.severity(F.col("largest_gap_seconds"), RULES))
+    days = days.withColumns({"arrival": F.lit("RECEIVED"), "is_late": F.lit(False), "largest_gap_severity": gap, "cadence_abnormal": F.lit(False), "connectors": F.lit(2), "expected_connectors": F.lit(2), "smrs": F.lit(4), "expected_smrs": F.lit(4), "files": F.lit(1), "dominant_date": F.col("business_date"), "file_date": F.col("business_date")})
+    return quality.daily_findings(days)
+
+
+@query("quality_score", """
+WITH f AS (SELECT o_orderstatus file_id, count(*) n, count(*) FILTER (o_totalprice > 300000) v FROM orders GROUP BY 1)
+SELECT file_id, 60.0::DOUBLE schema_score, 90.0::DOUBLE completeness_score, round(100.0 * (1 - v * 1.0 / n), 2)::DOUBLE validity_score, 95.0::DOUBLE duplicate_score, 89.0::DOUBLE timestamp_score,
+  round(0.3 * 60 + 0.2 * 90 + 0.2 * round(100.0 * (1 - v * 1.0 / n), 2) + 0.15 * 95 + 0.15 * 89, 2)::DOUBLE overall_score FROM f""")
+def quality_score(spark, d):
+    f = read(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("file_id")).agg(F.count("*").alias("values"), F.count_if(F.col("o_totalprice") > 300_000).alias("violations"))
+    f = f.withColumns({"fields": F.lit(10), "missing_required": F.lit(1), "duplicate_headers": F.lit(0), "drifted": F.lit(1), "unknown_schema": F.lit(False), "completeness": F.lit(0.9), "exact_share": F.lit(0.05), "conflict_share": F.lit(0.0), "parsed_share": F.lit(0.99), "largest_step": F.lit(20.0), "threshold": F.lit(10.0)})
+    return quality.score(f).drop("values", "violations", "fields", "missing_required", "duplicate_headers", "drifted", "unknown_schema", "completeness", "exact_share", "conflict_share", "parsed_share", "largest_step", "threshold")
+
+
+@query("illegal_moves", f"""
+WITH {_T}, c AS (SELECT lag(state) OVER (PARTITION BY charger_id ORDER BY event_time, frame_sequence) from_state, state to_state FROM t)
+SELECT from_state, to_state, count(*) n FROM c WHERE from_state IS NOT NULL AND from_state <> to_state AND NOT (from_state = 'signup' AND to_state = 'view') AND NOT (from_state = 'view' AND to_state IN ('click', 'purchase')) GROUP BY ALL""")
+def illegal_moves(spark, d):
+    moves = events.state_transitions(telemetry(spark, d), "state", ["charger_id"])
+    allowed = spark.createDataFrame([("signup", "view"), ("view", "click"), ("view", "purchase")], "from_state string, to_state string")
+    return quality.illegal_moves(moves, allowed).groupBy("from_state", "to_state").agg(F.count("*").alias("n"))
+
+
+@query("canonical_names", "SELECT name, canonical FROM (VALUES ('Charger ID', 'charger_id'), ('SMRTemp', 'smr_temp'), ('L1-N Voltage', 'l1_n_voltage'), ('1st Alarm', 'f_1st_alarm'), (' eventTime ', 'event_time')) v(name, canonical)")
+def canonical_names(spark, d):
+    names = spark.createDataFrame([(n,) for n in ("Charger ID", "SMRTemp", "L1-N Voltage", "1st Alarm", " eventTime ")], "name string")
+    return names.withColumn("canonical", S.canonical_name(F.col("name")))
