@@ -12,9 +12,10 @@ document's component of links. The join is exact and emits no pairs inside a gro
    each is checked against it, so that a large group of near copies costs one check a member, and linked sets are one
    component from here on;
 4. sets that named the same leader form groups, cut to about GROUP sets, each a column of the token-group matrix: the
-   union of its sets' shingles. A set q is a candidate for a group with sets of other components if their shared
-   prefix shingles allow 0.8 |q|; it opens the group only if |q & union| >= 0.8 |q| over the whole sets, and is then
-   checked against the members of other components.
+   union of its sets' shingles. Two groups may hold linked sets only if their prefixes share enough shingles; then,
+   and between the cuts of one group, each set q of the smaller asks the columns of the other that have sets of other
+   components: a column opens only if |q & union| >= 0.8 |q|, and its members are then compared. The sets of one
+   column are compared with each other.
 
 Whole sets are made again from the texts, and only for sets that are candidates.
 
@@ -225,29 +226,69 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    small, large = sorted((len(x), len(y)))
+    if small * 100 < percent * large:
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    n = int((both[1:] == both[:-1]).sum())
+    return n * 100 >= percent * (len(both) - n)
+
+
+def _links_batch(a: list[int], b: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _inner_links(percent: int):
+    """Of rows of members: links between members of one column, as many as join their components."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = [], []
+            for members in batch.column("members"):
+                group = members.values
+                sids, comps = group.field("b").to_pylist(), group.field("c").to_pylist()
+                sets = [m.values.to_numpy() for m in group.field("shingles")]
+                for i in range(len(sids)):
+                    for j in range(i):
+                        if comps[i] != comps[j] and _alike(sets[i], sets[j], percent):
+                            a.append(sids[i])
+                            b.append(sids[j])
+                            old, new = comps[i], comps[j]
+                            comps = [new if c == old else c for c in comps]
+            yield _links_batch(a, b)
+
+    return run
+
+
 def _new_links(percent: int):
-    """Of rows (a, comp, x, members): a and the members that it links to, one of each component."""
+    """Of rows (a, comp, x, g, k, members), members being a matrix column: opens it where the union of its sets may hold
+    the percentage of x, and gives a and the members that it links to, one of each other component."""
 
     def run(batches):
+        held = None
         for batch in batches:
             a, b = [], []
             x, members = batch.column("x"), batch.column("members")
-            for k, one in enumerate(batch.column("a").to_pylist()):
-                own, found = x[k].values.to_numpy(), set()
-                group = members[k].values
-                for sid, comp, member in zip(group.field("b").to_pylist(), group.field("c").to_pylist(), group.field("shingles"), strict=True):
-                    other = member.values.to_numpy()
-                    small, large = sorted((len(own), len(other)))
-                    if comp in found or small * 100 < percent * large:
-                        continue
-                    both = np.concatenate([own, other])
-                    both.sort()
-                    n = int((both[1:] == both[:-1]).sum())
-                    if n * 100 >= percent * (len(both) - n):
+            rows = zip(*[batch.column(c).to_pylist() for c in ("a", "comp", "g", "k")], strict=True)
+            for i, (one, comp, *key) in enumerate(rows):
+                if key != held:
+                    held, group = key, members[i].values
+                    sids, comps = group.field("b").to_pylist(), group.field("c").to_pylist()
+                    sets = [m.values.to_numpy().copy() for m in group.field("shingles")]
+                    union = np.unique(np.concatenate(sets))
+                own, found = x[i].values.to_numpy(), {comp}
+                at = np.searchsorted(union, own)
+                at[at == len(union)] = 0
+                if int((union[at] == own).sum()) * 100 < percent * len(own):
+                    continue
+                for sid, c, other in zip(sids, comps, sets, strict=True):
+                    if c not in found and _alike(own, other, percent):
                         a.append(one)
                         b.append(sid)
-                        found.add(comp)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                        found.add(c)
+            yield _links_batch(a, b)
 
     return run
 
@@ -280,7 +321,6 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = WORDS,
     # a set that shares fewer shingles than that with all others together is in no candidate pair
     able = hyper.groupBy("sid").count().join(nodes.select("sid", "n"), "sid").where(f"count >= {least}").select("sid", "n")
     able = stored(spark, able, "able")
-    hyper = stored(spark, hyper.join(able, "sid"), "hyper")
     votes = hyper.where("sid <> leader").groupBy("sid", "leader").count()
     pairs = votes.groupBy("sid").agg(F.expr("max_by(leader, struct(count, leader))").alias("b"), F.max("count").alias("c"))
     pairs = stored(spark, pairs.join(able, "sid").where(f"c >= {least}").selectExpr("sid a", "b"), "pairs")
@@ -294,28 +334,24 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = WORDS,
     home = home.selectExpr("sid", "n", "coalesce(root, sid) comp", "coalesce(b, sid) g")
     wide = home.groupBy("g").agg(F.ceil(F.count("*") / GROUP).alias("cuts"))
     home = stored(spark, home.join(wide, "g").selectExpr("sid", "n", "comp", "g", "pmod(xxhash64(sid), cuts) k"), "groups")
-    # candidates for groups of the same leader need no counting
-    own = home.groupBy("g", "k").agg(F.min("comp").alias("c0"))
-    own = home.selectExpr("sid a", "comp", "g").join(own, "g").where("comp > c0").select("a", "comp", "g", "k")
-    rows = hyper.select("token", "sid").join(home, "sid")
-    mixed = rows.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
-    rows = stored(spark, rows.join(mixed, "token"), "mixed")
-    able = rows.groupBy("sid", "n").count().where(f"count >= {least}").select("sid")
-    rows = rows.join(able, "sid")
-    columns = rows.groupBy("token", "g", "k").agg(F.min("comp").alias("c0")).withColumnsRenamed({"g": "h", "k": "i"})
-    meets = rows.join(columns, "token").where("comp > c0 and g <> h")  # each pair of components from one side
-    meets = meets.groupBy(F.col("sid").alias("a"), "n", "comp", "h", "i").count().where(f"count >= {least}").selectExpr("a", "comp", "h g", "i k")
-    meets = stored(spark, meets.union(own), "meets")
-    members = home.selectExpr("sid b", "comp c", "g", "k").join(meets.select("g", "k").distinct(), ["g", "k"])
-    members = stored(spark, members, "members")
-    sets = whole_sets(meets.selectExpr("a sid").union(members.selectExpr("b")).distinct())
-    cuts = members.join(sets.selectExpr("sid b", "shingles"), "b").groupBy("g", "k").agg(F.collect_list(F.struct("b", "c", "shingles")).alias("members"))
-    cuts = cuts.withColumn("tokens", F.array_distinct(F.flatten("members.shingles")))
-    opened = (
-        meets.join(sets.selectExpr("sid a", "shingles x"), "a").join(cuts, ["g", "k"])
-        .where(F.size(F.array_intersect("x", "tokens")) * 100 >= percent * F.size("x"))
-        .select("a", "comp", "x", F.filter("members", lambda m: m.c < F.col("comp")).alias("members"))
-    )
+    # groups that share enough prefix shingles to hold a linked pair
+    tokens = hyper.join(home.select("sid", "g"), "sid").select("token", "g").distinct()
+    sizes = home.groupBy("g").agg(F.min("n").alias("n"), F.count("*").alias("m"))
+    meets = tokens.join(tokens.withColumnRenamed("g", "h"), "token").where("g < h").groupBy("g", "h").count()
+    meets = meets.join(sizes, "g").join(sizes.selectExpr("g h", "n nh", "m mh"), "h")
+    meets = meets.withColumn("n", F.least("n", "nh")).where(f"count >= {least}").selectExpr("if(m <= mh, g, h) g", "if(m <= mh, h, g) h")
+    meets = stored(spark, meets, "meets")
+    cuts = home.groupBy("g", "k").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    asks = home.select("sid", "comp", "g").join(meets, "g").join(cuts.withColumnRenamed("g", "h"), "h").where("comp <> c0 or comp <> c1").selectExpr("sid a", "comp", "h g", "k")
+    more = home.selectExpr("sid", "comp", "g", "k k0").join(cuts, "g").where("k0 < k and (comp <> c0 or comp <> c1)").selectExpr("sid a", "comp", "g", "k")
+    asks = stored(spark, asks.union(more), "asks")
+    some = cuts.where("c0 <> c1").select("g", "k").union(asks.select("g", "k")).distinct()
+    members = stored(spark, home.selectExpr("sid b", "comp c", "g", "k").join(some, ["g", "k"]), "members")
+    sets = whole_sets(members.selectExpr("b sid").union(asks.selectExpr("a")).distinct())
+    columns = members.join(sets.selectExpr("sid b", "shingles"), "b").groupBy("g", "k").agg(F.collect_list(F.struct("b", "c", "shingles")).alias("members"))
+    columns = stored(spark, columns, "matrix")
+    opened = asks.join(sets.selectExpr("sid a", "shingles x"), "a").join(columns, ["g", "k"]).select("a", "comp", "x", "g", "k", "members")
+    links = links.union(columns.select("members").mapInArrow(_inner_links(percent), "a long, b long"))
     links = links.union(opened.mapInArrow(_new_links(percent), "a long, b long"))
     roots = components(spark, links)
     named = nodes.select("sid", "rep").join(roots.withColumnRenamed("node", "sid"), "sid", "left").selectExpr("sid", "rep", "coalesce(root, sid) root")
