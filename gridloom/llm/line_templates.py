@@ -30,6 +30,8 @@ from gridloom.llm.ngram_join import word_bounds
 
 LEADING, ALIKE, MIN_DOCS = 3, 0.7, 10
 FLUSH_LINES, BUCKETS_LEAST, BUCKET_LINES = 200_000, 48, 100_000
+#: Recurring lines that may be sent to every worker: 32 MB.
+SHARED_LINES = 2_000_000
 _FIELD = np.uint64(0x2545F4914F6CDD1D)
 _K = 0x9FB21C651E98DF25
 
@@ -56,8 +58,9 @@ def line_hashes(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     return {"row": row[first], "number": number[first], "count": count, "first": first, "hash": mix(np.add.reduceat(part, first) + size), "leaf": mix(np.add.reduceat(lead, first) ^ size), "tokens": h}
 
 
-def _text_key(whole: bytes, a: int, b: int) -> int:
-    return xxhash.xxh3_64_intdigest(whole[a:b])
+def _text_keys(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    whole = data.tobytes()
+    return np.array([xxhash.xxh3_64_intdigest(whole[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], np.uint64).view(np.int64)
 
 
 def _line_pass(buckets: int):
@@ -75,8 +78,8 @@ def _line_pass(buckets: int):
         for batch in batches:
             for part, data, offs in text_slices(batch):
                 f = line_hashes(data, offs)
-                whole, rows = data.tobytes(), len(offs) - 1
-                keys = np.array([_text_key(whole, a, b) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], np.uint64).view(np.int64)
+                rows = len(offs) - 1
+                keys = _text_keys(data, offs)
                 cut = np.searchsorted(f["row"], np.arange(rows + 1))
                 signed = f["hash"].view(np.int64)
                 lines = [np.unique(signed[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
@@ -147,82 +150,105 @@ def _parse_bucket(table: pa.Table) -> pa.Table:
     return pa.table({"line": pa.array(np.array(line, np.uint64).view(np.int64)), "template": pa.array(np.array(template, np.uint64).view(np.int64))})
 
 
-def drops(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(t, lines array<long>): hashes of the lines to drop from each text, by the text's hash."""
+def recurring_lines(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
+    """(line, keeper): hashes of all lines of recurring templates and the text that keeps them; and (t, line) of all texts."""
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     buckets = max(BUCKETS_LEAST, (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // (100 * BUCKET_LINES))
     found = stored(spark, docs.mapInArrow(_line_pass(buckets), "doc_id long, t long, lines array<long>, bucket int, packed binary"), "lines")
     joined = found.where("bucket is not null").select("bucket", "packed").groupBy("bucket").applyInArrow(_parse_bucket, "line long, template long")
     joined = stored(spark, joined, "templates")
-    rows = found.where("bucket is null").groupBy("t").agg(F.min("doc_id").alias("doc_id"), F.first("lines").alias("lines")).select("t", "doc_id", F.explode("lines").alias("line"))
-    rows = stored(spark, rows, "rows")
-    named = rows.join(joined, "line", "left").selectExpr("t", "doc_id", "line", "coalesce(template, line) template")
-    counts = named.select("template", "t", "doc_id").distinct().groupBy("template").agg(F.count("*").alias("texts"), F.expr("min_by(t, struct(coalesce(doc_id, 9223372036854775807), t))").alias("keeper"))
+    texts = found.where("bucket is null").groupBy("t").agg(F.min("doc_id").alias("doc_id"), F.first("lines").alias("lines"))
+    rows = stored(spark, texts.select("t", "doc_id", F.explode("lines").alias("line")), "rows")
+    named = rows.join(joined, "line", "left").selectExpr("t", "doc_id", "coalesce(template, line) template").distinct()
+    counts = named.groupBy("template").agg(F.count("*").alias("texts"), F.expr("min_by(t, struct(coalesce(doc_id, 9223372036854775807), t))").alias("keeper"))
     recurring = stored(spark, counts.where(F.col("texts") >= min_docs).select("template", "keeper"), "recurring")
-    again = rows.join(joined, "line", "left").selectExpr("t", "line", "coalesce(template, line) template")
-    again = again.join(recurring, "template").where("t <> keeper")
-    return stored(spark, again.groupBy("t").agg(F.collect_set("line").alias("lines")), "drops")
-
-
-def _without(text: bytes, lines: set[int]) -> tuple[bytes, int, int]:
-    """The text without lines of these hashes, how many lines it had, how many went."""
-    data = np.frombuffer(text, np.uint8)
-    f = line_hashes(data, np.array([0, len(data)]))
-    gone = {n for n, h in zip(f["number"].tolist(), f["hash"].view(np.int64).tolist(), strict=True) if h in lines}
-    own = text.split(b"\n")
-    return b"\n".join([x for k, x in enumerate(own) if k not in gone]), len(own), len(gone)
-
-
-def _joined(spark: SparkSession, docs: DataFrame, min_docs: int) -> DataFrame:
-    """docs with _lines: the hashes to drop, null for none."""
-    found = drops(spark, docs, min_docs)
-
-    def run(batches):
+    lines = joined.join(recurring, "template").select("line", "keeper").union(recurring.select("template", "keeper"))
+    return stored(spark, lines, "recurring_lines"), rows.select("t", "line")
+
+
+def _cleaned(spark: SparkSession, docs: DataFrame, min_docs: int, shared_lines: int):
+    """docs as batches of (rows, their texts' bytes and offsets, set of dropped line numbers for each row), for mapInArrow.
+
+    Up to shared_lines recurring lines (16 bytes each) go to all workers; more are joined to the texts that have them.
+    """
+    lines, rows = recurring_lines(spark, docs, min_docs)
+    if lines.count() <= shared_lines:
+        held = sorted((r.line, r.keeper) for r in lines.collect())
+        shared = spark.sparkContext.broadcast((np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.int64)))
+        source = docs
+    else:
+        shared = None
+        own = rows.join(lines, "line").where("t <> keeper").groupBy("t").agg(F.collect_set("line").alias("_lines"))
+
+        def key(batches):
+            for batch in batches:
+                for part, data, offs in text_slices(batch):
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_text_keys(data, offs))], [*part.schema.names, "_t"])
+
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+        own = stored(spark, own, "drops").withColumnRenamed("t", "_t")
+        source = docs.mapInArrow(key, f"{fields}, _t long").join(own, "_t", "left").select(*docs.columns, "_lines")
+
+    def slices(batches):
         for batch in batches:
             for part, data, offs in text_slices(batch):
-                whole = data.tobytes()
-                keys = np.array([_text_key(whole, a, b) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys)], [*part.schema.names, "_t"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    keyed = docs.mapInArrow(run, f"{fields}, _t long")
-    return keyed.join(found.selectExpr("t _t", "lines _lines"), "_t", "left").drop("_t")
-
-
-def deduped(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs with recurring lines gone from text, and n_chars (where it is a column) counted again."""
-    joined = _joined(spark, docs, min_docs)
+                f = line_hashes(data, offs)
+                h = f["hash"].view(np.int64)
+                gone = [set() for _ in range(len(offs) - 1)]
+                if shared is not None:
+                    known, keeper = shared.value
+                    if len(known) and len(h):
+                        keys = _text_keys(data, offs)
+                        at = np.searchsorted(known, h)
+                        at[at == len(known)] = 0
+                        hit = np.flatnonzero((known[at] == h) & (keeper[at] != keys[f["row"]]))
+                        for r, n in zip(f["row"][hit].tolist(), f["number"][hit].tolist(), strict=True):
+                            gone[r].add(n)
+                else:
+                    mine = [set(x.as_py() or ()) for x in part.column(part.schema.get_field_index("_lines"))]
+                    for r, n, x in zip(f["row"].tolist(), f["number"].tolist(), h.tolist(), strict=True):
+                        if x in mine[r]:
+                            gone[r].add(n)
+                yield part, data, offs, gone
+
+    return source, slices
+
+
+def _without(raw: bytes, gone: set[int]) -> bytes:
+    return b"\n".join([x for k, x in enumerate(raw.split(b"\n")) if k not in gone]) if gone else raw
+
+
+def deduped(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOCS, shared_lines: int = SHARED_LINES) -> DataFrame:
+    """docs with recurring lines gone from text, and n_chars (where it is a column) counted again for those texts."""
+    source, slices = _cleaned(spark, docs, min_docs, shared_lines)
     names = docs.columns
     at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches):
-        for batch in batches:
-            text = [
-                t.as_py() if n.as_py() is None else _without(t.as_py().encode(), set(n.as_py()))[0].decode()
-                for t, n in zip(batch.column("text"), batch.column("_lines"), strict=True)
-            ]
-            columns = batch.columns[: len(names)]
-            columns[at] = pa.array(text, pa.string())
+        for part, data, offs, gone in slices(batches):
+            whole = data.tobytes()
+            text = [t if not g else _without(whole[a:b], g).decode() for t, a, b, g in zip(part.column(at).to_pylist(), offs[:-1].tolist(), offs[1:].tolist(), gone, strict=True)]
+            columns = list(part.columns[: len(names)])
+            columns[at] = pa.array(text, columns[at].type)
             if chars is not None:
-                changed = batch.column("_lines").is_valid().to_pylist()
-                columns[chars] = pa.array([len(t) if new else n for n, new, t in zip(columns[chars].to_pylist(), changed, text, strict=True)], columns[chars].type)
+                columns[chars] = pa.array([len(t) if g else n for n, g, t in zip(columns[chars].to_pylist(), gone, text, strict=True)], columns[chars].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return joined.select(*names, "_lines").mapInArrow(run, docs.schema)
+    return source.mapInArrow(run, docs.schema)
 
 
-def digests(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def digests(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOCS, shared_lines: int = SHARED_LINES) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_sha256) of each row's whole text."""
-    joined = _joined(spark, docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), min_docs)
+    docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    source, slices = _cleaned(spark, docs, min_docs, shared_lines)
 
     def run(batches):
-        for batch in batches:
-            rows = []
-            for t, n in zip(batch.column("text"), batch.column("_lines"), strict=True):
-                raw = (t.as_py() or "").encode()
-                kept, count, gone = _without(raw, set(n.as_py())) if n.is_valid else (raw, raw.count(b"\n") + 1, 0)
-                rows.append((count if t.is_valid else 0, gone, sha256(kept).hexdigest()))
+        for part, data, offs, gone in slices(batches):
+            whole, rows = data.tobytes(), []
+            for there, a, b, g in zip(part.column(1).is_valid().to_pylist(), offs[:-1].tolist(), offs[1:].tolist(), gone, strict=True):
+                raw = whole[a:b]
+                rows.append((raw.count(b"\n") + 1 if there else 0, len(g), sha256(_without(raw, g)).hexdigest()))
             columns = list(zip(*rows, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
-    return joined.select("doc_id", "text", "_lines").mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return source.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
