@@ -118,7 +118,8 @@ def expand_offsets(days: DataFrame, r: CoverageRules | None = None) -> DataFrame
     """The stamps (file_id, charger_id, event_time) of file_days(): a late file needs no rereading of others."""
     r = r or CoverageRules()
     start = F.unix_seconds(F.to_utc_timestamp(F.col("business_date").cast("timestamp"), r.zone))
-    return days.select("file_id", "charger_id", F.timestamp_seconds(start + F.explode("offsets")).alias("event_time"))
+    each = days.select("file_id", "charger_id", start.alias("_start"), F.explode("offsets").alias("_offset"))
+    return each.select("file_id", "charger_id", F.timestamp_seconds(F.col("_start") + F.col("_offset")).alias("event_time"))
 
 
 def primary_file(days: DataFrame) -> DataFrame:
