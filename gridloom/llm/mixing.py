@@ -23,23 +23,19 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import stored
 
 WEIGHTS, CAP, BINS, SEED = (5, 2, 1), 3, 1 << 14, "mix-1"
-MADE = ("size", "source_size", "target", "taken", "quality", "key", "bin")
+MADE = ("size", "source_size", "target", "taken")
 
 
-def _sized(docs: DataFrame, seed: str) -> DataFrame:
-    """docs with size, source key s (null-safe), and key: the exponential key's distribution function, in (0, 1)."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+def _sized(docs: DataFrame, seed: str, keep: bool = True) -> DataFrame:
+    """doc_id, source, size and key of each row, bin (the key's distribution function, cut to BINS), and its columns as `row`."""
     odd = "0123456789#*$%&|<>!=_{}[]^~@/+\\\\"
     share = f"length(translate(t, '{odd}', '')) / greatest(length(t), 1)"
     u = f"(cast(conv(substr(md5(concat('{seed}', ':', coalesce(cast(doc_id as string), ''), ':', md5(t))), 1, 12), 16, 10) as double) + 0.5D) / 281474976710656D"
-    return (
-        docs.withColumn("t", text)
-        .withColumn("size", F.expr("cast(size(array_remove(split(t, '[\\\\x20\\\\x09-\\\\x0D]+'), '')) as long)"))
-        .withColumn("quality", F.expr(f"greatest(0.05D, {share} * {share})"))
-        .withColumn("key", F.expr(f"-ln({u}) / quality"))
-        .withColumn("bin", F.expr(f"cast({BINS} * (1 - exp(-key)) as int)"))
-        .drop("t")
-    )
+    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] * keep
+    rows = docs.select(*row, F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+    rows = rows.withColumn("size", F.expr("cast(size(array_remove(split(t, '[\\\\x20\\\\x09-\\\\x0D]+'), '')) as long)"))
+    rows = rows.withColumn("quality", F.expr(f"greatest(0.05D, {share} * {share})")).withColumn("key", F.expr(f"-ln({u}) / quality"))
+    return rows.withColumn("bin", F.expr(f"cast({BINS} * (1 - exp(-key)) as int)")).drop("t", "quality")
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -61,19 +57,19 @@ def targets(sizes: DataFrame) -> DataFrame:
 def mixed(spark: SparkSession, docs: DataFrame, seed: str = SEED) -> DataFrame:
     """docs with size, source_size, target (both of the source) and taken (words, repeats counted).
 
-    Sizes and keys are worked out once, into a table; columns of docs with these names give way.
+    Sizes and keys are worked out once, into a table; columns of docs with the new names give way.
     """
-    docs = docs.drop(*MADE)
-    return _allotted(stored(spark, _sized(docs, seed), "sized"), docs.columns)
+    found = _allotted(stored(spark, _sized(docs, seed), "sized"))
+    return found.select(*(F.col(f"row.`{c}`") for c in docs.columns if c not in MADE), *MADE)
 
 
 def shares(spark: SparkSession, docs: DataFrame, seed: str = SEED) -> DataFrame:
     """What mixed() gives, without the texts: (doc_id, source, size, source_size, target, taken)."""
-    rows = _sized(docs.select("doc_id", "source", "text"), seed).drop("text")
-    return _allotted(stored(spark, rows, "sized"), ["doc_id", "source"])
+    return _allotted(stored(spark, _sized(docs, seed, keep=False), "sized")).select("doc_id", "source", *MADE)
 
 
-def _allotted(rows: DataFrame, keys: list[str]) -> DataFrame:
+def _allotted(rows: DataFrame) -> DataFrame:
+    """rows with source_size, target and taken."""
     light = rows.select("source", "size", "bin")
     bins = light.groupBy("source", "bin").agg(F.sum("size").alias("size"))
     goal = targets(bins.groupBy("source").agg(F.sum("size").alias("source_size")))
@@ -92,12 +88,13 @@ def _allotted(rows: DataFrame, keys: list[str]) -> DataFrame:
     inner = inner.withColumn("before", F.col("below") + F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inner = inner.withColumn("extra", F.expr("CASE WHEN before < rest AND 2 * (rest - before) >= size THEN 1 ELSE 0 END")).drop("before")
     outer = rows.where("edge is null or bin <> edge").withColumn("extra", F.expr("CASE WHEN bin < edge THEN 1 ELSE 0 END"))
-    taken = F.expr("size * (epochs + extra)").cast("long").alias("taken")
-    return inner.unionByName(outer).select(*keys, "size", "source_size", "target", taken)
+    taken = F.expr("size * (epochs + extra)").cast("long")
+    return inner.unionByName(outer).withColumn("taken", taken)
 
 
 def drawn(spark: SparkSession, docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mix as rows: each document of docs as often as it is taken, with its columns; those not taken go, and with them texts without words."""
-    found = mixed(spark, docs, seed)
+    found = _allotted(stored(spark, _sized(docs, seed), "sized"))
     times = F.expr("cast(taken div size as int)")
-    return found.where("taken > 0").select(*docs.columns, F.explode(F.array_repeat(F.lit(1), times)).alias("_copy")).drop("_copy")
+    each = found.where("taken > 0").select("row", F.explode(F.array_repeat(F.lit(1), times)))
+    return each.select(*(F.col(f"row.`{c}`") for c in docs.columns))
