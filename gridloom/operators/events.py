@@ -201,6 +201,8 @@ def reconstruct(rows: DataFrame, alarms: list[str], faults: list[str], gaps: Dat
 
     def long(fields: list[str]) -> DataFrame:
         some = [f for f in fields if f in rows.columns]
+        if not some:
+            return rows.where("false").select("charger_id", "event_time", "frame_sequence", F.lit("").alias("code"), F.lit("").alias("raw"), F.lit(False).alias("active"))
         wide = rows.select("charger_id", "event_time", "frame_sequence", *(F.col(f).cast("string").alias(f) for f in some))
         return wide.unpivot(["charger_id", "event_time", "frame_sequence"], some, "code", "raw").withColumn("active", alarm_active(F.col("raw")))
 
