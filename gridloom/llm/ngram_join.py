@@ -216,13 +216,13 @@ def _set_pass(words: int, seed: int, flags):
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) of set ids, those at the similarity or above."""
+    """Of pairs (a, b) of set ids, those at the similarity or above; no aggregation follows, so hot joins may be split."""
     one, two = sets.selectExpr("sid a", "shingles x"), sets.selectExpr("sid b", "shingles y")
     n = F.size(F.array_intersect("x", "y"))
     return (
         pairs.join(one, "a").join(two, "b")
         .where(F.least(F.size("x"), F.size("y")) * 100 >= percent * F.greatest(F.size("x"), F.size("y")))
-        .where(n * 100 >= percent * (F.size("x") + F.size("y") - n)).select("a", "b").distinct()
+        .where(n * 100 >= percent * (F.size("x") + F.size("y") - n)).select("a", "b")
     )
 
 
