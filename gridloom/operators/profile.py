@@ -88,8 +88,8 @@ def frame_size_histogram(df: DataFrame, key: str) -> DataFrame:
 def modal_frame_size(df: DataFrame, key: str) -> DataFrame:
     """(modal_size, larger_keys): the most common number of rows a key (ties: the smaller) and the keys above it."""
     histogram = frame_size_histogram(df, key)
-    modal = histogram.agg(F.expr("max_by(rows_per_key, struct(keys, -rows_per_key))").alias("modal_size"))
-    return histogram.join(F.broadcast(modal), F.lit(True)).groupBy("modal_size").agg(F.coalesce(F.sum(F.when(F.col("rows_per_key") > F.col("modal_size"), F.col("keys"))), F.lit(0)).alias("larger_keys"))
+    modal = histogram.agg(F.expr("max_by(rows_per_key, struct(keys, -rows_per_key))")).scalar()
+    return histogram.withColumn("modal_size", modal).groupBy("modal_size").agg(F.coalesce(F.sum(F.when(F.col("rows_per_key") > F.col("modal_size"), F.col("keys"))), F.lit(0)).alias("larger_keys"))
 
 
 def dominant(df: DataFrame, by: list[str], column: str) -> DataFrame:

@@ -79,8 +79,8 @@ def _average_ranks(rows: DataFrame, c: str) -> DataFrame:
     from pyspark.sql import Window
 
     counts = rows.groupBy(c).agg(F.count("*").alias("n"))
-    bounds = rows.agg(F.min(c).alias("lo"), F.max(c).alias("hi"))
-    binned = counts.join(F.broadcast(bounds), F.lit(True)).withColumn("bin", F.coalesce(F.floor(F.try_divide((F.col(c) - F.col("lo")) * 4095, F.col("hi") - F.col("lo"))), F.lit(0)))
+    lo, hi = rows.agg(F.min(c)).scalar(), rows.agg(F.max(c)).scalar()
+    binned = counts.withColumn("bin", F.coalesce(F.floor(F.try_divide((F.col(c) - lo) * 4095, hi - lo)), F.lit(0)))
     base = binned.groupBy("bin").agg(F.sum("n").alias("m")).withColumn("base", F.coalesce(F.sum("m").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("bin").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return binned.join(base.select("bin", "base"), "bin").select(c, (F.col("base") + before + (F.col("n") + 1) / 2).alias(f"rank_{c}"))
