@@ -189,6 +189,13 @@ def sessions(rows: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
     )
 
 
+def with_session_fields(connectors: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Connector observations with the session record of the same charger, connector, stamp and sequence, where there is one."""
+    keys = ["charger_id", "connector_id", "event_time", "frame_sequence"]
+    own = [c for c in sessions.columns if c not in keys and c not in connectors.columns]
+    return connectors.join(sessions.select(*keys, *own), keys, "left")
+
+
 def timeline(limit: int, **events: DataFrame) -> DataFrame:
     """The first rows by time of several kinds of events: (event_time, kind, title, details); ties in the order given."""
     parts = [df.select(F.col("event_time"), F.lit(k).alias("kind"), F.lit(i).alias("_r"), F.col("title").cast("string").alias("title")).orderBy("event_time", "title").limit(limit) for i, (k, df) in enumerate(events.items())]

@@ -139,3 +139,16 @@ def first_seen_duplicates(rows: DataFrame, by: Column | str, fp: str) -> DataFra
     """(by, repeated_rows): rows whose fingerprint an earlier row of the group has."""
     counts = rows.groupBy(by, fp).agg(F.count("*").alias("_n"))
     return counts.groupBy(by).agg(F.sum(F.col("_n") - 1).alias("repeated_rows"))
+
+
+def resolve_topology(chargers: DataFrame, rows: DataFrame, default: tuple[int, int] | None = None) -> DataFrame:
+    """(charger_id, expected, source): positions from a charger's own counts, else the default's, else those that are stable
+    in its rows, else none (UNRESOLVED). chargers: charger_id, expected_connector_count, expected_smr_count."""
+    grid = lambda c, s: F.array_sort(F.flatten(F.transform(F.sequence(F.lit(1), c), lambda i: F.transform(F.sequence(F.lit(1), s), lambda j: F.concat(F.lit("C"), i.cast("string"), F.lit("/S"), j.cast("string"))))))
+    c, s = F.col("expected_connector_count"), F.col("expected_smr_count")
+    own = F.when((c > 0) & (s > 0), grid(F.greatest(c, F.lit(1)), F.greatest(s, F.lit(1))))
+    usual = grid(F.lit(default[0]), F.lit(default[1])) if default else F.lit(None).cast("array<string>")
+    seen = observed_topology(rows).withColumnRenamed("expected", "_seen")
+    both = chargers.withColumn("_own", own).withColumn("_usual", usual).join(seen, "charger_id", "left")
+    source = cases([(F.col("_own").isNotNull(), "CHARGER"), (F.col("_usual").isNotNull(), "DEFAULT"), (F.col("_seen").isNotNull(), "OBSERVED")], "UNRESOLVED")
+    return both.select("charger_id", F.coalesce("_own", "_usual", "_seen").alias("expected"), source.alias("source"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.scalars import cases, issue_hash
@@ -169,3 +169,16 @@ def schema_breakdown(fields: DataFrame, *columns: str) -> DataFrame:
     name = cases([(F.col(f"_{c}") == 0, c) for c in columns])
     value = cases([(F.col(f"_{c}") == 0, F.col(c).cast("string")) for c in columns])
     return sets.select(name.alias("dimension"), value.alias("value"), "n")
+
+
+def schema_versions(known: DataFrame, headers: DataFrame) -> DataFrame:
+    """(fingerprint, version, first_file, is_new): headers (file_id, fingerprint, received_at) against known (fingerprint, version).
+
+    New fingerprints are numbered on from the last version in the order in which they came.
+    """
+    first = headers.groupBy("fingerprint").agg(F.min(F.struct("received_at", "file_id")).alias("_f"))
+    both = first.join(known, "fingerprint", "left")
+    top = F.coalesce(known.agg(F.max("version")).scalar(), F.lit(0))
+    order = Window.partitionBy(F.col("version").isNull()).orderBy("_f")
+    number = F.when(F.col("version").isNull(), top + F.row_number().over(order)).otherwise(F.col("version"))
+    return both.select("fingerprint", number.cast("int").alias("version"), F.col("_f.file_id").alias("first_file"), F.col("version").isNull().alias("is_new"))

@@ -94,3 +94,19 @@ def active_alarms(rows: DataFrame, fields: list[str], frame: str = "frame_id") -
     """(frame, active_alarms): names of the alarm columns that are active."""
     names = F.array_compact(F.array(*(F.when(F.lower(F.trim(F.col(f).cast("string"))).isin(list(ACTIVE_WORDS)), F.lit(f)) for f in fields)))
     return rows.select(frame, F.array_sort(names).alias("active_alarms"))
+
+
+def aggregate_by_dictionary(rows: DataFrame, strategies: dict[str, str], by: list[str], time: str = "event_time", seq: str = "frame_sequence") -> DataFrame:
+    """One row a group: each field by the strategy that the dictionary gives it."""
+    at = F.struct(time, seq)
+
+    def one(name: str, how: str) -> Column:
+        c = F.col(name)
+        v = c.cast("double")
+        there = F.when(c.isNotNull(), at)
+        return {
+            "FIRST": lambda: F.min_by(c, there), "LAST": lambda: F.max_by(c, there), "MIN": lambda: F.min(c), "MAX": lambda: F.max(c), "MEAN": lambda: F.avg(v), "MEDIAN": lambda: F.median(v),
+            "SUM": lambda: F.sum(v), "MODE": lambda: F.mode(c, True), "ANY_TRUE": lambda: F.bool_or(c.cast("boolean")), "COUNT_DISTINCT": lambda: F.count_distinct(c),
+        }[how]().alias(name)
+
+    return rows.groupBy(*by).agg(*(one(n, how) for n, how in strategies.items() if how != "NONE"))

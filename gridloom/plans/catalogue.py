@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import scalars as S
 from gridloom.operators import coverage, events, fleet, frames, history, profile, quality, research, silver
+from gridloom.plans import api
+from gridloom.sources import store
 
 RULES = coverage.CoverageRules(interval_seconds=21_600, zone="UTC")
 HOURS = coverage.CoverageRules(interval_seconds=3600, gap_factor=2.0, zone="Asia/Kolkata")
@@ -733,3 +735,142 @@ def illegal_moves(spark, d):
 def canonical_names(spark, d):
     names = spark.createDataFrame([(n,) for n in ("Charger ID", "SMRTemp", "L1-N Voltage", "1st Alarm", " eventTime ")], "name string")
     return names.withColumn("canonical", S.canonical_name(F.col("name")))
+
+
+# files, stores, topology
+
+
+@query("primary_file", f"""
+WITH {_T}, d AS (SELECT charger_id, CAST(event_time AS DATE) AS business_date, file_id, count(DISTINCT CAST(floor(epoch_us(event_time) / 1e6) AS BIGINT)) n FROM t GROUP BY ALL)
+SELECT charger_id, business_date, arg_max(file_id, n * 10 - file_id) primary_file, count(*) files FROM d GROUP BY ALL""")
+def primary_file(spark, d):
+    days = coverage.file_days(telemetry(spark, d), RULES).withColumn("received_at", F.timestamp_seconds("file_id"))
+    return coverage.primary_file(days)
+
+
+@query("offsets_round_trip", f"WITH {_T} SELECT file_id, charger_id, count(DISTINCT CAST(floor(epoch_us(event_time) / 1e6) AS BIGINT)) stamps, CAST(min(floor(epoch_us(event_time) / 1e6)) AS BIGINT) first_second FROM t GROUP BY ALL")
+def offsets_round_trip(spark, d):
+    stamps = coverage.expand_offsets(coverage.file_days(telemetry(spark, d), HOURS), HOURS)
+    return stamps.groupBy("file_id", "charger_id").agg(F.count("*").alias("stamps"), F.min(F.unix_seconds("event_time")).alias("first_second"))
+
+
+@query("overlapping_files", """
+WITH m AS (SELECT DISTINCT o_custkey charger_id, CAST(o_orderdate AS DATE) AS day, o_orderdate AS at, o_orderpriority f FROM orders), s AS (SELECT charger_id, day, at, count(DISTINCT f) files FROM m GROUP BY ALL)
+SELECT charger_id, day business_date, count(*) unique_timestamps, count(*) FILTER (files > 1) overlap_timestamps FROM s GROUP BY ALL""")
+def overlapping_files(spark, d):
+    o = read(spark, d, "orders").select(F.col("o_custkey").alias("charger_id"), F.col("o_orderdate").cast("timestamp").alias("event_time"), F.col("o_orderpriority").alias("file_id"))
+    return coverage.day_coverage(o, RULES).select("charger_id", "business_date", "unique_timestamps", "overlap_timestamps")
+
+
+@query("expected_fleet", "SELECT c_custkey charger_id FROM customer WHERE c_acctbal > 0 AND c_mktsegment NOT IN ('BUILDING') AND (c_nationkey < 5 OR DATE '2020-01-01' + c_nationkey <= DATE '2020-01-15')")
+def expected_fleet(spark, d):
+    start = F.when(F.col("c_nationkey") >= 5, F.date_add(F.lit("2020-01-01").cast("date"), F.col("c_nationkey")))
+    registry = read(spark, d, "customer").select(F.col("c_custkey").alias("charger_id"), (F.col("c_acctbal") > 0).alias("telemetry_expected"), F.when(F.col("c_mktsegment") == "BUILDING", "TEST").otherwise("ACTIVE").alias("lifecycle_status"), start.alias("telemetry_start_date"), F.lit(None).cast("date").alias("telemetry_end_date"))
+    return fleet.expected_fleet(registry, F.lit("2020-01-15").cast("date")).select("charger_id")
+
+
+@query("registered_files", """
+WITH f AS (SELECT md5(coalesce(text, '')) sha, CAST(doc_id AS VARCHAR) name, doc_id FROM documents), k AS (SELECT sha, name FROM f WHERE doc_id % 5 = 0), w AS (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY doc_id, name) n, first_value(name) OVER (PARTITION BY sha ORDER BY doc_id, name) f1 FROM f)
+SELECT w.name, CASE WHEN EXISTS (SELECT 1 FROM k WHERE k.sha = w.sha AND k.name = w.name) THEN 'SKIPPED' WHEN EXISTS (SELECT 1 FROM k WHERE k.sha = w.sha) OR n > 1 THEN 'DUPLICATE' ELSE 'REGISTERED' END outcome FROM w""")
+def registered_files(spark, d):
+    f = read(spark, d, "documents").select(F.md5(F.coalesce("text", F.lit(""))).alias("sha256"), F.col("doc_id").cast("string").alias("name"), F.timestamp_seconds("doc_id").alias("received_at"))
+    return store.registered(f, f.where(F.col("name").cast("long") % 5 == 0).select("sha256", "name")).select("name", "outcome")
+
+
+@query("shared_provenance", "SELECT l_orderkey frame_id, l_suppkey % 4 file_id, count(*) n FROM lineitem WHERE l_suppkey % 4 = 0 AND l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey % 4 <> 0) GROUP BY ALL")
+def shared_provenance(spark, d):
+    owned = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("frame_id"), (F.col("l_suppkey") % 4).alias("file_id"))
+    gone = owned.where("file_id = 0").select("file_id").distinct()
+    return store.unshared(owned, gone).groupBy("frame_id", "file_id").agg(F.count("*").alias("n"))
+
+
+@query("upserted_rows", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 0.0 ELSE s_acctbal END s_acctbal FROM supplier")
+def upserted_rows(spark, d):
+    old = read(spark, d, "supplier").select("s_suppkey", "s_acctbal")
+    return store.upserted(old, old.where("s_suppkey % 3 = 0").withColumn("s_acctbal", F.lit(0.0)), "s_suppkey")
+
+
+@query("batch_outcomes", """
+WITH b AS (SELECT o_custkey batch_id, CASE o_orderstatus WHEN 'F' THEN 'REGISTERED' WHEN 'O' THEN 'DUPLICATE_IN_BATCH' ELSE 'REJECTED_SIZE' END outcome, CASE WHEN o_totalprice > 200000 THEN 'COMPLETED' WHEN o_totalprice > 100000 THEN 'FAILED' ELSE 'PENDING' END st FROM orders),
+a AS (SELECT batch_id, count(*) files, count(*) FILTER (outcome = 'REJECTED_SIZE') rejected, count(*) FILTER (outcome = 'DUPLICATE_IN_BATCH') duplicates, count(*) FILTER (outcome = 'REGISTERED' AND st = 'COMPLETED') completed, count(*) FILTER (outcome = 'REGISTERED' AND st = 'FAILED') failed FROM b GROUP BY 1),
+p AS (SELECT *, files - rejected - duplicates - completed - failed pending FROM a)
+SELECT *, CASE WHEN pending > 0 THEN 'PROCESSING' WHEN failed + rejected = 0 THEN 'COMPLETED' WHEN completed + duplicates = 0 THEN 'FAILED' ELSE 'COMPLETED_WITH_ERRORS' END status FROM p""")
+def batch_outcomes(spark, d):
+    o = read(spark, d, "orders")
+    outcome = F.when(F.col("o_orderstatus") == "F", "REGISTERED").when(F.col("o_orderstatus") == "O", "DUPLICATE_IN_BATCH").otherwise("REJECTED_SIZE")
+    state = F.when(F.col("o_totalprice") > 200_000, "COMPLETED").when(F.col("o_totalprice") > 100_000, "FAILED").otherwise("PENDING")
+    return api.batch_outcomes(api.Tables(spark, {"batches": o.select(F.col("o_custkey").alias("batch_id"), outcome.alias("outcome"), state.alias("state"))}))
+
+
+@query("observed_topology", """
+WITH g AS (SELECT l_suppkey charger_id, l_returnflag p, count(DISTINCT l_orderkey) n FROM lineitem GROUP BY ALL), s AS (SELECT l_suppkey charger_id, count(DISTINCT l_orderkey) m FROM lineitem GROUP BY 1)
+SELECT charger_id, string_agg(p, ',' ORDER BY p) expected FROM g JOIN s USING (charger_id) WHERE n >= greatest(1, floor(0.3 * m)) GROUP BY 1""")
+def observed_topology(spark, d):
+    rows = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("charger_id"), F.col("l_returnflag").alias("position"), F.col("l_orderkey").alias("event_time"))
+    return frames.observed_topology(rows, 0.3).select("charger_id", F.array_join("expected", ",").alias("expected"))
+
+
+@query("resolved_topology", """
+SELECT c_custkey charger_id, CASE WHEN c_nationkey % 3 = 1 THEN 'C1/S1,C1/S2' ELSE 'C1/S1,C2/S1' END expected, CASE WHEN c_nationkey % 3 = 1 THEN 'CHARGER' ELSE 'DEFAULT' END source FROM customer""")
+def resolved_topology(spark, d):
+    chargers = read(spark, d, "customer").select(F.col("c_custkey").alias("charger_id"), F.when(F.col("c_nationkey") % 3 == 1, 1).alias("expected_connector_count"), F.when(F.col("c_nationkey") % 3 == 1, 2).alias("expected_smr_count"))
+    rows = chargers.select("charger_id", F.lit("C9/S9").alias("position"), F.lit(0).alias("event_time"))
+    return frames.resolve_topology(chargers, rows, (2, 1)).select("charger_id", F.array_join("expected", ",").alias("expected"), "source")
+
+
+@query("frame_summary", f"""
+WITH {_FRAMES}, c AS (SELECT *, CASE WHEN seq = 0 THEN 'UNIQUE' WHEN firstseq < seq THEN 'FULL' WHEN NOT shared THEN 'AMB' WHEN differs THEN 'DISTINCT' ELSE 'PART' END cls FROM w), s AS (SELECT charger_id, count(*) n, count(*) FILTER (cls IN ('UNIQUE', 'DISTINCT')) c, count(*) FILTER (n = 2) complete, count(*) FILTER (cls = 'FULL') fr FROM c GROUP BY 1)
+SELECT count(*) timestamps, CAST(sum(n) AS BIGINT) frames, count(*) FILTER (c > 1) collision_timestamps, CAST(sum(complete) AS BIGINT) complete, CAST(sum(fr) AS BIGINT) full_replays FROM s""")
+def frame_summary(spark, d):
+    return frames.summary(_frames(spark, d)).select("timestamps", "frames", "collision_timestamps", "complete", "full_replays")
+
+
+@query("frame_collisions", f"""
+WITH {_FRAMES} SELECT charger_id, count(*) frames FROM w WHERE seq = 0 OR (coalesce(firstseq, seq) >= seq AND shared AND differs) GROUP BY 1 HAVING count(*) > 1""")
+def frame_collisions(spark, d):
+    return frames.collisions(_frames(spark, d)).select("charger_id", "frames")
+
+
+@query("session_fields", f"""
+WITH {_T} SELECT a.charger_id, a.frame_sequence, b.value soc FROM t a LEFT JOIN t b ON a.charger_id = b.charger_id AND a.event_time = b.event_time AND a.frame_sequence = b.frame_sequence AND b.state = 'purchase'""")
+def session_fields(spark, d):
+    rows = telemetry(spark, d).withColumn("connector_id", F.lit(1))
+    own = rows.where("state = 'purchase'").select("charger_id", "connector_id", "event_time", "frame_sequence", F.col("value").alias("soc"))
+    return events.with_session_fields(rows, own).select("charger_id", "frame_sequence", "soc")
+
+
+@query("dictionary_aggregates", f"""
+WITH {_T} SELECT charger_id, arg_max(state, event_time) state, round(avg(value), 4) "value", count(DISTINCT k) k FROM t GROUP BY 1""")
+def dictionary_aggregates(spark, d):
+    found = silver.aggregate_by_dictionary(telemetry(spark, d), {"state": "LAST", "value": "MEAN", "k": "COUNT_DISTINCT"}, ["charger_id"])
+    return found.withColumn("value", F.round("value", 4))
+
+
+@query("schema_versions", """
+WITH f AS (SELECT p_brand fp, min(p_partkey) a FROM part GROUP BY 1), k AS (SELECT fp, CAST(row_number() OVER (ORDER BY fp) AS INT) v FROM f WHERE fp <= 'Brand#2')
+SELECT f.fp fingerprint, CAST(CASE WHEN k.v IS NOT NULL THEN k.v ELSE coalesce((SELECT max(v) FROM k), 0) + row_number() OVER (PARTITION BY k.v IS NULL ORDER BY f.a) END AS INT) "version", f.a first_file, k.v IS NULL is_new FROM f LEFT JOIN k USING (fp)""")
+def schema_versions(spark, d):
+    from pyspark.sql import Window
+
+    p = read(spark, d, "part").select(F.col("p_brand").alias("fingerprint"), F.col("p_partkey").alias("file_id"), F.col("p_partkey").alias("received_at"))
+    known = p.where("fingerprint <= 'Brand#2'").select("fingerprint").distinct().withColumn("version", F.row_number().over(Window.orderBy("fingerprint")))
+    return quality.schema_versions(known, p)
+
+
+@query("finding_counts", "SELECT s severity, count(o_orderkey) n FROM (VALUES ('INFO'), ('WARNING'), ('ERROR'), ('CRITICAL')) v(s) LEFT JOIN orders ON CASE o_orderstatus WHEN 'F' THEN 'INFO' WHEN 'O' THEN 'ERROR' ELSE 'WARNING' END = s GROUP BY 1")
+def finding_counts(spark, d):
+    f = read(spark, d, "orders").withColumn("severity", F.when(F.col("o_orderstatus") == "F", "INFO").when(F.col("o_orderstatus") == "O", "ERROR").otherwise("WARNING"))
+    return api.finding_counts(api.Tables(spark, {"findings": f}))
+
+
+@query("top_patterns", """
+SELECT user_id charger_id, event_type category, max(value) confidence FROM events GROUP BY ALL HAVING max(value) >= 100 ORDER BY confidence DESC, charger_id, category LIMIT 200""")
+def top_patterns(spark, d):
+    p = telemetry(spark, d).groupBy("charger_id", F.col("state").alias("category")).agg(F.max("value").alias("confidence"))
+    return research.top_patterns(p, 100.0)
+
+
+@query("pattern_breakdown", "SELECT event_type category, CASE WHEN value > 200 THEN 'WEAK' ELSE 'OBSERVATION' END AS level, count(*) n FROM events GROUP BY ALL")
+def pattern_breakdown(spark, d):
+    p = telemetry(spark, d).select(F.col("state").alias("category"), F.when(F.col("value") > 200, "WEAK").otherwise("OBSERVATION").alias("level"))
+    return api.pattern_breakdown(api.Tables(spark, {"patterns": p}))

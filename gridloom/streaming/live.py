@@ -17,6 +17,14 @@ def observations(spark: SparkSession, folder: str, schema: str, files_per_trigge
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
+def arriving_files(spark: SparkSession, folder: str, archive: str | None = None, pattern: str = "*.csv") -> DataFrame:
+    """A stream of new files with their bytes; with `archive` a file moves there once its batch is done, else it stays."""
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern)
+    if archive:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    return reader.load(folder)
+
+
 def stamp_counts(events: DataFrame, window: str = "1 hour", late: str = LATE) -> DataFrame:
     """Distinct stamps of each charger and window, settled once the watermark has passed."""
     once = events.withWatermark("event_time", late).dropDuplicatesWithinWatermark(["charger_id", "event_time"])
