@@ -755,7 +755,7 @@ def offsets_round_trip(spark, d):
 
 
 @query("overlapping_files", """
-WITH m AS (SELECT DISTINCT o_custkey charger_id, CAST(o_orderdate AS DATE) AS day, o_orderdate AS at, o_orderpriority f FROM orders), s AS (SELECT charger_id, day, at, count(DISTINCT f) files FROM m GROUP BY ALL)
+WITH m AS (SELECT DISTINCT o_custkey charger_id, CAST(o_orderdate AS DATE) AS day, o_orderdate AS tm, o_orderpriority f FROM orders), s AS (SELECT charger_id, day, tm, count(DISTINCT f) files FROM m GROUP BY ALL)
 SELECT charger_id, day business_date, count(*) unique_timestamps, count(*) FILTER (files > 1) overlap_timestamps FROM s GROUP BY ALL""")
 def overlapping_files(spark, d):
     o = read(spark, d, "orders").select(F.col("o_custkey").alias("charger_id"), F.col("o_orderdate").cast("timestamp").alias("event_time"), F.col("o_orderpriority").alias("file_id"))
