@@ -531,12 +531,20 @@ def gap_overlap_flags(spark, d):
     return _plain(found.select("charger_id", "start_time", "end_time", "has_gap"))
 
 
-@query("sessions")
+@query("sessions", f"""
+WITH {_T}, c AS (SELECT *, count(*) FILTER (state = 'click') OVER (PARTITION BY charger_id ORDER BY event_time, frame_sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) part FROM t),
+o AS (SELECT charger_id, part, min(event_time) s FROM c WHERE state IN ('signup', 'purchase', 'view') GROUP BY ALL),
+x AS (SELECT c.*, o.s FROM c JOIN o ON c.charger_id = o.charger_id AND c.part = o.part AND c.event_time >= o.s),
+g AS (SELECT charger_id, part, any_value(s) start_time, max(event_time) end_time, min(event_time) FILTER (state = 'purchase') charging_start_time, max(event_time) FILTER (state = 'purchase') charging_end_time, count(*) observations,
+  arg_min(value, event_time) m0, arg_max(value, event_time) m1, arg_max(state, event_time) st FROM x GROUP BY ALL)
+SELECT CAST(charger_id AS VARCHAR) charger_id, start_time, charging_start_time, charging_end_time, end_time, round((epoch_us(end_time) - epoch_us(start_time)) / 1e6, 6) duration_seconds, CASE WHEN m1 >= m0 THEN round(m1 - m0, 6) END energy_delivered_kwh, observations,
+  CASE st WHEN 'click' THEN 'NORMAL' WHEN 'error' THEN 'FAULT_STOPPED' ELSE 'UNKNOWN' END termination_class, 'LOW' confidence FROM g""")
 def sessions(spark, d):
     names = {"signup": "preparing", "purchase": "charging", "error": "faulted", "view": "finishing", "click": "available"}
     pairs = F.create_map(*(F.lit(x) for p in names.items() for x in p))
     rows = telemetry(spark, d).withColumn("connector_status", pairs[F.col("state")]).withColumn("connector_id", F.lit("1")).withColumn("session_id", F.lit(None).cast("string")).withColumn("meter_energy", F.col("value"))
-    return events.sessions(rows).drop("quality_flags")
+    found = events.sessions(rows).withColumns({"duration_seconds": F.round("duration_seconds", 6), "energy_delivered_kwh": F.round("energy_delivered_kwh", 6)})
+    return _plain(found.select("charger_id", "start_time", "charging_start_time", "charging_end_time", "end_time", "duration_seconds", "energy_delivered_kwh", "observations", "termination_class", "confidence"))
 
 
 @query("session_states", """
@@ -606,10 +614,15 @@ def telemetry_with_events(spark, d):
     return _plain(found.select("charger_id", "event_time", "frame_sequence", "session_id", (F.size("active_alarms") > 0).alias("in_alarm")))
 
 
-@query("alarm_clusters")
+@query("alarm_clusters", """
+WITH RECURSIVE a AS (SELECT user_id charger_id, ts t, event_type code, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type) i FROM events WHERE event_type IN ('error', 'view')),
+n AS (SELECT a.charger_id, a.i, a.t, count(*) n, max(b.t) e, count(DISTINCT b.code) c FROM a JOIN a b ON a.charger_id = b.charger_id AND b.i >= a.i AND epoch_us(b.t) - epoch_us(a.t) <= 86400000000 GROUP BY ALL),
+r AS (SELECT charger_id, CAST(1 AS BIGINT) i FROM a GROUP BY 1 UNION ALL SELECT r.charger_id, r.i + CASE WHEN n.n >= 3 THEN n.n ELSE 1 END FROM r JOIN n ON n.charger_id = r.charger_id AND n.i = r.i)
+SELECT CAST(n.charger_id AS VARCHAR) charger_id, t start_time, e end_time, n alarms, c codes, CASE WHEN c >= 3 THEN 'MODERATE' WHEN n >= 6 THEN 'WEAK' ELSE 'OBSERVATION' END AS level, round(least(0.8, 0.2 + 0.1 * n), 4)::DOUBLE confidence
+FROM r JOIN n ON n.charger_id = r.charger_id AND n.i = r.i WHERE n >= 3""")
 def alarm_clusters(spark, d):
     alarms = telemetry(spark, d).where("state in ('error', 'view')").select("charger_id", F.col("event_time").alias("start_time"), F.col("state").alias("code"))
-    return research.alarm_clusters(alarms, window_seconds=86_400)
+    return _plain(research.alarm_clusters(alarms, window_seconds=86_400))
 
 
 def _stats(spark, d) -> DataFrame:
