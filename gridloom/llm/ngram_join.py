@@ -157,7 +157,7 @@ def _prefix_pass(words: int, seed: int, percent: int, cells, buckets: int):
                     e["token"], e["sid"], e["weight"] = s[first], sid, min(65535, int(16 * np.sqrt(float(weight[first[-1]]))))
                     entries.append(e)
                     held += len(e)
-                    if held >= 1_000_000:
+                    if held >= 500_000:
                         yield flush(entries)
                         entries, held, seen = [], 0, set()
         if entries:

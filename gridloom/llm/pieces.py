@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 SPACE = "▁"
 #: Chunks that a worker remembers, and the longest of them in characters.
-CACHED, CACHED_LENGTH = 250_000, 48
+CACHED, CACHED_LENGTH = 200_000, 48
 
 
 def default_model() -> str:
