@@ -41,6 +41,15 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 BATCH_ROWS = 500
 
 
+#: Rows of a few numbers each that a join may send to every executor: about 20 MB.
+SENT_ROWS = 300_000
+
+
+def small(df: DataFrame, limit: int = SENT_ROWS) -> DataFrame:
+    """df, a stored table of a few numbers a row, marked for sending whole if its count allows that; else joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table of documents; the session then hands rows to Python in batches of at most BATCH_ROWS."""
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
