@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import components, merged_sketch, mix, prefix_hash, range_hash, sketch_rows, stored, text_slices
+from gridloom.llm.common import components, merged_sketch, mix, prefix_hash, range_hash, sketch_rows, small, stored, text_slices
 
 WORDS, PERCENT = 5, 80
 CELLS = 1 << 20  # of the count sketch
@@ -321,7 +321,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = WORDS,
     # a set that shares fewer shingles than that with all others together is in no candidate pair
     able = hyper.groupBy("sid").count().join(nodes.select("sid", "n"), "sid").where(f"count >= {least}").select("sid", "n")
     able = stored(spark, able, "able")
-    votes = hyper.where("sid <> leader").groupBy("sid", "leader").count()
+    votes = hyper.join(small(able.select("sid")), "sid", "left_semi").where("sid <> leader").groupBy("sid", "leader").count()
     pairs = votes.groupBy("sid").agg(F.expr("max_by(leader, struct(count, leader))").alias("b"), F.max("count").alias("c"))
     pairs = stored(spark, pairs.join(able, "sid").where(f"c >= {least}").selectExpr("sid a", "b"), "pairs")
     large = pairs.groupBy("b").count().where(f"count >= {GROUP // 2}").select("b")
@@ -335,7 +335,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = WORDS,
     wide = home.groupBy("g").agg(F.ceil(F.count("*") / GROUP).alias("cuts"))
     home = stored(spark, home.join(wide, "g").selectExpr("sid", "n", "comp", "g", "pmod(xxhash64(sid), cuts) k"), "groups")
     # groups that share enough prefix shingles to hold a linked pair
-    tokens = hyper.join(home.select("sid", "g"), "sid").select("token", "g").distinct()
+    tokens = hyper.join(small(home.select("sid", "g")), "sid").select("token", "g").distinct()
     sizes = home.groupBy("g").agg(F.min("n").alias("n"), F.count("*").alias("m"))
     meets = tokens.join(tokens.withColumnRenamed("g", "h"), "token").where("g < h").groupBy("g", "h").count()
     meets = meets.join(sizes, "g").join(sizes.selectExpr("g h", "n nh", "m mh"), "h")
@@ -348,9 +348,9 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = WORDS,
     some = cuts.where("c0 <> c1").select("g", "k").union(asks.select("g", "k")).distinct()
     members = stored(spark, home.selectExpr("sid b", "comp c", "g", "k").join(some, ["g", "k"]), "members")
     sets = whole_sets(members.selectExpr("b sid").union(asks.selectExpr("a")).distinct())
-    columns = members.join(sets.selectExpr("sid b", "shingles"), "b").groupBy("g", "k").agg(F.collect_list(F.struct("b", "c", "shingles")).alias("members"))
+    columns = sets.selectExpr("sid b", "shingles").join(small(members), "b").groupBy("g", "k").agg(F.collect_list(F.struct("b", "c", "shingles")).alias("members"))
     columns = stored(spark, columns, "matrix")
-    opened = asks.join(sets.selectExpr("sid a", "shingles x"), "a").join(columns, ["g", "k"]).select("a", "comp", "x", "g", "k", "members")
+    opened = sets.selectExpr("sid a", "shingles x").join(small(asks), "a").join(columns, ["g", "k"]).select("a", "comp", "x", "g", "k", "members")
     links = links.union(columns.select("members").mapInArrow(_inner_links(percent), "a long, b long"))
     links = links.union(opened.mapInArrow(_new_links(percent), "a long, b long"))
     roots = components(spark, links)
