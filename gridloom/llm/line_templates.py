@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import mix, prefix_hash, range_hash, stored, text_slices
 from gridloom.llm.ngram_join import word_bounds
 
-LEADING, ALIKE, MIN_DOCS = 3, 0.7, 10
+LEADING, ALIKE, MIN_DOCS = 3, 0.7, 2
 FLUSH_LINES, BUCKETS_LEAST, BUCKET_LINES = 200_000, 48, 100_000
 #: Recurring lines that may be sent to every worker: 32 MB.
 SHARED_LINES = 2_000_000

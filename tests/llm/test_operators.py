@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, on the odd rows, on none, and on the smallest table."""
 
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -30,6 +31,11 @@ def pairs(docs):
     return [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
 
 
+def random_words(n, seed):
+    rng = random.Random(seed)
+    return ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(n)]
+
+
 # 1
 
 
@@ -228,6 +234,18 @@ def test_templates_generalise(spark):
     assert got == {0: 0, **dict.fromkeys(range(1, 6), 2)}  # "header N" and the log line; "own words" lines differ in a quarter of few words
 
 
+def test_lines_of_two_texts_go(spark):
+    import corpus_pipeline
+
+    passage = " ".join(f"{w}ly" for w in random_words(60, 3))
+    rows = [(i, f"own {' '.join(random_words(12, 10 + i))}\n{passage if i < 2 else 'none'}") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {0: 0, 1: 1, 2: 0, 3: 1}  # the passage and "none" stay in the first text that has them
+    assert {r.doc_id: r.n_dropped for r in line_templates.digests(spark, docs).collect()} == want
+    texts = {r.doc_id: r.text for r in corpus_pipeline.without_recurring_lines(spark, docs, "").collect()}
+    assert texts == {i: t if not want[i] else t.split("\n")[0] for i, t in rows}
+
+
 # 6
 
 
