@@ -2,8 +2,8 @@
 
 Tokens of a line are runs of other characters than space and \\t to \\r; a token with a digit is a field. The tree has
 a fixed depth: token count, then the first LEADING tokens (fields as one). In a leaf lines meet in order of their hash;
-one joins the template with which it agrees in at least ALIKE of the positions, of those it equals in a whole quarter
-of the positions, and positions that differ become fields; else it founds a template. A template that MIN_DOCS
+one joins the template with which it agrees in the most positions, if these are at least ALIKE of them, and positions
+that differ become fields; else it founds a template. A template that MIN_DOCS
 different texts hold recurs: its lines are dropped from all documents but the one of the smallest doc_id that has it
 (and exact copies of that text). Exact copies of a text count once.
 
@@ -30,6 +30,8 @@ from gridloom.llm.ngram_join import word_bounds
 
 LEADING, ALIKE, MIN_DOCS = 3, 0.7, 2
 FLUSH_LINES, BUCKETS_LEAST, BUCKET_LINES = 200_000, 48, 100_000
+#: Templates of a leaf that are all compared with each line; positions that are compared at once.
+FEW, COMPARED = 64, 1 << 21
 #: Recurring lines that may be sent to every worker: 32 MB.
 SHARED_LINES = 2_000_000
 _FIELD = np.uint64(0x2545F4914F6CDD1D)
@@ -102,32 +104,89 @@ def _line_pass(buckets: int):
     return run
 
 
+class _Leaf:
+    """A leaf's templates as rows of tokens, and those that may agree with a line.
+
+    While they are few, all may. Beyond, the positions after the leading ones are cut into one part more than positions
+    may differ, so a template that agrees with a line has a part that differs nowhere. A part is found by which of its
+    positions are fields and what the others are; a line asks for each pattern of fields that its leaf has.
+    """
+
+    def __init__(self, n: int, least: int):
+        self.n, self.count = n, 0
+        self.rows = np.zeros((4, n), "<u2")
+        parts = n - least + 1
+        self.edges = [LEADING + (n - LEADING) * k // parts for k in range(parts + 1)]
+        self.index: list[dict[bytes, dict[bytes, set[int]]]] | None = None
+
+    def _parts(self, m: int):
+        """(part, pattern of fields, tokens) of a template."""
+        row = self.rows[m]
+        for k, (a, b) in enumerate(zip(self.edges[:-1], self.edges[1:], strict=True)):
+            yield k, (row[a:b] != 0).tobytes(), row[a:b].tobytes()
+
+    def add(self, tokens: np.ndarray) -> int:
+        if self.count == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[self.count] = tokens
+        self.count += 1
+        if self.index is not None:
+            self._enter(self.count - 1)
+        elif self.count > FEW:
+            self.index = [{} for _ in self.edges[1:]]
+            for m in range(self.count):
+                self._enter(m)
+        return self.count - 1
+
+    def _enter(self, m: int) -> None:
+        for k, kind, own in self._parts(m):
+            self.index[k].setdefault(kind, {}).setdefault(own, set()).add(m)
+
+    def widen(self, m: int, tokens: np.ndarray) -> None:
+        """Positions of template m that differ from the tokens become fields."""
+        differs = (self.rows[m] != tokens) & (self.rows[m] != 0)
+        if differs.any():
+            old = list(self._parts(m)) if self.index is not None else []
+            self.rows[m, differs] = 0
+            for k, kind, own in old:
+                self.index[k][kind][own].discard(m)
+            if old:
+                self._enter(m)
+
+    def best(self, tokens: np.ndarray) -> tuple[int, int]:
+        """The template that agrees with the tokens in the most positions, the first of equals, and their number."""
+        if self.index is None:
+            asked = np.arange(self.count)
+        else:
+            found = set()
+            for k, kinds in enumerate(self.index):
+                part = tokens[self.edges[k] : self.edges[k + 1]]
+                for kind, own in kinds.items():
+                    found |= own.get((part * np.frombuffer(kind, bool)).tobytes(), set())
+            asked = np.array(sorted(found), np.int64)
+        best, most = -1, -1
+        step = max(1, COMPARED // self.n)
+        for at in range(0, len(asked), step):
+            some = self.rows[asked[at : at + step]]
+            agree = np.count_nonzero((some == tokens) | (some == 0), axis=1)
+            if agree[k := int(agree.argmax())] > most:
+                best, most = int(asked[at + k]), int(agree[k])
+        return best, most
+
+
 def templates_of(lines: list[tuple[int, np.ndarray]], alike: float = ALIKE) -> list[tuple[int, int]]:
     """(line, template) of a leaf's lines (hash, tokens; 0 is a field), in order; a template is named by its founder."""
     n = len(lines[0][1])
-    edges = [n * k // 4 for k in range(5)]
-    index: dict[tuple[int, bytes], list[int]] = {}
-    models: list[tuple[int, np.ndarray]] = []
-    out = []
+    least = next(c for c in range(max(0, int(alike * n) - 1), n + 1) if c / n >= alike)
+    leaf, names, out = _Leaf(n, least), [], []
     for name, tokens in lines:
-        parts = [(k, tokens[edges[k] : edges[k + 1]].tobytes()) for k in range(4) if edges[k] < edges[k + 1]]
-        best, most = -1, alike
-        for m in sorted({m for p in parts for m in index.get(p, ())}):
-            model = models[m][1]
-            share = np.count_nonzero((model == tokens) | (model == 0)) / n
-            if share >= most and (share > most or best < 0):
-                best, most = m, share
-        if best < 0:
-            best = len(models)
-            models.append((name, tokens.copy()))
+        m, agree = leaf.best(tokens)
+        if agree < least:
+            m = leaf.add(tokens)
+            names.append(name)
         else:
-            model = models[best][1]
-            model[model != tokens] = 0
-        for p in parts:
-            own = index.setdefault(p, [])
-            if best not in own:
-                own.append(best)
-        out.append((name, models[best][0]))
+            leaf.widen(m, tokens)
+        out.append((name, names[m]))
     return out
 
 

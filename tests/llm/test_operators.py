@@ -246,6 +246,48 @@ def test_lines_of_two_texts_go(spark):
     assert texts == {i: t if not want[i] else t.split("\n")[0] for i, t in rows}
 
 
+def test_templates_with_a_field_in_each_quarter(spark):
+    fixed, own = random_words(24, 5), random_words(400, 6)
+    lines = []
+    for i in range(100):
+        line = list(fixed)
+        for k, at in enumerate((4, 8, 14, 20)):
+            line[at] = own[4 * i + k]
+        lines.append(" ".join(line))
+    rows = [(i, f"first {own[i]} of mine\n{x}") for i, x in enumerate(lines)]
+    got = {r.doc_id: r.n_dropped for r in line_templates.digests(spark, spark.createDataFrame(rows, "doc_id long, text string"), 100).collect()}
+    assert got == {0: 0, **dict.fromkeys(range(1, 100), 1)}
+
+
+def brute_templates(lines):
+    models, out = [], []
+    for name, tokens in lines:
+        shares = [np.count_nonzero((m == tokens) | (m == 0)) / len(tokens) for _, m in models]
+        best = max(range(len(models)), key=lambda k: (shares[k], -k), default=-1)
+        if best < 0 or shares[best] < line_templates.ALIKE:
+            best = len(models)
+            models.append((name, tokens.copy()))
+        models[best][1][models[best][1] != tokens] = 0
+        out.append((name, models[best][0]))
+    return out
+
+
+@pytest.mark.parametrize("few", [0, 3, 64])
+def test_each_line_meets_all_templates_of_its_leaf(monkeypatch, few):
+    monkeypatch.setattr(line_templates, "FEW", few)
+    rng = np.random.default_rng(1)
+    for n in (4, 5, 6, 7, 10, 16, 24, 40):
+        for values in (3, 12):
+            base, lines = rng.integers(0, values, (8, n)), []
+            for i in range(150):
+                tokens = base[rng.integers(8)].copy()
+                at = rng.integers(3, n, rng.integers(0, n // 2 + 1))
+                tokens[at] = rng.integers(0, values, len(at))
+                tokens[:3] = 1, 2, 0
+                lines.append((i, tokens.astype("<u2")))
+            assert line_templates.templates_of(lines) == brute_templates(lines)
+
+
 # 6
 
 
