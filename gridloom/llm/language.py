@@ -3,9 +3,15 @@
 A text's letters, lower-cased byte by byte, give hashed byte 3- and 4-grams inside words (with their borders); their
 embeddings are averaged and classified. Training is stochastic gradient descent in numpy on a bounded sample: for each
 language about PER_LANG labelled documents of at most SAMPLE_CHARS characters, chosen by a hash of doc_id, whole and as
-fragments. A fifth of the sample is kept back to fit the softmax's temperature and the score below which a prediction
-is rejected. For prediction embeddings and softmax are one table of BUCKETS rows, so whole texts of any length cost
-one gather a gram.
+fragments. A fifth of the sample is kept back to fit the softmax's temperature and the bounds of rejection. For
+prediction embeddings and softmax are one table of BUCKETS rows, so whole texts of any length cost one gather a gram.
+
+A softmax must name one of its languages, however strange a text is to all. So a prediction is rejected by how well the
+text's grams are known from the language it gave: the mean logarithm of their frequency there over an even one, plus
+one standard error, as short texts vary. Each language's bound splits its kept-back texts from what is not of it: the
+kept-back texts of every other language, as they would meet it with their own left out, and all with shuffled bytes.
+At most LOST of its own texts may lie below. A language without a kept-back text takes the lowest bound of the others;
+where nothing is kept back (under 10 texts) only texts without a letter are rejected.
 
 A null text or one without a letter is `und` with score 0 and rejected, as is everything where no row can be learned
 from. Rows of the fold `held_out` (crc32 of doc_id as text, modulo 4, is 2) are never learned from; nor are rows of a
@@ -26,8 +32,8 @@ from gridloom.llm.common import text_slices
 BUCKETS, DIM, ORDERS = 1 << 15, 8, (3, 4)
 PER_LANG, SAMPLE_CHARS = 1200, 20_000
 EPOCHS, RATE, FRAGMENTS = 4, 40.0, 3
-#: Share of the calibration texts that may be rejected, and the highest score that can be asked for.
-REJECTED, HIGHEST = 0.0005, 1 / 3
+#: Share of a language's calibration texts that may be rejected; what is added to each gram's count.
+LOST, UNSEEN = 0.005, 0.1
 HELD_OUT = "coalesce(pmod(crc32(cast(cast(doc_id as string) as binary)), 4) = 2, false)"
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -82,22 +88,28 @@ class LanguageModel:
     langs: list[str]
     table: np.ndarray  # (BUCKETS, langs): each gram's share in the logits, over the temperature
     bias: np.ndarray
-    threshold: float
+    known: np.ndarray  # (BUCKETS, langs): logarithm of each gram's frequency in the language over an even one
+    spread: np.ndarray  # its deviation over the language's grams
+    bound: np.ndarray  # what a text of the language must reach
 
-    def predict(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the best language and its probability for each row; -1 and 0 without a letter."""
+    def predict(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index of the best language, its probability and whether it is rejected for each row; -1, 0 and true without a letter."""
         rows, k = len(offs) - 1, len(self.langs)
-        best, score = np.full(rows, -1), np.zeros(rows)
+        best, score, rejected = np.full(rows, -1), np.zeros(rows), np.ones(rows, bool)
         if not k or not rows:
-            return best, score
+            return best, score, rejected
         bucket, row = grams(data, offs)
         count = np.bincount(row, minlength=rows)
         logits = np.stack([np.bincount(row, weights=self.table[bucket, j], minlength=rows) for j in range(k)], axis=1)
         logits = logits / np.maximum(count, 1)[:, None] + self.bias
         p = _softmax(logits)
         some = has_letter(data, offs)
-        best[some], score[some] = p[some].argmax(axis=1), p[some].max(axis=1)
-        return best, score
+        first = p.argmax(axis=1)
+        n = np.maximum(count, 1)
+        mean = np.bincount(row, weights=self.known[bucket, first[row]], minlength=rows) / n
+        best[some], score[some] = first[some], p[some].max(axis=1)
+        rejected[some] = (mean + self.spread[first] / np.sqrt(n) < self.bound[first])[some]
+        return best, score, rejected
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -111,12 +123,29 @@ def _one(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(bucket, return_counts=True)
 
 
+def _bound(own: np.ndarray, other: np.ndarray) -> float:
+    """The value that splits own (above) from other with the smallest sum of both wrong shares, amid the widest gap; at most LOST of own lie below."""
+    own, other = np.sort(own), np.sort(other)
+    at = np.unique(np.concatenate([own, other]))
+    middle = (at[1:] + at[:-1]) / 2
+    if not len(middle):
+        return -np.inf
+    wrong = np.searchsorted(own, middle) / len(own) + 1 - np.searchsorted(other, middle) / len(other)
+    gap = np.where(wrong <= wrong.min() + 1e-12, np.diff(at), -1)
+    return float(min(middle[int(gap.argmax())], np.quantile(own, LOST)))
+
+
+def _shuffled(text: bytes, rng: np.random.Generator) -> bytes:
+    return rng.permutation(np.frombuffer(text, np.uint8)).tobytes()
+
+
 def fit(texts: list[str], labels: list[str], seed: int = 7) -> LanguageModel:
     """Train on the texts; about a fifth of them only calibrates."""
     langs = sorted(set(labels))
     k = len(langs)
     if not k:
-        return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), HIGHEST)
+        none = np.zeros((BUCKETS, 0), np.float32)
+        return LanguageModel([], none, np.zeros(0), none, np.zeros(0), np.zeros(0))
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(texts))
     back = set(order[: len(texts) // 5].tolist()) if len(texts) >= 10 else set()
@@ -154,9 +183,29 @@ def fit(texts: list[str], labels: list[str], seed: int = 7) -> LanguageModel:
     temps = np.exp(np.linspace(np.log(0.2), np.log(8), 60))
     loss = [-np.log(_softmax(logits / t)[np.arange(len(ys)), ys] + 1e-12).mean() for t in temps]
     t = float(temps[int(np.argmin(loss))])
-    top = _softmax(logits / t).max(axis=1)[whole]
-    threshold = min(HIGHEST, float(np.quantile(top, REJECTED))) if len(top) else HIGHEST
-    return LanguageModel(langs, np.ascontiguousarray(table / t).astype(np.float32), bias / t, threshold)
+    seen = np.full((BUCKETS, k), UNSEEN)
+    for idx, n, y, all_of_it in train:
+        if all_of_it:
+            seen[idx, y] += n
+    share = seen / seen.sum(axis=0)
+    known = np.log(share * BUCKETS)
+    spread = np.sqrt((share * known**2).sum(axis=0) - (share * known).sum(axis=0) ** 2)
+
+    def reached(n, idx):
+        return (n / n.sum()) @ known[idx] + spread / np.sqrt(n.sum())
+
+    bound = np.full(k, -np.inf)
+    if back:
+        own = np.array([reached(n, idx) for idx, n, _, all_of_it in keep if all_of_it]).reshape(-1, k)
+        mixed = [_one(_shuffled(texts[i].encode(), rng)) for i in sorted(back)]
+        mixed = np.array([reached(n, idx) for idx, n in mixed if len(idx)]).reshape(-1, k)
+        for j in range(k):
+            ours = ys[whole] == j
+            other = np.concatenate([own[~ours, j], mixed[:, j]])
+            if ours.any() and len(other):
+                bound[j] = _bound(own[ours, j], other)
+        bound[np.isneginf(bound)] = min(bound[~np.isneginf(bound)], default=-np.inf)
+    return LanguageModel(langs, np.ascontiguousarray(table / t).astype(np.float32), bias / t, known.astype(np.float32), spread, bound)
 
 
 def learn(docs: DataFrame, seed: int = 7) -> LanguageModel:
@@ -180,9 +229,9 @@ def predicted(spark: SparkSession, docs: DataFrame, model: LanguageModel | None
         names = np.array([*m.langs, "und"], object)
         for batch in batches:
             for part, data, offs in text_slices(batch):
-                best, score = m.predict(data, offs)
+                best, score, rejected = m.predict(data, offs)
                 keep = [part.column("doc_id"), part.column("held_out")]
-                yield pa.RecordBatch.from_arrays([*keep, pa.array(names[best], pa.string()), pa.array(score), pa.array((best < 0) | (score < m.threshold))], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
+                yield pa.RecordBatch.from_arrays([*keep, pa.array(names[best], pa.string()), pa.array(score), pa.array(rejected)], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", f"{HELD_OUT} held_out", "cast(text as string) text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
@@ -195,7 +244,6 @@ def accepted(spark: SparkSession, docs: DataFrame) -> DataFrame:
         m = shared.value
         for batch in batches:
             for part, data, offs in text_slices(batch):
-                best, score = m.predict(data, offs)
-                yield part.filter(pa.array((best >= 0) & (score >= m.threshold)))
+                yield part.filter(pa.array(~m.predict(data, offs)[2]))
 
     return docs.mapInArrow(run, docs.schema)

@@ -198,6 +198,23 @@ def test_language_edges(spark, docs):
     assert language.accepted(spark, docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("foreign", ["es", "de"])
+def test_foreign_and_shuffled_texts_are_rejected(spark, foreign):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null and lang is not null")
+    model = language.learn(docs.where(f"lang <> '{foreign}'"))
+    assert len(model.langs) == 3 and foreign not in model.langs
+    got = language.predicted(spark, docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    other = [r.rejected for r in got if r.lang == foreign]
+    own = [r.rejected for r in got if r.lang != foreign and r.held_out]
+    assert len(other) > 50 and sum(other) >= 0.97 * len(other)
+    assert sum(own) <= 0.01 * len(own)
+    rng = random.Random(3)
+    mixed = [(i, "".join(rng.sample(r.text, len(r.text)))) for i, r in enumerate(docs.where("length(text) between 200 and 3000").limit(100).collect())]
+    mixed.append((100, "xqzv kjwp wqxz zzkq vbnq pxkw jqzx wvkq xzqj kqwv"))
+    mixed = spark.createDataFrame(mixed, "doc_id long, text string")
+    assert language.predicted(spark, mixed, model).where("not rejected").count() <= 1
+
+
 # 5
 
 
