@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -18,22 +19,61 @@ ALARMS = ("smoke_alarm", "emergency_stop_active", "grid_fail", "door_open")
 FAULTS = ("short_circuit", "ground_fault_alarm", "input_rcbo_tripped", "mccb_tripped", "mdl_fault", "fan_fault")
 
 
-def observations(spark: SparkSession, inbox: str, zone: str = "Asia/Kolkata"):
-    """The inbox's rows with charger_id, event_time (an instant) and position, other columns as text."""
-    raw = csv_files.table(spark, inbox)
-    role = csv_files.roles([c for c in raw.columns if c not in ("file_id", "source_row_number")])
-    missing = [r for r in csv_files.REQUIRED_ROLES if r not in role]
-    if missing:
-        raise ValueError(f"no column for {', '.join(missing)}")
-    form = csv_files.best_time_format(raw, role["EVENT_TIME"], FORMATS)
-    local = F.try_to_timestamp(F.col(role["EVENT_TIME"]), F.lit(form))
-    rows = raw.withColumn("event_time", F.to_utc_timestamp(local, zone)).withColumn("charger_id", identity(F.col(role["CHARGER_ID"])))
-    rows = rows.withColumns({"connector_no": F.col(role["CONNECTOR"]), "smr_no": F.col(role["SMR"])})
-    return frames.with_position(rows)
+def by_file(spark: SparkSession, inbox: str, zone: str = "Asia/Kolkata"):
+    """(rows, verdicts): the rows of files that fit, with charger_id, event_time (an instant) and position, other columns
+    as text; and (path, reason) of all files, reason null for those that fit.
+
+    Columns of roles are chosen for each header, the time format for each file. A file fits if its header has all
+    required roles and some stamp parses, or it has no row.
+    """
+    heads = csv_files.headers(spark, inbox).select("file_id", "position", "canonical_name", F.col("fingerprint").alias("_header"))
+    names: dict[str, list[str]] = {}
+    for r in heads.select("_header", "position", "canonical_name").distinct().orderBy("_header", "position").collect():
+        names.setdefault(r._header, []).append(r.canonical_name)
+    roles = {h: r for h, n in names.items() if not set(csv_files.REQUIRED_ROLES) - set(r := csv_files.roles(n))}
+    if not roles:
+        raise ValueError(f"no file has a column for each of {', '.join(csv_files.REQUIRED_ROLES)}")
+
+    def column(role):
+        owners: dict[str, list[str]] = {}
+        for h, r in roles.items():
+            owners.setdefault(r[role], []).append(h)
+        return F.coalesce(*(F.when(F.col("_header").isin(h), F.col(c)) for c, h in owners.items()))
+
+    files = heads.select("file_id", "_header").distinct()
+    raw = csv_files.table(spark, inbox).join(files.where(F.col("_header").isin(list(roles))), "file_id")
+    stamps = [F.try_to_timestamp(column("EVENT_TIME"), F.lit(f)) for f in FORMATS]
+    counts = raw.groupBy("file_id").agg(F.array(*(F.count(s) for s in stamps)).alias("n"))
+    forms = counts.selectExpr("file_id", "if(array_max(n) > 0, int(array_position(n, array_max(n))) - 1, -1) _form")
+    # one number a file, whose list the driver holds anyway; a cached plan would be taken for that of a later inbox
+    forms = spark.createDataFrame([tuple(r) for r in forms.collect()], "file_id string, _form int")
+    reason = F.when(F.col("_header").isNull() | ~F.col("_header").isin(list(roles)), "no column for a required role").when(F.col("_form") < 0, "no time format fits")
+    verdicts = csv_files.discover(spark, inbox).select(F.col("path").alias("file_id")).join(files, "file_id", "left").join(forms, "file_id", "left")
+    rows = raw.join(forms.where("_form >= 0"), "file_id")
+    local = F.coalesce(*(F.when(F.col("_form") == i, s) for i, s in enumerate(stamps)))
+    rows = rows.withColumns({"event_time": F.to_utc_timestamp(local, zone), "charger_id": identity(column("CHARGER_ID")), "connector_no": column("CONNECTOR"), "smr_no": column("SMR")})
+    return frames.with_position(rows.drop("_header", "_form")), verdicts.select(F.col("file_id").alias("path"), reason.alias("reason"))
+
+
+def quarantined(spark: SparkSession, files, verdicts, out: str) -> bool:
+    """Note the files (path, name, sha256) that fit nothing in the quarantine table, each once; whether one is new."""
+    bad = files.select("path", "name", "sha256").join(verdicts.where("reason is not null"), "path")
+    try:
+        bad = bad.join(spark.read.parquet(f"{out}/quarantine").select("sha256", "name").distinct(), ["sha256", "name"], "left_anti")
+    except AnalysisException:  # no table yet
+        pass
+    bad = spark.createDataFrame(bad.select("path", "name", "sha256", "reason").collect(), "path string, name string, sha256 string, reason string")
+    if bad.isEmpty():
+        return False
+    store.quarantine(bad, f"{out}/quarantine")
+    return True
 
 
 def run_daily(spark: SparkSession, inbox: str, out: str, rules: coverage.CoverageRules) -> int:
-    """Land files once, compute coverage and gaps of the days they touch, and replace those days."""
+    """Land files once, compute coverage and gaps of the days they touch, and replace those days.
+
+    Files that fit no header or time format go to the quarantine table and aren't registered, so a later run tries them again.
+    """
     files = store.staged(spark, inbox).where("outcome = 'STAGED'")
     try:
         known = spark.read.parquet(f"{out}/files").select("sha256", "name")
@@ -42,7 +82,14 @@ def run_daily(spark: SparkSession, inbox: str, out: str, rules: coverage.Coverag
     fresh = store.registered(files, known).where("outcome = 'REGISTERED'")
     if fresh.isEmpty():
         return 3
-    rows = observations(spark, inbox, rules.zone).join(fresh.select(F.col("path").alias("file_id")), "file_id", "left_semi")
+    rows, verdicts = by_file(spark, inbox, rules.zone)
+    new = quarantined(spark, fresh, verdicts, out)
+    fresh = fresh.join(verdicts.where("reason is null").select("path"), "path", "left_semi")
+    if fresh.isEmpty():
+        if new:
+            raise ValueError("no new file fits; reasons are in the quarantine table")
+        return 3
+    rows = rows.join(fresh.select(F.col("path").alias("file_id")), "file_id", "left_semi")
     days = coverage.file_days(rows.where("charger_id is not null"), rules)
     days.write.mode("append").partitionBy("business_date").parquet(f"{out}/file_days")
     touched = [d.business_date for d in days.select("business_date").distinct().collect()]
@@ -54,8 +101,9 @@ def run_daily(spark: SparkSession, inbox: str, out: str, rules: coverage.Coverag
 
 
 def reconstruct(spark: SparkSession, inbox: str, out: str, rules: coverage.CoverageRules) -> int:
-    """Frames and events of an inbox, as tables."""
-    rows = observations(spark, inbox, rules.zone)
+    """Frames and events of an inbox, as tables; files that fit no header or time format go to the quarantine table."""
+    rows, verdicts = by_file(spark, inbox, rules.zone)
+    quarantined(spark, store.staged(spark, inbox), verdicts, out)
     skip = {"file_id", "charger_id", "event_time", "source_row_number", "position", "connector_no", "smr_no"}
     payload = [c for c in rows.columns if c not in skip]
     fp = F.sha2(F.concat_ws("\x1f", *(F.concat(F.lit(f"{c}="), F.coalesce(F.trim(F.col(c)), F.lit("\x00NULL"))) for c in sorted(payload))), 256)

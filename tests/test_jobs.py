@@ -46,3 +46,26 @@ def test_reconstruct(spark, tmp_path):
     alarm = api.alarms(t).collect()
     assert [(r.code, r.start_time, r.end_time) for r in alarm] == [("grid_fail", dt.datetime(2026, 3, 1, 2), dt.datetime(2026, 3, 1, 3))]
     assert {(r.from_state, r.to_state) for r in api.transitions(t, connector_id="1").collect()} == {("Available", "Charging"), ("Charging", "Available")}
+
+
+def test_mixed_exports(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    inbox(source, "a.csv", "01", 24)
+    text = (source / "a.csv").read_text()
+    other = text.replace("\nA,01-03-2026", "\nB,2026-03-01").replace("Charger ID,Event Time", "Charger No,Logged At Time")
+    (source / "b.csv").write_text("\n".join(other.split("\n")[:25]) + "\n")
+    (source / "c.csv").write_text(text.replace("01-03-2026", "March 1st").replace("\nA", "\nC"))
+    (source / "d.csv").write_text(text.replace("Charger ID", "Owner"))
+    rules = CoverageRules(interval_seconds=3600, zone="Asia/Kolkata")
+    assert jobs.run_daily(spark, str(source), out, rules) == 0
+    days = {(r.charger_id, str(r.business_date)): r.unique_timestamps for r in spark.read.parquet(f"{out}/coverage").collect()}
+    assert days == {("A", "2026-03-01"): 24, ("B", "2026-03-01"): 12}
+    assert {r.name for r in spark.read.parquet(f"{out}/files").collect()} == {"a.csv", "b.csv"}
+    assert jobs.run_daily(spark, str(source), out, rules) == 3
+    bad = {r.name: r.reason for r in spark.read.parquet(f"{out}/quarantine").collect()}
+    assert bad == {"c.csv": "no time format fits", "d.csv": "no column for a required role"}
+    assert spark.read.parquet(f"{out}/quarantine").count() == 2
+    assert jobs.reconstruct(spark, str(source), out, rules) == 0
+    found = spark.read.parquet(f"{out}/frames")
+    assert {r.charger_id for r in found.select("charger_id").distinct().collect()} == {"A", "B"} and found.where("event_time is null").count() == 0
