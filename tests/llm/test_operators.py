@@ -215,6 +215,13 @@ def test_foreign_and_shuffled_texts_are_rejected(spark, foreign):
     assert language.predicted(spark, mixed, model).where("not rejected").count() <= 1
 
 
+def test_language_of_long_texts_only_is_learned(spark):
+    rows = [(i, " ".join(random_words(80, i)), "short") for i in range(30)]
+    rows += [(100 + i, " ".join(random_words(5000, i)).upper().replace("A", "Z"), "long") for i in range(12)]
+    assert all(len(t) > language.SAMPLE_CHARS for _, t, lang in rows if lang == "long")
+    assert language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string")).langs == ["long", "short"]
+
+
 # 5
 
 
