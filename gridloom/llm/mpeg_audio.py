@@ -91,33 +91,41 @@ def _tag(data: bytes) -> tuple[int, dict[str, str]]:
         return 0, {}
     safe = lambda b: b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
     end, at, out = 10 + safe(data[6:10]), 10, {}
-    while at + 10 <= min(end, len(data)) and data[at]:
+    while at + 11 <= min(end, len(data)) and data[at]:
         name, size = data[at : at + 4].decode("latin-1"), safe(data[at + 4 : at + 8]) if data[3] == 4 else int.from_bytes(data[at + 4 : at + 8], "big")
         if name[0] == "T" and size:
             body = data[at + 11 : at + 10 + size]
             text = body.decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(data[at + 10], "utf-8"), "replace")
-            key, _, value = text.rstrip("\0").partition("\0") if name == "TXXX" else (name, "", text.rstrip("\0"))
+            text = text.rstrip("\0")
+            key, _, value = text.partition("\0") if name == "TXXX" else (name, "", text)
             out[key] = value
         at += 10 + size
     return min(end, len(data)), out
 
 
 def _table(frame: bytes, side: int) -> dict | None:
-    """A frame's variable-bitrate table: kind, frames, bytes, seek points in 1/256 of the bytes or absolute."""
+    """A frame's variable-bitrate table: kind, frames, bytes, seek points in 1/256 of the bytes or absolute; None for none.
+
+    A table that the frame cuts short has what of it is whole.
+    """
     at = 4 + side
     if frame[at : at + 4] in (b"Xing", b"Info"):
-        flags, out = struct.unpack_from(">I", frame, at + 4)[0], {"kind": frame[at : at + 4].decode()}
+        out = {"kind": frame[at : at + 4].decode(), "seeks": []}
+        flags = int.from_bytes(frame[at + 4 : at + 8], "big") if len(frame) >= at + 8 else 0
         at += 8
-        for bit, name in ((1, "frames"), (2, "bytes")):
+        for bit, name, size in ((1, "frames", 4), (2, "bytes", 4), (4, "seeks", 100)):
             if flags & bit:
-                out[name] = struct.unpack_from(">I", frame, at)[0]
-                at += 4
-        out["seeks"] = list(frame[at : at + 100]) if flags & 4 else []
+                if len(frame) < at + size:
+                    break
+                out[name] = list(frame[at : at + 100]) if bit == 4 else int.from_bytes(frame[at : at + 4], "big")
+                at += size
         return out
     if frame[36:40] == b"VBRI":
+        if len(frame) < 62:
+            return {"kind": "VBRI", "seeks": []}
         size, frames, entries, scale, width, _ = struct.unpack_from(">IIHHHH", frame, 46)
         seeks, total = [], 0
-        for k in range(entries):
+        for k in range(min(entries, (len(frame) - 62) // width) if width else 0):
             seeks.append(total)
             total += scale * int.from_bytes(frame[62 + k * width : 62 + (k + 1) * width], "big")
         return {"kind": "VBRI", "frames": frames, "bytes": size, "seeks": seeks}
