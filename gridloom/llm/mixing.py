@@ -7,8 +7,9 @@ complete epochs of all its documents, then a fraction: documents get exponential
 the document and the seed, and the smallest keys are taken until their sizes reach what is left. Quality is the share
 of characters that are no digits or symbols, squared, so clean texts come first more often.
 
-Running sums need no source in one task: keys fall into BINS bins by source, the bins' sums are cumulated, and only
-the bin in which the rest runs out is cumulated document by document. The last document is taken if that
+Running sums need no source in one task: keys fall into bins by source, the bins' sums are cumulated, and only
+the bin in which the rest runs out is cumulated document by document. Bins are OCTAVE steps of the key's binary
+logarithm: keys of any quality spread over some octaves, so a bin holds about a thousandth of its source at most. The last document is taken if that
 brings the sum nearer to the rest. The same input and seed give the same mix.
 
 A null text has size 0 and is never taken. Repeated rows are documents of their own; of rows alike in doc_id and text
@@ -22,12 +23,12 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import stored
 
-WEIGHTS, CAP, BINS, SEED = (5, 2, 1), 3, 1 << 14, "mix-1"
+WEIGHTS, CAP, OCTAVE, SEED = (5, 2, 1), 3, 2048, "mix-1"
 MADE = ("size", "source_size", "target", "taken")
 
 
 def _sized(docs: DataFrame, seed: str, keep: bool = True) -> DataFrame:
-    """doc_id, source, size and key of each row, bin (the key's distribution function, cut to BINS), and its columns as `row`."""
+    """doc_id, source, size and key of each row, its bin (in the order of keys), and its columns as `row`."""
     odd = "0123456789#*$%&|<>!=_{}[]^~@/+\\\\"
     share = f"length(translate(t, '{odd}', '')) / greatest(length(t), 1)"
     u = f"(cast(conv(substr(md5(concat('{seed}', ':', coalesce(cast(doc_id as string), ''), ':', md5(t))), 1, 12), 16, 10) as double) + 0.5D) / 281474976710656D"
@@ -35,7 +36,7 @@ def _sized(docs: DataFrame, seed: str, keep: bool = True) -> DataFrame:
     rows = docs.select(*row, F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     rows = rows.withColumn("size", F.expr("cast(size(array_remove(split(t, '[\\\\x20\\\\x09-\\\\x0D]+'), '')) as long)"))
     rows = rows.withColumn("quality", F.expr(f"greatest(0.05D, {share} * {share})")).withColumn("key", F.expr(f"-ln({u}) / quality"))
-    return rows.withColumn("bin", F.expr(f"cast({BINS} * (1 - exp(-key)) as int)")).drop("t", "quality")
+    return rows.withColumn("bin", F.expr(f"cast(floor({OCTAVE} * log2(key)) as int)")).drop("t", "quality")
 
 
 def targets(sizes: DataFrame) -> DataFrame:
