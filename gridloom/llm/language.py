@@ -2,8 +2,8 @@
 
 A text's letters, lower-cased byte by byte, give hashed byte 3- and 4-grams inside words (with their borders); their
 embeddings are averaged and classified. Training is stochastic gradient descent in numpy on a bounded sample: for each
-language about PER_LANG labelled documents, chosen by a hash of doc_id, of each at most SAMPLE_CHARS characters in a
-row, as one text and as fragments. A fifth of the sample is kept back to fit the softmax's temperature and the bounds of rejection. For
+language about PER_LANG labelled documents (fewer where languages are so many that all would exceed SAMPLE), chosen by a
+hash of doc_id, of each at most SAMPLE_CHARS characters in a row, as one text and as fragments. A fifth of the sample is kept back to fit the softmax's temperature and the bounds of rejection. For
 prediction embeddings and softmax are one table of BUCKETS rows, so whole texts of any length cost one gather a gram.
 
 A softmax must name one of its languages, however strange a text is to all. So a prediction is rejected by how well the
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import text_slices
 
 BUCKETS, DIM, ORDERS = 1 << 15, 8, (3, 4)
-PER_LANG, SAMPLE_CHARS = 1200, 20_000
+PER_LANG, SAMPLE, SAMPLE_CHARS = 1200, 24_000, 20_000
 EPOCHS, RATE, FRAGMENTS = 4, 40.0, 3
 #: Share of a language's calibration texts that may be rejected; what is added to each gram's count.
 LOST, UNSEEN = 0.005, 0.1
@@ -213,9 +213,9 @@ def learn(docs: DataFrame, seed: int = 7) -> LanguageModel:
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "cast(lang as string) lang", f"{HELD_OUT} held_out")
     rows = rows.where("not held_out and doc_id is not null and lang is not null and text is not null")
     counts = rows.groupBy("lang").count()
-    # a hash below PER_LANG / count picks about PER_LANG rows of each language
-    picked = rows.join(F.broadcast(counts) if counts.count() <= 1000 else counts, "lang")
-    picked = picked.where(f"pmod(xxhash64(doc_id, {seed}), 1000000007) < {PER_LANG} / count * 1000000007d")
+    # a hash below each / count picks about so many rows of each language
+    each = min(PER_LANG, SAMPLE / max(1, counts.count()))
+    picked = rows.join(counts, "lang").where(f"pmod(xxhash64(doc_id, {seed}), 1000000007) < {each}d / count * 1000000007d")
     # of a longer text a stretch of SAMPLE_CHARS, its begin by a hash
     picked = picked.withColumn("text", F.expr(f"substring(text, cast(1 + pmod(xxhash64(doc_id, {seed}, 'begin'), greatest(length(text) - {SAMPLE_CHARS}, 0) + 1) as int), {SAMPLE_CHARS})"))
     found = sorted((r.doc_id, r.text, r.lang) for r in picked.select("doc_id", "text", "lang").collect())
