@@ -1,9 +1,10 @@
 """Personal data by aggregated weak supervision: labelers vote on spans, their reliabilities are estimated, a classifier decides.
 
 Base spans (e-mail, ip, card, phone) come from four patterns and always stay. Wider patterns propose further spans:
-spelt-out e-mail addresses, IPv6 and bracketed addresses, other card groupings, national phone numbers. Of every
+spelt-out e-mail addresses, IPv6 and bracketed addresses, other card groupings, national phone numbers, and secrets:
+values that are assigned to a key, token or password, or have the prefix of a known kind of key. Of every
 proposed span three labelers vote yes, no or nothing: its shape, a gazetteer (top-level domains, card issuers,
-calling codes, address ranges) and the words before it. Expectation-maximisation over the counts of vote patterns
+calling codes, address ranges, digest lengths and key prefixes) and the words before it. Expectation-maximisation over the counts of vote patterns
 estimates each labeler's reliability for a kind and so the chance that a span of a pattern is real; these chances
 train the final span classifier, naive Bayes over votes, length and separators. Proposals that it accepts and that
 meet no base span are added.
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import stored
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds of spans that may be added, in the order of the result.
+EVERY = (*KINDS, "secret")
 #: What makes a match worth looking for at all.
 NEEDS = {"email": "instr(t, '@') > 0", "ip": "instr(t, '.') > 0", "card": "true", "phone": "instr(t, '+') > 0"}
 _LOCAL = "A-Za-z0-9._%+-"
@@ -39,12 +42,14 @@ WIDER = {
     "ip": "(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])|(?<![0-9])[0-9]{1,3}(?:\\[\\.\\][0-9]{1,3}){3}(?![0-9])",
     "card": "(?<![0-9])[0-9]{4}([./_])[0-9]{4}\\1[0-9]{4}\\1[0-9]{4}(?![0-9])|(?<![0-9])3[47][0-9]{2}[\\x20-]?[0-9]{6}[\\x20-]?[0-9]{5}(?![0-9])",
     "phone": "(?<![0-9+(.-])(?<!\\+[0-9]{1,3}[\\x20.-])(?:\\([0-9]{3}\\)\\x20?|[0-9]{3}[\\x20.-])[0-9]{3}[\\x20.-][0-9]{4}(?![0-9-])|(?<![0-9])00[1-9][0-9]?[0-9\\x20-]{7,13}[0-9](?![0-9])",
+    # a name and a sign of assignment, or a look ahead to a known prefix; the value is what is marked
+    "secret": "((?<![A-Za-z0-9_])(?:[A-Za-z0-9]{0,24}[_-])?(?i:api_?-?key|secret|token|passw(?:or)?d|passphrase|pwd|bearer|credential)s?[\"']?(?:\\s{0,3}[:=]\\s{0,3}|\\x20)[\"']?|(?<![A-Za-z0-9_-])(?=AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30}|sk-[A-Za-z0-9_-]{20}|xox[abp]-[0-9]))([A-Za-z0-9+/=_.-]{16,}+)",
 }
-WIDER_NEEDS = {"email": "t rlike '[(\\\\[{](at|AT)[)\\\\]}]'", "ip": "(instr(t, '[.]') > 0 or instr(t, ':') > 0)", "card": "true", "phone": "true"}
+WIDER_NEEDS = {"secret": "t rlike '(?i:key|secret|token|passw|passphrase|pwd|bearer|credential)|AKIA|gh[pousr]_|sk-|xox[abp]-'", "email": "t rlike '[(\\\\[{](at|AT)[)\\\\]}]'", "ip": "(instr(t, '[.]') > 0 or instr(t, ':') > 0)", "card": "true", "phone": "true"}
 #: Common top-level domains, calling codes, words that announce a kind.
 DOMAINS = ("com", "org", "net", "edu", "gov", "io", "co", "info", "biz", "de", "fr", "es", "it", "uk", "eu", "ch", "at", "nl", "us", "ca", "mx", "br")
 CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "52", "54", "55", "61", "81", "82", "86", "90", "91")
-WORDS = {"email": "mail|contact|write|@", "ip": "\\\\bip\\\\b|host|server|address|adresse|client", "card": "card|visa|karte|carte|tarjeta|credit", "phone": "tel|phone|call|fax|mobil|anruf"}
+WORDS = {"email": "mail|contact|write|@", "ip": "\\\\bip\\\\b|host|server|address|adresse|client", "card": "card|visa|karte|carte|tarjeta|credit", "phone": "tel|phone|call|fax|mobil|anruf", "secret": "key|secret|token|passw|passphrase|pwd|bearer|credential"}
 #: Rounds of expectation-maximisation, and characters before a span that the context labeler reads.
 ROUNDS, BEFORE = 30, 32
 _SPANS = "array<struct<b:int,e:int,s:string>>"
@@ -71,12 +76,13 @@ VALID = {
     "card": _luhn("x.s"),
     "phone": f"length({_digits('x.s')}) between 8 and 15",
 }
-WIDER_VALID = {"email": "true", "ip": "true", "card": _luhn("x.s"), "phone": f"length({_digits('x.s')}) between 8 and 15"}
+WIDER_VALID = {"secret": "true", "email": "true", "ip": "true", "card": _luhn("x.s"), "phone": f"length({_digits('x.s')}) between 8 and 15"}
 
 
 def _found(kind: str, pattern: str, needs: str, valid: str):
     literal = pattern.replace("\\", "\\\\").replace("'", "\\'")
-    marked = f"regexp_replace(t, '{literal}', '\\u0001$0\\u0002')"
+    mark = "$1\\u0001$2\\u0002" if kind == "secret" else "\\u0001$0\\u0002"
+    marked = f"regexp_replace(t, '{literal}', '{mark}')"
     return F.expr(f"CASE WHEN {needs} THEN {marked} END").alias(f"m_{kind}"), f"coalesce(filter({_cut('m_' + kind)}, x -> {valid}), cast(array() as {_SPANS}))"
 
 
@@ -87,12 +93,15 @@ def _votes(kind: str) -> str:
         "ip": "CASE WHEN x.s like '%:%' THEN CASE WHEN lower(x.s) rlike '^(2|3|f[cdef])' THEN 1 ELSE 0 END WHEN cast(regexp_extract(x.s, '^([0-9]{1,3})', 1) as int) between 1 and 239 THEN 1 ELSE 0 END",
         "card": "CASE WHEN x.s rlike '^[3456]' THEN 1 ELSE 0 END",
         "phone": f"CASE WHEN x.s not rlike '^([+]|00)' THEN 2 WHEN regexp_extract(x.s, '^(?:[+]|00)([17]|[0-9]{{2}})', 1) in {CODES} THEN 1 ELSE 0 END",
+        "secret": "CASE WHEN x.s rlike '^(AKIA|gh[pousr]_|sk-|xox[abp]-)' or (x.s rlike '^[0-9A-Fa-f]+$' and length(x.s) in (32, 40, 56, 64, 96, 128)) THEN 1 WHEN x.s not rlike '[0-9]' THEN 0 ELSE 2 END",
     }[kind]
     shape = {
         "email": "x.base", "ip": "x.base or x.s like '%:%:%'", "card": "x.base or x.s rlike '^3[47]'", "phone": "x.base or x.s rlike '^[(]'",
+        "secret": "x.s rlike '[0-9]' and x.s rlike '[A-Za-z]' and length(x.s) >= 20",
     }[kind]
+    otherwise = 0 if kind == "secret" else 2
     context = f"CASE WHEN lower(substring(t, greatest(1, x.b + 1 - {BEFORE}), least(x.b, {BEFORE}))) rlike '{WORDS[kind]}' THEN 1 ELSE 2 END"
-    return f"struct('{kind}' as kind, x.b as b, x.e as e, x.base as base, CASE WHEN {shape} THEN 1 ELSE 2 END as v1, {gazetteer} as v2, {context} as v3, least(9, length(x.s) div 4) as size, x.s rlike '[ ()./_-]' as cut)"
+    return f"struct('{kind}' as kind, x.b as b, x.e as e, x.base as base, CASE WHEN {shape} THEN 1 ELSE {otherwise} END as v1, {gazetteer} as v2, {context} as v3, least(9, length(x.s) div 4) as size, x.s rlike '[ ()./_-]' as cut)"
 
 
 def proposals(docs: DataFrame) -> DataFrame:
@@ -100,12 +109,13 @@ def proposals(docs: DataFrame) -> DataFrame:
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "translate(coalesce(cast(text as string), ''), '\\u0001\\u0002', '\\u0003\\u0003') t")
     base = {k: _found(k, BASE[k], NEEDS[k], VALID[k]) for k in KINDS}
     rows = rows.select("doc_id", "t", *(m for m, _ in base.values())).select("doc_id", "t", *(F.expr(e).alias(f"b_{k}") for k, (_, e) in base.items()))
-    wider = {k: _found(k, WIDER[k], WIDER_NEEDS[k], WIDER_VALID[k]) for k in KINDS}
+    wider = {k: _found(k, WIDER[k], WIDER_NEEDS[k], WIDER_VALID[k]) for k in EVERY}
     rows = rows.select("doc_id", "t", *(f"b_{k}" for k in KINDS), *(m for m, _ in wider.values()))
     rows = rows.withColumn("base", F.expr("concat(" + ", ".join(f"transform(b_{k}, x -> struct('{k}' as kind, x.b as b, x.e as e))" for k in KINDS) + ")"))
     new = {k: f"filter({e}, x -> not exists(base, y -> x.b < y.e and y.b < x.e))" for k, (_, e) in wider.items()}
-    rows = rows.select("doc_id", "t", "base", *(F.expr(f"concat(transform(b_{k}, x -> struct(x.b, x.e, x.s, true as base)), transform({new[k]}, x -> struct(x.b, x.e, x.s, false as base)))").alias(f"p_{k}") for k in KINDS))
-    return rows.select("doc_id", "base", F.expr("concat(" + ", ".join(f"transform(p_{k}, x -> {_votes(k)})" for k in KINDS) + ")").alias("proposed"))
+    own = {k: f"transform(b_{k}, x -> struct(x.b, x.e, x.s, true as base))" if k in KINDS else "array()" for k in EVERY}
+    rows = rows.select("doc_id", "t", "base", *(F.expr(f"concat({own[k]}, transform({new[k]}, x -> struct(x.b, x.e, x.s, false as base)))").alias(f"p_{k}") for k in EVERY))
+    return rows.select("doc_id", "base", F.expr("concat(" + ", ".join(f"transform(p_{k}, x -> {_votes(k)})" for k in EVERY) + ")").alias("proposed"))
 
 
 def _rounds() -> str:
@@ -175,7 +185,7 @@ def spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all) and n_added of each row."""
     name = "array_join(transform({}, x -> concat_ws(':', x.kind, x.b, x.e)), ',')"
-    ranks = ", ".join(f"'{k}', {i}" for i, k in enumerate(KINDS))
+    ranks = ", ".join(f"'{k}', {i}" for i, k in enumerate(EVERY))
     every = f"transform(array_sort(transform(concat(base, added), x -> struct(map({ranks})[x.kind] as r, x.b as b, x.e as e, x.kind as kind))), x -> struct(x.kind as kind, x.b as b, x.e as e))"
     return spans(spark, docs).select(
         "doc_id", *(F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) as long)").alias(f"n_{k}") for k in KINDS),
