@@ -2,14 +2,15 @@
 
 Each text becomes byte-pair token ids and an end mark, cut into sequences of SEQ_LEN, and is written as a token table
 once. Sequences are numbered by (file, row, part) of the input table, which doesn't depend on how Spark splits it: each
-row knows its place in its split, and running sums over the splits number these. A keyed Feistel permutation of
-[0, N) with cycle-walking gives each sequence its global slot. Sequences are dealt to range partitions of slots, one a
-shard; a shard is rows (shard, block, first_slot, records, payload), payload being `records` records of a fixed
+row knows its place in its split, and running sums over files and over each file's splits number these. A keyed Feistel
+permutation of [0, N) with cycle-walking gives each sequence its global slot. Sequences are dealt to range partitions
+of slots, each of whole shards of a set number of sequences, whatever the table's size; a shard is rows (shard, block, first_slot, records, payload), payload being `records` records of a fixed
 stride, so slot s lies at byte stride * (s - first slot of its shard) and a reader can begin at any slot. Spark's
 commit makes a table whole or absent, and a lost executor's tasks give the same rows again.
 
 A record: doc_id int64 (null: the smallest int64), part int32, tokens int32, then SEQ_LEN uint16 ids, zeros after the
-tokens. A null or empty text is one sequence of the end mark. Repeated rows are sequences of their own. Columns beyond
+tokens. A null or empty text is one sequence of the end mark. Repeated rows are sequences of their own, also where a
+frame reads one file twice. Columns beyond
 doc_id and text are not read. An empty table gives no shard.
 """
 
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import mix, stored
 
 SEQ_LEN, SEQS_PER_SHARD, BLOCK, ROUNDS = 512, 16384, 256, 4
+#: Range partitions at most; more shards share one, in order, and are as large as ever.
+PARTITIONS = 20_000
 NO_ID = -(1 << 63)
 HEAD = np.dtype([("doc_id", "<i8"), ("part", "<i4"), ("tokens", "<i4")])
 
@@ -76,10 +79,11 @@ def tokenizer(path: str):
 
 
 def _token_pass(path: str, length: int):
-    """Rows (f, first, at, doc_id, ids): the split's file and first row, and its sequences before this row."""
+    """Rows (f, first, p, at, doc_id, ids): the split's file, first row and task, and its sequences before this row."""
 
     def run(batches):
         encode, end = tokenizer(path)
+        task = TaskContext.get().partitionId()
         file = first = after = None
         at = 0
         for batch in batches:
@@ -93,23 +97,23 @@ def _token_pass(path: str, length: int):
                 firsts.append(first)
                 ids.append(own.tobytes())
                 at += -(-len(own) // length)
-            yield pa.RecordBatch.from_arrays([batch.column("f"), pa.array(firsts, pa.int64()), pa.array(ats, pa.int64()), batch.column("doc_id"), pa.array(ids, pa.binary())], ["f", "first", "at", "doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("f"), pa.array(firsts, pa.int64()), pa.array([task] * len(ats), pa.int32()), pa.array(ats, pa.int64()), batch.column("doc_id"), pa.array(ids, pa.binary())], ["f", "first", "p", "at", "doc_id", "ids"])
 
     return run
 
 
-def _deal_pass(length: int, bases, n: int, key: int, per_shard: int):
+def _deal_pass(length: int, n: int, key: int, per_shard: int):
+    """Rows (shard, slot, doc_id, part, ids) of sequences from rows (at, doc_id, ids), `at` numbering a text's first."""
     columns = ["shard", "slot", "doc_id", "part", "ids"]
 
     def run(batches):
         for batch in batches:
             index, doc, part, own = [], [], [], []
-            for f, first, at, d, ids in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                base = bases.value[f, first] + at
+            for at, d, ids in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 for k in range(0, len(ids), 2 * length):
                     own.append(ids[k : k + 2 * length])
                     part.append(k // (2 * length))
-                    index.append(base + part[-1])
+                    index.append(at + part[-1])
                     doc.append(NO_ID if d is None else d)
             slot = permute(np.array(index, np.int64), n, key)
             for k in range(0, len(own), 4096):
@@ -151,16 +155,19 @@ def write_shards(spark: SparkSession, docs: DataFrame, key: int = 2024, ranks: s
     if not _from_files(docs):
         docs = stored(spark, docs.select("doc_id", "text"), "sequences")
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "_metadata.file_path f", "_metadata.row_index r")
-    tokens = stored(spark, docs.mapInArrow(_token_pass(ranks or default_ranks(), length), "f string, first long, at long, doc_id long, ids binary"), "tokens")
-    splits = tokens.groupBy("f", "first").agg(F.max(F.expr(f"at + ceil(length(ids) / {2 * length})")).cast("long").alias("n"))
-    # one row for each split, which the scheduler holds too: the bound of the driver's and the broadcast share
-    numbered = splits.withColumn("base", F.sum("n").over(Window.orderBy("f", "first").rowsBetween(Window.unboundedPreceding, -1))).collect()
-    bases = spark.sparkContext.broadcast({(x.f, x["first"]): x.base or 0 for x in numbered})
-    n = sum(x.n for x in numbered)
-    # a shard grows before the count of shards outgrows what one stage can hold
-    per_shard = max(per_shard, -(-n // 20_000))
-    dealt = tokens.mapInArrow(_deal_pass(length, bases, n, key, per_shard), "shard int, slot long, doc_id long, part int, ids binary")
-    dealt = dealt.repartitionById(max(1, -(-n // per_shard)), F.col("shard")).sortWithinPartitions("slot")
+    tokens = stored(spark, docs.mapInArrow(_token_pass(ranks or default_ranks(), length), "f string, first long, p int, at long, doc_id long, ids binary"), "tokens")
+    splits = tokens.groupBy("f", "first", "p").agg(F.max(F.expr(f"at + ceil(length(ids) / {2 * length})")).cast("long").alias("n"))
+    files = splits.groupBy("f").agg(F.sum("n").alias("n"))
+    files = files.select("f", F.coalesce(F.sum("n").over(Window.orderBy("f").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("file_base"))
+    inner = Window.partitionBy("f").orderBy("first", "p").rowsBetween(Window.unboundedPreceding, -1)
+    bases = splits.withColumn("base", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(files, "f").selectExpr("f", "first", "p", "file_base + base base", "n")
+    bases = stored(spark, bases, "bases")
+    n = bases.agg(F.sum("n")).first()[0] or 0
+    numbered = tokens.join(bases.drop("n"), ["f", "first", "p"]).selectExpr("base + at at", "doc_id", "ids")
+    dealt = numbered.mapInArrow(_deal_pass(length, n, key, per_shard), "shard int, slot long, doc_id long, part int, ids binary")
+    shards = max(1, -(-n // per_shard))
+    each = -(-shards // PARTITIONS)
+    dealt = dealt.repartitionById(-(-shards // each), F.expr(f"cast(shard div {each} as int)")).sortWithinPartitions("slot")
     return stored(spark, dealt.mapInArrow(_pack_pass(length, per_shard), "shard int, block int, first_slot long, records int, payload binary"), "shards")
 
 
