@@ -1,9 +1,11 @@
 """Offset-preserving SentencePiece encoding and decoding (byte-pair models).
 
 Normalisation replaces the longest prefix that the model's compiled character map knows, and keeps for each
-normalised byte the byte of the source that it came from; every piece is projected through this alignment to a span
-of the original text. A text is cut into chunks at places that no vocabulary piece spans, so a chunk's pieces don't
-depend on its neighbours and are cached; the merges are the model's own (best score first, leftmost on ties).
+normalised character the bytes of the source that it came from; every piece is projected through this alignment to a
+span of the original text. Where no known prefix can begin, text is copied in one stretch, with its offsets counted.
+A text is cut into chunks at places that no vocabulary piece spans, so a chunk's pieces don't depend on its neighbours
+and are cached; the merges are the model's own (best score first, leftmost on ties). All texts take this one path; the
+library encodes nothing here.
 
 A null text counts as empty: no ids, decoded to the empty text. Any length of text works; a chunk too long for the
 cache is merged with a heap. Repeated rows repeat; columns beyond doc_id and text are not read.
@@ -15,7 +17,9 @@ import heapq
 import re
 import struct
 import zlib
+from array import array
 from hashlib import sha256
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame
 
 SPACE = "▁"
 #: Chunks that a worker remembers, and the longest of them in characters.
-CACHED, CACHED_LENGTH = 200_000, 48
+CACHED, CACHED_LENGTH = 300_000, 48
 
 
 def default_model() -> str:
@@ -32,6 +36,20 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _lead_class(byte: int) -> str:
+    """The characters whose UTF-8 begins with a byte, as a range for a pattern; none for a byte that only continues."""
+    if byte < 0x80:
+        return re.escape(chr(byte))
+    if not 0xC2 <= byte < 0xF5:
+        return ""
+    first, last = (byte & 31) << 6, ((byte & 31) << 6) + 63
+    if byte >= 0xF0:
+        first, last = max(0x10000, (byte & 7) << 18), min(0x10FFFF, ((byte & 7) << 18) + (1 << 18) - 1)
+    elif byte >= 0xE0:
+        first, last = max(0x800, (byte & 15) << 12), ((byte & 15) << 12) + 4095
+    return f"\\U{first:08x}-\\U{last:08x}"
+
+
 class CharMap:
     """The compiled character map: a double-array trie of UTF-8 prefixes, and the texts that replace them."""
 
@@ -41,12 +59,22 @@ class CharMap:
             size = struct.unpack_from("<I", blob)[0]
             self.units = struct.unpack_from(f"<{size // 4}I", blob, 4)
             self.texts = blob[4 + size :]
+        #: finds a character of whose first byte the map knows a prefix; None without a map
+        self.starts = re.compile("[" + "".join(map(_lead_class, self._leads())) + "]").search if self.units else None
+
+    def _leads(self) -> list[int]:
+        root = self._jump(self.units[0])
+        return [b for b in range(1, 256) if (at := root ^ b) < len(self.units) and self.units[at] & 0x800000FF == b]
+
+    @staticmethod
+    def _jump(unit: int) -> int:
+        return (unit >> 10) << ((unit & 512) >> 6)
 
     def longest(self, data: bytes, at: int) -> tuple[bytes, int] | None:
         """(replacement, length) of the longest known prefix of data[at:]."""
         if not self.units:
             return None
-        jump = lambda unit: (unit >> 10) << ((unit & 512) >> 6)
+        jump = self._jump
         node, best = jump(self.units[0]), None
         for i in range(at, len(data)):
             node ^= data[i]
@@ -92,65 +120,92 @@ class PieceModel:
 
     # normalisation
 
+    def _stretches(self, text: str):
+        """(new text, length in characters of the source or 0 for the same) of stretches that cover a text."""
+        if self.charmap.starts is None:
+            yield text, 0
+            return
+        data = text.encode()
+        at = byte = 0  # in characters, in bytes
+        while at < len(text):
+            hit = self.charmap.starts(text, at)
+            to = hit.start() if hit else len(text)
+            if to > at:
+                byte += len(text[at:to].encode())
+                yield text[at:to], 0
+                at = to
+                continue
+            found = self.charmap.longest(data, byte)
+            if found:
+                n = len(data[byte : byte + found[1]].decode())
+                yield found[0].decode(), n
+                byte += found[1]
+            else:
+                n = 1
+                yield text[at], 0
+                byte += len(text[at].encode())
+            at += n
+
     def normalise(self, text: str) -> tuple[str, list[int], list[int]]:
-        """The normalised text; for each of its characters where in the source's bytes it begins and where it ends."""
-        data, out, begin, end = text.encode(), [], [], []
-        at = 0
+        """The normalised text; for each of its characters where in the source's bytes it begins and where it ends.
 
-        def step(at: int) -> tuple[str, int]:
-            found = self.charmap.longest(data, at)
-            if found:
-                return found[0].decode(), found[1]
-            first = data[at]
-            n = 1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
-            return data[at : at + n].decode(), n
-
-        if self.squeeze:
-            while at < len(data):
-                new, n = step(at)
-                if new != " ":
-                    break
-                at += n
-        if at == len(data):
-            return "", [], []
-        space = SPACE if self.escape else " "
+        Characters of one replacement share its span.
+        """
+        new, begin, end = self.aligned(text)
+        return new, begin.tolist(), end.tolist()
+
+    def aligned(self, text: str) -> tuple[str, np.ndarray, np.ndarray]:
+        """What normalise() gives, as arrays."""
+        lead = np.frombuffer(text.encode(), np.uint8)
+        places = np.append(np.flatnonzero((lead & 0xC0) != 0x80), len(lead))  # of the source's characters
+        if self.charmap.starts is None:
+            new, begin, end = text, places[:-1], places[1:]
+        else:
+            out, first, last, at = [], [], [], 0
+            for piece, n in self._stretches(text):
+                out.append(piece)
+                if n:
+                    first.append(np.full(len(piece), places[at]))
+                    last.append(np.full(len(piece), places[at + n]))
+                    at += n
+                else:
+                    first.append(places[at : at + len(piece)])
+                    last.append(places[at + 1 : at + len(piece) + 1])
+                    at += len(piece)
+            none = np.zeros(0, np.int64)
+            new, begin, end = "".join(out), np.concatenate([none, *first]), np.concatenate([none, *last])
+        if self.squeeze and new:
+            chars = np.frombuffer(new.encode("utf-32-le"), np.uint32)
+            keep = chars != 32
+            keep[1:] |= keep[:-1]  # the first space of a run
+            keep[0] = chars[0] != 32
+            while len(keep) and chars[keep].size and chars[keep][-1] == 32:
+                keep[np.flatnonzero(keep)[-1]] = False
+            new, begin, end = chars[keep].tobytes().decode("utf-32-le"), begin[keep], end[keep]
+        if not new:
+            return "", begin[:0], end[:0]
         if self.dummy:
-            out.append(space), begin.append(at), end.append(at)
-        gap = self.squeeze
-        while at < len(data):
-            new, n = step(at)
-            if gap:
-                new = new.lstrip(" ")
-            for c in new:
-                out.append(space if c == " " else c), begin.append(at), end.append(at + n)
-            if new:
-                gap = new.endswith(" ")
-            at += n
-            gap = gap and self.squeeze
-        while self.squeeze and out and out[-1] == space:
-            out.pop(), begin.pop(), end.pop()
-        # a piece ends where the next character begins, so characters of one replacement share its span
-        return "".join(out), begin, end
+            new, begin, end = " " + new, np.append(begin[0], begin), np.append(begin[0], end)
+        return new.replace(" ", SPACE) if self.escape else new, begin, end
 
     # merging
 
     def merge(self, chunk: str) -> list[str]:
         """The pieces of one chunk by the model's merges."""
-        if chunk in self.id and len(chunk) == 1:
+        if len(chunk) == 1:
             return [chunk]
         parts, score = list(chunk), self.score
         if len(parts) <= CACHED_LENGTH:
             none = float("-inf")
             get = score.get
-            pairs = [get(x + y, none) for x, y in zip(parts, parts[1:])]
+            pairs = [get(x, none) for x in map(add, parts, parts[1:])]
             while pairs:
                 best = max(pairs)
                 if best == none:
                     break
                 i = pairs.index(best)
-                both = parts[i] + parts[i + 1]
-                parts[i : i + 2] = [both]
-                del pairs[i]
+                parts[i] = both = parts[i] + parts[i + 1]
+                del parts[i + 1], pairs[i]
                 if i:
                     pairs[i - 1] = get(parts[i - 1] + both, none)
                 if i < len(pairs):
@@ -254,86 +309,75 @@ class PieceModel:
 
 
 class ChunkCache:
-    """What `form` makes of the ids of a chunk; two generations of remembered chunks bound the memory."""
+    """What `form` makes of the pieces of a chunk; two generations of remembered chunks bound the memory."""
 
     def __init__(self, model: PieceModel, form):
-        import sentencepiece
-
         self.model, self.form = model, form
         self.young, self.old = {}, {}
-        self.many = sentencepiece.SentencePieceProcessor(model_file=model.path).encode
-
-    def learn(self, chunks: set[str]) -> None:
-        """Have a value for each of the chunks until the next call."""
-        young, old = self.young, self.old
-        missing = [c for c in chunks if c not in young]
-        if len(young) + len(missing) > CACHED and young:
-            self.old, self.young = old, young = young, {}
-            missing = list(chunks)
-        fresh = []
-        for c in missing:
-            if (v := old.get(c)) is not None:
-                young[c] = v
-            elif c[0] == SPACE != c:
-                fresh.append(c)  # the encoder puts the first space back
-            else:
-                young[c] = self.form([i for p in self.model.merge(c) for i in self.model.ids_of(p)], c)
-        for c, ids in zip(fresh, self.many([c[1:].replace(SPACE, " ") for c in fresh], num_threads=1), strict=True):
-            young[c] = self.form(ids, c)
-
-    def texts(self, texts: list[str | None]):
-        """For each text its chunks' values, or None where it takes the slow path."""
-        held, size = [], 0
-        for text in texts:
-            held.append(plain_chunks(self.model, text or ""))
-            size += len(text or "")
-            if size > 1 << 20:
-                yield from self._values(held)
-                held, size = [], 0
-        yield from self._values(held)
-
-    def _values(self, held):
-        self.learn(set().union(*[c for c in held if c]))
-        young = self.young
-        for chunks in held:
-            yield None if chunks is None else [young[c] for c in chunks]
-
-
-def plain_chunks(model: PieceModel, text: str) -> list[str] | None:
-    """The chunks of a text that normalisation leaves alone but for spaces; None where it needs the slow path."""
-    if model.charmap.units or model.squeeze or not (model.dummy and model.escape and model.bytes) or SPACE in text:
-        return None
-    return model.chunks(SPACE + text.replace(" ", SPACE)) if text else []
+
+    def values(self, chunks: list[str]) -> list:
+        try:
+            return [self.young[c] for c in chunks]
+        except KeyError:
+            return [self._value(c) for c in chunks]
+
+    def _value(self, chunk: str):
+        v = self.young.get(chunk)
+        if v is None:
+            v = self.old.get(chunk)
+            if v is None:
+                v = self.form(self.model.merge(chunk))
+            if len(self.young) >= CACHED:
+                self.old, self.young = self.young, {}
+            if len(chunk) <= CACHED_LENGTH:
+                self.young[chunk] = v
+        return v
 
 
 def encoded(model: PieceModel):
     """A function of texts: of each (ids joined by commas, count, decoded text, ends of the spans as int64 bytes)."""
-    spelt = frozenset(model.bytes.values())
-    width = [len(p.encode()) - 2 * p.count(SPACE) for p in model.pieces]
-    words = [p.replace(SPACE, " ") for p in model.pieces]
-
-    def form(ids: list[int], chunk: str):
-        if spelt.isdisjoint(ids):
-            return ",".join(map(str, ids)), len(ids), "".join([words[i] for i in ids]), np.array([width[i] for i in ids], np.int32).tobytes()
-        widths = []
-        for piece in model.merge(chunk):
-            widths += [0] * (len(model.ids_of(piece)) - 1) + [len(piece.encode()) - 2 * piece.count(SPACE)]
-        return ",".join(map(str, ids)), len(ids), model.surface(ids), np.array(widths, np.int32).tobytes()
+    one = spelt(model)
 
-    cache = ChunkCache(model, form)
+    def run(texts):
+        for a, n, back, _, end in map(one, texts):
+            yield a, n, back, end.astype("<i8").tobytes()
 
-    def run(texts: list[str | None]):
-        for text, own in zip(texts, cache.texts(texts), strict=True):
-            if own is None:
-                tokens = model.encode_offsets(text)
-                ids = [t[0] for t in tokens]
-                yield ",".join(map(str, ids)), len(ids), model.decode(ids), np.array([t[3] for t in tokens], np.int64).tobytes()
-            elif not own:
-                yield "", 0, "", b""
-            else:
-                ids, n, back, widths = zip(*own, strict=True)
-                ends = np.cumsum(np.frombuffer(b"".join(widths), np.int32), dtype=np.int64) - 1  # the first space is ours
-                yield ",".join(ids), sum(n), "".join(back)[1:], ends.tobytes()
+    return run
+
+
+def spelt(model: PieceModel):
+    """A function of a text: (ids joined by commas, count, decoded text, begins and ends of the spans)."""
+
+    def form(pieces: list[str]):
+        """Ids joined by commas, their number, their text, and the characters that each covers as int32 bytes."""
+        try:
+            return ",".join([named[p] for p in pieces]), len(pieces), "".join(pieces).replace(SPACE, " "), array("i", map(len, pieces)).tobytes()
+        except KeyError:  # a character that is spelt by its bytes
+            pass
+        ids, sizes = [], []
+        for piece in pieces:
+            own = model.ids_of(piece)
+            ids += own
+            sizes += [0] * (len(own) - 1) + [len(piece)]
+        return ",".join(map(str, ids)), len(ids), model.surface(ids), np.array(sizes, np.int32).tobytes()
+
+    named = {p: str(i) for p, i in model.id.items()}
+    cache = ChunkCache(model, form)
+    joined = bool(model.bytes) and model.dummy  # else unknown characters run together across chunks, or nothing precedes
+
+    def run(text: str | None):
+        if not joined:
+            tokens = model.encode_offsets(text)
+            ids = [t[0] for t in tokens]
+            return ",".join(map(str, ids)), len(ids), model.decode(ids), np.array([t[2] for t in tokens], np.int64), np.array([t[3] for t in tokens], np.int64)
+        norm, begin, end = model.aligned(text or "")
+        if not norm:
+            return "", 0, "", begin, end
+        ids, n, back, sizes = zip(*cache.values(model.chunks(norm)), strict=True)
+        upto = np.cumsum(np.frombuffer(b"".join(sizes), np.int32), dtype=np.int64)
+        first = np.append(begin, end[-1])
+        # the spans of bytes that spell a character are empty but for the last, as in encode_offsets()
+        return ",".join(ids), sum(n), "".join(back)[1:], first[np.append(0, upto[:-1])], first[upto]
 
     return run
 
@@ -355,18 +399,22 @@ def encode_documents(docs: DataFrame, model_path: str | None = None) -> DataFram
 
 
 def digests(docs: DataFrame, model_path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ends_crc32) of each row's whole text; one narrow pass, no shuffle."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, spans_crc32) of each row's whole text; one narrow pass, no shuffle.
+
+    spans_crc32 is that of all begins and then all ends of the pieces, as 64-bit numbers.
+    """
     path = model_path or default_model()
 
     def run(batches):
-        one = encoded(PieceModel(path))
+        one = spelt(PieceModel(path))
         for batch in batches:
-            n, ids, back, ends = [], [], [], []
-            for a, b, c, d in one(batch.column("text").to_pylist()):
+            n, ids, back, spans = [], [], [], []
+            for text in batch.column("text"):
+                a, b, c, begin, end = one(text.as_py())
                 n.append(b)
                 ids.append(sha256(a.encode()).hexdigest())
                 back.append(sha256(c.encode()).hexdigest())
-                ends.append(zlib.crc32(d))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string()), pa.array(ends, pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ends_crc32"])
+                spans.append(zlib.crc32(end.astype("<i8").tobytes(), zlib.crc32(begin.astype("<i8").tobytes())))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string()), pa.array(spans, pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ends_crc32 long")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long")
