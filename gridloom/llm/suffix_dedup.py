@@ -12,6 +12,11 @@ bytes. Then
 Texts are known by a 128-bit hash, so copies of a text share one result; a text has its covered bytes removed at once,
 judged on the input.
 
+Passages that recur but are too short for SPAN are reported, not removed: in each window of PASSAGE bytes the leftmost
+smallest hash of its MARK-byte strings is a mark, so equal windows hold an equal mark, and n_shared counts a text's
+distinct marks that also start elsewhere. It is over 0 for each text that shares PASSAGE bytes with another place, and 0
+where no MARK bytes are shared; only counts of hashes travel.
+
 A null text is empty; texts under SPAN bytes keep all. Repeated rows are repeats of each other. Only doc_id and text
 are read. Very long texts are cut into overlapping segments for the pass.
 """
@@ -30,6 +35,7 @@ from gridloom.llm.common import prefix_hash, range_hash, stored, text_slices
 
 SPAN, GRAM, SHALLOW = 400, 32, 48
 HOT, SEGMENT, BUCKET_BYTES = 20_000, 8 << 20, 8 << 20
+PASSAGE, MARK = 256, 96
 
 
 # deep-shallow sorting
@@ -227,6 +233,74 @@ def runs(data: np.ndarray, offs: np.ndarray, span: int = SPAN, gram: int = GRAM)
     return {"row": row, "lo": lo - begin, "hi": hi - begin, "anchor": anchor - begin, "q": h[anchor].view(np.int64), "b1": range_hash(sums, lo, hi + span).view(np.int64), "b2": (total[hi + span - gram + 1] - total[lo]).view(np.int64)}
 
 
+def marks(data: np.ndarray, offs: np.ndarray, passage: int = PASSAGE, mark: int = MARK) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of each marked place: the leftmost smallest hash of a `mark`-byte string in some window of `passage` bytes."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    if len(data) < passage or (np.diff(offs) < passage).all():
+        return none
+    if len(data) > 2 * SEGMENT:
+        rows, found = [none[0]], [none[1]]
+        for row in np.flatnonzero(np.diff(offs) >= passage):
+            last = -1
+            for at in range(0, int(offs[row + 1] - offs[row]) - passage + 1, SEGMENT):
+                piece = data[offs[row] + at : min(offs[row + 1], offs[row] + at + SEGMENT + passage - 1)]
+                place, h = _marked(piece, np.array([0, len(piece)]), passage, mark)
+                new = place + at > last  # a place near the cut is marked from both sides
+                last = int(place[-1]) + at
+                rows.append(np.full(int(new.sum()), row))
+                found.append(h[new])
+        return np.concatenate(rows), np.concatenate(found)
+    place, h = _marked(data, offs, passage, mark)
+    return np.searchsorted(offs, place, side="right") - 1, h
+
+
+def _marked(data: np.ndarray, offs: np.ndarray, passage: int, mark: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in data, in order, and the hashes of their strings."""
+    at = np.arange(len(data) - mark + 1)
+    h = range_hash(prefix_hash(data), at, at + mark)
+    w = passage - mark + 1
+    key = (h & np.uint64(0xFFFFFFFFFF000000)) | at.astype(np.uint64)
+    whole = np.full(-(-len(key) // w) * w, np.uint64(0xFFFFFFFFFFFFFFFF))
+    whole[: len(key)] = key
+    grid = whole.reshape(-1, w)
+    ahead = np.minimum.accumulate(grid, axis=1).ravel()
+    back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    n = len(data) - passage + 1
+    inside = np.zeros(n + 1, np.int64)
+    long = np.flatnonzero(np.diff(offs) >= passage)
+    np.add.at(inside, offs[long], 1)
+    np.add.at(inside, offs[long + 1] - passage + 1, -1)
+    p = np.flatnonzero(np.cumsum(inside[:n]) > 0)
+    place = np.unique((np.minimum(back[p], ahead[p + w - 1]) & np.uint64(0xFFFFFF)).astype(np.int64))
+    return place, h[place]
+
+
+def _mark_pass(passage: int, mark: int):
+    """Rows (t1, t2, marks, once): of each text with marks the distinct hashes, and which of them it holds once only."""
+
+    def run(batches):
+        for batch in batches:
+            for _, data, offs in text_slices(batch):
+                row, h = marks(data, offs, passage, mark)
+                t1, t2 = _text_keys(data, offs)
+                cut = np.searchsorted(row, np.arange(len(offs)))
+                rows = np.flatnonzero(np.diff(cut))
+                both = [np.unique(h[cut[i] : cut[i + 1]], return_counts=True) for i in rows]
+                yield pa.RecordBatch.from_arrays([pa.array(t1[rows]), pa.array(t2[rows]), pa.array([x.view(np.int64) for x, _ in both], pa.list_(pa.int64())), pa.array([c == 1 for _, c in both], pa.list_(pa.bool_()))], ["t1", "t2", "marks", "once"])
+
+    return run
+
+
+def shared_marks(spark: SparkSession, docs: DataFrame, passage: int = PASSAGE, mark: int = MARK) -> DataFrame:
+    """(t1, t2, n_shared) of the texts that share marks with another place."""
+    found = docs.selectExpr("cast(text as string) text").mapInArrow(_mark_pass(passage, mark), "t1 long, t2 long, marks array<long>, once array<boolean>")
+    found = stored(spark, found, "marks").selectExpr("t1", "t2", "inline(arrays_zip(marks, once))")
+    twice = stored(spark, found.groupBy("marks").agg(F.sum(F.expr("if(once, 1, 2)")).alias("n")).where("n > 1").select("marks"), "twice")
+    # a table on either side, so that the join may split a mark that very many texts hold
+    shared = found.select("t1", "t2", "marks").join(twice, "marks").distinct()
+    return stored(spark, shared.groupBy("t1", "t2").agg(F.count("*").alias("n_shared")), "shared")
+
+
 def _text_keys(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     whole = data.tobytes()
     raw = b"".join([xxhash.xxh3_128_digest(whole[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)])
@@ -360,10 +434,11 @@ def _kept(raw: bytes, spans) -> tuple[bytes, int, int]:
 
 
 def removed(spark: SparkSession, docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT, texts: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row; with `texts` also what is left, as `kept` binary."""
-    spans = repeated(spark, docs, span, gram, hot)
-    both = _keyed_texts(docs).join(spans, ["t1", "t2"], "left").select("doc_id", "text", "spans")
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * texts]
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared) of each row; with `texts` also what is left, as `kept` binary."""
+    shared = shared_marks(spark, docs)
+    spans = repeated(spark, docs, span, gram, hot).join(shared, ["t1", "t2"], "full")
+    both = _keyed_texts(docs).join(spans, ["t1", "t2"], "left").selectExpr("doc_id", "text", "spans", "coalesce(n_shared, 0L) n_shared")
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared", *["kept"] * texts]
 
     def run(batches):
         for batch in batches:
@@ -374,6 +449,7 @@ def removed(spark: SparkSession, docs: DataFrame, span: int = SPAN, gram: int =
                 rows.append((len(raw), gone, count, sha256(kept).hexdigest(), kept))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.binary()] * texts)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=False))], names)
+            made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made[:4], batch.column("n_shared"), *made[4:]], names)
 
-    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)
+    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long" + ", kept binary" * texts)
