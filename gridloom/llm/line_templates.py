@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from gridloom.llm.common import mix, prefix_hash, range_hash, stored, text_slices
 from gridloom.llm.ngram_join import word_bounds
@@ -32,8 +33,8 @@ LEADING, ALIKE, MIN_DOCS = 3, 0.7, 2
 FLUSH_LINES, BUCKETS_LEAST, BUCKET_LINES = 200_000, 48, 100_000
 #: Templates of a leaf that are all compared with each line; positions that are compared at once.
 FEW, COMPARED = 64, 1 << 21
-#: Recurring lines that may be sent to every worker: 32 MB.
-SHARED_LINES = 2_000_000
+#: Recurring lines (16 bytes each) that a caller lets be sent to every worker; by default none, so one plan serves any size.
+SHARED_LINES = 0
 _FIELD = np.uint64(0x2545F4914F6CDD1D)
 _K = 0x9FB21C651E98DF25
 
@@ -231,22 +232,23 @@ def _cleaned(spark: SparkSession, docs: DataFrame, min_docs: int, shared_lines:
     Up to shared_lines recurring lines (16 bytes each) go to all workers; more are joined to the texts that have them.
     """
     lines, rows = recurring_lines(spark, docs, min_docs)
-    if lines.count() <= shared_lines:
+    if shared_lines and lines.count() <= shared_lines:
         held = sorted((r.line, r.keeper) for r in lines.collect())
         shared = spark.sparkContext.broadcast((np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.int64)))
         source = docs
     else:
         shared = None
-        own = rows.join(lines, "line").where("t <> keeper").groupBy("t").agg(F.collect_set("line").alias("_lines"))
+        key_name, own_name = (name + "_" * max(map(len, docs.columns)) for name in ("t", "lines"))  # no column's name
+        own = rows.join(lines, "line").where("t <> keeper").groupBy("t").agg(F.collect_set("line").alias(own_name))
 
         def key(batches):
             for batch in batches:
                 for part, data, offs in text_slices(batch):
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_text_keys(data, offs))], [*part.schema.names, "_t"])
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_text_keys(data, offs))], [*part.schema.names, key_name])
 
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-        own = stored(spark, own, "drops").withColumnRenamed("t", "_t")
-        source = docs.mapInArrow(key, f"{fields}, _t long").join(own, "_t", "left").select(*docs.columns, "_lines")
+        own = stored(spark, own, "drops").withColumnRenamed("t", key_name)
+        keyed = docs.mapInArrow(key, StructType([*docs.schema, StructField(key_name, LongType())]))
+        source = keyed.join(own, key_name, "left").select(*(F.col(f"`{c}`") for c in docs.columns), own_name)
 
     def slices(batches):
         for batch in batches:
@@ -264,7 +266,7 @@ def _cleaned(spark: SparkSession, docs: DataFrame, min_docs: int, shared_lines:
                         for r, n in zip(f["row"][hit].tolist(), f["number"][hit].tolist(), strict=True):
                             gone[r].add(n)
                 else:
-                    mine = [set(x.as_py() or ()) for x in part.column(part.schema.get_field_index("_lines"))]
+                    mine = [set(x.as_py() or ()) for x in part.column(part.num_columns - 1)]
                     for r, n, x in zip(f["row"].tolist(), f["number"].tolist(), h.tolist(), strict=True):
                         if x in mine[r]:
                             gone[r].add(n)
