@@ -8,7 +8,7 @@ import numpy as np
 import sentencepiece
 from pyspark.sql import functions as F
 
-from gridloom.llm import language, mixing, mpeg_audio, personal, pieces, training_order
+from gridloom.llm import language, mixing, mpeg_audio, personal, pieces, suffix_dedup, training_order
 
 
 def test_audio_parser_never_raises():
@@ -127,3 +127,42 @@ def test_map_replaces_inside_longer_texts():
     assert model.normalise("éabé aé") == ("▁éXé▁aé", [0, 0, 2, 4, 6, 7, 8], [0, 2, 4, 6, 7, 8, 10])
     model.squeeze = True
     assert model.normalise("  ab   c  ") == ("▁X▁c", [2, 2, 4, 7], [2, 4, 5, 8])
+
+
+def test_long_texts_and_shared_passages_in_tables(spark):
+    """Whole tables with all long texts, by hashes of all windows; and marks against shared windows and strings."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.select("doc_id", "text").collect()]
+    assert max(len(t) for _, t in rows) > 20_000
+    data = np.frombuffer(b"".join(t for _, t in rows), np.uint8)
+    offs = np.concatenate([[0], np.cumsum([len(t) for _, t in rows])])
+
+    def shared(span):
+        base, sums = 1_000_003, np.zeros(len(data) + 1, np.uint64)
+        power = np.cumprod(np.concatenate([[1], np.full(len(data), base)]).astype(np.uint64))
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
+        p = np.arange(len(data) - span + 1)
+        p = p[offs[np.searchsorted(offs, p, side="right")] - p >= span]
+        h = (sums[p + span] - sums[p]) * power[len(data) - p]
+        _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
+        covered = np.zeros(len(data) + 1, np.int64)
+        np.add.at(covered, p[count[inverse] > 1], 1)
+        np.add.at(covered, p[count[inverse] > 1] + span, -1)
+        inside = np.cumsum(covered[:-1]) > 0
+        return [int(inside[a:b].sum()) for a, b in zip(offs[:-1], offs[1:], strict=True)]
+
+    got = {r.doc_id: r for r in suffix_dedup.removed(spark, docs).collect()}
+    assert [got[d].n_removed for d, _ in rows] == shared(400)
+    some, least = shared(suffix_dedup.PASSAGE), shared(suffix_dedup.MARK)
+    for (d, _), a, b in zip(rows, some, least, strict=True):
+        assert not a or got[d].n_shared > 0
+        assert b or got[d].n_shared == 0
+
+
+def test_marks_of_long_texts_in_segments(monkeypatch):
+    rng = np.random.default_rng(4)
+    data = np.frombuffer(bytes(rng.choice(list(b"abcdefgh"), 6000)), np.uint8)
+    whole = suffix_dedup.marks(data, np.array([0, 6000]), 64, 16)
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 1000)
+    cut = suffix_dedup.marks(data, np.array([0, 6000]), 64, 16)
+    assert (whole[1] == cut[1]).all() and len(whole[1]) > 100
