@@ -41,15 +41,6 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 BATCH_ROWS = 500
 
 
-#: Rows of a few numbers each that a join may send to every executor: about 20 MB.
-SENT_ROWS = 300_000
-
-
-def small(df: DataFrame, limit: int = SENT_ROWS) -> DataFrame:
-    """df, a stored table of a few numbers a row, marked for sending whole if its count allows that; else joined by a shuffle."""
-    return F.broadcast(df) if df.count() <= limit else df
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table of documents; the session then hands rows to Python in batches of at most BATCH_ROWS."""
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -152,7 +143,8 @@ def sketch_rows(cells: np.ndarray, part: int, blocks: int = 16) -> pa.RecordBatc
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, root) for each node of edges (a long, b long): root is the smallest node that links lead to.
 
-    Large-star and small-star steps by turns; each result is a written table, and only two numbers a round reach the driver.
+    Large-star and small-star steps by turns; each result is a written table, and only two numbers a round reach the
+    driver. Joins have a table on either side, so that Spark may split the edges of a node that has very many.
     """
     edges = edges.where("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct()
     state = None
@@ -162,9 +154,9 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         if tuple(now) == state:
             break
         state = tuple(now)
-        both = edges.union(edges.selectExpr("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) m")
-        large = both.join(least, "a").where("b > a").selectExpr("b a", "m b").where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = stored(spark, edges.groupBy("a").agg(F.min("b").alias("m")), "least")
+        large = edges.join(least.withColumnRenamed("a", "b"), "b", "left").selectExpr("a", "coalesce(m, b) b").distinct()
+        large = stored(spark, large, "large")
+        least = stored(spark, large.groupBy("a").agg(F.min("b").alias("m")), "least")
         edges = large.join(least, "a").selectExpr("b a", "m b").union(least.selectExpr("a", "m")).where("a <> b").distinct()
     return edges.selectExpr("a node", "b root").union(edges.selectExpr("b node", "b root")).distinct()

@@ -11,8 +11,8 @@ document's component of links. The join is exact and emits no pairs inside a gro
 3. a set names the leader that most of its shared shingles name (the most common content); where many name one,
    each is checked against it, so that a large group of near copies costs one check a member, and linked sets are one
    component from here on;
-4. sets that named the same leader form groups, cut to about GROUP sets, each a column of the token-group matrix: the
-   union of its sets' shingles. Two groups may hold linked sets only if their prefixes share enough shingles; then,
+4. sets that named the same leader form groups, cut to about GROUP sets of one component where it has so many, each a
+   column of the token-group matrix: the union of its sets' shingles. Two groups may hold linked sets only if their prefixes share enough shingles; then,
    and between the cuts of one group, each set q of the smaller asks the columns of the other that have sets of other
    components: a column opens only if |q & union| >= 0.8 |q|, and its members are then compared. The sets of one
    column are compared with each other.
@@ -32,12 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import components, merged_sketch, mix, prefix_hash, range_hash, sketch_rows, small, stored, text_slices
+from gridloom.llm.common import components, merged_sketch, mix, prefix_hash, range_hash, sketch_rows, stored, text_slices
 
 WORDS, PERCENT = 5, 80
 CELLS = 1 << 20  # of the count sketch
 FLAG_BYTES = 1 << 22  # of the bit field of documents that hold a shared shingle
 GROUP = 32
+#: Documents of one sketch cell above which its shingles are no task's own; below what a cell can count.
+HOT = 50_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -131,18 +133,25 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 def _prefix_pass(words: int, seed: int, percent: int, cells, buckets: int):
     """Packed prefix entries (shingle, sid, weight) by bucket of the shingle, equal sets of a flush once."""
     packed = np.dtype([("token", "<u8"), ("sid", "<i8"), ("weight", "<u2")])
+    flushes = [0]
 
-    def flush(entries):
+    def flush(entries, hot):
+        if hot:  # a group of its own: no task gathers the entries of a hot shingle
+            flushes[0] += 1
+            yield pa.RecordBatch.from_arrays([pa.array([-flushes[0]], pa.int32()), pa.array([np.concatenate(hot).tobytes()], pa.binary())], ["bucket", "entries"])
         e = np.concatenate(entries)
+        if not len(e):
+            return
         bucket = (e["token"] >> np.uint64(20)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         e, bucket = e[order], bucket[order]
         at = np.flatnonzero(np.diff(bucket, prepend=bucket[0] + 1))
         blobs = [e[i:j].tobytes() for i, j in zip(at, [*at[1:], len(e)], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(bucket[at].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "entries"])
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[at].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "entries"])
 
     def run(batches):
-        count, entries, held, seen = cells.value, [], 0, set()
+        flushes[0] = TaskContext.get().partitionId() << 10 & 0x3FFFFFFF
+        count, entries, hot, held, seen = cells.value, [], [], 0, set()
         for batch in batches:
             for _, data, offs in text_slices(batch):
                 sets = shingle_sets(data, offs, words, seed)
@@ -155,22 +164,27 @@ def _prefix_pass(words: int, seed: int, percent: int, cells, buckets: int):
                     first = np.argsort(weight, kind="stable")[: prefix_length(len(s), percent)]
                     e = np.empty(len(first), packed)
                     e["token"], e["sid"], e["weight"] = s[first], sid, min(65535, int(16 * np.sqrt(float(weight[first[-1]]))))
-                    entries.append(e)
+                    cold = int(np.searchsorted(weight[first], HOT))  # the rarest come first
+                    entries.append(e[:cold])
+                    if cold < len(e):
+                        hot.append(e[cold:])
                     held += len(e)
                     if held >= 500_000:
-                        yield flush(entries)
-                        entries, held, seen = [], 0, set()
+                        yield from flush(entries, hot)
+                        entries, hot, held, seen = [], [], 0, set()
         if entries:
-            yield flush(entries)
+            yield from flush(entries, hot)
 
     return run, packed
 
 
 def _shared_tokens(packed: np.dtype):
-    """Of one bucket: the entries whose shingle two or more sets hold, each with the shingle's leading set."""
+    """Of one bucket: the entries whose shingle two or more sets hold, each with the shingle's leading set; hot entries as they are."""
 
     def run(table: pa.Table) -> pa.Table:
         e = np.frombuffer(b"".join(table.column("entries").to_pylist()), packed)
+        if table.column("bucket")[0].as_py() < 0:
+            return pa.table({"token": _signed(e["token"]), "sid": _signed(e["sid"]), "leader": pa.nulls(len(e), pa.int64()), "weight": pa.array(e["weight"].astype(np.int32))})
         e = e[np.lexsort((e["sid"], e["token"]))]
         fresh = np.ones(len(e), bool)
         fresh[1:] = (e["token"][1:] != e["token"][:-1]) | (e["sid"][1:] != e["sid"][:-1])
@@ -181,11 +195,23 @@ def _shared_tokens(packed: np.dtype):
         best = np.lexsort((e["sid"], -e["weight"].astype(np.int64), run_of))
         heads = np.concatenate([[0], np.cumsum(size[size > 1])[:-1]]).astype(np.int64)
         leader = e["sid"][best][heads][run_of] if len(e) else e["sid"]
-        return pa.table({"token": _signed(e["token"]), "sid": _signed(e["sid"]), "leader": _signed(leader)})
+        return pa.table({"token": _signed(e["token"]), "sid": _signed(e["sid"]), "leader": _signed(leader), "weight": pa.nulls(len(e), pa.int32())})
 
     return run
 
 
+def _with_hot(spark: SparkSession, hyper: DataFrame) -> DataFrame:
+    """The hyper table, its hot entries (no leader yet) led and kept as the others are."""
+    hot = hyper.where("leader is null").select("token", "sid", "weight")
+    hyper = hyper.where("leader is not null").select("token", "sid", "leader")
+    if hot.isEmpty():
+        return hyper
+    hot = stored(spark, hot.distinct(), "hot")
+    heads = hot.groupBy("token").agg(F.expr("max_by(sid, struct(weight, ~sid))").alias("leader"), F.count("*").alias("sets"))
+    heads = stored(spark, heads.where("sets > 1").select("token", "leader"), "heads")
+    return hyper.unionByName(stored(spark, hot.join(heads, "token").select("token", "sid", "leader"), "hot_hyper"))
+
+
 def _flag_bits(sid: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return (mix(sid.view(np.uint64) ^ mix(doc.view(np.uint64))) & np.uint64(8 * FLAG_BYTES - 1)).astype(np.int64)
 
@@ -309,7 +335,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = WORDS,
     buckets = max(48, int((total[0] or 0) * (100 - percent) / 100 / 250_000))
     run, packed = _prefix_pass(words, seed, percent, cells, buckets)
     dealt = docs.mapInArrow(run, "bucket int, entries binary")
-    hyper = stored(spark, dealt.groupBy("bucket").applyInArrow(_shared_tokens(packed), "token long, sid long, leader long"), "hyper")
+    hyper = stored(spark, dealt.groupBy("bucket").applyInArrow(_shared_tokens(packed), "token long, sid long, leader long, weight int"), "hyper")
+    hyper = _with_hot(spark, hyper)
     #: shingles that a linked set of the smallest size allowed must share with q's prefix
     least = f"1 + cast(ceil({percent} * n / 100) as long) div 20"
 
@@ -321,7 +348,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = WORDS,
     # a set that shares fewer shingles than that with all others together is in no candidate pair
     able = hyper.groupBy("sid").count().join(nodes.select("sid", "n"), "sid").where(f"count >= {least}").select("sid", "n")
     able = stored(spark, able, "able")
-    votes = hyper.join(small(able.select("sid")), "sid", "left_semi").where("sid <> leader").groupBy("sid", "leader").count()
+    votes = hyper.join(able.select("sid"), "sid", "left_semi").where("sid <> leader").groupBy("sid", "leader").count()
     pairs = votes.groupBy("sid").agg(F.expr("max_by(leader, struct(count, leader))").alias("b"), F.max("count").alias("c"))
     pairs = stored(spark, pairs.join(able, "sid").where(f"c >= {least}").selectExpr("sid a", "b"), "pairs")
     large = pairs.groupBy("b").count().where(f"count >= {GROUP // 2}").select("b")
@@ -332,31 +359,41 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = WORDS,
     # the token-group matrix: sets by the leader that they named, linked or not, cut to about GROUP
     home = able.join(linked.withColumnRenamed("node", "sid"), "sid", "left").join(pairs.selectExpr("a sid", "b"), "sid", "left")
     home = home.selectExpr("sid", "n", "coalesce(root, sid) comp", "coalesce(b, sid) g")
-    wide = home.groupBy("g").agg(F.ceil(F.count("*") / GROUP).alias("cuts"))
-    home = stored(spark, home.join(wide, "g").selectExpr("sid", "n", "comp", "g", "pmod(xxhash64(sid), cuts) k"), "groups")
+    home = stored(spark, home, "homes")
+    # a component of half a cut or more in a group has cuts of its own, the others share the rest: cuts of one
+    # component needn't be compared with each other
+    parts = stored(spark, home.groupBy("g", "comp").agg(F.count("*").alias("m")), "parts")
+    rest = parts.where(f"m < {GROUP // 2}").groupBy("g").agg(F.sum("m").alias("rest"))
+    parts = stored(spark, parts.join(rest, "g", "left"), "parts")
+    cut = f"if(m >= {GROUP // 2}, xxhash64(comp, pmod(xxhash64(sid), ceil(m / {GROUP}))), pmod(xxhash64(sid), ceil(rest / {GROUP})))"
+    home = stored(spark, home.join(parts, ["g", "comp"]).selectExpr("sid", "n", "comp", "g", f"{cut} k"), "groups")
     # groups that share enough prefix shingles to hold a linked pair
-    tokens = hyper.join(small(home.select("sid", "g")), "sid").select("token", "g").distinct()
-    sizes = home.groupBy("g").agg(F.min("n").alias("n"), F.count("*").alias("m"))
+    tokens = hyper.join(home.select("sid", "g"), "sid").select("token", "g").distinct()
+    tokens = stored(spark, tokens, "tokens")
+    sizes = stored(spark, home.groupBy("g").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("m")), "sizes")
     meets = tokens.join(tokens.withColumnRenamed("g", "h"), "token").where("g < h").groupBy("g", "h").count()
-    meets = meets.join(sizes, "g").join(sizes.selectExpr("g h", "n nh", "m mh"), "h")
+    meets = meets.join(sizes, "g").join(sizes.selectExpr("g h", "n nh", "most mosth", "m mh"), "h")
+    meets = meets.where(f"100 * most >= {percent} * nh and 100 * mosth >= {percent} * n")
     meets = meets.withColumn("n", F.least("n", "nh")).where(f"count >= {least}").selectExpr("if(m <= mh, g, h) g", "if(m <= mh, h, g) h")
     meets = stored(spark, meets, "meets")
-    cuts = home.groupBy("g", "k").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    cuts = stored(spark, home.groupBy("g", "k").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")), "cuts")
     asks = home.select("sid", "comp", "g").join(meets, "g").join(cuts.withColumnRenamed("g", "h"), "h").where("comp <> c0 or comp <> c1").selectExpr("sid a", "comp", "h g", "k")
     more = home.selectExpr("sid", "comp", "g", "k k0").join(cuts, "g").where("k0 < k and (comp <> c0 or comp <> c1)").selectExpr("sid a", "comp", "g", "k")
     asks = stored(spark, asks.union(more), "asks")
     some = cuts.where("c0 <> c1").select("g", "k").union(asks.select("g", "k")).distinct()
     members = stored(spark, home.selectExpr("sid b", "comp c", "g", "k").join(some, ["g", "k"]), "members")
     sets = whole_sets(members.selectExpr("b sid").union(asks.selectExpr("a")).distinct())
-    columns = sets.selectExpr("sid b", "shingles").join(small(members), "b").groupBy("g", "k").agg(F.collect_list(F.struct("b", "c", "shingles")).alias("members"))
+    columns = sets.selectExpr("sid b", "shingles").join(members, "b").groupBy("g", "k").agg(F.collect_list(F.struct("b", "c", "shingles")).alias("members"))
     columns = stored(spark, columns, "matrix")
-    opened = sets.selectExpr("sid a", "shingles x").join(small(asks), "a").join(columns, ["g", "k"]).select("a", "comp", "x", "g", "k", "members")
+    opened = sets.selectExpr("sid a", "shingles x").join(asks, "a").join(columns, ["g", "k"]).select("a", "comp", "x", "g", "k", "members")
     links = links.union(columns.select("members").mapInArrow(_inner_links(percent), "a long, b long"))
     links = links.union(opened.mapInArrow(_new_links(percent), "a long, b long"))
     roots = components(spark, links)
-    named = nodes.select("sid", "rep").join(roots.withColumnRenamed("node", "sid"), "sid", "left").selectExpr("sid", "rep", "coalesce(root, sid) root")
-    first = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = named.join(first, "root").select("sid", "component_id")
+    # only sets with links: any other set is its own component
+    named = stored(spark, nodes.select("sid", "rep").join(roots.withColumnRenamed("node", "sid"), "sid").select("sid", "rep", "root"), "named")
+    first = stored(spark, named.groupBy("root").agg(F.min("rep").alias("first")), "first")
+    named = nodes.select("sid", "rep").join(named.join(first, "root").select("sid", "first"), "sid", "left")
+    named = stored(spark, named.selectExpr("sid", "if(first is null or rep < first, rep, first) component_id"), "named")
     return light.join(named, "sid", "left").selectExpr("doc_id", "n n_shingles", "coalesce(component_id, doc_id) component_id")
 
 
