@@ -3,12 +3,17 @@
 import random
 import struct
 import zlib
+from collections import defaultdict
 
 import numpy as np
+import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from gridloom.llm import language, mixing, mpeg_audio, personal, pieces, suffix_dedup, training_order
+from gridloom.llm import language, mixing, mpeg_audio, ngram_join, personal, pieces, suffix_dedup, training_order
+
+from .conftest import rows_of
+from .test_operators import brute_components
 
 
 def test_audio_parser_never_raises():
@@ -166,3 +171,55 @@ def test_marks_of_long_texts_in_segments(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SEGMENT", 1000)
     cut = suffix_dedup.marks(data, np.array([0, 6000]), 64, 16)
     assert (whole[1] == cut[1]).all() and len(whole[1]) > 100
+
+
+def near_copies(n, changed, seed=3):
+    """n sets around one base that isn't among them, with so many words changed that most pairs aren't linked."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for k in rng.choice(120, changed, replace=False):
+            w[k] = f"v{rng.integers(0, 10**9)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("hot", [50_000, 1])
+def test_hot_shingles(spark, monkeypatch, hot):
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    rows = near_copies(150, 2) + [(200 + i, t) for i, t in near_copies(60, 3, 5)]
+    got = ngram_join.jaccard_components(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert rows_of(got, "doc_id", "n_shingles", "component_id") == brute_components(rows)
+
+
+def test_a_large_group_that_no_leader_links(spark):
+    rows = near_copies(5000, 3)
+    got = ngram_join.jaccard_components(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
+    found = {r.doc_id: r.component_id for r in got.collect()}
+    sets = [ngram_join.shingle_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0] for _, t in rows]
+    # components by brute force: sizes are alike, so an intersection decides; an inverted index counts them
+    index = defaultdict(list)
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, s in enumerate(sets):
+        count = np.zeros(len(rows), np.int32)
+        for token in s.tolist():
+            count[index[token]] += 1
+            index[token].append(i)
+        for j in np.flatnonzero(count):
+            n = int(count[j])
+            if 100 * n >= 80 * (len(s) + len(sets[j]) - n):
+                root[find(i)] = find(int(j))
+    least = {}
+    for i in range(len(rows)):
+        least.setdefault(find(i), i)
+    assert found == {i: least[find(i)] for i in range(len(rows))}
+    assert len(set(found.values())) > 100
