@@ -16,24 +16,22 @@ SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where the session names none (tests), one of our own."""
+    """The folder that driver and executors share; one of our own only on a single machine whose session names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not getattr(shared_dir, "own", None):
         shared_dir.own = tempfile.mkdtemp(prefix="gridloom-")
     return shared_dir.own
 
 
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors.
-
-    Nothing can need the shuffles behind a written table again; Spark drops their files once the driver's JVM has
-    collected what stood for them, which would otherwise wait for the periodic collection.
-    """
+    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
