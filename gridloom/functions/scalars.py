@@ -38,6 +38,8 @@ TERMINATIONS = (
 )
 RESEARCH_SENTINELS = (-1.0, -9999.0, 9999.0, 65535.0, 99999.0, -99999.0, 255.0)
 
+#: sign, digits before and after the point, exponent
+NUMBER = r"^([+-]?)(?=[0-9]|\.[0-9])([0-9]*)\.?([0-9]*)(?:[eE]([+-]?[0-9]{1,4}))?$"
 NULL_LITERAL, FIELD_SEPARATOR, ROW_SEPARATOR = "\x00NULL", "\x1f", "\x1e"
 
 
@@ -54,12 +56,16 @@ def is_missing(c: Column) -> Column:
     return c.isNull() | F.lower(F.trim(c)).isin([t.lower() for t in MISSING_TOKENS])
 
 
-def canonical_name(c: Column) -> Column:
-    """A header cell as an identifier: words split at case changes and other characters, lower case, no leading digit."""
+def canonical_name(c: Column, position: Column | None = None) -> Column:
+    """A header cell as an identifier: words split at case changes and other characters, lower case, no leading digit.
+
+    A cell of no such character is named by its position in the header.
+    """
     split = F.regexp_replace(F.trim(c), r"([a-z0-9])([A-Z])", "$1_$2")
     split = F.regexp_replace(split, r"([A-Z]+)([A-Z][a-z])", "$1_$2")
     plain = F.lower(F.regexp_replace(F.regexp_replace(split, r"[^A-Za-z0-9]+", "_"), r"^_+|_+$", ""))
-    return F.when(plain.rlike("^[0-9]"), F.concat(F.lit("f_"), plain)).otherwise(plain)
+    named = F.when(plain.rlike("^[0-9]"), F.concat(F.lit("f_"), plain)).otherwise(plain)
+    return named if position is None else F.when(plain == "", F.concat(F.lit("unnamed_field_"), position.cast("string"))).otherwise(named)
 
 
 def coerce_float(c: Column) -> Column:
@@ -115,10 +121,21 @@ def alarm_active(c: Column) -> Column:
 
 
 def canonical_number(c: Column) -> Column:
-    """One spelling for equal numbers: no sign on zero, no exponent, no closing zeros; null for other texts."""
-    n = F.trim(c).try_cast("decimal(38,18)").cast("string")
-    short = F.regexp_replace(F.regexp_replace(n, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-    return F.when(short.rlike("^-?0$"), F.lit("0")).otherwise(short)
+    """One spelling for equal numbers: no sign on zero, no exponent, no closing zeros; null for other texts.
+
+    Works on the digits as text, so numbers of any length and scale keep all of them. An exponent beyond 9999 is no
+    number here.
+    """
+    text = F.trim(c)
+    part = lambda k: F.regexp_extract(text, NUMBER, k)
+    digits = F.concat(part(2), part(3))
+    point = F.length(part(2)) + F.coalesce(part(4).try_cast("int"), F.lit(0))  # digits before the point
+    whole = F.when(point <= 0, F.lit("0")).otherwise(F.rpad(F.substring(digits, F.lit(1), point), point, "0"))
+    rest = F.when(point <= 0, F.concat(F.repeat(F.lit("0"), -point), digits)).otherwise(F.substring(digits, point + 1, F.length(digits)))
+    whole, rest = F.regexp_replace(whole, "^0+(?=[0-9])", ""), F.regexp_replace(rest, "0+$", "")
+    short = F.when(rest == "", whole).otherwise(F.concat(whole, F.lit("."), rest))
+    short = F.when((part(1) == "-") & (short != "0"), F.concat(F.lit("-"), short)).otherwise(short)
+    return F.when(text.rlike(NUMBER), short)
 
 
 def canonical_value(c: Column, kind: str) -> Column:

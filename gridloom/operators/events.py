@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.scalars import NO_SESSION, cases, is_active_state, map_state, seconds, termination
+from gridloom.functions.scalars import NO_SESSION, alarm_active, cases, is_active_state, map_state, seconds, termination
+from gridloom.operators import history
 
 SESSION_SCHEMA = (
     "charger_id string, connector_id string, session_id string, start_time timestamp, charging_start_time timestamp, charging_end_time timestamp, end_time timestamp, "
@@ -45,11 +46,11 @@ def config_hash(config) -> object:
     return F.sha2(F.to_json(pairs), 256)
 
 
-def active_intervals(rows: DataFrame, active: str, by: list[str], debounce_seconds: float = 0.0, gaps: DataFrame | None = None) -> DataFrame:
+def active_intervals(rows: DataFrame, active: str, by: list[str], debounce_seconds: float = 0.0, gaps: DataFrame | None = None, gap_by: list[str] | None = None) -> DataFrame:
     """Runs of active rows: from the first to the next inactive row; open (end null, lasting to the last active row) without one.
 
-    Closed runs that are at most debounce_seconds apart become one. `gaps` (by columns, gap_start, gap_end) lowers the
-    confidence of intervals that they overlap.
+    Closed runs that are at most debounce_seconds apart become one. `gaps` (gap_by or by columns, gap_start, gap_end)
+    lowers the confidence of intervals that they overlap.
     """
     w = _window(by)
     on = F.coalesce(F.col(active), F.lit(False))
@@ -64,14 +65,14 @@ def active_intervals(rows: DataFrame, active: str, by: list[str], debounce_secon
         runs = runs.groupBy(*by, "_g").agg(F.min("start_time").alias("start_time"), F.max("last_active").alias("last_active"), F.sum("observations").alias("observations"), F.expr("max_by(end_time, _island)").alias("end_time"))
     until = F.coalesce("end_time", "last_active")
     runs = runs.withColumn("duration_seconds", seconds(until) - seconds(F.col("start_time"))).drop("_island", "_g")
-    runs = with_gap_flag(runs, gaps, by) if gaps is not None else runs.withColumn("has_gap", F.lit(False))
+    runs = with_gap_flag(runs, gaps, gap_by or by) if gaps is not None else runs.withColumn("has_gap", F.lit(False))
     flags = F.array_compact(F.array(F.when(F.col("end_time").isNull(), "ALARM_OPEN_ENDED"), F.when(F.col("has_gap"), "EVENT_HAS_GAP")))
     return runs.withColumn("confidence", F.when(F.col("end_time").isNull() | F.col("has_gap"), "MEDIUM").otherwise("HIGH")).withColumn("quality_flags", flags)
 
 
-def fault_intervals(rows: DataFrame, active: str, by: list[str], gaps: DataFrame | None = None) -> DataFrame:
+def fault_intervals(rows: DataFrame, active: str, by: list[str], gaps: DataFrame | None = None, gap_by: list[str] | None = None) -> DataFrame:
     """Active intervals of faults, all critical."""
-    return active_intervals(rows, active, by, 0.0, gaps).withColumn("severity", F.lit("CRITICAL"))
+    return active_intervals(rows, active, by, 0.0, gaps, gap_by).withColumn("severity", F.lit("CRITICAL"))
 
 
 def with_gap_flag(intervals: DataFrame, gaps: DataFrame, by: list[str], bucket_seconds: int = 21_600) -> DataFrame:
@@ -202,9 +203,19 @@ def timeline(limit: int, **events: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).orderBy("event_time", "_r", "title").limit(limit).drop("_r")
 
 
-def reconstruct(rows: DataFrame, alarms: list[str], faults: list[str], gaps: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All event tables of a set of chargers from one table of observations."""
-    from gridloom.functions.scalars import alarm_active
+def timeline_gaps(rows: DataFrame, by: str = "charger_id") -> DataFrame:
+    """(charger_id, gap_start, gap_end): where each charger's timeline has a gap, over all its observations."""
+    found = history.history_gaps(rows.select(by, "event_time", "frame_sequence").where("event_time is not null"), by)
+    return found.select(by, F.col("start_time").alias("gap_start"), F.col("end_time").alias("gap_end"))
+
+
+def reconstruct(rows: DataFrame, alarms: list[str], faults: list[str], gaps: DataFrame | None = None, config: str | None = None) -> dict[str, DataFrame]:
+    """All event tables of a set of chargers from one table of observations.
+
+    Gaps of the chargers' timelines, found in the observations where none are given, mark the events that they overlap.
+    `config` names a map column of settings, whose changes become a table too.
+    """
+    gaps = timeline_gaps(rows) if gaps is None else gaps
 
     def long(fields: list[str]) -> DataFrame:
         some = [f for f in fields if f in rows.columns]
@@ -216,7 +227,7 @@ def reconstruct(rows: DataFrame, alarms: list[str], faults: list[str], gaps: Dat
     by = ["charger_id", "code"]
     return {
         "sessions": sessions(rows, gaps),
-        "alarms": active_intervals(long(alarms), "active", by),
-        "faults": fault_intervals(long(faults), "active", by),
+        "alarms": active_intervals(long(alarms), "active", by, 0.0, gaps, ["charger_id"]),
+        "faults": fault_intervals(long(faults), "active", by, gaps, ["charger_id"]),
         "transitions": state_transitions(rows.where("trim(connector_status) <> ''"), "connector_status", ["charger_id", "connector_id"]),
-    }
+    } | ({"config_changes": config_changes(rows.where(F.size(config) > 0), config, ["charger_id"])} if config else {})

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import argparse
+import hashlib
 import sys
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions.scalars import identity
+from gridloom.functions.scalars import business_date, identity
 from gridloom.operators import coverage, events, frames
 from gridloom.plans.api import Tables, daily_summary
 from gridloom.sources import csv_files, store
@@ -18,15 +19,18 @@ FORMATS = ("dd-MM-yyyy HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy HH:mm:ss",
 ALARMS = ("smoke_alarm", "emergency_stop_active", "grid_fail", "door_open")
 FAULTS = ("short_circuit", "ground_fault_alarm", "input_rcbo_tripped", "mccb_tripped", "mdl_fault", "fan_fault")
 
+#: Columns of rows that say where they come from and are no payload of a frame.
+KEYS = ("file_id", "charger_id", "event_time", "source_row_number", "position", "connector_no", "smr_no")
 
-def by_file(spark: SparkSession, inbox: str, zone: str = "Asia/Kolkata"):
+
+def by_file(spark: SparkSession, source: str | list[str], zone: str = "Asia/Kolkata"):
     """(rows, verdicts): the rows of files that fit, with charger_id, event_time (an instant) and position, other columns
-    as text; and (path, reason) of all files, reason null for those that fit.
+    as text; and (path, reason) of all files of a folder or list, reason null for those that fit.
 
     Columns of roles are chosen for each header, the time format for each file. A file fits if its header has all
-    required roles and some stamp parses, or it has no row.
+    required roles, some stamp parses or it has no row, and csv_files.admitted() finds nothing against it.
     """
-    heads = csv_files.headers(spark, inbox).select("file_id", "position", "canonical_name", F.col("fingerprint").alias("_header"))
+    heads = csv_files.headers(spark, source).select("file_id", "position", "canonical_name", F.col("fingerprint").alias("_header"))
     names: dict[str, list[str]] = {}
     for r in heads.select("_header", "position", "canonical_name").distinct().orderBy("_header", "position").collect():
         names.setdefault(r._header, []).append(r.canonical_name)
@@ -40,19 +44,23 @@ def by_file(spark: SparkSession, inbox: str, zone: str = "Asia/Kolkata"):
             owners.setdefault(r[role], []).append(h)
         return F.coalesce(*(F.when(F.col("_header").isin(h), F.col(c)) for c, h in owners.items()))
 
-    files = heads.select("file_id", "_header").distinct()
-    raw = csv_files.table(spark, inbox).join(files.where(F.col("_header").isin(list(roles))), "file_id")
+    files = heads.groupBy("file_id", "_header").agg(F.count("*").alias("columns"))
+    raw = csv_files.table(spark, source).join(files.where(F.col("_header").isin(list(roles))).drop("columns"), "file_id")
     stamps = [F.try_to_timestamp(column("EVENT_TIME"), F.lit(f)) for f in FORMATS]
-    counts = raw.groupBy("file_id").agg(F.array(*(F.count(s) for s in stamps)).alias("n"))
-    forms = counts.selectExpr("file_id", "if(array_max(n) > 0, int(array_position(n, array_max(n))) - 1, -1) _form")
+    forms = csv_files.time_formats(raw, column("EVENT_TIME"), FORMATS).withColumnRenamed("form", "_form")
     # one number a file, whose list the driver holds anyway; a cached plan would be taken for that of a later inbox
     forms = spark.createDataFrame([tuple(r) for r in forms.collect()], "file_id string, _form int")
-    reason = F.when(F.col("_header").isNull() | ~F.col("_header").isin(list(roles)), "no column for a required role").when(F.col("_form") < 0, "no time format fits")
-    verdicts = csv_files.discover(spark, inbox).select(F.col("path").alias("file_id")).join(files, "file_id", "left").join(forms, "file_id", "left")
     rows = raw.join(forms.where("_form >= 0"), "file_id")
     local = F.coalesce(*(F.when(F.col("_form") == i, s) for i, s in enumerate(stamps)))
     rows = rows.withColumns({"event_time": F.to_utc_timestamp(local, zone), "charger_id": identity(column("CHARGER_ID")), "connector_no": column("CONNECTOR"), "smr_no": column("SMR")})
-    return frames.with_position(rows.drop("_header", "_form")), verdicts.select(F.col("file_id").alias("path"), reason.alias("reason"))
+    counts = rows.groupBy("file_id").agg(F.count("*").alias("rows"), F.count_if(F.col("event_time").isNull()).alias("unparsed"))
+    every = csv_files.discover(spark, source).select(F.col("path").alias("file_id"), "length").join(files, "file_id", "left").join(forms, "file_id", "left").join(counts, "file_id", "left")
+    every = csv_files.admitted(every.withColumn("critical", F.lit(0)))
+    own = F.when(F.col("length") > csv_files.FILE_LIMIT, F.col("reason")).when(F.col("_header").isNull() | ~F.col("_header").isin(list(roles)), "no column for a required role").when(F.col("_form") < 0, "no time format fits")
+    verdicts = every.select(F.col("file_id").alias("path"), F.coalesce(own, F.col("reason")).alias("reason"))
+    verdicts = spark.createDataFrame([tuple(r) for r in verdicts.collect()], "path string, reason string")
+    fit = verdicts.where("reason is null").select(F.col("path").alias("file_id"))
+    return frames.with_position(rows.join(fit, "file_id", "left_semi").drop("_header", "_form")), verdicts
 
 
 def quarantined(spark: SparkSession, files, verdicts, out: str) -> bool:
@@ -69,52 +77,97 @@ def quarantined(spark: SparkSession, files, verdicts, out: str) -> bool:
     return True
 
 
+def _known(spark: SparkSession, out: str):
+    try:
+        return spark.read.parquet(f"{out}/files").select("sha256", "name")
+    except AnalysisException:  # no table yet
+        return spark.createDataFrame([], "sha256 string, name string")
+
+
 def run_daily(spark: SparkSession, inbox: str, out: str, rules: coverage.CoverageRules) -> int:
     """Land files once, compute coverage and gaps of the days they touch, and replace those days.
 
-    Files that fit no header or time format go to the quarantine table and aren't registered, so a later run tries them again.
+    Files that fit no header or time format, or aren't admitted, go to the quarantine table and aren't registered, so a
+    later run tries them again. Only new files are parsed.
     """
     files = store.staged(spark, inbox).where("outcome = 'STAGED'")
-    try:
-        known = spark.read.parquet(f"{out}/files").select("sha256", "name")
-    except Exception:  # no table yet
-        known = spark.createDataFrame([], "sha256 string, name string")
-    fresh = store.registered(files, known).where("outcome = 'REGISTERED'")
-    if fresh.isEmpty():
-        return 3
-    rows, verdicts = by_file(spark, inbox, rules.zone)
+    fresh = store.registered(files, _known(spark, out)).where("outcome = 'REGISTERED'")
+    return 3 if _land(spark, fresh, out, rules) is None else 0
+
+
+def _land(spark: SparkSession, fresh, out: str, rules: coverage.CoverageRules):
+    """The rows of new files that fit, after their days are landed; None where no file is new.
+
+    A run that ended before it registered its files lands them again: file days are read once a file, charger and day.
+    """
+    fresh = spark.createDataFrame([tuple(r) for r in fresh.select("path", "name", "sha256", "length", "received_at").collect()], "path string, name string, sha256 string, length long, received_at timestamp")
+    paths = [r.path for r in fresh.select("path").collect()]
+    if not paths:
+        return None
+    rows, verdicts = by_file(spark, paths, rules.zone)
     new = quarantined(spark, fresh, verdicts, out)
     fresh = fresh.join(verdicts.where("reason is null").select("path"), "path", "left_semi")
     if fresh.isEmpty():
         if new:
             raise ValueError("no new file fits; reasons are in the quarantine table")
-        return 3
-    rows = rows.join(fresh.select(F.col("path").alias("file_id")), "file_id", "left_semi")
+        return None
     days = coverage.file_days(rows.where("charger_id is not null"), rules)
     days.write.mode("append").partitionBy("business_date").parquet(f"{out}/file_days")
     touched = [d.business_date for d in days.select("business_date").distinct().collect()]
-    stamps = coverage.expand_offsets(spark.read.parquet(f"{out}/file_days").where(F.col("business_date").isin(touched)), rules)
-    store.replace_partitions(coverage.day_coverage(stamps, rules), f"{out}/coverage", "business_date")
-    store.replace_partitions(coverage.day_gaps(stamps, rules), f"{out}/gaps", "business_date")
+    known = spark.read.parquet(f"{out}/file_days").where(F.col("business_date").isin(touched)).dropDuplicates(["file_id", "charger_id", "business_date"])
+    stamps = coverage.expand_offsets(known, rules)
+    store.replace_partitions(coverage.day_coverage(stamps, rules), f"{out}/coverage", "business_date", touched=touched)
+    store.replace_partitions(coverage.day_gaps(stamps, rules), f"{out}/gaps", "business_date", touched=touched)
     fresh.select("sha256", "name", "length", "received_at").write.mode("append").parquet(f"{out}/files")
+    return rows
+
+
+def process_uploads(spark: SparkSession, inbox: str, out: str, rules: coverage.CoverageRules) -> int:
+    """One batch of uploads: outcomes of all new files, coverage of the days that the staged ones touch, then their frames.
+
+    A file that is rejected, a copy or doesn't fit keeps no other from being landed; files over a batch's limits wait for
+    the next call. The frames of a batch are one partition, so a repeated batch replaces its own.
+    """
+    files = store.staged(spark, inbox).drop("outcome")
+    batch = store.outcomes(files.join(_known(spark, out), ["sha256", "name"], "left_anti"))
+    seen = [tuple(r) for r in batch.select("path", "name", "sha256", "length", "received_at", "outcome").collect()]
+    if not seen:
+        return 3
+    batch = spark.createDataFrame(seen, "path string, name string, sha256 string, length long, received_at timestamp, outcome string")
+    key = hashlib.sha256("".join(sorted(r[2] for r in seen)).encode()).hexdigest()[:16]
+    store.replace_partitions(batch.withColumn("batch", F.lit(key)), f"{out}/uploads", "batch")
+    rows = _land(spark, batch.where("outcome = 'STAGED'"), out, rules)
+    if rows is None:
+        return 3
+    store.replace_partitions(sliced(rows).withColumn("batch", F.lit(key)), f"{out}/upload_frames", "batch")
     return 0
 
 
-def reconstruct(spark: SparkSession, inbox: str, out: str, rules: coverage.CoverageRules) -> int:
-    """Frames and events of an inbox, as tables; files that fit no header or time format go to the quarantine table."""
-    rows, verdicts = by_file(spark, inbox, rules.zone)
-    quarantined(spark, store.staged(spark, inbox), verdicts, out)
-    skip = {"file_id", "charger_id", "event_time", "source_row_number", "position", "connector_no", "smr_no"}
-    payload = [c for c in rows.columns if c not in skip]
+def sliced(rows):
+    """Classified frames of rows of text columns, fingerprinted by all their columns but keys."""
+    payload = [c for c in rows.columns if c not in KEYS]
     fp = F.sha2(F.concat_ws("\x1f", *(F.concat(F.lit(f"{c}="), F.coalesce(F.trim(F.col(c)), F.lit("\x00NULL"))) for c in sorted(payload))), 256)
     rows = rows.withColumn("row_fp", fp)
-    found = frames.classify_replays(frames.slice_frames(rows, frames.observed_topology(rows)))
-    found.write.mode("overwrite").parquet(f"{out}/frames")
+    return frames.classify_replays(frames.slice_frames(rows, frames.observed_topology(rows)))
+
+
+def reconstruct(spark: SparkSession, inbox: str, out: str, rules: coverage.CoverageRules, day: str | None = None) -> int:
+    """Frames and events of an inbox (or of one local day of it, then under days/), as tables, with the chargers' gaps
+    and changes of configuration; files that don't fit go to the quarantine table."""
+    rows, verdicts = by_file(spark, inbox, rules.zone)
+    quarantined(spark, store.staged(spark, inbox), verdicts, out)
+    if day:
+        rows = rows.where(business_date(F.col("event_time"), rules.zone) == F.lit(day).cast("date"))
+        out = f"{out}/days/{day}"
+    sliced(rows).write.mode("overwrite").parquet(f"{out}/frames")
+    settings = [c for c in rows.columns if c.startswith("config")]
     seen = rows.withColumn("connector_id", identity(F.col("connector_no"))).withColumn("frame_sequence", F.col("source_row_number"))
+    seen = seen.withColumn("settings", F.create_map(*(x for c in settings for x in (F.lit(c), F.col(c)))) if settings else F.create_map().cast("map<string,string>"))
     for c in ("connector_status", "session_id"):
         if c not in seen.columns:
             seen = seen.withColumn(c, F.lit(None).cast("string"))
-    for name, table in events.reconstruct(seen, list(ALARMS), list(FAULTS)).items():
+    found = events.reconstruct(seen, list(ALARMS), list(FAULTS), config="settings")
+    for name, table in (found | {"timeline_gaps": events.timeline_gaps(seen)}).items():
         table.write.mode("overwrite").parquet(f"{out}/{name}")
     return 0
 
@@ -139,7 +192,9 @@ def main(argv: list[str] | None = None) -> int:
             daily_summary(tables, args.day).show(truncate=False)
             return 0
         if args.job == "reconstruct":
-            return reconstruct(spark, args.inbox, args.out, rules)
+            return reconstruct(spark, args.inbox, args.out, rules, args.day)
+        if args.job == "process-uploads":
+            return process_uploads(spark, args.inbox, args.out, rules)
         return run_daily(spark, args.inbox, args.out, rules)
     except Exception as e:
         print(f"{args.job}: {e}", file=sys.stderr)

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-HEADER_LIMIT, FILE_LIMIT = 4 << 20, 512 << 20
+FILE_LIMIT = 512 << 20
 
 # Column roles by exact canonical names, then by pattern; required ones are marked in REQUIRED_ROLES.
 ROLES = {
@@ -27,9 +27,14 @@ ROLES = {
 REQUIRED_ROLES = ("EVENT_TIME", "CHARGER_ID", "CONNECTOR", "SMR")
 
 
-def discover(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
-    """(path, length, modificationTime) of the folder's files, by path; contents aren't read."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "length", "modificationTime").orderBy("path")
+def _listed(spark: SparkSession, folder: str | list[str], pattern: str) -> DataFrame:
+    reader = spark.read.format("binaryFile")
+    return reader.option("pathGlobFilter", pattern).load(folder) if isinstance(folder, str) else reader.load(folder)
+
+
+def discover(spark: SparkSession, folder: str | list[str], pattern: str = "*.csv") -> DataFrame:
+    """(path, length, modificationTime) of the folder's files (or of a list of files), by path; contents aren't read."""
+    return _listed(spark, folder, pattern).select("path", "length", "modificationTime").orderBy("path")
 
 
 def canonical(name: str, position: int) -> str:
@@ -86,21 +91,33 @@ def decoded(content: bytes) -> str:
         return content.decode("latin-1")
 
 
-def headers(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
-    """(file_id, position, source_name, occurrence, canonical_name, requires_review, fingerprint) of each file's header."""
+def parsed(content: bytes) -> Iterator[list[str]]:
+    """The records of a file, its header first: one reader for both, so that quoted line breaks and the encoding agree."""
+    return csv.reader(io.StringIO(decoded(bytes(content)), newline=""))
+
+
+def _contents(spark: SparkSession, folder: str | list[str], pattern: str) -> DataFrame:
+    """(path, content) of the files that are small enough; larger ones are for discover() and admitted() to name."""
+    return _listed(spark, folder, pattern).where(F.col("length") <= FILE_LIMIT).select("path", "content")
+
+
+def headers(spark: SparkSession, folder: str | list[str], pattern: str = "*.csv") -> DataFrame:
+    """(file_id, position, source_name, occurrence, canonical_name, requires_review, fingerprint) of each file's header.
+
+    `folder` may be a list of files.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for path, start in zip(frame["path"], frame["start"], strict=True):
-                cells = next(csv.reader(io.StringIO(decoded(bytes(start)).split("\n", 1)[0])), [])
+            for path, content in zip(frame["path"], frame["content"], strict=True):
+                cells = next(parsed(content), [])
                 rows = header_fields(cells)
                 yield pd.DataFrame(rows, columns=["position", "source_name", "occurrence", "canonical_name", "requires_review"]).assign(file_id=path, fingerprint=fingerprint([r["source_name"] for r in rows]))
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).where(F.col("length") <= FILE_LIMIT)
-    return files.select("path", F.expr(f"substring(content, 1, {HEADER_LIMIT})").alias("start")).mapInPandas(run, "position int, source_name string, occurrence int, canonical_name string, requires_review boolean, file_id string, fingerprint string")
+    return _contents(spark, folder, pattern).mapInPandas(run, "position int, source_name string, occurrence int, canonical_name string, requires_review boolean, file_id string, fingerprint string")
 
 
-def rows(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
+def rows(spark: SparkSession, folder: str | list[str], pattern: str = "*.csv") -> DataFrame:
     """(file_id, source_row_number, cells array<string>): rows as text, numbered from 0 once, here; empty cells are null.
 
     A file is parsed whole by one task, so quoted line breaks and row numbers hold; files are small and many.
@@ -110,7 +127,7 @@ def rows(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"], strict=True):
                 held, at = [], 0
-                reader = csv.reader(io.StringIO(decoded(bytes(content))))
+                reader = parsed(content)
                 next(reader, None)
                 for cells in reader:
                     held.append([c or None for c in cells])
@@ -120,23 +137,24 @@ def rows(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
                 if held:
                     yield pd.DataFrame({"file_id": path, "source_row_number": range(at, at + len(held)), "cells": held})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).where(F.col("length") <= FILE_LIMIT)
-    return files.select("path", "content").mapInPandas(run, "file_id string, source_row_number long, cells array<string>")
+    return _contents(spark, folder, pattern).mapInPandas(run, "file_id string, source_row_number long, cells array<string>")
 
 
-def table(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
-    """All files as one table of text columns by canonical name; one plan a distinct header, united by name."""
+def table(spark: SparkSession, folder: str | list[str], pattern: str = "*.csv") -> DataFrame:
+    """All files as one table of text columns by canonical name; files are parsed once, whatever the number of headers."""
     heads = headers(spark, folder, pattern)
-    kinds = heads.groupBy("fingerprint").agg(F.min("file_id").alias("file_id")).join(heads, ["fingerprint", "file_id"]).orderBy("fingerprint", "position").collect()
-    names: dict[str, list[str]] = {}
-    for r in kinds:
-        names.setdefault(r.fingerprint, []).append(r.canonical_name)
-    cells = rows(spark, folder, pattern).join(heads.select("file_id", "fingerprint").distinct(), "file_id")
-    out = None
-    for mark, columns in names.items():
-        own = cells.where(F.col("fingerprint") == mark).select("file_id", "source_row_number", *(F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(columns)))
-        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
-    return out
+    names = heads.groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "canonical_name"))), lambda x: x["canonical_name"]).alias("_names"))
+    columns = [r.canonical_name for r in heads.groupBy("canonical_name").agg(F.min(F.struct("position", "fingerprint")).alias("at")).orderBy("at", "canonical_name").collect()]
+    # cells beyond the header have no name, names beyond the cells no value
+    both = F.filter(F.arrays_zip("_names", "cells"), lambda x: x["_names"].isNotNull())
+    named = rows(spark, folder, pattern).join(names, "file_id").select("file_id", "source_row_number", F.map_from_entries(both).alias("_cells"))
+    return named.select("file_id", "source_row_number", *(F.element_at("_cells", F.lit(c)).alias(c) for c in columns))
+
+
+def time_formats(rows: DataFrame, stamp, formats: tuple[str, ...], by: str = "file_id") -> DataFrame:
+    """(file_id, form): of each file the number of the format that most of its stamps fit, the first on ties; -1 where none fits."""
+    counts = rows.groupBy(by).agg(F.array(*(F.count(F.try_to_timestamp(stamp, F.lit(f))) for f in formats)).alias("n"))
+    return counts.selectExpr(by, "if(array_max(n) > 0, int(array_position(n, array_max(n))) - 1, -1) form")
 
 
 def roles(names: list[str]) -> dict[str, str]:

@@ -11,17 +11,36 @@ def safe_name(name: Column) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(name, r"^.*[/\\]", ""), r"[^A-Za-z0-9._-]", "_"), 1, 128)
 
 
-def staged(spark: SparkSession, folder: str, limit: int = 256 << 20, members: DataFrame | None = None) -> DataFrame:
-    """(path, name, length, sha256, received_at, outcome) of a batch's files; of equal contents the first path counts.
+BATCH_FILES, FILE_BYTES, BATCH_BYTES = 200, 256 << 20, 5 << 30
+
+
+def outcomes(files: DataFrame, file_bytes: int = FILE_BYTES, batch_files: int | None = BATCH_FILES, batch_bytes: int | None = BATCH_BYTES, suffix: str = ".csv") -> DataFrame:
+    """files (path, name, length, sha256) with their outcome, in the order of path.
+
+    A file is judged by itself first (empty, too large, another type); of equal contents among the rest the first counts;
+    of what is left so many are staged as a batch's count and bytes allow (None: all), the rest wait for the next one.
+    """
+    alone = F.when(F.col("length") == 0, "REJECTED_EMPTY").when(F.col("length") > file_bytes, "REJECTED_SIZE").when(~F.lower("name").endswith(suffix), "REJECTED_TYPE")
+    files = files.withColumn("_alone", alone)
+    same = Window.partitionBy("sha256").orderBy(F.col("_alone").isNotNull(), "path")
+    files = files.withColumn("outcome", F.coalesce("_alone", F.when(F.row_number().over(same) > 1, "DUPLICATE_IN_BATCH"))).drop("_alone")
+    if batch_files is None and batch_bytes is None:
+        return files.withColumn("outcome", F.coalesce("outcome", F.lit("STAGED")))
+    # one row a file, as many as a folder lists
+    order = Window.partitionBy(F.col("outcome").isNull()).orderBy("path")
+    over = (F.row_number().over(order) > (batch_files or 1 << 62)) | (F.sum("length").over(order) > (batch_bytes or 1 << 62))
+    return files.withColumn("outcome", F.coalesce("outcome", F.when(over, "DEFERRED").otherwise("STAGED")))
+
+
+def staged(spark: SparkSession, folder: str, limit: int = FILE_BYTES, members: DataFrame | None = None) -> DataFrame:
+    """(path, name, length, sha256, received_at, outcome) of a folder's files, see outcomes(); their number isn't limited.
 
     `members` (name) limits the batch to a fixed list.
     """
     files = spark.read.format("binaryFile").load(folder).select("path", safe_name(F.col("path")).alias("name"), "length", F.col("modificationTime").alias("received_at"), F.sha2("content", 256).alias("sha256"))
     if members is not None:
         files = files.join(members.select("name"), "name", "left_semi")
-    copy = F.row_number().over(Window.partitionBy("sha256").orderBy("path")) > 1
-    outcome = F.when(F.col("length") == 0, "REJECTED_EMPTY").when(F.col("length") > limit, "REJECTED_SIZE").when(~F.lower("name").endswith(".csv"), "REJECTED_TYPE").when(copy, "DUPLICATE_IN_BATCH").otherwise("STAGED")
-    return files.withColumn("outcome", outcome)
+    return outcomes(files, limit, None, None)
 
 
 def registered(files: DataFrame, known: DataFrame) -> DataFrame:
@@ -48,9 +67,19 @@ def quarantine(files: DataFrame, target: str) -> None:
     files.where("reason is not null").write.mode("append").parquet(target)
 
 
-def replace_partitions(df: DataFrame, target: str, *by: str) -> None:
-    """Replace exactly the partitions that df has rows of; others stay. Running it again changes nothing."""
+def replace_partitions(df: DataFrame, target: str, *by: str, touched: list | None = None) -> None:
+    """Replace the partitions that df has rows of; others stay. Running it again changes nothing.
+
+    `touched` are values of the one column `by` that df stands for: those of them that it has no row of become empty.
+    """
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(target)
+    if touched:
+        (column,) = by
+        spark = df.sparkSession
+        there = {r[0] for r in spark.read.schema(df.schema).parquet(target).where(F.col(column).isin(touched)).select(column).distinct().collect()}
+        fresh = {r[0] for r in df.where(F.col(column).isin(touched)).select(column).distinct().collect()} if there else set()
+        for value in sorted(there - fresh):
+            df.drop(column).limit(0).write.mode("overwrite").parquet(f"{target}/{column}={value}")
 
 
 def upserted(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:

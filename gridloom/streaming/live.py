@@ -56,7 +56,7 @@ def keep_days_current(events: DataFrame, raw: str, target: str, checkpoint: str,
         days = [d.business_date for d in df.select("business_date").distinct().collect()]
         if days:
             touched = spark.read.parquet(raw).where(F.col("business_date").isin(days)).drop("business_date")
-            replace_partitions(day_coverage(touched, r), f"{target}/coverage", "business_date")
-            replace_partitions(day_gaps(touched, r), f"{target}/gaps", "business_date")
+            replace_partitions(day_coverage(touched, r), f"{target}/coverage", "business_date", touched=days)
+            replace_partitions(day_gaps(touched, r), f"{target}/gaps", "business_date", touched=days)
 
     return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True)
