@@ -99,7 +99,8 @@ def day_coverage(events: DataFrame, r: CoverageRules | None = None) -> DataFrame
 
 
 def file_days(rows: DataFrame, r: CoverageRules | None = None) -> DataFrame:
-    """(file_id, charger_id, business_date, offsets, unique_timestamps, row_count): a file's stamps by local day.
+    """(file_id, charger_id, business_date, offsets, unique_timestamps, row_count): a file's stamps by local day; with
+    connector_no or smr_no in the rows also the connectors or smrs seen.
 
     Rows are apportioned by the day's share of the file's distinct stamps.
     """
@@ -107,11 +108,12 @@ def file_days(rows: DataFrame, r: CoverageRules | None = None) -> DataFrame:
     day = rows.withColumn("business_date", business_date(F.col("event_time"), r.zone))
     start = seconds(F.to_utc_timestamp(F.col("business_date").cast("timestamp"), r.zone))
     day = day.withColumn("offset", F.floor(seconds(F.col("event_time")) - start).cast("int"))
-    days = day.where("event_time is not null").groupBy("file_id", "charger_id", "business_date").agg(F.array_sort(F.collect_set("offset")).alias("offsets"))
+    parts = [F.array_sort(F.collect_set(c)).alias(f"{name}s") for c, name in (("connector_no", "connector"), ("smr_no", "smr")) if c in rows.columns]
+    days = day.where("event_time is not null").groupBy("file_id", "charger_id", "business_date").agg(F.array_sort(F.collect_set("offset")).alias("offsets"), *parts)
     whole = Window.partitionBy("file_id")
     counts = rows.groupBy("file_id").agg(F.count("*").alias("rows"))
     days = days.withColumn("unique_timestamps", F.size("offsets").cast("long")).withColumn("all", F.sum("unique_timestamps").over(whole))
-    return days.join(counts, "file_id").select("file_id", "charger_id", "business_date", "offsets", "unique_timestamps", F.bround(F.col("rows") * F.col("unique_timestamps") / F.col("all")).cast("long").alias("row_count"))
+    return days.join(counts, "file_id").select("file_id", "charger_id", "business_date", "offsets", "unique_timestamps", F.bround(F.col("rows") * F.col("unique_timestamps") / F.col("all")).cast("long").alias("row_count"), *(c for c in ("connectors", "smrs") if c in days.columns))
 
 
 def expand_offsets(days: DataFrame, r: CoverageRules | None = None) -> DataFrame:
@@ -122,6 +124,15 @@ def expand_offsets(days: DataFrame, r: CoverageRules | None = None) -> DataFrame
     return each.select("file_id", "charger_id", F.timestamp_seconds(F.col("_start") + F.col("_offset")).alias("event_time"))
 
 
+def day_attributes(days: DataFrame) -> DataFrame:
+    """(charger_id, business_date, files, connectors, smrs, quality_score, first_received) from file_days() with, where
+    known, connectors, smrs, quality_score and received_at of each file: unions, the mean score and the first receipt."""
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))) if c in days.columns else F.lit(None).cast("array<string>")
+    score = F.round(F.avg("quality_score"), 2) if "quality_score" in days.columns else F.lit(None).cast("double")
+    first = F.min("received_at") if "received_at" in days.columns else F.lit(None).cast("timestamp")
+    return days.groupBy("charger_id", "business_date").agg(F.count_distinct("file_id").alias("files"), union("connectors").alias("connectors"), union("smrs").alias("smrs"), score.alias("quality_score"), first.alias("first_received"))
+
+
 def primary_file(days: DataFrame) -> DataFrame:
     """The file with most distinct stamps of each charger and day; the first received wins ties."""
     return days.groupBy("charger_id", "business_date").agg(F.expr("max_by(file_id, struct(unique_timestamps, -unix_micros(received_at)))").alias("primary_file"), F.count("*").alias("files"))

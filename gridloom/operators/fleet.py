@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.scalars import nearest_rank
+from gridloom.operators.ranks import nearest_index, with_ranks
 
 INACTIVE = ("DECOMMISSIONED", "TEMPORARILY_INACTIVE", "TEST")
 
@@ -32,9 +32,31 @@ def last_before(rows: DataFrame, key: str, day: str, at: Column) -> DataFrame:
 
 
 def daily_metrics(days: DataFrame, day: str, value: str) -> DataFrame:
-    """Rows, mean, greatest and nearest-rank p50 and p95 of a value by day."""
-    agg = days.groupBy(day).agg(F.count("*").alias("rows"), F.round(F.avg(value), 3).alias("mean"), F.max(value).alias("max"), F.sort_array(F.collect_list(value)).alias("v"))
-    return agg.withColumn("p50", F.round(nearest_rank(F.col("v"), 0.5), 3)).withColumn("p95", F.round(nearest_rank(F.col("v"), 0.95), 3)).drop("v")
+    """Rows, mean, greatest and nearest-rank p50 and p95 of a value by day, from counts of each day's values."""
+    counts = days.groupBy(day, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    ranked = with_ranks(counts, [day], "v", "n")
+    at = lambda q: F.round(F.min(F.when(F.col("upto") > nearest_index(F.col("total"), q), F.col("v"))), 3)
+    mean = F.round(F.sum(F.col("v") * F.col("n")) / F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), 3)
+    return ranked.groupBy(day).agg(F.sum("n").alias("rows"), mean.alias("mean"), F.max("v").alias("max"), at(0.5).alias("p50"), at(0.95).alias("p95"))
+
+
+def of_sites(rows: DataFrame, registry: DataFrame, key: str, sites: Column) -> DataFrame:
+    """rows of the registry's devices that the condition on their sites holds for."""
+    return rows.join(registry.where(sites).select(key).distinct(), key, "left_semi")
+
+
+def on_days_with(rows: DataFrame, others: DataFrame, *keys: str) -> DataFrame:
+    """rows of entities and days on which `others` has a row of the same ones."""
+    return rows.join(others.select(*keys), list(keys), "left_semi")
+
+
+#: States of a file whose stamps count.
+USABLE_STATES = ("VALIDATED", "PROFILED", "QUALITY_CHECKED", "FRAMED", "NORMALIZED", "RECONSTRUCTED", "COMPLETED", "ARCHIVED")
+
+
+def usable(files: DataFrame, state: str = "state", states: tuple[str, ...] = USABLE_STATES) -> DataFrame:
+    """Files in a state that contributes to coverage."""
+    return files.where(F.col(state).isin(list(states)))
 
 
 def summary(reconciled: DataFrame, day: str) -> DataFrame:

@@ -42,12 +42,17 @@ def slice_frames(rows: DataFrame, topology: DataFrame | None = None, order: str
     `topology`: (charger_id, expected array<string>).
     """
     key = ["file_id", "charger_id", "event_time"]
-    rows = occurrence_index(rows.where("position is not null and event_time is not null"), [*key, "position"], [order])
+    # one exchange by stamp serves all windows and aggregates from here to classify_replays(); a stamp's rows are few
+    rows = rows.where("position is not null and event_time is not null").repartition(*key)
+    rows = occurrence_index(rows, [*key, "position"], [order])
+    zero = F.first("row_fp").over(Window.partitionBy(*key, "position").orderBy(order))
+    rows = rows.withColumn("_differs", F.col("row_fp") != zero)
     rows = rows.withColumn("_frames", F.max("occurrence").over(Window.partitionBy(*key)) + 1)
     rows = rows.where((F.col("_frames") <= MAX_FRAMES) | (F.col("occurrence") == 0))
     frames = rows.groupBy(*key, F.col("occurrence").alias("frame_sequence")).agg(
         F.array_sort(F.collect_list("position")).alias("positions"), frame_fingerprint(F.col("position"), F.col("row_fp")).alias("fingerprint"),
         F.map_from_entries(F.collect_list(F.struct("position", "row_fp"))).alias("by_position"), F.max("_frames").alias("frames"),
+        F.bool_or("_differs").alias("differs_from_first"),
     )
     frames = frames.join(topology, "charger_id", "left") if topology is not None else frames.withColumn("expected", F.lit(None).cast("array<string>"))
     inside = F.size(F.array_intersect("positions", "expected"))
@@ -72,11 +77,13 @@ def classify_replays(frames: DataFrame) -> DataFrame:
     and no shared position ambiguous.
     """
     w = Window.partitionBy("file_id", "charger_id", "event_time").orderBy("frame_sequence")
-    zero = F.first("by_position").over(w)
-    f = frames.withColumn("_zero", zero)
-    shared = F.array_intersect(F.map_keys("by_position"), F.map_keys("_zero"))
-    f = f.withColumn("_shared", F.size(shared))
-    f = f.withColumn("_differs", F.exists(shared, lambda p: F.col("by_position")[p] != F.col("_zero")[p]))
+    if "differs_from_first" in frames.columns:  # of slice_frames(): frame 0 has each position that a later frame has
+        f = frames.withColumn("_zero", F.lit(None)).withColumn("_shared", F.size("positions")).withColumn("_differs", F.col("differs_from_first"))
+    else:
+        f = frames.withColumn("_zero", F.first("by_position").over(w))
+        shared = F.array_intersect(F.map_keys("by_position"), F.map_keys("_zero"))
+        f = f.withColumn("_shared", F.size(shared))
+        f = f.withColumn("_differs", F.exists(shared, lambda p: F.col("by_position")[p] != F.col("_zero")[p]))
     partial = (F.col("frame_sequence") > 0) & (F.col("_shared") > 0) & ~F.col("_differs") & (F.col("fingerprint") != F.first("fingerprint").over(w))
     f = f.withColumn("_partial", partial)
     same = Window.partitionBy("file_id", "charger_id", "event_time", "fingerprint")

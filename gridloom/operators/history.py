@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.scalars import cases, nearest_rank, seconds
+from gridloom.functions.scalars import cases, seconds
+from gridloom.operators.ranks import nearest_index, with_ranks
 
 GAP_FACTOR, GAP_LEAST, GAP_FALLBACK = 2.5, 180.0, 300.0
 STEADY_LEAST, STEADY_BAND, STEADY_SHARE = 5, 0.15, 0.40
@@ -24,19 +25,23 @@ def _deltas(rows: DataFrame, by: str) -> DataFrame:
 
 
 def sampling_profile(rows: DataFrame, by: str = "charger_id") -> DataFrame:
-    """Each entity's steps between observations and, where they are steady, the interval expected."""
-    d = _deltas(rows, by)
-    agg = d.groupBy(by).agg(
-        F.count("*").alias("observations"), F.count_if(F.col("delta") == 0).alias("same_second"),
-        F.sort_array(F.collect_list(F.when(F.col("delta") > 0, F.col("delta")))).alias("s"),
+    """Each entity's steps between observations and, where they are steady, the interval expected.
+
+    Steps are counted by their length, so an entity's history is no list; all of it stays in the partitions of the
+    window that finds the steps.
+    """
+    steps = _deltas(rows, by).groupBy(by, "delta").agg(F.count("*").alias("n"))
+    steps = with_ranks(steps.withColumn("d", F.when(F.col("delta") > 0, F.col("delta"))), [by], "d", "n")
+    at = lambda k: F.min(F.when(F.col("upto") > k, F.col("d")))
+    total, group = F.col("total"), Window.partitionBy(by)
+    steps = steps.withColumn("median", (at(F.floor((total - 1) / 2)).over(group) + at(F.floor(total / 2)).over(group)) / 2)
+    agg = steps.groupBy(by).agg(
+        F.sum("n").alias("observations"), F.coalesce(F.sum(F.when(F.col("delta") == 0, F.col("n"))), F.lit(0)).alias("same_second"), F.max("total").alias("deltas"), F.max("median").alias("median"),
+        F.round(at(nearest_index(total, 0.05)), 2).alias("p05_interval"), F.round(at(nearest_index(total, 0.95)), 2).alias("p95_interval"),
+        F.coalesce(F.sum(F.when(F.abs(F.col("d") - F.col("median")) <= STEADY_BAND * F.col("median"), F.col("n"))), F.lit(0)).alias("near"),
     )
-    n = F.size("s")
-    mid = F.when(n > 0, (F.element_at("s", F.floor((n + 1) / 2).cast("int")) + F.element_at("s", (F.floor(n / 2) + 1).cast("int"))) / 2)
-    agg = agg.withColumn("deltas", n.cast("long")).withColumn("median", mid)
-    near = F.size(F.filter("s", lambda x: F.abs(x - F.col("median")) <= STEADY_BAND * F.col("median")))
-    steady = (n >= STEADY_LEAST) & (near >= STEADY_SHARE * n)
-    pick = lambda q: F.when(n > 0, F.round(nearest_rank(F.col("s"), q), 2))
-    return agg.select(by, "observations", "same_second", "deltas", F.round("median", 2).alias("median_interval"), pick(0.05).alias("p05_interval"), pick(0.95).alias("p95_interval"), F.when(steady, F.round("median", 1)).alias("expected_interval"))
+    steady = (F.col("deltas") >= STEADY_LEAST) & (F.col("near") >= STEADY_SHARE * F.col("deltas"))
+    return agg.select(by, "observations", "same_second", "deltas", F.round("median", 2).alias("median_interval"), "p05_interval", "p95_interval", F.when(steady, F.round("median", 1)).alias("expected_interval"))
 
 
 def history_gaps(rows: DataFrame, by: str = "charger_id", profile: DataFrame | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.ranks import quantiles
+
 OBSERVED, EXAMPLES, TOP, NUMERIC_SHARE = 50, 5, 200, 0.95
 
 
@@ -58,9 +60,28 @@ def column_profile(df: DataFrame, columns: list[str] | None = None, sentinels: t
 
 
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Median and sample deviation beside the bounds of number columns: (column, n, min, max, mean, median, std)."""
-    rows = long_form(df, columns).selectExpr("column", "try_cast(value as double) v").where("v is not null")
-    return rows.groupBy("column").agg(F.count("*").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), F.round(F.avg("v"), 4).alias("mean"), F.round(F.median("v"), 4).alias("median"), F.round(F.stddev_samp("v"), 4).alias("std"))
+    """Median and sample deviation beside the bounds of number columns: (column, n, min, max, mean, median, std).
+
+    A column is one of numbers if NUMERIC_SHARE of the values that are there are numbers; others have no row.
+    """
+    rows = long_form(df, columns).selectExpr("column", "value", "try_cast(value as double) v").where("value is not null")
+    agg = rows.groupBy("column").agg(F.count("*").alias("_there"), F.count("v").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), F.round(F.avg("v"), 4).alias("mean"), F.round(F.stddev_samp("v"), 4).alias("std"))
+    counts = rows.where("v is not null").groupBy("column", "v").agg(F.count("*").alias("c"))
+    agg = agg.where(F.col("n") >= NUMERIC_SHARE * F.col("_there")).join(quantiles(counts, ["column"], "v", "c", (0.5,)), "column")
+    return agg.select("column", "n", "min", "max", "mean", F.round(F.col("q")[0], 4).alias("median"), "std")
+
+
+def observed_values(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(column, observed, examples): all values by frequency where they are at most OBSERVED, and the EXAMPLES most frequent.
+
+    Only the first values of each column by (frequency, value) are gathered, after their counts are known.
+    """
+    counts = value_counts(df, columns)
+    w = Window.partitionBy("column").orderBy(F.desc("n"), "value")
+    first = counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= OBSERVED + 1)
+    listed = first.groupBy("column").agg(F.count("*").alias("_n"), F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("_v"))
+    values = F.transform("_v", lambda x: x["value"])
+    return listed.select("column", F.when(F.col("_n") <= OBSERVED, values).alias("observed"), F.slice(values, 1, EXAMPLES).alias("examples"))
 
 
 def exact_duplicates(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

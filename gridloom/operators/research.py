@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.scalars import RESEARCH_SENTINELS, cases, is_sentinel, seconds
+from gridloom.operators.ranks import average_ranks, quantiles
 
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
@@ -31,12 +32,16 @@ def signal_statistics(rows: DataFrame, signals: list[str], by: list[str] | None
     rows = rows.withColumn("v", valid(F.col("raw")))
     raw, v = F.col("raw"), F.col("v")
     there = F.coalesce(raw.isNotNull() & finite, F.lit(False))
-    agg = rows.groupBy(*by, "signal").agg(
+    keys = [*by, "signal"]
+    agg = rows.groupBy(*keys).agg(
         F.count("*").alias("n"), F.count("v").alias("valid"), F.count_if(~there).alias("nulls"), F.count_if(there & v.isNull()).alias("sentinels"),
-        F.count_if(v == 0).alias("zeros"), F.count_if(v < 0).alias("negatives"), (F.count_distinct("raw") + F.max(raw.isNull().cast("int"))).alias("distinct"),
+        F.count_if(v == 0).alias("zeros"), F.count_if(v < 0).alias("negatives"),
         F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.stddev_pop("v").alias("pop"), F.min("v").alias("min"), F.max("v").alias("max"),
-        F.percentile("v", F.array(*map(F.lit, QUANTILES))).alias("q"), F.skewness("v").alias("g1"), F.kurtosis("v").alias("g2"),
+        F.skewness("v").alias("g1"), F.kurtosis("v").alias("g2"),
     )
+    # counts of each value: how many there are, and where the quantiles lie
+    counts = rows.groupBy(*keys, "raw").agg(F.count("*").alias("c")).withColumn("v", valid(F.col("raw")))
+    agg = agg.join(counts.groupBy(*keys).agg(F.count("*").alias("distinct")), keys).join(quantiles(counts, keys, "v", "c", QUANTILES), keys, "left")
     n, some = F.col("valid"), (F.col("valid") > 1) & (F.col("pop") > 0)
     share = (n - 1) / n
     return agg.select(
@@ -66,7 +71,7 @@ def correlation_matrix(rows: DataFrame, signals: list[str]) -> DataFrame:
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
     """(pairs, rho): Pearson of average ranks among rows where both are valid.
 
-    Ranks come from counts of distinct values and their running sum by range partitions, so no window holds all rows.
+    Ranks come from counts of distinct values and running sums over pieces of their range, so no window holds all rows.
     """
     rows = rows.select(valid(F.col(a).cast("double")).alias("a"), valid(F.col(b).cast("double")).alias("b")).where("a is not null and b is not null")
     ra, rb = _average_ranks(rows, "a"), _average_ranks(rows, "b")
@@ -75,15 +80,9 @@ def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def _average_ranks(rows: DataFrame, c: str) -> DataFrame:
-    """(c, rank_c): each distinct value's average rank, from per-bin and in-bin running counts."""
-    from pyspark.sql import Window
-
-    counts = rows.groupBy(c).agg(F.count("*").alias("n"))
-    lo, hi = rows.agg(F.min(c)).scalar(), rows.agg(F.max(c)).scalar()
-    binned = counts.withColumn("bin", F.coalesce(F.floor(F.try_divide((F.col(c) - lo) * 4095, hi - lo)), F.lit(0)))
-    base = binned.groupBy("bin").agg(F.sum("n").alias("m")).withColumn("base", F.coalesce(F.sum("m").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("bin").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return binned.join(base.select("bin", "base"), "bin").select(c, (F.col("base") + before + (F.col("n") + 1) / 2).alias(f"rank_{c}"))
+    """(c, rank_c): each distinct value's average rank."""
+    counts = rows.groupBy(c).agg(F.count("*").alias("n")).withColumn("_all", F.lit(1))
+    return average_ranks(counts, ["_all"], c, "n").select(c, F.col("rank").alias(f"rank_{c}"))
 
 
 def charger_profile(rows: DataFrame, signals: list[str], by: str = "charger_id") -> DataFrame:
@@ -98,7 +97,7 @@ def fleet_profile(profiles: DataFrame, signals: list[str]) -> DataFrame:
     return profiles.agg(F.count("*").alias("chargers"), n.alias("observations"), F.min("first").alias("first"), F.max("last").alias("last"), F.round(1 - there / (n * len(signals)), 6).alias("missing_rate"))
 
 
-def telemetry_with_events(points: DataFrame, sessions: DataFrame, alarms: DataFrame, faults: DataFrame | None = None, bucket_seconds: int = 3600, by: str = "charger_id") -> DataFrame:
+def telemetry_with_events(points: DataFrame, sessions: DataFrame, alarms: DataFrame, faults: DataFrame | None = None, bucket_seconds: int = 86_400, by: str = "charger_id") -> DataFrame:
     """points with session_id (of the first session that holds them), active_alarms and active_faults.
 
     Ends are inclusive, open ends last. Intervals are dealt by time bucket up to the charger's last point, so each

@@ -7,7 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.scalars import coerce_boolean, coerce_float, coerce_integer, coerce_string, coerce_timestamp, is_missing, is_sentinel
+from gridloom.functions.scalars import cases, coerce_boolean, coerce_float, coerce_integer, coerce_string, coerce_timestamp, is_missing, is_sentinel
+from gridloom.operators.events import config_hash
 
 # Sentinels masked by field family, words of an active alarm.
 MASKS = {"gun": (999.0,), "rectifier": (-50.0,), "smr": (-150.0,)}
@@ -52,13 +53,15 @@ def resolved_long(rows: DataFrame, specs: list[FieldSpec], frame: str = "frame_i
         own = [s for s in specs if s.scope == scope]
         sid = F.lit(None).cast("string") if scope is None else F.when(is_missing(F.col(scope).cast("string")) | (F.col(scope).cast("string").try_cast("double") == 0), F.lit("1")).otherwise(F.regexp_replace(F.trim(F.col(scope).cast("string")), r"\.0$", ""))
         wide = rows.select(frame, sid.alias("scope_id"), *(F.col(s.name).cast("string").alias(s.name) for s in own))
+        wide = wide.repartition(frame)  # a frame's rows are few; both aggregates below stay where they are
         parts.append(wide.unpivot([frame, "scope_id"], [s.name for s in own], "name", "raw"))
     long = parts[0]
     for p in parts[1:]:
         long = long.unionByName(p)
     text = F.when(~is_missing(F.col("raw")), F.trim("raw"))
     long = long.withColumn("raw", text)
-    agg = long.groupBy(frame, "scope_id", "name").agg(F.array_sort(F.collect_set("raw")).alias("v"))
+    once = long.groupBy(frame, "scope_id", "name", "raw").agg(F.lit(1).alias("_"))
+    agg = once.groupBy(frame, "scope_id", "name").agg(F.array_sort(F.collect_list("raw")).alias("v"))
     masks = {s.name: s.sentinels or MASKS.get(s.family, ()) for s in specs}
     sentinel = F.lit(False)
     for name, own in masks.items():
@@ -68,21 +71,63 @@ def resolved_long(rows: DataFrame, specs: list[FieldSpec], frame: str = "frame_i
     return agg.select(frame, "scope_id", "name", F.get("v", F.lit(0)).alias("raw_value"), n.cast("long").alias("distinct_values"), (n > 1).alias("has_conflict"), ((n == 1) & sentinel).alias("is_sentinel"), F.when(n > 1, F.array_join("v", "|")).alias("conflict_values"))
 
 
-def silver_table(provenance: DataFrame, specs: list[FieldSpec], frame: str = "frame_id", zone: str = "Asia/Kolkata") -> DataFrame:
-    """One typed row a frame and scope: each field's value, and NAME_masked where a sentinel was taken out.
+def silver_table(provenance: DataFrame, specs: list[FieldSpec], frame: str = "frame_id", zone: str = "Asia/Kolkata", raw: bool = False) -> DataFrame:
+    """One typed row a frame and scope: each field's value, and NAME_masked where a sentinel was taken out; with `raw`
+    also NAME_raw, the number that was there.
 
     One aggregation over the long form; a field is a conditional maximum, so no row is shuffled twice.
     """
     good = ~F.col("has_conflict") & ~F.col("is_sentinel")
     cols = []
     for s in specs:
-        raw = F.max(F.when((F.col("name") == s.name) & good, F.col("raw_value")))
-        cols.append(coerced(raw, s.kind, zone).alias(s.name))
+        value = F.max(F.when((F.col("name") == s.name) & good, F.col("raw_value")))
+        cols.append(coerced(value, s.kind, zone).alias(s.name))
         if s.sentinels or s.family in MASKS:
+            if raw:
+                cols.append(F.max(F.when(F.col("name") == s.name, F.col("raw_value"))).try_cast("double").alias(f"{s.name}_raw"))
             cols.append(F.coalesce(F.bool_or((F.col("name") == s.name) & F.col("is_sentinel")), F.lit(False)).alias(f"{s.name}_masked"))
     return provenance.where(F.col("name").isin([s.name for s in specs])).groupBy(frame, "scope_id").agg(*cols)
 
 
+#: Tables by field family, and the column that names the component of those that have one row a component.
+TABLES = {
+    "site": "site_metadata", "charger": "charger_telemetry", "connector": "connector_telemetry", "rectifier": "rectifier_telemetry", "smr": "smr_telemetry", "contactor": "contactor_observation",
+    "alarm": "alarm_observation", "session": "session_observation", "lifecycle": "lifecycle_counter_observation", "communication": "communication_observation", "configuration": "configuration_snapshot",
+}
+SCOPES = {"connector": "connector_no", "session": "connector_no", "rectifier": "rectifier_number", "smr": "smr_no"}
+STOP_REASONS = ("last_charge_session_stop_reason", "last_charge_session_stop_reason_secondary")
+
+
+def build_tables(rows: DataFrame, specs: list[FieldSpec], zone: str = "Asia/Kolkata") -> dict[str, DataFrame]:
+    """The eleven typed tables by name, `observation_provenance` and `quality_findings`, from rows of frames.
+
+    rows: frame_id, charger_id, event_time, frame_sequence, the scopes' columns and those of the specs. A table has a row
+    for each frame (or component in it); alarms have the codes that are active, sessions their stop reason, and a
+    configuration its hash and all its settings.
+    """
+    heads = rows.groupBy("frame_id").agg(*(F.first(c).alias(c) for c in ("charger_id", "event_time", "frame_sequence")))
+    provenance = resolved_long(rows, specs).withColumn("family", cases([(F.col("name") == s.name, s.family) for s in specs], "charger"))
+    provenance = provenance.withColumn("table_name", cases([(F.col("family") == f, t) for f, t in TABLES.items()], "charger_telemetry"))
+    out = {}
+    for family, name in TABLES.items():
+        own = [s for s in specs if (s.family if s.family in TABLES else "charger") == family]
+        some = provenance.where(F.col("table_name") == name)
+        table = heads if not own else heads.join(silver_table(some, own, "frame_id", zone, raw=True), "frame_id", "left")
+        if own and family not in SCOPES:
+            table = table.drop("scope_id")
+        if family == "alarm":
+            codes = some.where(F.lower("raw_value").isin(list(ACTIVE_WORDS))).groupBy("frame_id").agg(F.array_sort(F.collect_set("name")).alias("active_alarm_codes"))
+            table = table.join(codes, "frame_id", "left").withColumn("active_alarms_count", F.coalesce(F.size("active_alarm_codes"), F.lit(0)))
+        if family == "session":
+            there = [F.col(c).cast("string") for c in reversed(STOP_REASONS) if c in table.columns]
+            table = table.withColumn("stop_reason", F.coalesce(*there) if there else F.lit(None).cast("string"))
+        if family == "configuration":
+            settings = F.create_map(*(x for s in own for x in (F.lit(s.name), F.col(s.name).cast("string")))) if own else F.create_map().cast("map<string,string>")
+            table = table.withColumn("config_hash", config_hash(settings)).withColumn("raw_config", settings)
+        out[name] = table
+    return out | {"observation_provenance": provenance.drop("family"), "quality_findings": findings(provenance)}
+
+
 def findings(provenance: DataFrame, frame: str = "frame_id") -> DataFrame:
     """A finding for each conflict and sentinel, named by a hash of rule and place."""
     code = F.when(F.col("has_conflict"), "CONFLICTING_VALUES").when(F.col("is_sentinel"), "SENTINEL_MASKED")

@@ -6,6 +6,8 @@ configuration or a counter. Orders, line items and customers play registries, fi
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -193,27 +195,28 @@ def worst_first(spark, d):
 
 @query("site_semi", "SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
 def site_semi(spark, d):
-    return read(spark, d, "customer").join(read(spark, d, "nation").where("n_regionkey = 1").selectExpr("n_nationkey c_nationkey"), "c_nationkey", "left_semi").select("c_custkey", "c_nationkey")
+    return fleet.of_sites(read(spark, d, "customer"), read(spark, d, "nation").withColumnRenamed("n_nationkey", "c_nationkey"), "c_nationkey", F.col("n_regionkey") == 1).select("c_custkey", "c_nationkey")
 
 
 @query("same_day_semi", """
 SELECT user_id, CAST(ts AS DATE) AS day, count(*) n FROM events e WHERE EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND CAST(x.ts AS DATE) = CAST(e.ts AS DATE) AND x.event_type = 'error') GROUP BY ALL""")
 def same_day_semi(spark, d):
     e = read(spark, d, "events").withColumn("day", F.to_date("ts"))
-    return e.join(e.where("event_type = 'error'").select("user_id", "day"), ["user_id", "day"], "left_semi").groupBy("user_id", "day").agg(F.count("*").alias("n"))
+    return fleet.on_days_with(e, e.where("event_type = 'error'"), "user_id", "day").groupBy("user_id", "day").agg(F.count("*").alias("n"))
 
 
 @query("files_of_day", """
 SELECT o_custkey, o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus IN ('F', 'O') AND CAST(o_orderdate AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1995-01-31'""")
 def files_of_day(spark, d):
-    o = fleet.filtered(read(spark, d, "orders"), o_orderstatus=("F", "O"), o_orderpriority=None).where(F.to_date("o_orderdate").between("1995-01-01", "1995-01-31"))
+    o = fleet.usable(read(spark, d, "orders"), "o_orderstatus", ("F", "O")).withColumn("day", F.to_date("o_orderdate"))
+    o = fleet.time_range(fleet.filtered(o, o_orderpriority=None), dt.date(1995, 1, 1), dt.date(1995, 1, 31), "day")
     return o.join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_custkey", "o_orderkey", "c_name")
 
 
 @query("search_fields", "SELECT p_partkey, p_name, p_type FROM part WHERE contains(lower(p_name), 'a') OR contains(lower(p_type), 'steel')")
 def search_fields(spark, d):
     p = read(spark, d, "part").select("p_partkey", "p_name", "p_type")
-    return p.where(F.contains(F.lower("p_name"), F.lit("a")) | F.contains(F.lower("p_type"), F.lit("steel")))
+    return fleet.searched(p, "A", "p_name").unionByName(fleet.searched(p, "Steel", "p_type")).distinct()
 
 
 @query("zero_filled_counts", """
@@ -225,8 +228,6 @@ def zero_filled_counts(spark, d):
 @query("keyset_page", """
 SELECT user_id charger_id, ts event_time, event_id frame_sequence, true has_more FROM events WHERE ts > TIMESTAMP '2024-01-10' OR (ts = TIMESTAMP '2024-01-10' AND event_id > 0) ORDER BY ts, event_id LIMIT 100""")
 def keyset_page(spark, d):
-    import datetime as dt
-
     rows = telemetry(spark, d).select("charger_id", "event_time", "frame_sequence")
     return _plain(fleet.keyset_page(rows, 100, (dt.datetime(2024, 1, 10, tzinfo=dt.UTC), 0)))
 

@@ -1,4 +1,4 @@
-"""Batch jobs for spark-submit: run-daily, reconcile, reconstruct, process-uploads. Exit 0: done, 1: failed, 2: bad call, 3: nothing to do."""
+"""Batch jobs for spark-submit: run-daily, reconcile, reconstruct, process-uploads, build-silver. Exit 0: done, 1: failed, 2: bad call, 3: nothing to do."""
 
 from __future__ import annotations
 
@@ -10,8 +10,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions import classifier
 from gridloom.functions.scalars import business_date, identity
-from gridloom.operators import coverage, events, frames
+from gridloom.operators import coverage, events, frames, silver
 from gridloom.plans.api import Tables, daily_summary
 from gridloom.sources import csv_files, store
 
@@ -111,12 +112,15 @@ def _land(spark: SparkSession, fresh, out: str, rules: coverage.CoverageRules):
         if new:
             raise ValueError("no new file fits; reasons are in the quarantine table")
         return None
-    days = coverage.file_days(rows.where("charger_id is not null"), rules)
+    parts = {c: identity(F.col(c)) for c in ("connector_no", "smr_no")}
+    days = coverage.file_days(rows.where("charger_id is not null").withColumns(parts), rules)
+    days = days.join(fresh.selectExpr("path file_id", "received_at"), "file_id")
     days.write.mode("append").partitionBy("business_date").parquet(f"{out}/file_days")
     touched = [d.business_date for d in days.select("business_date").distinct().collect()]
     known = spark.read.parquet(f"{out}/file_days").where(F.col("business_date").isin(touched)).dropDuplicates(["file_id", "charger_id", "business_date"])
     stamps = coverage.expand_offsets(known, rules)
-    store.replace_partitions(coverage.day_coverage(stamps, rules), f"{out}/coverage", "business_date", touched=touched)
+    covered = coverage.day_coverage(stamps, rules).join(coverage.day_attributes(known), ["charger_id", "business_date"], "left")
+    store.replace_partitions(covered, f"{out}/coverage", "business_date", touched=touched)
     store.replace_partitions(coverage.day_gaps(stamps, rules), f"{out}/gaps", "business_date", touched=touched)
     fresh.select("sha256", "name", "length", "received_at").write.mode("append").parquet(f"{out}/files")
     return rows
@@ -172,9 +176,34 @@ def reconstruct(spark: SparkSession, inbox: str, out: str, rules: coverage.Cover
     return 0
 
 
+def silver_specs(spark: SparkSession, inbox: str) -> list[silver.FieldSpec]:
+    """What each column of an inbox is, by its name: its type, and the table and component that its values belong to."""
+    heads = csv_files.headers(spark, inbox).groupBy("canonical_name").agg(F.min("source_name").alias("source_name"))
+    keys = ("charger_id", "connector_no", "connector_id", "smr_no", "rectifier_number", "event_time", "logged_at_time")
+    specs = []
+    for r in classifier.classified(heads).orderBy("canonical_name").collect():
+        family = {"COUNTER": "lifecycle", "COMMUNICATION": "communication", "CONTACTOR": "contactor"}.get(r.category) or ("rectifier" if "rectifier" in r.canonical_name else r.entity.lower() if r.entity != "UNKNOWN" else "charger")
+        masked = next((m for part, m in silver.MASKS.items() if part in r.canonical_name and "temp" in r.canonical_name), ())
+        if r.canonical_name not in keys:
+            specs.append(silver.FieldSpec(r.canonical_name, {"DATETIME": "DATETIME", "FLOAT": "FLOAT", "INTEGER": "INTEGER", "DURATION": "DURATION"}.get(r.kind, "STRING"), silver.SCOPES.get(family), family, masked))
+    return specs
+
+
+def build_silver(spark: SparkSession, inbox: str, out: str, rules: coverage.CoverageRules) -> int:
+    """Typed tables of an inbox's frames, their provenance and findings, as tables under silver/."""
+    rows, verdicts = by_file(spark, inbox, rules.zone)
+    quarantined(spark, store.staged(spark, inbox), verdicts, out)
+    rows = frames.occurrence_index(rows.where("position is not null and event_time is not null"), ["file_id", "charger_id", "event_time", "position"], ["source_row_number"])
+    rows = rows.withColumnRenamed("occurrence", "frame_sequence").withColumn("frame_id", F.sha2(F.concat_ws("\x1f", "file_id", "charger_id", F.col("event_time").cast("string"), F.col("frame_sequence").cast("string")), 256))
+    rows = rows.withColumn("rectifier_number", F.col("rectifier_number") if "rectifier_number" in rows.columns else F.col("smr_no"))
+    for name, table in silver.build_tables(rows, silver_specs(spark, inbox), rules.zone).items():
+        table.write.mode("overwrite").parquet(f"{out}/silver/{name}")
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="gridloom")
-    parser.add_argument("job", choices=("run-daily", "process-uploads", "reconcile", "reconstruct"))
+    parser.add_argument("job", choices=("run-daily", "process-uploads", "reconcile", "reconstruct", "build-silver"))
     parser.add_argument("--inbox")
     parser.add_argument("--out", required=True)
     parser.add_argument("--day")
@@ -193,6 +222,8 @@ def main(argv: list[str] | None = None) -> int:
             return 0
         if args.job == "reconstruct":
             return reconstruct(spark, args.inbox, args.out, rules, args.day)
+        if args.job == "build-silver":
+            return build_silver(spark, args.inbox, args.out, rules)
         if args.job == "process-uploads":
             return process_uploads(spark, args.inbox, args.out, rules)
         return run_daily(spark, args.inbox, args.out, rules)
