@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 from gridloom.functions.scalars import business_date
 from gridloom.operators.coverage import CoverageRules, day_coverage, day_gaps
@@ -41,6 +45,50 @@ def files_once(files: DataFrame, late: str = "7 days") -> DataFrame:
     return files.withColumn("sha256", F.sha2("content", 256)).withWatermark("modificationTime", late).dropDuplicatesWithinWatermark(["sha256"])
 
 
+def alarm_runs(events: DataFrame, by: tuple[str, ...] = ("charger_id", "code"), late: str = LATE, idle_seconds: int = 3600) -> DataFrame:
+    """A stream of runs of active rows (by, event_time, active), as operators.events.active_intervals() has them: each
+    is given out once its first inactive row is settled.
+
+    Rows wait until the watermark has passed them and are then walked in order, so late ones within it find their place;
+    an entity's state is the open run and the rows that wait. A run whose entity stays silent for idle_seconds of event
+    time is given out open (end_time null).
+    """
+    names = [*by, "start_time", "last_active", "end_time", "observations"]
+    kinds = dict(events.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "start_time timestamp, last_active timestamp, end_time timestamp, observations long"])
+    at = lambda us: None if us is None else pd.Timestamp(us, unit="us")
+
+    def walk(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        start, last, n, times, ons = state.get if state.exists else (None, None, 0, [], [])
+        rows = list(zip(times, ons, strict=True))
+        for f in frames:
+            rows += zip((f["event_time"].astype("datetime64[us]").astype("int64")).tolist(), f["active"].fillna(False).astype(bool).tolist(), strict=True)
+        mark, out = state.getCurrentWatermarkMs() * 1000, []
+        rows.sort()
+        for t, on in rows:
+            if t > mark:
+                break
+            if on:
+                start, last, n = (t if start is None else start), t, n + 1
+            elif start is not None:
+                out.append((*key, at(start), at(last), at(t), n))
+                start, last, n = None, None, 0
+        rest = [r for r in rows if r[0] > mark]
+        if start is not None and not rest and mark - last > idle_seconds * 1_000_000:
+            out.append((*key, at(start), at(last), None, n))
+            start, last, n = None, None, 0
+        if start is None and not rest:
+            state.remove()
+        else:
+            state.update((start, last, n, [r[0] for r in rest], [r[1] for r in rest]))
+            due = min([r[0] for r in rest] + ([last + idle_seconds * 1_000_000] if start is not None else []))
+            state.setTimeoutTimestamp(max(due // 1000 + 1, mark // 1000 + 1))
+        yield pd.DataFrame(out, columns=names)
+
+    rows = events.select(*by, "event_time", F.coalesce("active", F.lit(False)).alias("active")).withWatermark("event_time", late)
+    return rows.groupBy(*by).applyInPandasWithState(walk, schema, "start long, last long, n long, times array<long>, ons array<boolean>", "append", "EventTimeTimeout")
+
+
 def keep_days_current(events: DataFrame, raw: str, target: str, checkpoint: str, rules: CoverageRules | None = None):
     """Keep coverage and gaps by day exact, however late rows come: each batch adds its rows, then recomputes the days it touched.
 
