@@ -8,7 +8,9 @@ bytes. Then
    suffixes, by their bytes from the anchor on and by those before it backwards, with deep-shallow sorting: multikey
    quicksort to a shallow depth, then a blind trie for each group with a longer common prefix. Two blocks that agree
    on L bytes before the anchor and R from it on share windows if L + R >= SPAN, and these cover L and R bytes;
-3. a gram with more than HOT different blocks, too many for one task, has the hashes of its blocks' windows counted.
+3. a gram with more than HOT different blocks, too many for one task, is split: blocks that share a window share half
+   a window before or from the anchor, so each is sorted among those of the same half before and among those of the
+   same half after. Only where more than HOT blocks share a half are the hashes of their windows counted instead.
 Texts are known by a 128-bit hash, so copies of a text share one result; a text has its covered bytes removed at once,
 judged on the input.
 
@@ -371,6 +373,25 @@ def _sort_bucket(span: int, gram: int):
     return run
 
 
+def _half_pass(span: int):
+    """Blocks (q, b1, b2, n, k, at, bytes) once for each half window beside the anchor that they hold, q naming gram and half."""
+    half = span // 2
+
+    def run(batches):
+        for batch in batches:
+            q, at, raw = (batch.column(c).to_pylist() for c in ("q", "at", "bytes"))
+            rows, names = [], []
+            for i, (g, a, b) in enumerate(zip(q, at, raw, strict=True)):
+                for side, piece in ((b"<", b[a - half : a] if a >= half else b""), (b">", b[a : a + half])):
+                    if len(piece) == half:
+                        rows.append(i)
+                        names.append(xxhash.xxh3_64_intdigest(side + g.to_bytes(8, "little", signed=True) + piece))
+            part = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(names, np.uint64).view(np.int64)), *part.columns[1:]], batch.schema.names)
+
+    return run
+
+
 def _window_pass(span: int):
     """Hashes of all windows of blocks: rows (q, h, b1, b2, n, at, p)."""
 
@@ -401,9 +422,15 @@ def repeated(spark: SparkSession, docs: DataFrame, span: int = SPAN, gram: int =
     bodies = stored(spark, bodies, "bodies")
     size = bodies.agg(F.sum(F.length("bytes"))).first()[0] or 0
     buckets = max(48, size // BUCKET_BYTES)
-    some = bodies.where(F.col("k") <= hot).withColumn("bucket", F.expr(f"pmod(xxhash64(q), {buckets})"))
+    some, shared = bodies.where(F.col("k") <= hot), bodies.where(F.col("k") > hot)
+    if not shared.isEmpty():
+        halves = stored(spark, shared.mapInArrow(_half_pass(span), bodies.schema), "halves")
+        groups = stored(spark, halves.groupBy("q").agg(F.count("*").alias("k")).where("k > 1"), "groups")
+        halves = halves.drop("k").join(groups, "q").select(bodies.columns)
+        some, shared = some.union(halves.where(F.col("k") <= hot)), halves.where(F.col("k") > hot)
+    some = some.withColumn("bucket", F.expr(f"pmod(xxhash64(q), {buckets})"))
     partly = some.groupBy("bucket").applyInArrow(_sort_bucket(span, gram), "b1 long, b2 long, back int, ahead int")
-    shared = bodies.where(F.col("k") > hot).mapInArrow(_window_pass(span), "q long, h long, b1 long, b2 long, n long, at int, p int")
+    shared = shared.mapInArrow(_window_pass(span), "q long, h long, b1 long, b2 long, n long, at int, p int")
     twice = shared.groupBy("q", "h").agg(F.count("*").alias("c")).where("c > 1").select("q", "h")
     over = shared.where("n = 1").join(twice, ["q", "h"]).groupBy("b1", "b2").agg(F.min("p").alias("b"), F.max("p").alias("e"), F.first("at").alias("at"))
     partly = partly.union(over.selectExpr("b1", "b2", "at - b", f"e + {span} - at"))
