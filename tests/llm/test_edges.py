@@ -4,16 +4,17 @@ import random
 import struct
 import zlib
 from collections import defaultdict
+from hashlib import sha256
 
 import numpy as np
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from gridloom.llm import language, mixing, mpeg_audio, ngram_join, personal, pieces, suffix_dedup, training_order
+from gridloom.llm import language, line_templates, mixing, mpeg_audio, ngram_join, personal, pieces, suffix_dedup, training_order
 
-from .conftest import rows_of
-from .test_operators import brute_components
+from .conftest import key, rows_of
+from .test_operators import brute_components, brute_removed, brute_templates
 
 
 def test_audio_parser_never_raises():
@@ -223,3 +224,79 @@ def test_a_large_group_that_no_leader_links(spark):
         least.setdefault(find(i), i)
     assert found == {i: least[find(i)] for i in range(len(rows))}
     assert len(set(found.values())) > 100
+
+
+@pytest.mark.parametrize("hot", [1, 4, 30])
+def test_hot_grams_are_sorted_in_halves(spark, hot):
+    rng = np.random.default_rng(12)
+    passage = "".join(rng.choice(list("abcdefgh "), 90))
+    own = lambda n: "".join(rng.choice(list("ijklmnop "), n))
+    rows = [(i, own(rng.integers(0, 60)) + passage[rng.integers(0, 20) : rng.integers(70, 91)] + own(rng.integers(0, 60))) for i in range(150)]
+    got = suffix_dedup.removed(spark, spark.createDataFrame(rows, "doc_id long, text string"), 48, 8, hot)
+    assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_removed(rows, 48)
+
+
+def test_pipeline_from_end_to_end(spark, tmp_path):
+    """run() against a chain of plain steps: the model row by row, the tree line by line, SQL, and the library."""
+    import duckdb
+
+    import corpus_pipeline
+    from gridloom.llm.queries import ORACLES
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = language.learn(docs)
+    rows = [r for r in docs.collect() if not model.predict(*whole(r.text or ""))[2][0]]
+    assert len(rows) > 150
+    texts = without_recurring([(r.doc_id, r.text) for r in rows])
+    assert texts != [r.text for r in rows]
+    columns = "doc_id long, text string, source string"
+    kept = [(r.doc_id, t, r.source) for r, t in zip(rows, texts, strict=True)]
+
+    def sql(name, table):
+        path = str(tmp_path / f"{name}.parquet")
+        spark.createDataFrame(table, columns).coalesce(1).write.parquet(path)
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/*.parquet')")
+        return con.execute(ORACLES[name]).df().to_dict("records")
+
+    first = {r["doc_id"] for r in sql("op2_ngram_join", kept) if r["doc_id"] == r["component_id"]}
+    kept = [r for r in kept if r[0] in first]
+    times = {r["doc_id"]: r["taken"] // r["size"] for r in sql("op7_mixing", kept) if r["size"]}
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    want = []
+    for doc, text, _ in kept:
+        ids = sp.encode(text or "")
+        want += [(doc, len(ids), sha256(",".join(map(str, ids)).encode()).hexdigest(), sha256(sp.decode(ids).encode()).hexdigest())] * times.get(doc, 0)
+    got = corpus_pipeline.run(spark, folder)
+    assert rows_of(got, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=key)
+
+
+def whole(text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    return data, np.array([0, len(data)])
+
+
+def without_recurring(rows):
+    """The texts without lines of templates that two texts hold, but for those of the text of the smallest id."""
+    lines, leaves = {}, defaultdict(dict)
+    for _, text in rows:
+        f = line_templates.line_hashes(*whole(text or ""))
+        lines[text or ""] = list(zip(f["number"].tolist(), f["hash"].tolist(), strict=True))
+        for i, (h, leaf, n, at) in enumerate(zip(f["hash"].tolist(), f["leaf"].tolist(), f["count"].tolist(), f["first"].tolist(), strict=True)):
+            if n > line_templates.LEADING:
+                tokens = f["tokens"][at : at + n]
+                leaves[leaf][h] = np.where(tokens == line_templates._FIELD, 0, tokens & np.uint64(0xFFFF)).astype("<u2")
+    template = {}
+    for own in leaves.values():
+        template |= dict(brute_templates([(h, own[h]) for h in sorted(own)]))
+    holders = defaultdict(dict)
+    for doc, text in rows:
+        for _, h in lines[text or ""]:
+            t = template.get(h, h)
+            holders[t][text or ""] = min(doc, holders[t].get(text or "", doc))
+    out = []
+    for _, text in rows:
+        gone = {number for number, h in lines[text or ""] if len(own := holders[template.get(h, h)]) > 1 and min(own, key=lambda x: own[x]) != (text or "")}
+        out.append("\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone) if gone else text)
+    return out
