@@ -141,8 +141,8 @@ def sketch_rows(cells: np.ndarray, part: int, blocks: int = 16) -> pa.RecordBatc
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, root) for each node of edges (a long, b long): root is the smallest node that links lead to.
 
-    Large-star and small-star steps by turns; each result is a written table, and only two numbers a round reach the
-    driver. Joins have a table on either side, so that Spark may split the edges of a node that has very many.
+    Large-star and small-star steps by turns; each result is a written table, and only two numbers a round reach the driver.
+    For graphs without nodes of very many edges: stars come to star_components() first.
     """
     edges = edges.where("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct()
     state = None
@@ -152,9 +152,21 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         if tuple(now) == state:
             break
         state = tuple(now)
-        least = stored(spark, edges.groupBy("a").agg(F.min("b").alias("m")), "least")
-        large = edges.join(least.withColumnRenamed("a", "b"), "b", "left").selectExpr("a", "coalesce(m, b) b").distinct()
-        large = stored(spark, large, "large")
-        least = stored(spark, large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        both = edges.union(edges.selectExpr("b", "a"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) m")
+        large = both.join(least, "a").where("b > a").selectExpr("b a", "m b").where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
         edges = large.join(least, "a").selectExpr("b a", "m b").union(least.selectExpr("a", "m")).where("a <> b").distinct()
     return edges.selectExpr("a node", "b root").union(edges.selectExpr("b node", "b root")).distinct()
+
+
+def star_components(spark: SparkSession, links: DataFrame) -> DataFrame:
+    """(node, root) for each node of links, a stored table (a long, b long) in which each a names one b, its leader.
+
+    Only leaders that name a leader themselves are searched for components; any other node takes its leader's, by a join
+    of two tables, which Spark may split where very many name one leader.
+    """
+    leaders = links.select("b").distinct()
+    found = stored(spark, components(spark, links.join(leaders.selectExpr("b a"), "a", "left_semi")), "leaders")
+    named = links.union(leaders.selectExpr("b", "b")).join(found.selectExpr("node b", "root"), "b", "left")
+    return stored(spark, named.selectExpr("a node", "coalesce(root, b) root").distinct(), "components")

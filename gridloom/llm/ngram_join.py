@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import components, merged_sketch, mix, prefix_hash, range_hash, sketch_rows, stored, text_slices
+from gridloom.llm.common import components, merged_sketch, mix, prefix_hash, range_hash, sketch_rows, star_components, stored, text_slices
 
 WORDS, PERCENT = 5, 80
 CELLS = 1 << 20  # of the count sketch
@@ -267,20 +267,21 @@ def _links_batch(a: list[int], b: list[int]) -> pa.RecordBatch:
 
 
 def _inner_links(percent: int):
-    """Of rows of members: links between members of one column, as many as join their components."""
+    """Of rows of members: links between the components of members of one column, as many as join them."""
 
     def run(batches):
         for batch in batches:
             a, b = [], []
             for members in batch.column("members"):
                 group = members.values
-                sids, comps = group.field("b").to_pylist(), group.field("c").to_pylist()
+                comps = group.field("c").to_pylist()
+                was = list(comps)
                 sets = [m.values.to_numpy() for m in group.field("shingles")]
-                for i in range(len(sids)):
+                for i in range(len(comps)):
                     for j in range(i):
                         if comps[i] != comps[j] and _alike(sets[i], sets[j], percent):
-                            a.append(sids[i])
-                            b.append(sids[j])
+                            a.append(was[i])
+                            b.append(was[j])
                             old, new = comps[i], comps[j]
                             comps = [new if c == old else c for c in comps]
             yield _links_batch(a, b)
@@ -289,19 +290,19 @@ def _inner_links(percent: int):
 
 
 def _new_links(percent: int):
-    """Of rows (a, comp, x, g, k, members), members being a matrix column: opens it where the union of its sets may hold
-    the percentage of x, and gives a and the members that it links to, one of each other component."""
+    """Of rows (comp, x, g, k, members), members being a matrix column: opens it where the union of its sets may hold the
+    percentage of x, and gives comp and the components of the members that it links to, each once."""
 
     def run(batches):
         held = None
         for batch in batches:
             a, b = [], []
             x, members = batch.column("x"), batch.column("members")
-            rows = zip(*[batch.column(c).to_pylist() for c in ("a", "comp", "g", "k")], strict=True)
-            for i, (one, comp, *key) in enumerate(rows):
+            rows = zip(*[batch.column(c).to_pylist() for c in ("comp", "g", "k")], strict=True)
+            for i, (comp, *key) in enumerate(rows):
                 if key != held:
                     held, group = key, members[i].values
-                    sids, comps = group.field("b").to_pylist(), group.field("c").to_pylist()
+                    comps = group.field("c").to_pylist()
                     sets = [m.values.to_numpy().copy() for m in group.field("shingles")]
                     union = np.unique(np.concatenate(sets))
                 own, found = x[i].values.to_numpy(), {comp}
@@ -309,10 +310,10 @@ def _new_links(percent: int):
                 at[at == len(union)] = 0
                 if int((union[at] == own).sum()) * 100 < percent * len(own):
                     continue
-                for sid, c, other in zip(sids, comps, sets, strict=True):
+                for c, other in zip(comps, sets, strict=True):
                     if c not in found and _alike(own, other, percent):
-                        a.append(one)
-                        b.append(sid)
+                        a.append(comp)
+                        b.append(c)
                         found.add(c)
             yield _links_batch(a, b)
 
@@ -355,22 +356,21 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = WORDS,
     checked = stored(spark, pairs.join(large, "b").select("a", "b"), "checked")
     sets = whole_sets(checked.selectExpr("a sid").union(checked.selectExpr("b")).distinct())
     links = stored(spark, _linked(checked, sets, percent), "links")
-    linked = components(spark, links)
+    linked = star_components(spark, links)
     # the token-group matrix: sets by the leader that they named, linked or not, cut to about GROUP
     home = able.join(linked.withColumnRenamed("node", "sid"), "sid", "left").join(pairs.selectExpr("a sid", "b"), "sid", "left")
     home = home.selectExpr("sid", "n", "coalesce(root, sid) comp", "coalesce(b, sid) g")
     home = stored(spark, home, "homes")
     # a component of half a cut or more in a group has cuts of its own, the others share the rest: cuts of one
     # component needn't be compared with each other
-    parts = stored(spark, home.groupBy("g", "comp").agg(F.count("*").alias("m")), "parts")
+    parts = home.groupBy("g", "comp").agg(F.count("*").alias("m"))
     rest = parts.where(f"m < {GROUP // 2}").groupBy("g").agg(F.sum("m").alias("rest"))
     parts = stored(spark, parts.join(rest, "g", "left"), "parts")
     cut = f"if(m >= {GROUP // 2}, xxhash64(comp, pmod(xxhash64(sid), ceil(m / {GROUP}))), pmod(xxhash64(sid), ceil(rest / {GROUP})))"
     home = stored(spark, home.join(parts, ["g", "comp"]).selectExpr("sid", "n", "comp", "g", f"{cut} k"), "groups")
     # groups that share enough prefix shingles to hold a linked pair
     tokens = hyper.join(home.select("sid", "g"), "sid").select("token", "g").distinct()
-    tokens = stored(spark, tokens, "tokens")
-    sizes = stored(spark, home.groupBy("g").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("m")), "sizes")
+    sizes = home.groupBy("g").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("m"))
     meets = tokens.join(tokens.withColumnRenamed("g", "h"), "token").where("g < h").groupBy("g", "h").count()
     meets = meets.join(sizes, "g").join(sizes.selectExpr("g h", "n nh", "most mosth", "m mh"), "h")
     meets = meets.where(f"100 * most >= {percent} * nh and 100 * mosth >= {percent} * n")
@@ -385,12 +385,13 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = WORDS,
     sets = whole_sets(members.selectExpr("b sid").union(asks.selectExpr("a")).distinct())
     columns = sets.selectExpr("sid b", "shingles").join(members, "b").groupBy("g", "k").agg(F.collect_list(F.struct("b", "c", "shingles")).alias("members"))
     columns = stored(spark, columns, "matrix")
-    opened = sets.selectExpr("sid a", "shingles x").join(asks, "a").join(columns, ["g", "k"]).select("a", "comp", "x", "g", "k", "members")
-    links = links.union(columns.select("members").mapInArrow(_inner_links(percent), "a long, b long"))
-    links = links.union(opened.mapInArrow(_new_links(percent), "a long, b long"))
+    opened = sets.selectExpr("sid a", "shingles x").join(asks, "a").join(columns, ["g", "k"]).select("comp", "x", "g", "k", "members")
+    # links between components from here on
+    links = columns.select("members").mapInArrow(_inner_links(percent), "a long, b long").union(opened.mapInArrow(_new_links(percent), "a long, b long"))
     roots = components(spark, links)
-    # only sets with links: any other set is its own component
-    named = stored(spark, nodes.select("sid", "rep").join(roots.withColumnRenamed("node", "sid"), "sid").select("sid", "rep", "root"), "named")
+    # only able sets: any other set is its own component
+    named = home.select("sid", "comp").join(roots.withColumnRenamed("node", "comp"), "comp", "left").selectExpr("sid", "coalesce(root, comp) root")
+    named = stored(spark, named.join(nodes.select("sid", "rep"), "sid"), "named")
     first = stored(spark, named.groupBy("root").agg(F.min("rep").alias("first")), "first")
     named = nodes.select("sid", "rep").join(named.join(first, "root").select("sid", "first"), "sid", "left")
     named = stored(spark, named.selectExpr("sid", "if(first is null or rep < first, rep, first) component_id"), "named")
