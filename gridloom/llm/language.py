@@ -214,8 +214,9 @@ def learn(docs: DataFrame, seed: int = 7) -> LanguageModel:
     rows = rows.where("not held_out and doc_id is not null and lang is not null and text is not null")
     counts = rows.groupBy("lang").count()
     # a hash below each / count picks about so many rows of each language
-    each = min(PER_LANG, SAMPLE / max(1, counts.count()))
-    picked = rows.join(counts, "lang").where(f"pmod(xxhash64(doc_id, {seed}), 1000000007) < {each}d / count * 1000000007d")
+    n = counts.count()
+    each = min(PER_LANG, SAMPLE / max(1, n))
+    picked = rows.join(F.broadcast(counts) if n <= 1000 else counts, "lang").where(f"pmod(xxhash64(doc_id, {seed}), 1000000007) < {each}d / count * 1000000007d")
     # of a longer text a stretch of SAMPLE_CHARS, its begin by a hash
     picked = picked.withColumn("text", F.expr(f"substring(text, cast(1 + pmod(xxhash64(doc_id, {seed}, 'begin'), greatest(length(text) - {SAMPLE_CHARS}, 0) + 1) as int), {SAMPLE_CHARS})"))
     found = sorted((r.doc_id, r.text, r.lang) for r in picked.select("doc_id", "text", "lang").collect())
