@@ -15,6 +15,7 @@ from gridloom.functions.scalars import business_date, identity
 from gridloom.operators import coverage, events, frames, silver
 from gridloom.plans.api import Tables, daily_summary
 from gridloom.sources import csv_files, store
+from gridloom.sources.protocols import FolderSource
 
 FORMATS = ("dd-MM-yyyy HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss")
 ALARMS = ("smoke_alarm", "emergency_stop_active", "grid_fail", "door_open")
@@ -85,19 +86,23 @@ def _known(spark: SparkSession, out: str):
         return spark.createDataFrame([], "sha256 string, name string")
 
 
-def run_daily(spark: SparkSession, inbox: str, out: str, rules: coverage.CoverageRules) -> int:
+def run_daily(spark: SparkSession, inbox: str, out: str, rules: coverage.CoverageRules, archive: str | None = None) -> int:
     """Land files once, compute coverage and gaps of the days they touch, and replace those days.
 
     Files that fit no header or time format, or aren't admitted, go to the quarantine table and aren't registered, so a
-    later run tries them again. Only new files are parsed.
+    later run tries them again. Only new files are parsed. Where an archive is given, landed files move there at the end.
     """
     files = store.staged(spark, inbox).where("outcome = 'STAGED'")
     fresh = store.registered(files, _known(spark, out)).where("outcome = 'REGISTERED'")
-    return 3 if _land(spark, fresh, out, rules) is None else 0
+    landed = _land(spark, fresh, out, rules)
+    if landed is None:
+        return 3
+    FolderSource(inbox, archive).acknowledge(landed[1], ok=True)
+    return 0
 
 
 def _land(spark: SparkSession, fresh, out: str, rules: coverage.CoverageRules):
-    """The rows of new files that fit, after their days are landed; None where no file is new.
+    """(rows, paths) of new files that fit, after their days are landed; None where no file is new.
 
     A run that ended before it registered its files lands them again: file days are read once a file, charger and day.
     """
@@ -123,7 +128,7 @@ def _land(spark: SparkSession, fresh, out: str, rules: coverage.CoverageRules):
     store.replace_partitions(covered, f"{out}/coverage", "business_date", touched=touched)
     store.replace_partitions(coverage.day_gaps(stamps, rules), f"{out}/gaps", "business_date", touched=touched)
     fresh.select("sha256", "name", "length", "received_at").write.mode("append").parquet(f"{out}/files")
-    return rows
+    return rows, [r.path for r in fresh.select("path").collect()]
 
 
 def process_uploads(spark: SparkSession, inbox: str, out: str, rules: coverage.CoverageRules) -> int:
@@ -140,10 +145,10 @@ def process_uploads(spark: SparkSession, inbox: str, out: str, rules: coverage.C
     batch = spark.createDataFrame(seen, "path string, name string, sha256 string, length long, received_at timestamp, outcome string")
     key = hashlib.sha256("".join(sorted(r[2] for r in seen)).encode()).hexdigest()[:16]
     store.replace_partitions(batch.withColumn("batch", F.lit(key)), f"{out}/uploads", "batch")
-    rows = _land(spark, batch.where("outcome = 'STAGED'"), out, rules)
-    if rows is None:
+    landed = _land(spark, batch.where("outcome = 'STAGED'"), out, rules)
+    if landed is None:
         return 3
-    store.replace_partitions(sliced(rows).withColumn("batch", F.lit(key)), f"{out}/upload_frames", "batch")
+    store.replace_partitions(sliced(landed[0]).withColumn("batch", F.lit(key)), f"{out}/upload_frames", "batch")
     return 0
 
 
@@ -206,6 +211,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("job", choices=("run-daily", "process-uploads", "reconcile", "reconstruct", "build-silver"))
     parser.add_argument("--inbox")
     parser.add_argument("--out", required=True)
+    parser.add_argument("--archive")
     parser.add_argument("--day")
     parser.add_argument("--zone", default="Asia/Kolkata")
     parser.add_argument("--interval", type=int, default=120)
@@ -226,7 +232,7 @@ def main(argv: list[str] | None = None) -> int:
             return build_silver(spark, args.inbox, args.out, rules)
         if args.job == "process-uploads":
             return process_uploads(spark, args.inbox, args.out, rules)
-        return run_daily(spark, args.inbox, args.out, rules)
+        return run_daily(spark, args.inbox, args.out, rules, args.archive)
     except Exception as e:
         print(f"{args.job}: {e}", file=sys.stderr)
         return 1

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from gridloom.functions import scalars as S
 from gridloom.operators import coverage, events, fleet, profile, quality, silver
 from gridloom.plans import api, jobs
 from gridloom.plans.catalogue import _RUNS, _STEPS, _T, RULES, _plain, intervals, query, read, telemetry
+from gridloom.session import shared_dir
 from gridloom.sources import csv_files, store
 
 # files
@@ -44,7 +44,7 @@ def staged_batch(spark, d):
 WITH {_STEPS} SELECT charger_id, CAST(day AS VARCHAR) business_date, event_time gap_start, nxt gap_end FROM s WHERE step > 64800""")
 def late_file_gaps(spark, d):
     """Gaps by day after two files, and after a third one that comes late and closes some of them."""
-    target = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='gridloom-')).rstrip('/')}/gaps-{uuid.uuid4().hex}"
+    target = f"{shared_dir(spark)}/gaps-{uuid.uuid4().hex}"
     rows = telemetry(spark, d)
     for seen in (rows.where("file_id <> 2"), rows):
         days = [r.day for r in seen.select(S.business_date(F.col("event_time"), RULES.zone).alias("day")).distinct().collect()]

@@ -134,3 +134,12 @@ def test_classifier(spark):
     assert got["Reserved Spare 3"][0] == got["Reserved Spare 3"][1] == "UNKNOWN" and got["Reserved Spare 3"][5] == "UNKNOWN"
     assert got["Fan Speed"][4] == "rpm" and got["Session Stop Reason Code"][1] == "FAULT_CODE"
     assert {r.unit for r in classifier.classified(df, units=("V",)).collect()} == {None, "V"}
+
+
+def test_landed_files_move_to_the_archive(spark, tmp_path):
+    source, out, archive = tmp_path / "in", str(tmp_path / "out"), tmp_path / "done"
+    source.mkdir()
+    inbox(source, "a.csv", "01", 3)
+    (source / "b.csv").write_text("Owner,When\nx,y\n")
+    assert jobs.run_daily(spark, str(source), out, CoverageRules(interval_seconds=3600), str(archive)) == 0
+    assert [p.name for p in source.iterdir()] == ["b.csv"] and [p.name for p in archive.iterdir()] == ["a.csv"]
