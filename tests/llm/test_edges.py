@@ -200,8 +200,11 @@ def test_a_large_group_that_no_leader_links(spark):
     got = ngram_join.jaccard_components(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
     found = {r.doc_id: r.component_id for r in got.collect()}
     sets = [ngram_join.shingle_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0] for _, t in rows]
-    # components by brute force: sizes are alike, so an intersection decides; an inverted index counts them
-    index = defaultdict(list)
+    # all intersections at once, over the shingles that two sets hold
+    tokens, count = np.unique(np.concatenate(sets), return_counts=True)
+    tokens = tokens[count > 1]
+    held = np.array([np.isin(tokens, s) for s in sets], np.float32)
+    both, size = held @ held.T, np.array([len(s) for s in sets])
     root = list(range(len(rows)))
 
     def find(x):
@@ -210,15 +213,9 @@ def test_a_large_group_that_no_leader_links(spark):
             x = root[x]
         return x
 
-    for i, s in enumerate(sets):
-        count = np.zeros(len(rows), np.int32)
-        for token in s.tolist():
-            count[index[token]] += 1
-            index[token].append(i)
-        for j in np.flatnonzero(count):
-            n = int(count[j])
-            if 100 * n >= 80 * (len(s) + len(sets[j]) - n):
-                root[find(i)] = find(int(j))
+    for i, j in zip(*np.nonzero(np.triu(100 * both >= 80 * (size[:, None] + size[None, :] - both), 1)), strict=True):
+        a, b = sorted((find(int(i)), find(int(j))))
+        root[b] = a
     least = {}
     for i in range(len(rows)):
         least.setdefault(find(i), i)
