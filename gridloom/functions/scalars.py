@@ -40,6 +40,7 @@ RESEARCH_SENTINELS = (-1.0, -9999.0, 9999.0, 65535.0, 99999.0, -99999.0, 255.0)
 
 #: sign, digits before and after the point, exponent
 NUMBER = r"^([+-]?)(?=[0-9]|\.[0-9])([0-9]*)\.?([0-9]*)(?:[eE]([+-]?[0-9]{1,4}))?$"
+PLAIN = r"^[+-]?(?=[0-9]|\.[0-9])[0-9]*\.?[0-9]*$"
 NULL_LITERAL, FIELD_SEPARATOR, ROW_SEPARATOR = "\x00NULL", "\x1f", "\x1e"
 
 
@@ -127,15 +128,25 @@ def canonical_number(c: Column) -> Column:
     number here.
     """
     text = F.trim(c)
+    spelt = F.when(text.rlike(PLAIN), text).when(text.rlike(NUMBER), _without_exponent(text))
+    # each step once over the one before: sign, leading zeros, closing zeros, points at either end, the sign of zero
+    for pattern, new in ((r"^\+", ""), (r"^(-?)0+(?=[0-9])", "$1"), (r"(\.[0-9]*?)0+$", "$1"), (r"\.$", ""), (r"^(-?)(?=\.)", "$10"), (r"^-0$", "0")):
+        spelt = F.regexp_replace(spelt, pattern, new)
+    return spelt
+
+
+def _without_exponent(text: Column) -> Column:
+    """A number with an exponent written out."""
     part = lambda k: F.regexp_extract(text, NUMBER, k)
-    digits = F.concat(part(2), part(3))
-    point = F.length(part(2)) + F.coalesce(part(4).try_cast("int"), F.lit(0))  # digits before the point
-    whole = F.when(point <= 0, F.lit("0")).otherwise(F.rpad(F.substring(digits, F.lit(1), point), point, "0"))
-    rest = F.when(point <= 0, F.concat(F.repeat(F.lit("0"), -point), digits)).otherwise(F.substring(digits, point + 1, F.length(digits)))
-    whole, rest = F.regexp_replace(whole, "^0+(?=[0-9])", ""), F.regexp_replace(rest, "0+$", "")
-    short = F.when(rest == "", whole).otherwise(F.concat(whole, F.lit("."), rest))
-    short = F.when((part(1) == "-") & (short != "0"), F.concat(F.lit("-"), short)).otherwise(short)
-    return F.when(text.rlike(NUMBER), short)
+
+    def moved(x: Column) -> Column:
+        point = x["point"]  # digits before the point
+        whole = F.when(point <= 0, F.lit("0")).otherwise(F.rpad(F.substring(x["digits"], F.lit(1), point), point, "0"))
+        rest = F.when(point <= 0, F.concat(F.repeat(F.lit("0"), -point), x["digits"])).otherwise(F.substring(x["digits"], point + 1, F.length(x["digits"])))
+        return F.concat(x["sign"], whole, F.lit("."), rest)
+
+    parts = F.struct(part(1).alias("sign"), F.concat(part(2), part(3)).alias("digits"), (F.length(part(2)) + F.coalesce(part(4).try_cast("int"), F.lit(0))).alias("point"))
+    return F.element_at(F.transform(F.array(parts), moved), 1)  # a lambda, so that each part is worked out once
 
 
 def canonical_value(c: Column, kind: str) -> Column:
