@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Cuts of a column's values, a power of two: each piece between two of them is ranked by itself.
-CUTS = 64
+#: Pieces of the number line to each doubling.
+STEPS = 4096
 
 
 def with_ranks(counts: DataFrame, by: list[str], v: str, n: str) -> DataFrame:
@@ -24,23 +24,17 @@ def nearest_index(total: Column, q: float) -> Column:
     return F.bround(F.lit(q) * (total - 1))
 
 
-def _dealt(counts: DataFrame, by: list[str], v: str, n: str) -> tuple[DataFrame, DataFrame]:
-    """counts with _piece, between which of CUTS approximate quantiles of its group a value lies, and _total; and the
-    pieces (by, _piece, _total, _m, _upto) with their sizes and running sums.
+def _piece(v: Column) -> Column:
+    """A number's piece of the number line, in order: STEPS to each doubling of its size, so pieces follow values of any scale."""
+    size = F.floor(STEPS * (F.log2(F.abs(v)) + 1100)).cast("long")
+    return F.when(F.isnan(v), F.lit((1 << 63) - 1)).when(v == 0, 0).when(v > 0, size).otherwise(-size)
 
-    The quantiles are few, so Spark sends them to the counts where the groups are few and the values many.
-    """
-    counts = counts.where(F.col(v).isNotNull())
-    heads = counts.groupBy(*by).agg(F.sum(n).alias("_total"), F.percentile_approx(v, [k / CUTS for k in range(1, CUTS)], 1000).alias("_cuts"))
-    dealt = counts.join(heads, by)
-    dealt = dealt.withColumn("_piece", F.lit(0))
-    step = CUTS // 2
-    while step:  # a binary search for the number of cuts that are at most v
-        dealt = dealt.withColumn("_piece", F.when(F.element_at("_cuts", F.col("_piece") + step) <= F.col(v), F.col("_piece") + step).otherwise(F.col("_piece")))
-        step //= 2
-    dealt = dealt.select(*by, v, n, "_piece", "_total")
-    pieces = dealt.groupBy(*by, "_piece", "_total").agg(F.sum(n).alias("_m"))
-    return dealt, pieces.withColumn("_upto", F.sum("_m").over(Window.partitionBy(*by).orderBy("_piece")))
+
+def _dealt(counts: DataFrame, by: list[str], v: str, n: str) -> tuple[DataFrame, DataFrame]:
+    """counts with the _piece of each value, and the pieces (by, _piece, _m, _upto, _total) with their sizes and running sums."""
+    dealt = counts.where(F.col(v).isNotNull()).select(*by, v, n, _piece(F.col(v).cast("double")).alias("_piece"))
+    pieces, group = dealt.groupBy(*by, "_piece").agg(F.sum(n).alias("_m")), Window.partitionBy(*by)
+    return dealt, pieces.withColumn("_upto", F.sum("_m").over(group.orderBy("_piece"))).withColumn("_total", F.sum("_m").over(group))
 
 
 def average_ranks(counts: DataFrame, by: list[str], v: str, n: str) -> DataFrame:
@@ -54,8 +48,8 @@ def average_ranks(counts: DataFrame, by: list[str], v: str, n: str) -> DataFrame
 def quantiles(counts: DataFrame, by: list[str], v: str, n: str, qs: tuple[float, ...]) -> DataFrame:
     """(by, q): the interpolated quantiles of each group, exact, from counts (by, v, n) of its distinct values.
 
-    Values are dealt between approximate quantiles of their own; pieces' counts are summed, and only the pieces that
-    hold a wanted place are ranked inside. So a column of any number of values takes no task of its own.
+    Values are dealt to pieces of the number line; pieces' counts are summed, and only the pieces that hold a wanted
+    place are ranked inside. So a column of any number of values takes no task of its own.
     """
     dealt, pieces = _dealt(counts, by, v, n)
     places = [(i, end) for i in range(len(qs)) for end in ("floor", "ceil")]
