@@ -45,6 +45,19 @@ def average_ranks(counts: DataFrame, by: list[str], v: str, n: str) -> DataFrame
     return dealt.withColumn("_before", before).join(base, [*by, "_piece"]).select(*by, v, (F.col("_below") + F.col("_before") + (F.col(n) + 1) / 2).alias("rank"))
 
 
+def group_quantiles(counts: DataFrame, by: list[str], v: str, n: str, qs: tuple[float, ...]) -> DataFrame:
+    """What quantiles() gives, for groups of an entity each: one window, as in with_ranks()."""
+    ranked = with_ranks(counts.where(F.col(v).isNotNull()).select(*by, v, n), by, v, n)
+    at = lambda place: F.min(F.when(F.col("upto") > place, F.col(v)))
+
+    def between(q: float) -> Column:
+        place = F.lit(q) * (F.col("total") - 1)
+        low, high, share = at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))
+        return F.when(share == 0, low).otherwise((1 - share) * low + share * high)
+
+    return ranked.groupBy(*by).agg(F.array(*map(between, qs)).alias("q"))
+
+
 def quantiles(counts: DataFrame, by: list[str], v: str, n: str, qs: tuple[float, ...]) -> DataFrame:
     """(by, q): the interpolated quantiles of each group, exact, from counts (by, v, n) of its distinct values.
 

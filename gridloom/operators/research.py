@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.scalars import RESEARCH_SENTINELS, cases, is_sentinel, seconds
-from gridloom.operators.ranks import average_ranks, quantiles
+from gridloom.operators.ranks import average_ranks, group_quantiles, quantiles
 
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
@@ -41,7 +41,7 @@ def signal_statistics(rows: DataFrame, signals: list[str], by: list[str] | None
     )
     # counts of each value: how many there are, and where the quantiles lie
     counts = rows.groupBy(*keys, "raw").agg(F.count("*").alias("c")).withColumn("v", valid(F.col("raw")))
-    agg = agg.join(counts.groupBy(*keys).agg(F.count("*").alias("distinct")), keys).join(quantiles(counts, keys, "v", "c", QUANTILES), keys, "left")
+    agg = agg.join(counts.groupBy(*keys).agg(F.count("*").alias("distinct")), keys).join((group_quantiles if by else quantiles)(counts, keys, "v", "c", QUANTILES), keys, "left")
     n, some = F.col("valid"), (F.col("valid") > 1) & (F.col("pop") > 0)
     share = (n - 1) / n
     return agg.select(

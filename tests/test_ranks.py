@@ -18,8 +18,8 @@ def test_quantiles(spark, shape):
     values = {"even": [rng.random() for _ in range(3000)], "one outlier": [rng.random() for _ in range(999)] + [1e15], "ties": [float(rng.randrange(5)) for _ in range(2000)], "single": [4.5], "two": [1.0, 2.0]}[shape]
     rows = [("a", v) for v in values] + [("b", v * 3) for v in values[: len(values) // 2 + 1]] + [("a", None)]
     counts = spark.createDataFrame(rows, "g string, v double").groupBy("g", "v").agg(F.count("*").alias("n"))
-    got = {r.g: r.q for r in ranks.quantiles(counts, ["g"], "v", "n", (0.0, 0.05, 0.5, 0.95, 1.0)).collect()}
-    for g in "ab":
+    every = [{r.g: r.q for r in f(counts, ["g"], "v", "n", (0.0, 0.05, 0.5, 0.95, 1.0)).collect()} for f in (ranks.quantiles, ranks.group_quantiles)]
+    for g, got in ((g, got) for g in "ab" for got in every):
         own = [v for k, v in rows if k == g and v is not None]
         assert got[g] == pytest.approx(list(np.quantile(own, (0.0, 0.05, 0.5, 0.95, 1.0))), rel=1e-12)
     own = sorted(v for k, v in rows if k == "a" and v is not None)
