@@ -112,9 +112,10 @@ def range_hash(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarr
 def merged_sketch(rows: DataFrame, combine: str, dtype: str, length: int) -> np.ndarray:
     """One array of a fixed length from rows (block int, part int, cells binary), added or or-ed block by block.
 
-    Its size is a constant of the program and not of the data, so the driver may hold and broadcast it.
+    A sum that the cells can't hold stays at their largest value. Its size is a constant of the program and not of the data, so the driver may hold and broadcast it.
     """
-    op = {"add": np.add, "or": np.bitwise_or}[combine]
+    most = np.iinfo(dtype).max
+    op = {"add": lambda a, b: np.minimum(a.astype(np.uint64) + b, most).astype(dtype), "or": np.bitwise_or}[combine]
 
     def merge(pdf):
         total = np.zeros(0, dtype)

@@ -42,13 +42,13 @@ GROUP = 32
 HOT = 50_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[32, *range(9, 14)]] = True
 
 
 def word_bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Begin, end and row of each word of the rows data[offs[i]:offs[i + 1]]."""
-    word = ~_SPACE[data]
+    word = ~SPACE[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
     starts = offs[:-1][offs[:-1] < offs[1:]]
@@ -90,7 +90,7 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, words: int = WORDS, seed: i
     return out
 
 
-def _set_ids(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def set_ids(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sizes and two order-free hashes of each set."""
     size = np.fromiter(map(len, sets), np.int64, len(sets))
     sums = np.zeros((2, len(sets)), np.uint64)
@@ -116,7 +116,7 @@ def _light_pass(words: int, seed: int):
                 sets = shingle_sets(data, offs, words, seed)
                 whole = np.concatenate(sets) & np.uint64(CELLS - 1)
                 cells += np.bincount(whole.astype(np.int64), minlength=CELLS).astype(np.uint32)
-                size, sid, check = _set_ids(sets)
+                size, sid, check = set_ids(sets)
                 n = len(sets)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), pa.array(sid, mask=size == 0), pa.array(check, mask=size == 0), *(pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.binary()))], ["doc_id", "n", "sid", "check", "block", "part", "cells"])
         counts = sketch_rows(np.minimum(cells, 65535).astype(np.uint16), TaskContext.get().partitionId())
@@ -155,7 +155,7 @@ def _prefix_pass(words: int, seed: int, percent: int, cells, buckets: int):
         for batch in batches:
             for _, data, offs in text_slices(batch):
                 sets = shingle_sets(data, offs, words, seed)
-                _, sids, _ = _set_ids(sets)
+                _, sids, _ = set_ids(sets)
                 for s, sid in zip(sets, sids.tolist(), strict=True):
                     if not len(s) or sid in seen:
                         continue
@@ -231,7 +231,7 @@ def _set_pass(words: int, seed: int, flags):
         for batch in batches:
             for part, data, offs in text_slices(batch):
                 sets = shingle_sets(data, offs, words, seed)
-                size, sids, _ = _set_ids(sets)
+                size, sids, _ = set_ids(sets)
                 docs = part.column("doc_id").fill_null(0).to_numpy()
                 at = _flag_bits(sids, docs)
                 keep = np.flatnonzero((size > 0) & ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool))
@@ -241,7 +241,14 @@ def _set_pass(words: int, seed: int, flags):
     return run
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def sets_of(spark: SparkSession, docs: DataFrame, wanted: DataFrame, nodes: int, words: int, seed: int) -> DataFrame:
+    """(sid, shingles) of the wanted sets (sid, doc_id) of `nodes` in all, made from docs, with some others: a bit field of fixed size picks the documents."""
+    tasks = max(8, nodes // 4_000_000)
+    flags = spark.sparkContext.broadcast(merged_sketch(wanted.coalesce(tasks).mapInArrow(_flag_pass, "block int, part int, cells binary"), "or", "uint8", FLAG_BYTES))
+    return stored(spark, docs.mapInArrow(_set_pass(words, seed, flags), "sid long, shingles array<long>"), "shingles")
+
+
+def linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b) of set ids, those at the similarity or above; no aggregation follows, so hot joins may be split."""
     one, two = sets.selectExpr("sid a", "shingles x"), sets.selectExpr("sid b", "shingles y")
     n = F.size(F.array_intersect("x", "y"))
@@ -330,7 +337,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = WORDS,
     light = light.where("block is null").select("doc_id", "n", "sid", "check")
     nodes = light.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.min("check").alias("c0"), F.max("check").alias("c1"), F.max("n").alias("n"))
     nodes = stored(spark, nodes, "nodes")
-    total = nodes.agg(F.sum("n"), F.max(F.col("c0") != F.col("c1"))).first()
+    total = nodes.agg(F.sum("n"), F.max(F.col("c0") != F.col("c1")), F.count("*")).first()
     if total[1]:
         return jaccard_components(spark, docs, words, percent, seed + 1)
     buckets = max(48, int((total[0] or 0) * (100 - percent) / 100 / 250_000))
@@ -342,9 +349,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = WORDS,
     least = f"1 + cast(ceil({percent} * n / 100) as long) div 20"
 
     def whole_sets(sids: DataFrame) -> DataFrame:
-        wanted = sids.join(nodes.where("rep is not null").selectExpr("sid", "rep doc_id"), "sid")
-        flags = spark.sparkContext.broadcast(merged_sketch(wanted.coalesce(8).mapInArrow(_flag_pass, "block int, part int, cells binary"), "or", "uint8", FLAG_BYTES))
-        return stored(spark, docs.mapInArrow(_set_pass(words, seed, flags), "sid long, shingles array<long>"), "shingles")
+        return sets_of(spark, docs, sids.join(nodes.where("rep is not null").selectExpr("sid", "rep doc_id"), "sid"), total[2], words, seed)
 
     # a set that shares fewer shingles than that with all others together is in no candidate pair
     able = hyper.groupBy("sid").count().join(nodes.select("sid", "n"), "sid").where(f"count >= {least}").select("sid", "n")
@@ -355,7 +360,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = WORDS,
     large = pairs.groupBy("b").count().where(f"count >= {GROUP // 2}").select("b")
     checked = stored(spark, pairs.join(large, "b").select("a", "b"), "checked")
     sets = whole_sets(checked.selectExpr("a sid").union(checked.selectExpr("b")).distinct())
-    links = stored(spark, _linked(checked, sets, percent), "links")
+    links = stored(spark, linked_pairs(checked, sets, percent), "links")
     linked = star_components(spark, links)
     # the token-group matrix: sets by the leader that they named, linked or not, cut to about GROUP
     home = able.join(linked.withColumnRenamed("node", "sid"), "sid", "left").join(pairs.selectExpr("a sid", "b"), "sid", "left")
