@@ -9,8 +9,10 @@
 3. Candidates whose sizes allow the similarity, and whose signatures agree in SCREEN of the bins (small sets always pass),
    are compared on their full sets, made again from the texts. Links become components, stars first.
 4. A star doesn't compare two members with each other. Where a bucket still holds several components, each member outside
-   of its largest one meets the members of the others, in the same way; then components are joined once more. So every
-   pair of a bucket is linked, compared, or in one component already.
+   of its largest one meets the members of the others, in the same way. Of buckets of over GROUP sets the sets are cut into
+   columns of about GROUP sets of one leader, and of one component where it has so many, and pairs of columns are compared
+   as a whole, so no row a pair of sets is made. Then components are joined once more. So every pair of a bucket is
+   linked, compared, or in one component already.
 
 A linked pair meets in some bucket but for one in 8 million at the similarity of exactly 0.8, and far fewer above; the
 screen loses fewer than one in 10**9. No bucket is cut, whatever its size.
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import components, mix, star_components, stored, text_slices
-from gridloom.llm.ngram_join import linked_pairs, set_ids, sets_of, shingle_sets
+from gridloom.llm.ngram_join import GROUP, linked_pairs, set_ids, sets_of, shingle_sets
 
 WORDS, PERCENT = 2, 80
 BANDS, ROWS = 40, 5
@@ -104,6 +106,34 @@ def _screened(batches):
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
+def _column_links(percent: int):
+    """Of rows (x, y, same), x and y being columns of (comp, shingles), or one column twice: links between their components, as many as join them."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = [], []
+            for x, y, same in zip(batch.column("x"), batch.column("y"), batch.column("same").to_pylist(), strict=True):
+                one, two = ([m.values.to_numpy().view(np.uint64) for m in c.values.field("shingles")] for c in (x, y))  # sorted as such
+                was, other = (np.array(c.values.field("comp").to_pylist()) for c in (x, y))
+                now = {c: c for c in (*was.tolist(), *other.tolist())}
+                size = np.array([len(t) for t in two])
+                whole, starts = np.concatenate(two), np.concatenate([[0], np.cumsum(size)[:-1]])
+                for i, own in enumerate(one):
+                    at = np.searchsorted(own, whole)
+                    at[at == len(own)] = 0
+                    common = np.add.reduceat(own[at] == whole, starts, dtype=np.int64)
+                    hits = np.flatnonzero(common * (100 + percent) >= percent * (len(own) + size))
+                    for j in hits[hits > i] if same else hits:
+                        old, new = now[int(was[i])], now[int(other[j])]
+                        if old != new:
+                            a.append(int(was[i]))
+                            b.append(int(other[j]))
+                            now = {c: new if k == old else k for c, k in now.items()}
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = WORDS, percent: int = PERCENT, seed: int = 0) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text); see the module. The bands are made for 0.8 or more."""
     if percent < PERCENT:
@@ -149,10 +179,30 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = WORDS, pe
     placed = stored(spark, placed, "placed")
     parts = placed.groupBy("key", "comp").agg(F.count("*").alias("k"))
     mixed = parts.groupBy("key").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
+    mixed = stored(spark, mixed.join(placed.groupBy("key").agg(F.count("*").alias("members")), "key"), "mixed")
     open_ = stored(spark, placed.join(mixed, "key"), "open")
-    asks = open_.where("comp <> main").selectExpr("key", "sid", "comp")
-    met = open_.selectExpr("key", "sid other", "comp other_comp", "leader").join(asks, "key").where("comp <> other_comp and sid <> leader and other <> leader")
-    comps = contracted(links(met.selectExpr("least(sid, other) a", "greatest(sid, other) b").distinct()), comps)
+    few, many = open_.where(f"members <= {GROUP}"), open_.where(f"members > {GROUP}")
+    asks = few.where("comp <> main").selectExpr("key", "sid", "comp")
+    met = few.selectExpr("key", "sid other", "comp other_comp", "leader").join(asks, "key").where("comp <> other_comp and sid <> leader and other <> leader")
+    more = links(met.selectExpr("least(sid, other) a", "greatest(sid, other) b").distinct())
+    # large buckets: columns of sets, by the leader of the highest priority
+    home = stored(spark, many.groupBy("sid", "comp").agg(F.max("leader").alias("g")), "homes")
+    parts = home.groupBy("g", "comp").agg(F.count("*").alias("k"))
+    rest = parts.where(f"k < {GROUP // 2}").groupBy("g").agg(F.sum("k").alias("rest"))
+    parts = stored(spark, parts.join(rest, "g", "left"), "parts")
+    cut = f"if(k >= {GROUP // 2}, xxhash64(g, comp, pmod(xxhash64(sid), ceil(k / {GROUP}))), xxhash64(g, pmod(xxhash64(sid), ceil(rest / {GROUP}))))"
+    home = stored(spark, home.join(parts, ["g", "comp"]).selectExpr("sid", "comp", f"{cut} cut"), "columns")
+    cuts = stored(spark, home.groupBy("cut").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")), "cuts")
+    there = stored(spark, many.select("key", "sid").join(home.select("sid", "cut"), "sid").select("key", "cut").distinct().join(cuts, "cut"), "there")
+    pairs = there.join(there.withColumnsRenamed({"cut": "other", "c0": "d0", "c1": "d1"}), "key").where("cut <= other and (c0 <> c1 or d0 <> d1 or c0 <> d0)")
+    pairs = stored(spark, pairs.select("cut", "other").distinct(), "meets")
+    sids = home.join(pairs.select("cut").union(pairs.select("other")).distinct(), "cut", "left_semi")
+    sids = stored(spark, sids, "members")
+    sets = sets_of(spark, docs, sids.join(nodes.where("rep is not null").selectExpr("sid", "rep doc_id"), "sid"), total[1], words, seed)
+    columns = stored(spark, sets.dropDuplicates(["sid"]).join(sids, "sid").groupBy("cut").agg(F.collect_list(F.struct("comp", "shingles")).alias("x")), "matrix")
+    both = pairs.join(columns, "cut").join(columns.selectExpr("cut other", "x y"), "other").selectExpr("x", "y", "cut = other same")
+    more = more.union(both.mapInArrow(_column_links(percent), "a long, b long"))
+    comps = contracted(stored(spark, more, "links"), comps)
     # the smallest doc_id of each component, by set and then by document
     named = nodes.select("sid", "rep").join(comps.withColumnRenamed("node", "sid"), "sid", "left").selectExpr("sid", "rep", "root")
     first = stored(spark, named.where("root is not null").groupBy("root").agg(F.min("rep").alias("first")), "first")

@@ -52,7 +52,7 @@ def test_near_duplicates(spark, docs):
     assert rows_of(got, *COLUMNS) == brute_alike([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], 2)
 
 
-@pytest.mark.parametrize("changed", [4, 14, 22])
+@pytest.mark.parametrize("changed", [4, 9, 14, 22])
 def test_copies_near_the_threshold(spark, changed):
     """Copies of one text, each changed elsewhere: pairs above, at and below the similarity, linked through each other or not."""
     rows = near_copies(160, changed) + [(5000 + i, f"a{i} b c") for i in range(5)] + [(6000, "a1 b c"), (6001, "c a1 b")]
