@@ -79,25 +79,26 @@ def tokenizer(path: str):
 
 
 def _token_pass(path: str, length: int):
-    """Rows (f, first, p, at, doc_id, ids): the split's file, first row and task, and its sequences before this row."""
+    """Rows (f, first, p, at, doc_id, ids): the split's file and first row, its task and number there, and its sequences before this row."""
 
     def run(batches):
         encode, end = tokenizer(path)
-        task = TaskContext.get().partitionId()
+        split = TaskContext.get().partitionId() << 32
         file = first = after = None
         at = 0
         for batch in batches:
-            ats, firsts, ids = [], [], []
+            ats, firsts, splits, ids = [], [], [], []
             for f, r, text in zip(batch.column("f").to_pylist(), batch.column("r").to_pylist(), batch.column("text"), strict=True):
                 if (f, r) != (file, after):
-                    file, first, at = f, r, 0
+                    file, first, at, split = f, r, 0, split + 1
                 after = r + 1
                 own = np.array([*encode(text.as_py() or ""), end], "<u2")
                 ats.append(at)
                 firsts.append(first)
+                splits.append(split)
                 ids.append(own.tobytes())
                 at += -(-len(own) // length)
-            yield pa.RecordBatch.from_arrays([batch.column("f"), pa.array(firsts, pa.int64()), pa.array([task] * len(ats), pa.int32()), pa.array(ats, pa.int64()), batch.column("doc_id"), pa.array(ids, pa.binary())], ["f", "first", "p", "at", "doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("f"), pa.array(firsts, pa.int64()), pa.array(splits, pa.int64()), pa.array(ats, pa.int64()), batch.column("doc_id"), pa.array(ids, pa.binary())], ["f", "first", "p", "at", "doc_id", "ids"])
 
     return run
 
@@ -155,7 +156,7 @@ def write_shards(spark: SparkSession, docs: DataFrame, key: int = 2024, ranks: s
     if not _from_files(docs):
         docs = stored(spark, docs.select("doc_id", "text"), "sequences")
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "_metadata.file_path f", "_metadata.row_index r")
-    tokens = stored(spark, docs.mapInArrow(_token_pass(ranks or default_ranks(), length), "f string, first long, p int, at long, doc_id long, ids binary"), "tokens")
+    tokens = stored(spark, docs.mapInArrow(_token_pass(ranks or default_ranks(), length), "f string, first long, p long, at long, doc_id long, ids binary"), "tokens")
     splits = tokens.groupBy("f", "first", "p").agg(F.max(F.expr(f"at + ceil(length(ids) / {2 * length})")).cast("long").alias("n"))
     files = splits.groupBy("f").agg(F.sum("n").alias("n"))
     files = files.select("f", F.coalesce(F.sum("n").over(Window.orderBy("f").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("file_base"))

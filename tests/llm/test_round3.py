@@ -194,3 +194,19 @@ def test_hard_negatives_of_none_and_labels(spark):
     assert hard_negatives.mined(spark, none).count() == 0
     rows = spark.createDataFrame([(7, [1.0], 9), (14, [1.0], None), (8, [1.0], 9), (None, [1.0], 3)], "vec_id long, embedding array<float>, label int")
     assert rows_of(hard_negatives.relabelled(rows), "vec_id", "label") == sorted([(7, 0), (8, 9), (14, None), (None, 3)], key=key)
+
+
+def test_a_file_read_twice_by_one_task(spark, tmp_path):
+    from gridloom.llm import training_order
+
+    p = str(tmp_path / "docs")
+    spark.createDataFrame([(i, f"word{i} " * (i % 40)) for i in range(300)], "doc_id long, text string").coalesce(1).write.parquet(p)
+    was = spark.conf.get("spark.sql.files.minPartitionNum", None)
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        docs = spark.read.parquet(p, p)
+        assert docs.rdd.getNumPartitions() == 1
+        got = training_order.records(training_order.write_shards(spark, docs, length=32, per_shard=50), 32).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum") if was is None else spark.conf.set("spark.sql.files.minPartitionNum", was)
+    assert sorted(r.slot for r in got) == list(range(len(got))) and len(got) % 2 == 0
