@@ -46,33 +46,45 @@ def config_hash(config) -> object:
     return F.sha2(F.to_json(pairs), 256)
 
 
-def active_intervals(rows: DataFrame, active: str, by: list[str], debounce_seconds: float = 0.0, gaps: DataFrame | None = None, gap_by: list[str] | None = None) -> DataFrame:
+def active_intervals(rows: DataFrame, active: str, by: list[str], debounce_seconds: float = 0.0, gaps: DataFrame | None = None, gap_by: list[str] | None = None, state: str | None = None) -> DataFrame:
     """Runs of active rows: from the first to the next inactive row; open (end null, lasting to the last active row) without one.
 
+    `state` is a column whose values at both ends become start_state and end_state (of open runs that of the last active
+    row); first_sequence and last_sequence are the frames at the ends.
+
     Closed runs that are at most debounce_seconds apart become one. `gaps` (gap_by or by columns, gap_start, gap_end)
-    lowers the confidence of intervals that they overlap.
+    lowers the confidence of intervals that they overlap; of an open one the part up to its last active row counts.
     """
     w = _window(by)
     on = F.coalesce(F.col(active), F.lit(False))
-    rows = rows.select(*by, "event_time", "frame_sequence", on.alias("on"))
+    rows = rows.select(*by, "event_time", "frame_sequence", on.alias("on"), (F.col(state) if state else F.lit(None)).cast("string").alias("_state"))
     rows = rows.withColumn("_change", (F.col("on") != F.coalesce(F.lag("on").over(w), ~F.col("on"))).cast("int"))
     rows = rows.withColumn("_island", F.sum("_change").over(w)).withColumn("_next", F.lead("event_time").over(w))
-    runs = rows.where("on").groupBy(*by, "_island").agg(F.min("event_time").alias("start_time"), F.max("event_time").alias("last_active"), F.count("*").alias("observations"), F.expr("max_by(_next, struct(event_time, frame_sequence))").alias("end_time"))
+    at, own = "struct(event_time, frame_sequence)", []
+    if state:
+        rows = rows.withColumn("_after", F.lead(F.struct("_state", "frame_sequence")).over(w))
+        ends = "max_by(coalesce(_after, struct(_state, frame_sequence)), struct(event_time, frame_sequence))"
+        own = [F.expr(f"min_by(_state, {at})").alias("start_state"), F.expr(f"{ends}._state").alias("end_state"), F.expr(f"min_by(frame_sequence, {at})").alias("first_sequence"), F.expr(f"{ends}.frame_sequence").alias("last_sequence")]
+    runs = rows.where("on").groupBy(*by, "_island").agg(F.min("event_time").alias("start_time"), F.max("event_time").alias("last_active"), F.count("*").alias("observations"), F.expr(f"max_by(_next, {at})").alias("end_time"), *own)
     if debounce_seconds > 0:
         u = Window.partitionBy(*by).orderBy("start_time", "_island")
         apart = seconds(F.col("start_time")) - seconds(F.lag("end_time").over(u))
         runs = runs.withColumn("_new", F.coalesce((apart > debounce_seconds).cast("int"), F.lit(1))).withColumn("_g", F.sum("_new").over(u))
-        runs = runs.groupBy(*by, "_g").agg(F.min("start_time").alias("start_time"), F.max("last_active").alias("last_active"), F.sum("observations").alias("observations"), F.expr("max_by(end_time, _island)").alias("end_time"))
+        runs = runs.groupBy(*by, "_g").agg(F.min("start_time").alias("start_time"), F.max("last_active").alias("last_active"), F.sum("observations").alias("observations"), F.expr("max_by(end_time, _island)").alias("end_time"), *(F.expr(f"{'min_by' if c in ('start_state', 'first_sequence') else 'max_by'}({c}, _island)").alias(c) for c in ("start_state", "end_state", "first_sequence", "last_sequence") if state))
     until = F.coalesce("end_time", "last_active")
     runs = runs.withColumn("duration_seconds", seconds(until) - seconds(F.col("start_time"))).drop("_island", "_g")
-    runs = with_gap_flag(runs, gaps, gap_by or by) if gaps is not None else runs.withColumn("has_gap", F.lit(False))
+    if gaps is not None:
+        lasting = with_gap_flag(runs.withColumn("_end", F.col("end_time")).withColumn("end_time", until), gaps, gap_by or by)
+        runs = lasting.withColumn("end_time", F.col("_end")).drop("_end")
+    else:
+        runs = runs.withColumn("has_gap", F.lit(False))
     flags = F.array_compact(F.array(F.when(F.col("end_time").isNull(), "ALARM_OPEN_ENDED"), F.when(F.col("has_gap"), "EVENT_HAS_GAP")))
     return runs.withColumn("confidence", F.when(F.col("end_time").isNull() | F.col("has_gap"), "MEDIUM").otherwise("HIGH")).withColumn("quality_flags", flags)
 
 
-def fault_intervals(rows: DataFrame, active: str, by: list[str], gaps: DataFrame | None = None, gap_by: list[str] | None = None) -> DataFrame:
+def fault_intervals(rows: DataFrame, active: str, by: list[str], gaps: DataFrame | None = None, gap_by: list[str] | None = None, state: str | None = None) -> DataFrame:
     """Active intervals of faults, all critical."""
-    return active_intervals(rows, active, by, 0.0, gaps, gap_by).withColumn("severity", F.lit("CRITICAL"))
+    return active_intervals(rows, active, by, 0.0, gaps, gap_by, state).withColumn("severity", F.lit("CRITICAL"))
 
 
 def with_gap_flag(intervals: DataFrame, gaps: DataFrame, by: list[str], bucket_seconds: int = 21_600) -> DataFrame:
@@ -209,11 +221,11 @@ def timeline_gaps(rows: DataFrame, by: str = "charger_id") -> DataFrame:
     return found.select(by, F.col("start_time").alias("gap_start"), F.col("end_time").alias("gap_end"))
 
 
-def reconstruct(rows: DataFrame, alarms: list[str], faults: list[str], gaps: DataFrame | None = None, config: str | None = None) -> dict[str, DataFrame]:
+def reconstruct(rows: DataFrame, alarms: list[str] | dict[str, str], faults: list[str], gaps: DataFrame | None = None, config: str | None = None) -> dict[str, DataFrame]:
     """All event tables of a set of chargers from one table of observations.
 
     Gaps of the chargers' timelines, found in the observations where none are given, mark the events that they overlap.
-    `config` names a map column of settings, whose changes become a table too.
+    `config` names a map column of settings, whose changes become a table too. `alarms` may give each code its severity.
     """
     gaps = timeline_gaps(rows) if gaps is None else gaps
 
@@ -227,7 +239,7 @@ def reconstruct(rows: DataFrame, alarms: list[str], faults: list[str], gaps: Dat
     by = ["charger_id", "code"]
     return {
         "sessions": sessions(rows, gaps),
-        "alarms": active_intervals(long(alarms), "active", by, 0.0, gaps, ["charger_id"]),
-        "faults": fault_intervals(long(faults), "active", by, gaps, ["charger_id"]),
+        "alarms": active_intervals(long(list(alarms)), "active", by, 0.0, gaps, ["charger_id"], "raw").withColumn("severity", cases([(F.col("code") == c, s) for c, s in alarms.items()], "MAJOR") if isinstance(alarms, dict) else F.lit("MAJOR")),
+        "faults": fault_intervals(long(faults), "active", by, gaps, ["charger_id"], "raw"),
         "transitions": state_transitions(rows.where("trim(connector_status) <> ''"), "connector_status", ["charger_id", "connector_id"]),
     } | ({"config_changes": config_changes(rows.where(F.size(config) > 0), config, ["charger_id"])} if config else {})

@@ -50,8 +50,8 @@ def on_days_with(rows: DataFrame, others: DataFrame, *keys: str) -> DataFrame:
     return rows.join(others.select(*keys), list(keys), "left_semi")
 
 
-#: States of a file whose stamps count.
-USABLE_STATES = ("VALIDATED", "PROFILED", "QUALITY_CHECKED", "FRAMED", "NORMALIZED", "RECONSTRUCTED", "COMPLETED", "ARCHIVED")
+# States of a file whose stamps count, from validated on, whatever came after.
+USABLE_STATES = ("READY_FOR_NORMALIZATION", "FRAME_RECONSTRUCTION", "FRAMES_RECONSTRUCTED", "NORMALIZING", "NORMALIZED", "NORMALIZED_WITH_WARNINGS", "COMPLETED", "PARTIAL")
 
 
 def usable(files: DataFrame, state: str = "state", states: tuple[str, ...] = USABLE_STATES) -> DataFrame:

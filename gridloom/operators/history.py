@@ -45,11 +45,12 @@ def sampling_profile(rows: DataFrame, by: str = "charger_id") -> DataFrame:
 
 
 def history_gaps(rows: DataFrame, by: str = "charger_id", profile: DataFrame | None = None) -> DataFrame:
-    """Steps over max(180 s, 2.5 times the expected interval), or over 300 s where no interval is known."""
+    """Steps over max(180 s, 2.5 times the interval): the expected one, of unsteady entities the median, and over 300 s where there is none."""
     profile = profile if profile is not None else sampling_profile(rows, by)
-    d = _deltas(rows, by).join(profile.select(by, "expected_interval"), by, "left")
-    threshold = F.coalesce(F.greatest(F.lit(GAP_LEAST), F.col("expected_interval") * GAP_FACTOR), F.lit(GAP_FALLBACK))
-    return d.where(F.col("delta") > threshold).select(by, F.col("prev_time").alias("start_time"), F.col("event_time").alias("end_time"), F.col("delta").alias("duration_seconds"), F.round(F.col("delta") / F.col("expected_interval"), 2).alias("multiple"))
+    usual = F.coalesce("expected_interval", "median_interval")
+    d = _deltas(rows, by).join(profile.select(by, F.when(usual > 0, usual).alias("usual")), by, "left")
+    threshold = F.when(F.col("usual").isNull(), GAP_FALLBACK).otherwise(F.greatest(F.lit(GAP_LEAST), F.col("usual") * GAP_FACTOR))
+    return d.where(F.col("delta") > threshold).select(by, F.col("prev_time").alias("start_time"), F.col("event_time").alias("end_time"), F.col("delta").alias("duration_seconds"), F.round(F.col("delta") / F.col("usual"), 2).alias("multiple"))
 
 
 def counter_transitions(rows: DataFrame, value: str, by: str = "charger_id") -> DataFrame:
@@ -107,15 +108,23 @@ def eligibility(stats: DataFrame, days: int = 7, observations: int = 100, gap_ra
     return stats.withColumn("eligible", text == "").withColumn("reason", F.when(text != "", F.concat(text, F.lit("."))))
 
 
-def continuity(rows: DataFrame, by: str = "charger_id") -> DataFrame:
-    """Observations, span, days, cadence, gaps and gap ratio of each entity."""
+def continuity(rows: DataFrame, by: str = "charger_id", components: dict[str, str] | None = None, config: str | None = None, entities: DataFrame | None = None) -> DataFrame:
+    """Observations, span, days, cadence, gaps, gap ratio, depth and eligibility for research of each entity.
+
+    `components` gives names to columns of component ids, whose distinct values are listed in order; `config` is a column
+    of configuration hashes, whose distinct values are counted; `entities` adds those without a row, of depth NO_DATA.
+    """
     profile = sampling_profile(rows, by)
     gaps = history_gaps(rows, by, profile).groupBy(by).agg(F.count("*").alias("gaps"), F.sum("duration_seconds").alias("gap_seconds"), F.max("duration_seconds").alias("largest_gap"))
-    span = rows.groupBy(by).agg(F.min("event_time").alias("first"), F.max("event_time").alias("last"), F.count_distinct(F.to_date("event_time")).alias("days"))
-    out = profile.join(span, by).join(gaps, by, "left").fillna(0, ["gaps", "gap_seconds", "largest_gap"])
+    parts = [F.sort_array(F.collect_set(c)).alias(name) for name, c in (components or {}).items()] + ([F.count_distinct(config).alias("configurations")] if config else [])
+    span = rows.groupBy(by).agg(F.min("event_time").alias("first"), F.max("event_time").alias("last"), F.count_distinct(F.to_date("event_time")).alias("days"), F.count_distinct("event_time").alias("distinct_timestamps"), *parts)
+    out = profile.join(span, by).join(gaps, by, "left")
+    if entities is not None:
+        out = entities.select(by).distinct().join(out, by, "left")
+    out = out.fillna(0, ["observations", "same_second", "deltas", "days", "distinct_timestamps", "gaps", "gap_seconds", "largest_gap", *(["configurations"] if config else [])])
     length = seconds(F.col("last")) - seconds(F.col("first"))
-    depth = cases([(F.col("days") > 30, "LONGITUDINAL"), (F.col("days") > 7, "MULTI_DAY"), (F.col("days") > 1, "SHORT")], "SINGLE_DAY")
-    return out.withColumn("gap_ratio", F.round(F.coalesce(F.try_divide("gap_seconds", length), F.lit(0.0)), 4)).withColumn("depth", depth)
+    depth = cases([(F.col("observations") == 0, "NO_DATA"), (F.col("observations") == 1, "SINGLE_OBSERVATION")], "MULTI_OBSERVATION")
+    return eligibility(out.withColumn("gap_ratio", F.round(F.coalesce(F.try_divide("gap_seconds", length), F.lit(0.0)), 4)).withColumn("depth", depth))
 
 
 def shared_axis(rows: DataFrame, signals: list[str], by: str = "charger_id") -> DataFrame:

@@ -82,7 +82,7 @@ def score(files: DataFrame, legacy_collapse: bool = False) -> DataFrame:
     legacy_collapse counts only one weight among dimensions of equal score, as an older scoring did.
     """
     clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(100.0), c))
-    schema = 100 - 30.0 * F.col("missing_required") - F.least(F.lit(10.0), 2.0 * F.col("duplicate_headers")) - F.least(F.lit(40.0), F.coalesce(F.try_divide(F.col("drifted") * 100.0, F.col("fields")), F.lit(0.0))) - F.when(F.col("unknown_schema"), 10.0).otherwise(0.0)
+    schema = 100 - F.when(F.col("missing_required") > 0, 30.0).otherwise(0.0) - F.least(F.lit(10.0), 2.0 * F.col("duplicate_headers")) - F.least(F.lit(40.0), F.coalesce(F.try_divide(F.col("drifted") * 100.0, F.col("fields")), F.lit(0.0))) - F.when(F.col("unknown_schema"), 10.0).otherwise(0.0)
     steps = F.coalesce(F.try_divide("largest_step", "threshold"), F.lit(0.0))
     parts = {
         "schema": schema,
@@ -105,12 +105,13 @@ def score(files: DataFrame, legacy_collapse: bool = False) -> DataFrame:
 
 
 def daily_findings(days: DataFrame, gap_floor: str = "MODERATE", severities: dict[str, str] | None = None) -> DataFrame:
-    """Findings of reconciled days: (charger_id, business_date, code, severity, issue_hash).
+    """Findings of reconciled days: (charger_id, business_date, code, severity, issue_hash). Components are missed only on days with data.
 
     days: arrival, completeness, is_late, largest_gap_severity, cadence_abnormal, connectors, expected_connectors, smrs,
     expected_smrs, files, overlap_timestamps, dominant_date, file_date.
     """
     severities = DAILY_SEVERITY | (severities or {})
+    has_data = (F.col("arrival") != "MISSING") & F.coalesce(F.col("completeness") != "NO_DATA", F.lit(True))
     bands = ("MINOR", "MODERATE", "MAJOR", "CRITICAL")
     over = F.col("largest_gap_severity").isin(list(bands[bands.index(gap_floor) :]))
     rules = {
@@ -120,8 +121,8 @@ def daily_findings(days: DataFrame, gap_floor: str = "MODERATE", severities: dic
         "SEVERELY_INCOMPLETE_DAY": F.col("completeness") == "SEVERELY_INCOMPLETE",
         "TELEMETRY_GAP": over,
         "ABNORMAL_SAMPLING_INTERVAL": F.col("cadence_abnormal"),
-        "MISSING_EXPECTED_CONNECTOR": F.col("connectors") < F.col("expected_connectors"),
-        "MISSING_EXPECTED_SMR": F.col("smrs") < F.col("expected_smrs"),
+        "MISSING_EXPECTED_CONNECTOR": has_data & (F.col("connectors") < F.col("expected_connectors")),
+        "MISSING_EXPECTED_SMR": has_data & (F.col("smrs") < F.col("expected_smrs")),
         "MULTIPLE_FILES_SAME_CHARGER_DAY": F.col("files") > 1,
         "OVERLAPPING_FILE_COVERAGE": F.col("overlap_timestamps") > 0,
         "EVENT_DATE_FILENAME_MISMATCH": F.col("dominant_date") != F.col("file_date"),

@@ -227,10 +227,13 @@ def dataset_event_centered(events: DataFrame, rows: DataFrame, signal: str, befo
 
 
 def readiness(summary: DataFrame) -> DataFrame:
-    """summary (days, sessions, chargers) with the blockers and READY, PARTIAL or NOT_READY."""
-    blockers = F.array_compact(F.array(F.when(F.col("days") <= 1, "single snapshot"), F.when(F.col("sessions") == 0, "no sessions")))
-    depth = cases([(F.col("days") > 30, "LONGITUDINAL"), (F.col("days") > 7, "MULTI_DAY")], "SHORT")
-    return summary.withColumn("blockers", blockers).withColumn("depth", depth).withColumn("status", cases([(F.size("blockers") == 0, "READY"), (F.size("blockers") == 1, "PARTIAL")], "NOT_READY"))
+    """summary (first, last, sessions, ..) with span_days, depth by the span, the blockers and READY, PARTIAL or NOT_READY."""
+    span = F.coalesce((seconds(F.col("last")) - seconds(F.col("first"))) / 86_400, F.lit(0.0))
+    summary = summary.withColumn("span_days", span)
+    depth = cases([(F.col("span_days") > 30, "LONGITUDINAL"), (F.col("span_days") > 7, "MULTI_DAY")], "SINGLE_SNAPSHOT")
+    summary = summary.withColumn("depth", depth)
+    blockers = F.array_compact(F.array(F.when(F.col("depth") == "SINGLE_SNAPSHOT", "single snapshot"), F.when(F.col("sessions") == 0, "no sessions")))
+    return summary.withColumn("blockers", blockers).withColumn("status", cases([(F.size("blockers") == 0, "READY"), (F.size("blockers") == 1, "PARTIAL")], "NOT_READY"))
 
 
 def top_patterns(patterns: DataFrame, least: float = 0.0, k: int = 200) -> DataFrame:

@@ -81,7 +81,7 @@ def signal_matrix(t: Tables, signals: list[str], **wanted) -> DataFrame:
 
 
 def eligibility(t: Tables, **wanted) -> DataFrame:
-    return history.eligibility(history.continuity(fleet.filtered(t["observations"], **wanted)))
+    return history.continuity(fleet.filtered(t["observations"], **wanted))
 
 
 # coverage and daily operations
@@ -248,5 +248,5 @@ def pattern_breakdown(t: Tables) -> DataFrame:
 
 
 def readiness(t: Tables) -> DataFrame:
-    days = t["observations"].agg(F.count_distinct(F.to_date("event_time")).alias("days"), F.count_distinct("charger_id").alias("chargers"))
-    return research.readiness(days.withColumn("sessions", F.lit(t["sessions"].count())))
+    span = t["observations"].agg(F.min("event_time").alias("first"), F.max("event_time").alias("last"), F.count_distinct("charger_id").alias("chargers"))
+    return research.readiness(span.withColumn("sessions", F.lit(t["sessions"].count())))

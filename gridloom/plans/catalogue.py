@@ -206,10 +206,12 @@ def same_day_semi(spark, d):
 
 
 @query("files_of_day", """
-SELECT o_custkey, o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus IN ('F', 'O') AND CAST(o_orderdate AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1995-01-31'""")
+SELECT o_custkey, o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '4-NOT SPECIFIED') AND CAST(o_orderdate AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1995-01-31'""")
 def files_of_day(spark, d):
-    o = fleet.usable(read(spark, d, "orders"), "o_orderstatus", ("F", "O")).withColumn("day", F.to_date("o_orderdate"))
-    o = fleet.time_range(fleet.filtered(o, o_orderpriority=None), dt.date(1995, 1, 1), dt.date(1995, 1, 31), "day")
+    states = {"1-URGENT": "READY_FOR_NORMALIZATION", "2-HIGH": "FRAMES_RECONSTRUCTED", "3-MEDIUM": "QUARANTINED", "4-NOT SPECIFIED": "PARTIAL", "5-LOW": "VALIDATING"}
+    o = read(spark, d, "orders").withColumn("state", S.cases([(F.col("o_orderpriority") == p, s) for p, s in states.items()]))
+    o = fleet.usable(o).withColumn("day", F.to_date("o_orderdate"))
+    o = fleet.time_range(fleet.filtered(o, o_orderstatus=None), dt.date(1995, 1, 1), dt.date(1995, 1, 31), "day")
     return o.join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_custkey", "o_orderkey", "c_name")
 
 
@@ -425,7 +427,7 @@ def sampling_profile(spark, d):
 
 
 @query("history_gaps", f"""
-WITH {_PROFILE} SELECT charger_id, prev start_time, event_time end_time, round(delta, 6) duration_seconds, round(delta / expected, 2) multiple FROM p JOIN f USING (charger_id) WHERE delta > coalesce(greatest(180, expected * 2.5), 300)""")
+WITH {_PROFILE} SELECT charger_id, prev start_time, event_time end_time, round(delta, 6) duration_seconds, round(delta / nullif(coalesce(expected, round(med, 2)), 0), 2) multiple FROM p JOIN f USING (charger_id) WHERE delta > CASE WHEN coalesce(expected, round(med, 2)) > 0 THEN greatest(180, coalesce(expected, round(med, 2)) * 2.5) ELSE 300 END""")
 def history_gaps(spark, d):
     return _plain(history.history_gaps(telemetry(spark, d)).withColumn("duration_seconds", F.round("duration_seconds", 6)))
 
@@ -465,11 +467,17 @@ def eligibility(spark, d):
 
 
 @query("continuity", f"""
-WITH {_PROFILE}, g AS (SELECT charger_id, count(*) gaps, sum(delta) gs FROM p JOIN f USING (charger_id) WHERE delta > coalesce(greatest(180, expected * 2.5), 300) GROUP BY 1),
-n AS (SELECT charger_id, count(DISTINCT CAST(event_time AS DATE)) AS days, epoch_us(max(event_time)) / 1e6 - epoch_us(min(event_time)) / 1e6 len FROM t GROUP BY 1)
-SELECT charger_id, observations, days, coalesce(gaps, 0) gaps, round(coalesce(coalesce(gs, 0) / nullif(len, 0), 0), 3) gap_ratio, CASE WHEN days > 30 THEN 'LONGITUDINAL' WHEN days > 7 THEN 'MULTI_DAY' WHEN days > 1 THEN 'SHORT' ELSE 'SINGLE_DAY' END depth FROM f JOIN n USING (charger_id) LEFT JOIN g USING (charger_id)""")
+WITH {_PROFILE}, g AS (SELECT charger_id, count(*) gaps, sum(delta) gs FROM p JOIN f USING (charger_id) WHERE delta > CASE WHEN coalesce(expected, round(med, 2)) > 0 THEN greatest(180, coalesce(expected, round(med, 2)) * 2.5) ELSE 300 END GROUP BY 1),
+n AS (SELECT charger_id, count(DISTINCT CAST(event_time AS DATE)) AS days, count(DISTINCT event_time) stamps, string_agg(DISTINCT state, ',' ORDER BY state) states, count(DISTINCT k) configurations, epoch_us(max(event_time)) / 1e6 - epoch_us(min(event_time)) / 1e6 len FROM t GROUP BY 1),
+c AS (SELECT c_custkey charger_id, coalesce(observations, 0) observations, coalesce(days, 0) AS days, coalesce(stamps, 0) distinct_timestamps, states, coalesce(configurations, 0) configurations, coalesce(gaps, 0) gaps, coalesce(round(coalesce(coalesce(gs, 0) / nullif(len, 0), 0), 4), 0) gap_ratio
+  FROM customer LEFT JOIN (f JOIN n USING (charger_id) LEFT JOIN g USING (charger_id)) x ON x.charger_id = c_custkey),
+w AS (SELECT *, concat_ws('; ', CASE WHEN observations <= 1 THEN 'Only a single observation exists' END, CASE WHEN observations > 1 AND days < 7 THEN 'Fewer than 7 days of history (' || days || ')' END,
+  CASE WHEN observations > 1 AND observations < 100 THEN 'Fewer than 100 observations (' || observations || ')' END, CASE WHEN observations > 1 AND gap_ratio > 0.35 THEN 'Gap ratio too high' END) r FROM c)
+SELECT charger_id, observations, days, distinct_timestamps, states, configurations, gaps, gap_ratio, CASE observations WHEN 0 THEN 'NO_DATA' WHEN 1 THEN 'SINGLE_OBSERVATION' ELSE 'MULTI_OBSERVATION' END depth, r = '' eligible, CASE WHEN r <> '' THEN r || '.' END reason FROM w""")
 def continuity(spark, d):
-    return history.continuity(telemetry(spark, d)).select("charger_id", "observations", "days", "gaps", F.round("gap_ratio", 3).alias("gap_ratio"), "depth")
+    """Customers are the registry: those without an event have no data."""
+    found = history.continuity(telemetry(spark, d), components={"states": "state"}, config="k", entities=read(spark, d, "customer").select(F.col("c_custkey").alias("charger_id")))
+    return found.select("charger_id", "observations", "days", "distinct_timestamps", F.array_join("states", ",").alias("states"), "configurations", "gaps", "gap_ratio", "depth", "eligible", "reason")
 
 
 @query("shared_axis", f"WITH {_T} SELECT charger_id, frame_sequence, value v, CAST(k AS DOUBLE) k FROM t")
@@ -523,12 +531,12 @@ def fault_intervals(spark, d):
 
 @query("gap_overlap_flags", f"""
 WITH {_RUNS}, p AS (SELECT charger_id, event_time, lead(event_time) OVER (PARTITION BY charger_id ORDER BY event_time) nxt FROM t), gaps AS (SELECT charger_id, event_time gs, nxt ge FROM p WHERE epoch_us(nxt) - epoch_us(event_time) > 86400000000)
-SELECT charger_id, start_time, end_time, EXISTS (SELECT 1 FROM gaps g WHERE g.charger_id = runs.charger_id AND CASE WHEN end_time IS NULL THEN ge >= start_time ELSE NOT (ge <= start_time OR gs >= end_time) END) has_gap FROM runs""")
+SELECT charger_id, start_time, end_time, EXISTS (SELECT 1 FROM gaps g WHERE g.charger_id = runs.charger_id AND NOT (ge <= start_time OR gs >= coalesce(end_time, last_active))) has_gap FROM runs""")
 def gap_overlap_flags(spark, d):
     rows = telemetry(spark, d)
     after = F.lead("event_time").over(events._window(["charger_id"]))
     gaps = rows.withColumn("gap_end", after).where(S.seconds(F.col("gap_end")) - S.seconds(F.col("event_time")) > 86_400).select("charger_id", F.col("event_time").alias("gap_start"), "gap_end")
-    found = events.with_gap_flag(intervals(spark, d).drop("has_gap"), gaps, ["charger_id"])
+    found = events.active_intervals(rows.withColumn("on", F.col("state") == "error"), "on", ["charger_id"], gaps=gaps)
     return _plain(found.select("charger_id", "start_time", "end_time", "has_gap"))
 
 
@@ -690,10 +698,15 @@ def dataset_session(spark, d):
     return research.dataset_session(s).select("charger_id", "session_id", "kwh_per_minute", "quality")
 
 
-@query("readiness", "SELECT count(DISTINCT CAST(ts AS DATE)) AS days, count(*) FILTER (event_type = 'signup') sessions, 'MULTI_DAY' depth, 'READY' status FROM events")
+@query("readiness", f"""
+WITH {_T}, a AS (SELECT charger_id, k, count(*) FILTER (state = 'signup') sessions, (epoch_us(max(event_time)) - epoch_us(min(event_time))) / 86400e6 span FROM t GROUP BY ALL),
+b AS (SELECT *, CASE WHEN span > 30 THEN 'LONGITUDINAL' WHEN span > 7 THEN 'MULTI_DAY' ELSE 'SINGLE_SNAPSHOT' END depth FROM a)
+SELECT charger_id, k, sessions, round(span, 4) span_days, depth, concat_ws(',', CASE WHEN span <= 7 THEN 'single snapshot' END, CASE WHEN sessions = 0 THEN 'no sessions' END) blockers,
+  CASE WHEN span <= 7 AND sessions = 0 THEN 'NOT_READY' WHEN span <= 7 OR sessions = 0 THEN 'PARTIAL' ELSE 'READY' END status FROM b""")
 def readiness(spark, d):
-    one = telemetry(spark, d).agg(F.count_distinct(F.to_date("event_time")).alias("days"), F.count_if(F.col("state") == "signup").alias("sessions"))
-    return research.readiness(one).drop("blockers")
+    """Of each device and configuration; a signup is a session."""
+    each = telemetry(spark, d).groupBy("charger_id", "k").agg(F.min("event_time").alias("first"), F.max("event_time").alias("last"), F.count_if(F.col("state") == "signup").alias("sessions"))
+    return research.readiness(each).select("charger_id", "k", "sessions", F.round("span_days", 4).alias("span_days"), "depth", F.array_join("blockers", ",").alias("blockers"), "status")
 
 
 # quality and schema
@@ -717,23 +730,40 @@ def schema_breakdown(spark, d):
 
 @query("daily_findings", f"""
 WITH {_STEPS}, a AS (SELECT charger_id, day business_date, count(*) n, coalesce(max(step), 0) lg FROM s GROUP BY ALL),
-r AS (SELECT charger_id, business_date, unnest([CASE WHEN n * 25.0 < 95 AND n * 25.0 >= 50 THEN 'PARTIAL_DAY' END, CASE WHEN n * 25.0 < 50 THEN 'SEVERELY_INCOMPLETE_DAY' END, CASE WHEN lg > 64800 THEN 'TELEMETRY_GAP' END]) code FROM a)
-SELECT charger_id, business_date, code, CASE code WHEN 'SEVERELY_INCOMPLETE_DAY' THEN 'ERROR' ELSE 'WARNING' END severity, sha256(concat_ws(chr(31), code, CAST(charger_id AS VARCHAR), CAST(business_date AS VARCHAR))) issue_hash FROM r WHERE code IS NOT NULL""")
+o AS (SELECT charger_id, CAST(event_time AS DATE) business_date, count(DISTINCT state) connectors, count(DISTINCT k) smrs, count(DISTINCT file_id) files, count(*) - count(DISTINCT event_time) over_ FROM t GROUP BY ALL),
+b AS (SELECT *, charger_id % 6 = 0 missing FROM a JOIN o USING (charger_id, business_date)),
+r AS (SELECT charger_id, business_date, unnest([CASE WHEN missing THEN 'MISSING_CHARGER_DATA' END, CASE WHEN charger_id % 7 = 0 THEN 'LATE_FILE' END, CASE WHEN n * 25.0 < 95 AND n * 25.0 >= 50 THEN 'PARTIAL_DAY' END,
+  CASE WHEN n * 25.0 < 50 THEN 'SEVERELY_INCOMPLETE_DAY' END, CASE WHEN lg > 64800 THEN 'TELEMETRY_GAP' END, CASE WHEN connectors = 5 THEN 'ABNORMAL_SAMPLING_INTERVAL' END, CASE WHEN NOT missing AND connectors < 3 THEN 'MISSING_EXPECTED_CONNECTOR' END,
+  CASE WHEN NOT missing AND smrs < 4 THEN 'MISSING_EXPECTED_SMR' END, CASE WHEN files > 1 THEN 'MULTIPLE_FILES_SAME_CHARGER_DAY' END, CASE WHEN over_ > 0 THEN 'OVERLAPPING_FILE_COVERAGE' END, CASE WHEN charger_id % 11 = 0 THEN 'EVENT_DATE_FILENAME_MISMATCH' END]) code FROM b)
+SELECT charger_id, business_date, code, CASE WHEN code IN ('SEVERELY_INCOMPLETE_DAY', 'MISSING_CHARGER_DATA') THEN 'ERROR' WHEN code IN ('MULTIPLE_FILES_SAME_CHARGER_DAY', 'OVERLAPPING_FILE_COVERAGE') THEN 'INFO' ELSE 'WARNING' END severity,
+  sha256(concat_ws(chr(31), code, CAST(charger_id AS VARCHAR), CAST(business_date AS VARCHAR))) issue_hash FROM r WHERE code IS NOT NULL""")
 def daily_findings(spark, d):
-    days = coverage.day_coverage(telemetry(spark, d), RULES)
+    """States play connectors and settings SMRs; some devices are said to be missing, late or dated otherwise."""
+    rows = telemetry(spark, d)
+    days = coverage.day_coverage(rows, RULES).select("charger_id", "business_date", "completeness", "gap_count", "largest_gap_seconds")
+    seen = rows.groupBy("charger_id", F.to_date("event_time").alias("business_date")).agg(F.count_distinct("state").alias("connectors"), F.count_distinct("k").alias("smrs"), F.count_distinct("file_id").alias("files"), (F.count("*") - F.count_distinct("event_time")).alias("overlap_timestamps"))
     gap = F.when(F.col("gap_count") > 0, coverage.severity(F.col("largest_gap_seconds"), RULES))
-    days = days.withColumns({"arrival": F.lit("RECEIVED"), "is_late": F.lit(False), "largest_gap_severity": gap, "cadence_abnormal": F.lit(False), "connectors": F.lit(2), "expected_connectors": F.lit(2), "smrs": F.lit(4), "expected_smrs": F.lit(4), "files": F.lit(1), "dominant_date": F.col("business_date"), "file_date": F.col("business_date")})
+    own = lambda n: F.col("charger_id") % n == 0
+    days = days.join(seen, ["charger_id", "business_date"]).withColumns({"arrival": F.when(own(6), "MISSING").otherwise("RECEIVED"), "is_late": own(7), "largest_gap_severity": gap, "cadence_abnormal": F.col("connectors") == 5, "expected_connectors": F.lit(3), "expected_smrs": F.lit(4), "dominant_date": F.col("business_date"), "file_date": F.date_add("business_date", own(11).cast("int"))})
     return quality.daily_findings(days)
 
 
 @query("quality_score", """
-WITH f AS (SELECT o_orderstatus file_id, count(*) n, count(*) FILTER (o_totalprice > 300000) v FROM orders GROUP BY 1)
-SELECT file_id, 60.0::DOUBLE schema_score, 90.0::DOUBLE completeness_score, round(100.0 * (1 - v * 1.0 / n), 2)::DOUBLE validity_score, 95.0::DOUBLE duplicate_score, 89.0::DOUBLE timestamp_score,
-  round(0.3 * 60 + 0.2 * 90 + 0.2 * round(100.0 * (1 - v * 1.0 / n), 2) + 0.15 * 95 + 0.15 * 89, 2)::DOUBLE overall_score FROM f""")
+WITH f AS (SELECT o_orderpriority || o_orderstatus file_id, count(*) n, count(*) FILTER (o_totalprice > 300000) v, count(*) FILTER (o_custkey % 500 = 0) % 4 mr, count(*) % 8 dup, count(*) % 5 dr, o_orderstatus = 'P' unk, count(*) FILTER (o_totalprice > 60000) / count(*) comp,
+  count(*) FILTER (o_custkey % 20 = 0) / count(*) ex, count(*) FILTER (o_custkey % 50 = 0) / count(*) con, count(*) FILTER (o_totalprice < 400000) / count(*) parsed, count(*) % 40 step FROM orders GROUP BY o_orderpriority, o_orderstatus),
+g AS (SELECT file_id, round(greatest(0, least(100, 100 - CASE WHEN mr > 0 THEN 30 ELSE 0 END - least(10, 2.0 * dup) - least(40, dr * 100.0 / 10) - CASE WHEN unk THEN 10 ELSE 0 END)), 2)::DOUBLE schema_score, round(100.0::DOUBLE * comp, 2) completeness_score, round(100.0::DOUBLE * (1 - v / n), 2) validity_score,
+  round(100.0::DOUBLE - 100.0::DOUBLE * ex - 100.0::DOUBLE * con, 2) duplicate_score, round(greatest(0, 100.0::DOUBLE * parsed - CASE WHEN step > 10 THEN least(30, 10.0::DOUBLE * (step / 10 - 1)) ELSE 0 END), 2) timestamp_score FROM f)
+SELECT *, round(0.3::DOUBLE * schema_score + 0.2::DOUBLE * completeness_score + 0.2::DOUBLE * validity_score + 0.15::DOUBLE * duplicate_score + 0.15::DOUBLE * timestamp_score, 2) overall_score FROM g""")
 def quality_score(spark, d):
-    f = read(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("file_id")).agg(F.count("*").alias("values"), F.count_if(F.col("o_totalprice") > 300_000).alias("violations"))
-    f = f.withColumns({"fields": F.lit(10), "missing_required": F.lit(1), "duplicate_headers": F.lit(0), "drifted": F.lit(1), "unknown_schema": F.lit(False), "completeness": F.lit(0.9), "exact_share": F.lit(0.05), "conflict_share": F.lit(0.0), "parsed_share": F.lit(0.99), "largest_step": F.lit(20.0), "threshold": F.lit(10.0)})
-    return quality.score(f).drop("values", "violations", "fields", "missing_required", "duplicate_headers", "drifted", "unknown_schema", "completeness", "exact_share", "conflict_share", "parsed_share", "largest_step", "threshold")
+    """Orders of a priority and status play the rows of a file; its flaws are counted from them."""
+    n, share = F.count("*"), lambda c: F.count_if(c) / F.count("*")
+    price, key = F.col("o_totalprice"), F.col("o_custkey")
+    f = read(spark, d, "orders").groupBy(F.concat("o_orderpriority", "o_orderstatus").alias("file_id")).agg(
+        n.alias("values"), F.count_if(price > 300_000).alias("violations"), (F.count_if(key % 500 == 0) % 4).alias("missing_required"), (n % 8).alias("duplicate_headers"), (n % 5).alias("drifted"), F.bool_and(F.col("o_orderstatus") == "P").alias("unknown_schema"),
+        share(price > 60_000).alias("completeness"), share(key % 20 == 0).alias("exact_share"), share(key % 50 == 0).alias("conflict_share"), share(price < 400_000).alias("parsed_share"), (n % 40).alias("largest_step"),
+    )
+    scored = quality.score(f.withColumns({"fields": F.lit(10), "threshold": F.lit(10.0)}))
+    return scored.select("file_id", *(f"{p}_score" for p in (*quality.WEIGHTS, "overall")))
 
 
 @query("illegal_moves", f"""

@@ -18,7 +18,8 @@ from gridloom.sources import csv_files, store
 from gridloom.sources.protocols import FolderSource
 
 FORMATS = ("dd-MM-yyyy HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss")
-ALARMS = ("smoke_alarm", "emergency_stop_active", "grid_fail", "door_open")
+# Fields of alarms with their severity, and of faults.
+ALARMS = {"smoke_alarm": "CRITICAL", "emergency_stop_active": "CRITICAL", "grid_fail": "MAJOR", "door_open": "MINOR"}
 FAULTS = ("short_circuit", "ground_fault_alarm", "input_rcbo_tripped", "mccb_tripped", "mdl_fault", "fan_fault")
 
 #: Columns of rows that say where they come from and are no payload of a frame.
@@ -175,7 +176,7 @@ def reconstruct(spark: SparkSession, inbox: str, out: str, rules: coverage.Cover
     for c in ("connector_status", "session_id"):
         if c not in seen.columns:
             seen = seen.withColumn(c, F.lit(None).cast("string"))
-    found = events.reconstruct(seen, list(ALARMS), list(FAULTS), config="settings")
+    found = events.reconstruct(seen, ALARMS, list(FAULTS), config="settings")
     for name, table in (found | {"timeline_gaps": events.timeline_gaps(seen)}).items():
         table.write.mode("overwrite").parquet(f"{out}/{name}")
     return 0

@@ -224,18 +224,18 @@ def _reconstructed(spark, d):
     pairs = F.create_map(*(F.lit(x) for p in names.items() for x in p))
     rows = telemetry(spark, d).withColumn("connector_id", F.lit("1")).withColumn("connector_status", pairs[F.col("state")]).withColumn("session_id", F.lit(None).cast("string"))
     rows = rows.withColumn("grid_fail", F.when(F.col("state") == "error", "Alarm").otherwise("ok")).withColumn("settings", F.create_map(F.lit("k"), F.col("k")))
-    return events.reconstruct(rows, ["grid_fail"], ["grid_fail"], _day_gaps(rows), config="settings")
+    return events.reconstruct(rows, {"grid_fail": "MAJOR"}, ["grid_fail"], _day_gaps(rows), config="settings")
 
 
 _GAPS = "p AS (SELECT charger_id, event_time, lead(event_time) OVER (PARTITION BY charger_id ORDER BY event_time, frame_sequence) nxt FROM t), gaps AS (SELECT charger_id, event_time gs, nxt ge FROM p WHERE epoch_us(nxt) - epoch_us(event_time) > 86400000000)"
 
 
 @query("reconstructed_alarms", f"""
-WITH {_RUNS}, {_GAPS}, f AS (SELECT *, EXISTS (SELECT 1 FROM gaps g WHERE g.charger_id = runs.charger_id AND CASE WHEN end_time IS NULL THEN ge >= start_time ELSE NOT (ge <= start_time OR gs >= end_time) END) has_gap FROM runs)
-SELECT charger_id, 'grid_fail' code, start_time, end_time, has_gap, CASE WHEN end_time IS NULL OR has_gap THEN 'MEDIUM' ELSE 'HIGH' END confidence, nullif(concat_ws(',', CASE WHEN end_time IS NULL THEN 'ALARM_OPEN_ENDED' END, CASE WHEN has_gap THEN 'EVENT_HAS_GAP' END), '') flags FROM f""")
+WITH {_RUNS}, {_GAPS}, f AS (SELECT *, EXISTS (SELECT 1 FROM gaps g WHERE g.charger_id = runs.charger_id AND NOT (ge <= start_time OR gs >= coalesce(end_time, last_active))) has_gap FROM runs)
+SELECT charger_id, 'grid_fail' code, 'MAJOR' severity, 'Alarm' start_state, CASE WHEN end_time IS NULL THEN 'Alarm' ELSE 'ok' END end_state, start_time, end_time, has_gap, CASE WHEN end_time IS NULL OR has_gap THEN 'MEDIUM' ELSE 'HIGH' END confidence, nullif(concat_ws(',', CASE WHEN end_time IS NULL THEN 'ALARM_OPEN_ENDED' END, CASE WHEN has_gap THEN 'EVENT_HAS_GAP' END), '') flags FROM f""")
 def reconstructed_alarms(spark, d):
     found = _reconstructed(spark, d)["alarms"]
-    return _plain(found.select("charger_id", "code", "start_time", "end_time", "has_gap", "confidence", F.nullif(F.array_join("quality_flags", ","), F.lit("")).alias("flags")))
+    return _plain(found.select("charger_id", "code", "severity", "start_state", "end_state", "start_time", "end_time", "has_gap", "confidence", F.nullif(F.array_join("quality_flags", ","), F.lit("")).alias("flags")))
 
 
 @query("reconstructed_settings", f"""
