@@ -98,16 +98,22 @@ SCOPES = {"connector": "connector_no", "session": "connector_no", "rectifier": "
 STOP_REASONS = ("last_charge_session_stop_reason", "last_charge_session_stop_reason_secondary")
 
 
-def build_tables(rows: DataFrame, specs: list[FieldSpec], zone: str = "Asia/Kolkata") -> dict[str, DataFrame]:
+#: Tables that others are made of: the head of each frame, and the provenance.
+KEPT = ("frame_heads", "observation_provenance")
+
+
+def build_tables(rows: DataFrame, specs: list[FieldSpec], zone: str = "Asia/Kolkata", kept=lambda table, name: table) -> dict[str, DataFrame]:
     """The eleven typed tables by name, `observation_provenance` and `quality_findings`, from rows of frames.
 
     rows: frame_id, charger_id, event_time, frame_sequence, the scopes' columns and those of the specs. A table has a row
     for each frame (or component in it); alarms have the codes that are active, sessions their stop reason, and a
-    configuration its hash and all its settings.
+    configuration its hash and all its settings. `kept` may write the tables of KEPT when they are made, so that the
+    cells are taken apart once and not for each table.
     """
     heads = rows.groupBy("frame_id").agg(*(F.first(c).alias(c) for c in ("charger_id", "event_time", "frame_sequence")))
     provenance = resolved_long(rows, specs).withColumn("family", cases([(F.col("name") == s.name, s.family) for s in specs], "charger"))
     provenance = provenance.withColumn("table_name", cases([(F.col("family") == f, t) for f, t in TABLES.items()], "charger_telemetry"))
+    heads, provenance = kept(heads, KEPT[0]), kept(provenance, KEPT[1])
     out = {}
     for family, name in TABLES.items():
         own = [s for s in specs if (s.family if s.family in TABLES else "charger") == family]

@@ -14,7 +14,7 @@ from gridloom.functions import classifier
 from gridloom.functions.scalars import business_date, identity
 from gridloom.operators import coverage, events, frames, silver
 from gridloom.plans.api import Tables, daily_summary
-from gridloom.sources import csv_files, store
+from gridloom.sources import csv_files, staging, store
 from gridloom.sources.protocols import FolderSource
 
 FORMATS = ("dd-MM-yyyy HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss")
@@ -26,20 +26,26 @@ FAULTS = ("short_circuit", "ground_fault_alarm", "input_rcbo_tripped", "mccb_tri
 KEYS = ("file_id", "charger_id", "event_time", "source_row_number", "position", "connector_no", "smr_no")
 
 
-def by_file(spark: SparkSession, source: str | list[str], zone: str = "Asia/Kolkata"):
-    """(rows, verdicts): the rows of files that fit, with charger_id, event_time (an instant) and position, other columns
-    as text; and (path, reason) of all files of a folder or list, reason null for those that fit.
+def by_file(spark: SparkSession, files, out: str, zone: str = "Asia/Kolkata"):
+    """(rows, verdicts, facts) of files (path, sha256, length), which are staged under `out` if they aren't yet: the rows of
+    those that fit, with charger_id, event_time (an instant) and position, other columns as text; (path, reason) of all,
+    reason null for those that fit; and what is known of each before its rows are judged.
 
     Columns of roles are chosen for each header, the time format for each file. A file fits if its header has all
     required roles, some stamp parses or it has no row, and csv_files.admitted() finds nothing against it.
     """
-    heads = csv_files.headers(spark, source).select("file_id", "position", "canonical_name", F.col("fingerprint").alias("_header"))
-    names: dict[str, list[str]] = {}
-    for r in heads.select("_header", "position", "canonical_name").distinct().orderBy("_header", "position").collect():
-        names.setdefault(r._header, []).append(r.canonical_name)
-    roles = {h: r for h, n in names.items() if not set(csv_files.REQUIRED_ROLES) - set(r := csv_files.roles(n))}
+    folder = f"{out}/staged"
+    staging.stage(spark, files, folder)
+    own = files.selectExpr("path", "sha256", "length")
+    heads = staging.headers(spark, folder).join(own.selectExpr("sha256 file_id").distinct(), "file_id", "left_semi")
+    layout = staging.layouts(heads)
+    roles = {h: r for h, n in layout.items() if not set(csv_files.REQUIRED_ROLES) - set(r := csv_files.roles(n))}
     if not roles:
         raise ValueError(f"no file has a column for each of {', '.join(csv_files.REQUIRED_ROLES)}")
+    layout = {h: n for h, n in layout.items() if h in roles}
+    raw = staging.rows(spark, folder, own).where(F.col("header").isin(list(roles))).withColumnRenamed("file_id", "sha256").join(own.select("sha256", F.col("path").alias("file_id")), "sha256")
+    cell = lambda c: staging.column(layout, c).alias(c)
+    raw = raw.select("file_id", "source_row_number", "cells", F.col("header").alias("_header"), *(cell(c) for c in staging.columns(layout)))
 
     def column(role):
         owners: dict[str, list[str]] = {}
@@ -47,8 +53,6 @@ def by_file(spark: SparkSession, source: str | list[str], zone: str = "Asia/Kolk
             owners.setdefault(r[role], []).append(h)
         return F.coalesce(*(F.when(F.col("_header").isin(h), F.col(c)) for c, h in owners.items()))
 
-    files = heads.groupBy("file_id", "_header").agg(F.count("*").alias("columns"))
-    raw = csv_files.table(spark, source).join(files.where(F.col("_header").isin(list(roles))).drop("columns"), "file_id")
     stamps = [F.try_to_timestamp(column("EVENT_TIME"), F.lit(f)) for f in FORMATS]
     forms = csv_files.time_formats(raw, column("EVENT_TIME"), FORMATS).withColumnRenamed("form", "_form")
     # one number a file, whose list the driver holds anyway; a cached plan would be taken for that of a later inbox
@@ -57,13 +61,20 @@ def by_file(spark: SparkSession, source: str | list[str], zone: str = "Asia/Kolk
     local = F.coalesce(*(F.when(F.col("_form") == i, s) for i, s in enumerate(stamps)))
     rows = rows.withColumns({"event_time": F.to_utc_timestamp(local, zone), "charger_id": identity(column("CHARGER_ID")), "connector_no": column("CONNECTOR"), "smr_no": column("SMR")})
     counts = rows.groupBy("file_id").agg(F.count("*").alias("rows"), F.count_if(F.col("event_time").isNull()).alias("unparsed"))
-    every = csv_files.discover(spark, source).select(F.col("path").alias("file_id"), "length").join(files, "file_id", "left").join(forms, "file_id", "left").join(counts, "file_id", "left")
-    every = csv_files.admitted(every.withColumn("critical", F.lit(0)))
+    facts = own.join(staging.contents(spark, folder).selectExpr("file_id sha256", "columns", "header _header"), "sha256", "left").drop("sha256").withColumnRenamed("path", "file_id")
+    facts = facts.join(forms, "file_id", "left").join(counts, "file_id", "left")
+    every = csv_files.admitted(facts.withColumn("critical", F.lit(0)))
     own = F.when(F.col("length") > csv_files.FILE_LIMIT, F.col("reason")).when(F.col("_header").isNull() | ~F.col("_header").isin(list(roles)), "no column for a required role").when(F.col("_form") < 0, "no time format fits")
     verdicts = every.select(F.col("file_id").alias("path"), F.coalesce(own, F.col("reason")).alias("reason"))
     verdicts = spark.createDataFrame([tuple(r) for r in verdicts.collect()], "path string, reason string")
     fit = verdicts.where("reason is null").select(F.col("path").alias("file_id"))
-    return frames.with_position(rows.join(fit, "file_id", "left_semi").drop("_header", "_form")), verdicts
+    return frames.with_position(rows.join(fit, "file_id", "left_semi").drop("_header", "_form", "cells")), verdicts, facts
+
+
+def _listed(spark: SparkSession, inbox: str):
+    """(path, name, sha256, length, received_at) of an inbox's files, as the driver's own list has them; hashed once."""
+    found = store.staged(spark, inbox).select("path", "name", "sha256", "length", "received_at")
+    return spark.createDataFrame([tuple(r) for r in found.collect()], "path string, name string, sha256 string, length long, received_at timestamp")
 
 
 def quarantined(spark: SparkSession, files, verdicts, out: str) -> bool:
@@ -111,7 +122,7 @@ def _land(spark: SparkSession, fresh, out: str, rules: coverage.CoverageRules):
     paths = [r.path for r in fresh.select("path").collect()]
     if not paths:
         return None
-    rows, verdicts = by_file(spark, paths, rules.zone)
+    rows, verdicts, _ = by_file(spark, fresh, out, rules.zone)
     new = quarantined(spark, fresh, verdicts, out)
     fresh = fresh.join(verdicts.where("reason is null").select("path"), "path", "left_semi")
     if fresh.isEmpty():
@@ -164,8 +175,9 @@ def sliced(rows):
 def reconstruct(spark: SparkSession, inbox: str, out: str, rules: coverage.CoverageRules, day: str | None = None) -> int:
     """Frames and events of an inbox (or of one local day of it, then under days/), as tables, with the chargers' gaps
     and changes of configuration; files that don't fit go to the quarantine table."""
-    rows, verdicts = by_file(spark, inbox, rules.zone)
-    quarantined(spark, store.staged(spark, inbox), verdicts, out)
+    files = _listed(spark, inbox)
+    rows, verdicts, _ = by_file(spark, files, out, rules.zone)
+    quarantined(spark, files, verdicts, out)
     if day:
         rows = rows.where(business_date(F.col("event_time"), rules.zone) == F.lit(day).cast("date"))
         out = f"{out}/days/{day}"
@@ -182,9 +194,9 @@ def reconstruct(spark: SparkSession, inbox: str, out: str, rules: coverage.Cover
     return 0
 
 
-def silver_specs(spark: SparkSession, inbox: str) -> list[silver.FieldSpec]:
-    """What each column of an inbox is, by its name: its type, and the table and component that its values belong to."""
-    heads = csv_files.headers(spark, inbox).groupBy("canonical_name").agg(F.min("source_name").alias("source_name"))
+def silver_specs(spark: SparkSession, files, out: str) -> list[silver.FieldSpec]:
+    """What each column of files (sha256) staged under `out` is, by its name: its type, and the table and component that its values belong to."""
+    heads = staging.headers(spark, f"{out}/staged").join(files.selectExpr("sha256 file_id").distinct(), "file_id", "left_semi").groupBy("canonical_name").agg(F.min("source_name").alias("source_name"))
     keys = ("charger_id", "connector_no", "connector_id", "smr_no", "rectifier_number", "event_time", "logged_at_time")
     specs = []
     for r in classifier.classified(heads).orderBy("canonical_name").collect():
@@ -197,13 +209,20 @@ def silver_specs(spark: SparkSession, inbox: str) -> list[silver.FieldSpec]:
 
 def build_silver(spark: SparkSession, inbox: str, out: str, rules: coverage.CoverageRules) -> int:
     """Typed tables of an inbox's frames, their provenance and findings, as tables under silver/."""
-    rows, verdicts = by_file(spark, inbox, rules.zone)
-    quarantined(spark, store.staged(spark, inbox), verdicts, out)
+    files = _listed(spark, inbox)
+    rows, verdicts, _ = by_file(spark, files, out, rules.zone)
+    quarantined(spark, files, verdicts, out)
     rows = frames.occurrence_index(rows.where("position is not null and event_time is not null"), ["file_id", "charger_id", "event_time", "position"], ["source_row_number"])
     rows = rows.withColumnRenamed("occurrence", "frame_sequence").withColumn("frame_id", F.sha2(F.concat_ws("\x1f", "file_id", "charger_id", F.col("event_time").cast("string"), F.col("frame_sequence").cast("string")), 256))
     rows = rows.withColumn("rectifier_number", F.col("rectifier_number") if "rectifier_number" in rows.columns else F.col("smr_no"))
-    for name, table in silver.build_tables(rows, silver_specs(spark, inbox), rules.zone).items():
+    def kept(table, name):
+        """A table of which others are made, written first and read back."""
         table.write.mode("overwrite").parquet(f"{out}/silver/{name}")
+        return spark.read.schema(table.schema).parquet(f"{out}/silver/{name}")
+
+    for name, table in silver.build_tables(rows, silver_specs(spark, files, out), rules.zone, kept).items():
+        if name not in silver.KEPT:
+            table.write.mode("overwrite").parquet(f"{out}/silver/{name}")
     return 0
 
 

@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FILE_LIMIT = 512 << 20
+#: What one value can hold while a file is hashed; parsing needs no limit.
+FILE_LIMIT = (1 << 31) - (1 << 20)
 
 # Column roles by exact canonical names, then by pattern; required ones are marked in REQUIRED_ROLES.
 ROLES = {
