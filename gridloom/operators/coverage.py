@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.scalars import business_date, cases, nearest_rank, seconds
+from gridloom.operators.ranks import nearest_index, with_ranks
 
 
 @dataclass(frozen=True)
@@ -146,11 +147,14 @@ def lateness(received: Column, day: Column, r: CoverageRules) -> Column:
 
 
 def file_intervals(rows: DataFrame) -> DataFrame:
-    """Median, nearest-rank p95, least and greatest step between a file's distinct stamps."""
+    """Median, nearest-rank p95, least and greatest step between a file's distinct stamps, from counts of steps."""
     w = Window.partitionBy("file_id").orderBy("event_time")
     step = seconds(F.col("event_time")) - seconds(F.lag("event_time").over(w))
     steps = rows.where("event_time is not null").select("file_id", "event_time").distinct().withColumn("step", step).where("step > 0")
-    return steps.groupBy("file_id").agg(F.count("*").alias("intervals"), F.round(F.median("step"), 3).alias("median_interval"), F.sort_array(F.collect_list("step")).alias("s"), F.round(F.min("step"), 3).alias("min_interval"), F.round(F.max("step"), 3).alias("max_interval")).withColumn("p95_interval", F.round(nearest_rank(F.col("s"), 0.95), 3)).drop("s")
+    ranked = with_ranks(steps.groupBy("file_id", "step").agg(F.count("*").alias("n")), ["file_id"], "step", "n")
+    at, total = lambda k: F.min(F.when(F.col("upto") > k, F.col("step"))), F.col("total")
+    median = (at(F.floor((total - 1) / 2)) + at(F.floor(total / 2))) / 2
+    return ranked.groupBy("file_id").agg(F.sum("n").alias("intervals"), F.round(median, 3).alias("median_interval"), F.round(F.min("step"), 3).alias("min_interval"), F.round(F.max("step"), 3).alias("max_interval"), F.round(at(nearest_index(total, 0.95)), 3).alias("p95_interval"))
 
 
 def date_span(rows: DataFrame, r: CoverageRules | None = None) -> DataFrame:

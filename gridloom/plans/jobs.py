@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from gridloom.functions import classifier
 from gridloom.functions.scalars import business_date, identity
 from gridloom.operators import coverage, events, frames, silver
+from gridloom.plans import landing
 from gridloom.plans.api import Tables, daily_summary
-from gridloom.sources import csv_files, staging, store
+from gridloom.sources import csv_files, scan, staging, store
+from gridloom.sources.dictionary import Definition, Dictionary
 from gridloom.sources.protocols import FolderSource
 
 FORMATS = ("dd-MM-yyyy HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss")
@@ -23,7 +25,7 @@ ALARMS = {"smoke_alarm": "CRITICAL", "emergency_stop_active": "CRITICAL", "grid_
 FAULTS = ("short_circuit", "ground_fault_alarm", "input_rcbo_tripped", "mccb_tripped", "mdl_fault", "fan_fault")
 
 #: Columns of rows that say where they come from and are no payload of a frame.
-KEYS = ("file_id", "charger_id", "event_time", "source_row_number", "position", "connector_no", "smr_no")
+KEYS = ("file_id", "row_hash", "charger_id", "event_time", "source_row_number", "position", "connector_no", "smr_no")
 
 
 def by_file(spark: SparkSession, files, out: str, zone: str = "Asia/Kolkata"):
@@ -68,12 +70,16 @@ def by_file(spark: SparkSession, files, out: str, zone: str = "Asia/Kolkata"):
     verdicts = every.select(F.col("file_id").alias("path"), F.coalesce(own, F.col("reason")).alias("reason"))
     verdicts = spark.createDataFrame([tuple(r) for r in verdicts.collect()], "path string, reason string")
     fit = verdicts.where("reason is null").select(F.col("path").alias("file_id"))
+    rows = rows.withColumn("row_hash", landing.row_hash(F.col("cells")))
     return frames.with_position(rows.join(fit, "file_id", "left_semi").drop("_header", "_form", "cells")), verdicts, facts
 
 
-def _listed(spark: SparkSession, inbox: str):
-    """(path, name, sha256, length, received_at) of an inbox's files, as the driver's own list has them; hashed once."""
+def _listed(spark: SparkSession, inbox: str, out: str):
+    """(path, name, sha256, length, received_at) of an inbox's files, as the driver's own list has them, hashed once; and of
+    what has landed and left the inbox since, whose rows are staged."""
     found = store.staged(spark, inbox).select("path", "name", "sha256", "length", "received_at")
+    landed = staging.table(spark, f"{out}/files", "sha256 string, name string, length long, received_at timestamp").join(found.select("sha256"), "sha256", "left_anti")
+    found = found.unionByName(landed.dropDuplicates(["sha256"]).withColumn("path", F.concat(F.lit("landed:"), "sha256")))
     return spark.createDataFrame([tuple(r) for r in found.collect()], "path string, name string, sha256 string, length long, received_at timestamp")
 
 
@@ -98,22 +104,48 @@ def _known(spark: SparkSession, out: str):
         return spark.createDataFrame([], "sha256 string, name string")
 
 
-def run_daily(spark: SparkSession, inbox: str, out: str, rules: coverage.CoverageRules, archive: str | None = None) -> int:
+def run_daily(spark: SparkSession, inbox: str, out: str, rules: coverage.CoverageRules, archive: str | None = None, definitions: list[Definition] | None = None) -> int:
     """Land files once, compute coverage and gaps of the days they touch, and replace those days.
 
-    Files that fit no header or time format, or aren't admitted, go to the quarantine table and aren't registered, so a
-    later run tries them again. Only new files are parsed. Where an archive is given, landed files move there at the end.
+    Their bytes are kept under bronze/, their findings, scores and schema versions are written. Files that fit no header
+    or time format, aren't admitted or have a critical finding go to the quarantine table and aren't registered, so a
+    later run tries them again. A content is parsed once, whatever jobs read it. Where an archive is given, landed files
+    move there at the end.
     """
     files = store.staged(spark, inbox).where("outcome = 'STAGED'")
     fresh = store.registered(files, _known(spark, out)).where("outcome = 'REGISTERED'")
-    landed = _land(spark, fresh, out, rules)
+    landed = _land(spark, fresh, out, rules, definitions)
     if landed is None:
         return 3
     FolderSource(inbox, archive).acknowledge(landed[1], ok=True)
     return 0
 
 
-def _land(spark: SparkSession, fresh, out: str, rules: coverage.CoverageRules):
+def _judge(spark: SparkSession, rows, verdicts, facts, fresh, out: str, rules: coverage.CoverageRules, definitions: list[Definition]):
+    """verdicts with those of files that have a critical finding; findings, scores and new schema versions of all that fit are written."""
+    folder = f"{out}/staged"
+    fit = fresh.join(verdicts.where("reason is null").select("path"), "path", "left_semi")
+    heads = staging.headers(spark, folder).withColumnRenamed("file_id", "sha256").join(fit.select("sha256", F.col("path").alias("file_id")), "sha256").drop("sha256", "batch")
+    names = spark.createDataFrame([(h, i, c) for h, n in staging.layouts(heads).items() for i, c in enumerate(n)], "header string, pos int, column string")
+    cells = staging.rows(spark, folder, fit).select("file_id", "header", F.posexplode("cells").alias("pos", "value")).join(names, ["header", "pos"]).withColumnRenamed("file_id", "sha256")
+    cells = cells.join(fit.select("sha256", F.col("path").alias("file_id")), "sha256").select("file_id", "column", "value")
+    versions = staging.table(spark, f"{out}/schemas", "fingerprint string, version int, names array<string>, first_file string")
+    files = fit.selectExpr("path file_id", "name").join(facts.select("file_id", "rows", "unparsed"), "file_id", "left").fillna(0, ["rows", "unparsed"]).join(landing.drift(heads, versions), "file_id")
+    files = files.withColumns({"expected_connectors": F.lit(None).cast("long"), "expected_smrs": F.lit(None).cast("long")})
+    findings, scores = landing.judged(spark, cells, rows, files, definitions, rules)
+    batch = hashlib.sha256("".join(sorted(r.sha256 for r in fit.select("sha256").collect())).encode()).hexdigest()[:16]
+    store.replace_partitions(findings.withColumn("batch", F.lit(batch)), f"{out}/findings", "batch")
+    store.replace_partitions(scores.withColumn("batch", F.lit(batch)), f"{out}/scores", "batch")
+    found = landing.new_versions(heads, fit.selectExpr("path file_id", "received_at"), versions).collect()  # a row a new header
+    if found:
+        spark.createDataFrame([tuple(r) for r in found], versions.schema).write.mode("append").parquet(f"{out}/schemas")
+    findings = spark.read.parquet(f"{out}/findings").where(F.col("batch") == batch)
+    bad = landing.states(files, findings).where("state = 'QUARANTINED'").select(F.col("file_id").alias("path"), F.lit(True).alias("_bad"))
+    verdicts = verdicts.join(bad, "path", "left").select("path", F.coalesce("reason", F.when(F.col("_bad"), "critical findings")).alias("reason"))
+    return spark.createDataFrame([tuple(r) for r in verdicts.collect()], "path string, reason string")
+
+
+def _land(spark: SparkSession, fresh, out: str, rules: coverage.CoverageRules, definitions: list[Definition] | None = None):
     """(rows, paths) of new files that fit, after their days are landed; None where no file is new.
 
     A run that ended before it registered its files lands them again: file days are read once a file, charger and day.
@@ -122,7 +154,11 @@ def _land(spark: SparkSession, fresh, out: str, rules: coverage.CoverageRules):
     paths = [r.path for r in fresh.select("path").collect()]
     if not paths:
         return None
-    rows, verdicts, _ = by_file(spark, fresh, out, rules.zone)
+    store.keep_bytes(spark, fresh, f"{out}/bronze")
+    rows, verdicts, facts = by_file(spark, fresh, out, rules.zone)
+    if not verdicts.where("reason is null").isEmpty():
+        verdicts = _judge(spark, rows, verdicts, facts, fresh, out, rules, definitions or [])
+        rows = rows.join(verdicts.where("reason is null").select(F.col("path").alias("file_id")), "file_id", "left_semi")
     new = quarantined(spark, fresh, verdicts, out)
     fresh = fresh.join(verdicts.where("reason is null").select("path"), "path", "left_semi")
     if fresh.isEmpty():
@@ -175,7 +211,7 @@ def sliced(rows):
 def reconstruct(spark: SparkSession, inbox: str, out: str, rules: coverage.CoverageRules, day: str | None = None) -> int:
     """Frames and events of an inbox (or of one local day of it, then under days/), as tables, with the chargers' gaps
     and changes of configuration; files that don't fit go to the quarantine table."""
-    files = _listed(spark, inbox)
+    files = _listed(spark, inbox, out)
     rows, verdicts, _ = by_file(spark, files, out, rules.zone)
     quarantined(spark, files, verdicts, out)
     if day:
@@ -209,7 +245,7 @@ def silver_specs(spark: SparkSession, files, out: str) -> list[silver.FieldSpec]
 
 def build_silver(spark: SparkSession, inbox: str, out: str, rules: coverage.CoverageRules) -> int:
     """Typed tables of an inbox's frames, their provenance and findings, as tables under silver/."""
-    files = _listed(spark, inbox)
+    files = _listed(spark, inbox, out)
     rows, verdicts, _ = by_file(spark, files, out, rules.zone)
     quarantined(spark, files, verdicts, out)
     rows = frames.occurrence_index(rows.where("position is not null and event_time is not null"), ["file_id", "charger_id", "event_time", "position"], ["source_row_number"])
@@ -226,6 +262,24 @@ def build_silver(spark: SparkSession, inbox: str, out: str, rules: coverage.Cove
     return 0
 
 
+def dictionary(spark: SparkSession, root: str) -> Dictionary:
+    """The field dictionary of a root file and those in its folder."""
+    folder = root.rpartition("/")[0] or "."
+    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder).select(F.col("_metadata.file_path").alias("p"), "value").collect()
+    documents = {scan.plain(r.p): r.value for r in texts}
+    name = root.rpartition("/")[2]
+    at = next(p for p in sorted(documents, key=len) if p.endswith(f"/{name}"))
+    return Dictionary.load(documents, at)
+
+
+REGISTRY = "charger_id string, telemetry_expected boolean, lifecycle_status string, telemetry_start_date date, telemetry_end_date date, site_code string"
+
+
+def registered_fleet(spark: SparkSession, source: str, out: str) -> None:
+    """Keep a CSV of the expected fleet as the registry that `reconcile` reads."""
+    spark.read.csv(source, header=True, schema=REGISTRY).write.mode("overwrite").parquet(f"{out}/registry")
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="gridloom")
     parser.add_argument("job", choices=("run-daily", "process-uploads", "reconcile", "reconstruct", "build-silver"))
@@ -233,6 +287,8 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--out", required=True)
     parser.add_argument("--archive")
     parser.add_argument("--day")
+    parser.add_argument("--dictionary", help="the root file of the field dictionary; files beside it may be included")
+    parser.add_argument("--registry", help="a CSV of the expected fleet, kept under the output folder")
     parser.add_argument("--zone", default="Asia/Kolkata")
     parser.add_argument("--interval", type=int, default=120)
     try:
@@ -242,6 +298,8 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("gridloom").getOrCreate()
     rules = coverage.CoverageRules(interval_seconds=args.interval, zone=args.zone)
     try:
+        if args.registry:
+            registered_fleet(spark, args.registry, args.out)
         if args.job == "reconcile":
             tables = Tables(spark, {"coverage": f"{args.out}/coverage", "registry": f"{args.out}/registry"})
             daily_summary(tables, args.day).show(truncate=False)
@@ -252,7 +310,7 @@ def main(argv: list[str] | None = None) -> int:
             return build_silver(spark, args.inbox, args.out, rules)
         if args.job == "process-uploads":
             return process_uploads(spark, args.inbox, args.out, rules)
-        return run_daily(spark, args.inbox, args.out, rules, args.archive)
+        return run_daily(spark, args.inbox, args.out, rules, args.archive, dictionary(spark, args.dictionary).fields if args.dictionary else None)
     except Exception as e:
         print(f"{args.job}: {e}", file=sys.stderr)
         return 1

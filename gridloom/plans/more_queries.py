@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from gridloom.functions import classifier
 from gridloom.functions import scalars as S
 from gridloom.operators import coverage, events, fleet, profile, quality, silver
-from gridloom.plans import api, jobs
+from gridloom.plans import api, jobs, landing
 from gridloom.plans.catalogue import _RUNS, _STEPS, _T, RULES, _plain, intervals, query, read, telemetry
 from gridloom.session import shared_dir
 from gridloom.sources import csv_files, store
+from gridloom.sources.dictionary import Definition
 
 # files
 
@@ -280,3 +281,53 @@ def timeline_of_four(spark, d):
         300, session=rows.where("state = 'signup'").select("event_time", F.col("charger_id").alias("title")), alarm=intervals(spark, d).select(F.col("start_time").alias("event_time"), F.col("charger_id").alias("title")),
         transition=moved.select("event_time", F.col("to_state").alias("title")), configuration=changed.select("event_time", F.col("changes")["k"]["new"].alias("title")),
     ))
+
+
+# landing
+
+
+def _landed(spark, d):
+    """Devices by twenties play files of three columns; some files lack a required one, values play stamps that don't parse."""
+    rows = telemetry(spark, d).withColumn("file_id", (F.col("charger_id") % 20).cast("string"))
+    columns = ["state", "value", "k"]
+    cells = rows.select("file_id", *(F.col(c).cast("string").alias(c) for c in columns)).unpivot("file_id", columns, "column", "value").where("not (column = 'k' and file_id % 7 = 3)")
+    files = rows.groupBy("file_id").agg(F.count("*").alias("rows"), F.count_if(F.col("k").isNull() | (F.col("value") < 0.5)).alias("unparsed"))
+    files = files.withColumns({"name": F.concat(F.lit("d_2024-01-"), F.lpad((F.col("file_id").cast("int") + 1).cast("string"), 2, "0"), F.lit(".csv")), "duplicate_headers": F.col("file_id").cast("int") % 3, "drifted": F.lit(0), "unknown_schema": F.col("file_id").cast("int") % 2 == 0, "expected_connectors": F.lit(None).cast("long"), "expected_smrs": F.lit(5)})
+    rows = rows.withColumns({"charger_id": F.col("charger_id").cast("string"), "connector_no": F.lit("1"), "smr_no": F.col("state"), "event_time": F.to_timestamp(F.to_date("event_time")), "row_hash": landing.row_hash(F.array("state", "k"))})
+    definitions = [Definition("state", allowed=("click", "view", "purchase", "signup")), Definition("value", kind="FLOAT", low=2.0, high=60.0), Definition("k", kind="INTEGER", required=True)]
+    return files, landing.judged(spark, cells, rows, files, definitions, RULES)
+
+
+_LANDED = f"""{_T}, e AS (SELECT charger_id, state, value, k, CAST(charger_id % 20 AS VARCHAR) file_id, CAST(event_time AS DATE) AS day FROM t),
+fl AS (SELECT file_id, count(*) n, count(*) FILTER (k IS NULL OR value < 0.5) unparsed, CAST(file_id AS INT) i FROM e GROUP BY file_id),
+sm AS (SELECT file_id, charger_id, day, state, k, count(*) n FROM e GROUP BY ALL),
+ky AS (SELECT file_id, charger_id, day, state, sum(n) n, count(*) kinds FROM sm GROUP BY ALL),
+rp AS (SELECT file_id, CAST(sum(n - 1) AS BIGINT) dup FROM sm GROUP BY 1), co AS (SELECT file_id, count(*) FILTER (n > 1) coll, count(*) FILTER (kinds > 1) conf, coalesce(sum(n) FILTER (kinds > 1), 0) conf_rows, count(DISTINCT state) smrs FROM ky GROUP BY 1),
+st AS (SELECT file_id, datediff('day', lag(day) OVER (PARTITION BY file_id ORDER BY day), day) * 86400.0::DOUBLE step FROM (SELECT DISTINCT file_id, day FROM e)), sp AS (SELECT file_id, max(step) lg, median(step) md FROM st WHERE step > 0 GROUP BY 1),
+dm AS (SELECT file_id, min(day) dom FROM e GROUP BY 1),
+v AS (SELECT file_id, count(*) n, count(*) FILTER (state NOT IN ('click', 'view', 'purchase', 'signup')) odd, min(value) lo, max(value) hi, count(*) FILTER (value < 2 OR value > 60) wide, count(value) nv, count(k) nk FROM e GROUP BY 1),
+a AS (SELECT fl.*, dup, coll, conf, conf_rows, smrs, lg, md, dom, odd, lo, hi, wide, nv, nk, i % 7 = 3 lacks FROM fl JOIN rp USING (file_id) JOIN co USING (file_id) LEFT JOIN sp USING (file_id) JOIN dm USING (file_id) JOIN v USING (file_id))"""
+
+
+@query("landed_findings", f"""
+WITH {_LANDED}, u AS (
+  SELECT file_id, 'MISSING_REQUIRED_FIELD' code, 'CRITICAL' severity, 'k' field, 1 "count" FROM a WHERE lacks UNION ALL SELECT file_id, 'ALL_NULL_FIELD', 'INFO', 'k', n FROM a WHERE NOT lacks AND nk = 0
+  UNION ALL SELECT file_id, 'OUT_OF_RANGE', 'ERROR', 'value', 1 FROM a WHERE lo < 2 OR hi > 60 UNION ALL SELECT file_id, 'UNKNOWN_ENUM_VALUE', 'WARNING', 'state', odd FROM a WHERE odd > 0
+  UNION ALL SELECT file_id, 'DUPLICATE_HEADER', 'WARNING', NULL, i % 3 FROM a WHERE i % 3 > 0 UNION ALL SELECT file_id, 'INVALID_TIMESTAMP', CASE WHEN unparsed > 0.02 * n THEN 'CRITICAL' ELSE 'WARNING' END, NULL, unparsed FROM a WHERE unparsed > 0
+  UNION ALL SELECT file_id, 'TELEMETRY_GAP', 'WARNING', NULL, 1 FROM a WHERE lg > 5 * md UNION ALL SELECT file_id, 'EXACT_DUPLICATE', 'WARNING', NULL, dup FROM a WHERE dup > 0
+  UNION ALL SELECT file_id, 'LOGICAL_KEY_COLLISION', CASE WHEN conf > 0 THEN 'ERROR' ELSE 'WARNING' END, NULL, coll FROM a WHERE coll > 0 UNION ALL SELECT file_id, 'UNEXPECTED_SMR_CARDINALITY', 'WARNING', NULL, smrs FROM a WHERE smrs <> 5
+  UNION ALL SELECT file_id, 'EVENT_DATE_FILENAME_MISMATCH', 'INFO', NULL, 1 FROM a WHERE dom <> DATE '2024-01-01' + CAST(i AS INT))
+SELECT file_id, code, severity, field, CAST("count" AS BIGINT) "count" FROM u""")
+def landed_findings(spark, d):
+    return _landed(spark, d)[1][0].select("file_id", "code", "severity", "field", "count")
+
+
+@query("landed_states", f"""
+WITH {_LANDED}, s AS (SELECT *, 2 * n + CASE WHEN lacks OR nk = 0 THEN 0 ELSE n END slots, n + nv + CASE WHEN lacks THEN 0 ELSE nk END vals FROM a),
+g AS (SELECT file_id, round(100.0::DOUBLE - CASE WHEN lacks THEN 30 ELSE 0 END - least(10, 2.0 * (i % 3)) - CASE WHEN i % 2 = 0 THEN 10 ELSE 0 END, 2)::DOUBLE schema_score, round(100.0::DOUBLE * vals / slots, 2) completeness_score, round(100.0::DOUBLE * (1 - (odd + wide)::DOUBLE / vals), 2) validity_score,
+  round(greatest(0, 100.0::DOUBLE - 100.0::DOUBLE * (dup / n) - 100.0::DOUBLE * (conf_rows / n)), 2) duplicate_score, round(100.0::DOUBLE * (1 - unparsed / n) - CASE WHEN lg > 5 * md THEN least(30, 10.0::DOUBLE * (lg / (5 * md) - 1)) ELSE 0 END, 2) timestamp_score,
+  CASE WHEN lacks THEN 1 ELSE 0 END + CASE WHEN unparsed > 0.02 * n THEN 1 ELSE 0 END critical FROM s)
+SELECT *, round(0.3::DOUBLE * schema_score + 0.2::DOUBLE * completeness_score + 0.2::DOUBLE * validity_score + 0.15::DOUBLE * duplicate_score + 0.15::DOUBLE * timestamp_score, 2) overall_score, CASE WHEN critical > 0 THEN 'QUARANTINED' ELSE 'READY_FOR_NORMALIZATION' END state FROM g""")
+def landed_states(spark, d):
+    files, (findings, scores) = _landed(spark, d)
+    return scores.join(landing.states(files, findings), "file_id")

@@ -20,7 +20,8 @@ FILES = "file_id string, records long, columns int, header string, batch string"
 HEADERS = "file_id string, position int, source_name string, occurrence int, canonical_name string, requires_review boolean, fingerprint string, batch string"
 
 
-def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table, empty where there is none yet."""
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException:  # no table yet
@@ -29,12 +30,12 @@ def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def contents(spark: SparkSession, folder: str) -> DataFrame:
     """(file_id, records, columns, header, batch) of each content that is staged; file_id is its SHA-256."""
-    return _table(spark, f"{folder}/files", FILES)
+    return table(spark, f"{folder}/files", FILES)
 
 
 def headers(spark: SparkSession, folder: str) -> DataFrame:
     """A row a column of each staged content, as csv_files.headers() gives them."""
-    return _table(spark, f"{folder}/headers", HEADERS)
+    return table(spark, f"{folder}/headers", HEADERS)
 
 
 def stage(spark: SparkSession, files: DataFrame, folder: str) -> int:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,10 +57,21 @@ def registered(files: DataFrame, known: DataFrame) -> DataFrame:
     return out.withColumn("outcome", outcome).withColumn("original", F.when(F.col("outcome") == "DUPLICATE", F.coalesce("_known", "_first"))).drop("_same", "_known", "_first", "_n")
 
 
-def keep_bytes(spark: SparkSession, folder: str, target: str, receipt_date: str) -> None:
-    """Append a folder's files to the store of bytes, under their receipt date; committed whole or not at all."""
-    files = spark.read.format("binaryFile").load(folder)
-    files.select(F.sha2("content", 256).alias("sha256"), safe_name(F.col("path")).alias("name"), "length", "content", F.lit(receipt_date).cast("date").alias("receipt_date")).write.mode("append").partitionBy("receipt_date").parquet(target)
+def keep_bytes(spark: SparkSession, files: str | DataFrame, target: str, receipt_date: str | None = None) -> None:
+    """Append files, a folder's or those of a table (path, sha256), to the store of bytes under their receipt date (by
+    default the day they were changed); committed whole or not at all. Contents of the table that are there stay out."""
+    if isinstance(files, DataFrame):
+        try:
+            files = files.join(spark.read.parquet(target).select("sha256").distinct(), "sha256", "left_anti")
+        except AnalysisException:  # no table yet
+            pass
+        paths = [r.path for r in files.groupBy("sha256").agg(F.min("path").alias("path")).select("path").collect()]
+        if not paths:
+            return
+        files = paths
+    files = spark.read.format("binaryFile").load(files)
+    date = F.to_date("modificationTime") if receipt_date is None else F.lit(receipt_date).cast("date")
+    files.select(F.sha2("content", 256).alias("sha256"), safe_name(F.col("path")).alias("name"), "length", "content", date.alias("receipt_date")).write.mode("append").partitionBy("receipt_date").parquet(target)
 
 
 def quarantine(files: DataFrame, target: str) -> None:

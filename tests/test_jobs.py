@@ -1,9 +1,11 @@
 """The jobs over a small inbox, and the read functions over their tables."""
 
 import datetime as dt
+import os
 
 from gridloom.operators.coverage import CoverageRules
 from gridloom.plans import api, jobs
+from gridloom.sources.dictionary import Definition
 
 
 def inbox(folder, name, day, hours):
@@ -69,3 +71,56 @@ def test_mixed_exports(spark, tmp_path):
     assert jobs.reconstruct(spark, str(source), out, rules) == 0
     found = spark.read.parquet(f"{out}/frames")
     assert {r.charger_id for r in found.select("charger_id").distinct().collect()} == {"A", "B"} and found.where("event_time is null").count() == 0
+
+
+def test_a_content_is_parsed_once_for_all_jobs(spark, tmp_path):
+    """Jobs share the staged table; what has landed is read after its file has left the inbox."""
+    source, out, archive = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "old")
+    source.mkdir()
+    inbox(source, "a.csv", "01", 12)
+    rules = CoverageRules(interval_seconds=3600, zone="UTC")
+    assert jobs.run_daily(spark, str(source), out, rules, archive) == 0
+    assert not (source / "a.csv").exists()
+    batches = lambda: sorted(os.listdir(f"{out}/staged/rows"))
+    once = batches()
+    assert jobs.reconstruct(spark, str(source), out, rules) == 0 and jobs.build_silver(spark, str(source), out, rules) == 0
+    assert batches() == once and len(once) == 1
+    assert spark.read.parquet(f"{out}/frames").select("event_time").distinct().count() == 12
+    assert spark.read.parquet(f"{out}/silver/charger_telemetry").count() > 0
+    bronze = spark.read.parquet(f"{out}/bronze").collect()
+    assert [(r.name, bytes(r.content).startswith(b"Charger ID")) for r in bronze] == [("a.csv", True)]
+
+
+def test_critical_findings_quarantine(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    inbox(source, "a.csv", "01", 24)
+    inbox(source, "b.csv", "02", 24)
+    text = (source / "b.csv").read_text().replace("Grid Fail", "Grid State")
+    (source / "b.csv").write_text(text + text.split("\n")[1] + "\n")
+    defs = [Definition("grid_fail", required=True, allowed=("Alarm",)), Definition("connector_no", kind="INTEGER", low=1, high=1)]
+    rules = CoverageRules(interval_seconds=3600, zone="UTC")
+    assert jobs.run_daily(spark, str(source), out, rules, definitions=defs) == 0
+    assert [(r.name, r.reason) for r in spark.read.parquet(f"{out}/quarantine").collect()] == [("b.csv", "critical findings")]
+    assert [r.name for r in spark.read.parquet(f"{out}/files").collect()] == ["a.csv"]
+    assert {str(r.business_date) for r in spark.read.parquet(f"{out}/coverage").collect()} == {"2026-03-01"}
+    found = {(r.file_id[-5:], r.code, r.severity, r.field, r["count"]) for r in spark.read.parquet(f"{out}/findings").collect() if r.code not in ("UNKNOWN_FIELD", "ALL_NULL_FIELD")}
+    assert found == {
+        ("a.csv", "UNKNOWN_ENUM_VALUE", "WARNING", "grid_fail", 46), ("a.csv", "OUT_OF_RANGE", "ERROR", "connector_no", 1), ("b.csv", "MISSING_REQUIRED_FIELD", "CRITICAL", "grid_fail", 1),
+        ("b.csv", "OUT_OF_RANGE", "ERROR", "connector_no", 1), ("b.csv", "EXACT_DUPLICATE", "WARNING", None, 1), ("b.csv", "LOGICAL_KEY_COLLISION", "WARNING", None, 1),
+    }
+    scores = {r.file_id[-5:]: r for r in spark.read.parquet(f"{out}/scores").collect()}
+    assert scores["a.csv"].schema_score == 90.0 and scores["b.csv"].schema_score == 60.0 and scores["a.csv"].overall_score > scores["b.csv"].overall_score
+    assert sorted(r.version for r in spark.read.parquet(f"{out}/schemas").collect()) == [1, 2]
+
+
+def test_reconcile_reads_a_registry_that_a_job_writes(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    inbox(source, "a.csv", "01", 24)
+    (tmp_path / "fleet.csv").write_text("charger_id,telemetry_expected,lifecycle_status,telemetry_start_date,telemetry_end_date,site_code\nA,true,ACTIVE,,,S\nB,true,ACTIVE,,,S\n")
+    assert jobs.run_daily(spark, str(source), out, CoverageRules(interval_seconds=3600, zone="UTC")) == 0
+    jobs.registered_fleet(spark, str(tmp_path / "fleet.csv"), out)
+    t = api.Tables(spark, {"coverage": f"{out}/coverage", "registry": f"{out}/registry"})
+    summary = api.daily_summary(t, "2026-03-01").first()
+    assert (summary.n_received, summary.n_missing) == (1, 1)
