@@ -47,7 +47,7 @@ def sampling_profile(rows: DataFrame, by: str = "charger_id") -> DataFrame:
 def history_gaps(rows: DataFrame, by: str = "charger_id", profile: DataFrame | None = None) -> DataFrame:
     """Steps over max(180 s, 2.5 times the interval): the expected one, of unsteady entities the median, and over 300 s where there is none."""
     profile = profile if profile is not None else sampling_profile(rows, by)
-    usual = F.coalesce("expected_interval", "median_interval")
+    usual = F.coalesce(*(c for c in ("expected_interval", "median_interval") if c in profile.columns))
     d = _deltas(rows, by).join(profile.select(by, F.when(usual > 0, usual).alias("usual")), by, "left")
     threshold = F.when(F.col("usual").isNull(), GAP_FALLBACK).otherwise(F.greatest(F.lit(GAP_LEAST), F.col("usual") * GAP_FACTOR))
     return d.where(F.col("delta") > threshold).select(by, F.col("prev_time").alias("start_time"), F.col("event_time").alias("end_time"), F.col("delta").alias("duration_seconds"), F.round(F.col("delta") / F.col("usual"), 2).alias("multiple"))
