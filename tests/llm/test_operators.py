@@ -504,7 +504,7 @@ def test_character_map():
 def test_queries_have_their_columns(spark):
     from gridloom.llm.queries import QUERIES
 
-    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in QUERIES} == {f"op{n}" for n in range(1, 14)}
 
 
 def test_pipeline_stages(spark, odd, empty):
