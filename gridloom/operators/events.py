@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.scalars import NO_SESSION, alarm_active, cases, is_active_state, map_state, seconds, termination
 from gridloom.operators import history
+from gridloom.operators.intervals import points_in
 
 SESSION_SCHEMA = (
     "charger_id string, connector_id string, session_id string, start_time timestamp, charging_start_time timestamp, charging_end_time timestamp, end_time timestamp, "
@@ -90,16 +91,16 @@ def fault_intervals(rows: DataFrame, active: str, by: list[str], gaps: DataFrame
 def with_gap_flag(intervals: DataFrame, gaps: DataFrame, by: list[str], bucket_seconds: int = 21_600) -> DataFrame:
     """intervals (start_time, end_time or null) with has_gap: some gap overlaps them strictly; open ones meet any gap that ends later.
 
-    Both sides are dealt by time bucket, so the join is an equality with the exact test behind it.
+    Two intervals overlap where one holds the other's start: two joins by time nodes, see intervals.points_in().
     """
     rows = intervals.withColumn("_id", F.xxhash64(*by, "start_time", F.coalesce(F.col("end_time"), F.lit(0).cast("timestamp"))))
     last = gaps.groupBy(*by).agg(F.max("gap_end").alias("_last"))
     rows = rows.join(last, by, "left").withColumn("_to", F.greatest("start_time", F.coalesce("end_time", "_last", "start_time")))
-    cell = lambda t: F.floor(seconds(F.col(t)) / bucket_seconds)
-    cut = rows.select(*by, "_id", "start_time", "end_time", F.explode(F.sequence(cell("start_time"), cell("_to"))).alias("_b"))
-    g = gaps.select(*by, "gap_start", "gap_end", F.explode(F.sequence(cell("gap_start"), cell("gap_end"))).alias("_b"))
+    own, g = rows.select(*by, "_id", "start_time", "end_time", "_to").distinct(), gaps.select(*by, "gap_start", "gap_end").distinct()
+    starts_in_gap = points_in(own, g, by, "start_time", "gap_start", "gap_end", bucket_seconds)
+    gap_starts_in = points_in(g, own, by, "gap_start", "start_time", "_to", bucket_seconds)
     meets = (F.col("end_time").isNull() & (F.col("gap_end") >= F.col("start_time"))) | (F.col("end_time").isNotNull() & ~((F.col("gap_end") <= F.col("start_time")) | (F.col("gap_start") >= F.col("end_time"))))
-    hit = cut.join(g, [*by, "_b"]).where(meets).select(*by, "_id").distinct().withColumn("_hit", F.lit(True))
+    hit = starts_in_gap.unionByName(gap_starts_in).where(meets).select(*by, "_id").distinct().withColumn("_hit", F.lit(True))
     return rows.join(hit, [*by, "_id"], "left").withColumn("has_gap", F.coalesce("_hit", F.lit(False))).drop("_id", "_hit", "_last", "_to")
 
 
@@ -140,6 +141,23 @@ def _known(a, b):
     return a if a is not None and not pd.isna(a) else None if b is None or pd.isna(b) else float(b)
 
 
+def session_step(now: _Session | None, r) -> tuple[_Session | None, list[tuple]]:
+    """The session in progress after a row of a connector, and the sessions that the row closes."""
+    out = []
+    if now and r.sid and now.id and r.sid != now.id:
+        out.append(now.closed(r))
+        now = None
+    if now is None:
+        if r.active or r.sid or r.delivering:
+            now = _Session(r)
+    else:
+        now.see(r)
+        if r.state in ("IDLE", "COMPLETED") or (now.reason and not r.active and not r.delivering):
+            out.append(now.closed(r))
+            now = None
+    return now, out
+
+
 def _walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [f.split()[0] for f in SESSION_SCHEMA.split(", ")]
     now, before = None, None
@@ -150,31 +168,16 @@ def _walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if now:
                     out.append(now.closed(before))
                 now = None
-            if now and r.sid and now.id and r.sid != now.id:
-                out.append(now.closed(r))
-                now = None
-            if now is None:
-                if r.active or r.sid or r.delivering:
-                    now = _Session(r)
-            else:
-                now.see(r)
-                if r.state in ("IDLE", "COMPLETED") or (now.reason and not r.active and not r.delivering):
-                    out.append(now.closed(r))
-                    now = None
+            now, done = session_step(now, r)
+            out += done
             before = r
         yield pd.DataFrame(out, columns=names)
     if now:
         yield pd.DataFrame([now.closed(before)], columns=names)
 
 
-def sessions(rows: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
-    """Charging sessions of each connector, from observations in time order.
-
-    The rows of a connector stream through one task sorted, with one session in memory; classification, flags and
-    confidence are columns. rows: charger_id, connector_id, event_time, frame_sequence, connector_status, session_id
-    and, where known, begin_time, session_consumed_energy, session_output_current, start_soc, stop_soc, stop_reason,
-    reported_charging_time, meter_energy.
-    """
+def session_rows(rows: DataFrame) -> DataFrame:
+    """Observations with what the session machine reads, columns that aren't there as nulls; see sessions()."""
     optional = {"begin_time": "timestamp", "session_consumed_energy": "double", "session_output_current": "double", "start_soc": "double", "stop_soc": "double", "stop_reason": "string", "reported_charging_time": "double", "meter_energy": "double"}
     for c, kind in optional.items():
         rows = rows.withColumn(c, F.col(c).cast(kind) if c in rows.columns else F.lit(None).cast(kind))
@@ -183,10 +186,24 @@ def sessions(rows: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
     rows = rows.withColumn("active", is_active_state(F.col("state"))).withColumn("delivering", F.coalesce(F.col("session_output_current") > 0.5, F.lit(False)))
     rows = rows.withColumn("charging", (F.col("state") == "CHARGING") | F.col("delivering"))
     keep = ["charger_id", "connector_id", "event_time", "frame_sequence", "connector_status", "state", "sid", "active", "delivering", "charging", *optional]
-    rows = rows.withColumns({"charger_id": F.col("charger_id").cast("string"), "connector_id": F.col("connector_id").cast("string")}).select(keep)
-    placed = rows.repartition("charger_id", "connector_id").sortWithinPartitions("charger_id", "connector_id", "event_time", "frame_sequence")
+    return rows.withColumns({"charger_id": F.col("charger_id").cast("string"), "connector_id": F.col("connector_id").cast("string")}).select(keep)
+
+
+def sessions(rows: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
+    """Charging sessions of each connector, from observations in time order.
+
+    The rows of a connector stream through one task sorted, with one session in memory; classification, flags and
+    confidence are columns. rows: charger_id, connector_id, event_time, frame_sequence, connector_status, session_id
+    and, where known, begin_time, session_consumed_energy, session_output_current, start_soc, stop_soc, stop_reason,
+    reported_charging_time, meter_energy.
+    """
+    placed = session_rows(rows).repartition("charger_id", "connector_id").sortWithinPartitions("charger_id", "connector_id", "event_time", "frame_sequence")
     found = placed.mapInPandas(_walk, SESSION_SCHEMA)
-    found = with_gap_flag(found, gaps, ["charger_id"]) if gaps is not None else found.withColumn("has_gap", F.lit(False))
+    return graded_sessions(with_gap_flag(found, gaps, ["charger_id"]) if gaps is not None else found.withColumn("has_gap", F.lit(False)))
+
+
+def graded_sessions(found: DataFrame) -> DataFrame:
+    """Sessions as they were walked, with has_gap, and their termination, flags and confidence."""
     missing = F.col("session_id").isNull()
     inferred = F.col("stop_reason").isNull() | (F.col("stop_reason") == "")
     delta = F.col("end_meter") - F.col("start_meter")

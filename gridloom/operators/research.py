@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.scalars import RESEARCH_SENTINELS, cases, is_sentinel, seconds
+from gridloom.operators.intervals import points_in
+from gridloom.operators.moments import PAIRS_AS_COLUMNS, block_correlations
 from gridloom.operators.ranks import average_ranks, group_quantiles, quantiles
 
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
@@ -60,11 +62,16 @@ def _pearson(a: Column, b: Column) -> Column:
 
 
 def correlation_matrix(rows: DataFrame, signals: list[str]) -> DataFrame:
-    """(a, b, pairs, r) of each pair of signals in sorted order, in one pass: a few sums a pair, however many rows."""
+    """(a, b, pairs, r) of each pair of signals in sorted order, in one pass: a few sums a pair, however many rows.
+
+    A few pairs are columns of one aggregate; hundreds of signals go through matrices, see moments.block_correlations().
+    """
     pairs = list(combinations(sorted(signals), 2))
-    cols = {s: valid(F.col(s).cast("double")) for s in signals}
+    cols = {s: valid(F.col(f"`{s}`").cast("double")) for s in signals}
     rows = rows.select(*(c.alias(s) for s, c in cols.items()))
-    agg = rows.agg(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias("pairs"), F.round(_pearson(F.col(a), F.col(b)), 6).alias("r")).alias(f"{a}|{b}") for a, b in pairs))
+    if len(pairs) > PAIRS_AS_COLUMNS:
+        return block_correlations(rows, signals)
+    agg = rows.agg(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count_if(F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull()).alias("pairs"), F.round(_pearson(F.col(f"`{a}`"), F.col(f"`{b}`")), 6).alias("r")).alias(f"{a}|{b}") for a, b in pairs))
     return agg.select(F.explode(F.array(*(F.col(f"`{a}|{b}`") for a, b in pairs))).alias("x")).select("x.*")
 
 
@@ -100,20 +107,18 @@ def fleet_profile(profiles: DataFrame, signals: list[str]) -> DataFrame:
 def telemetry_with_events(points: DataFrame, sessions: DataFrame, alarms: DataFrame, faults: DataFrame | None = None, bucket_seconds: int = 86_400, by: str = "charger_id") -> DataFrame:
     """points with session_id (of the first session that holds them), active_alarms and active_faults.
 
-    Ends are inclusive, open ends last. Intervals are dealt by time bucket up to the charger's last point, so each
-    join is an equality on charger and bucket with the exact test behind it.
+    Ends are inclusive, open ends last up to the charger's last point. An interval is a few time nodes however long it
+    is, see intervals.points_in(); with buckets of a day a year-long one is at most 24 rows.
     """
-    cell = lambda c: F.floor(seconds(F.col(c)) / bucket_seconds)
     last = points.groupBy(by).agg(F.max("event_time").alias("_last"))
-    p = points.withColumn("_b", cell("event_time"))
+    keys = points.select(by, "event_time", "frame_sequence")
 
     def active(events: DataFrame, what: Column, name: str) -> DataFrame:
-        e = events.join(last, by).withColumn("_end", F.coalesce("end_time", "_last")).where("_end >= start_time")
-        e = e.select(by, "start_time", "_end", what.alias("_x"), F.explode(F.sequence(cell("start_time"), cell("_end"))).alias("_b"))
-        hit = p.select(by, "event_time", "frame_sequence", "_b").join(e, [by, "_b"]).where((F.col("event_time") >= F.col("start_time")) & (F.col("event_time") <= F.col("_end")))
+        e = events.join(last, by).select(by, "start_time", F.coalesce("end_time", "_last").alias("_end"), what.alias("_x"))
+        hit = points_in(keys, e, [by], "event_time", "start_time", "_end", bucket_seconds)
         return hit.groupBy(by, "event_time", "frame_sequence").agg((F.min(F.struct("start_time", "_x"))["_x"] if name == "session_id" else F.array_sort(F.collect_set("_x"))).alias(name))
 
-    out = p.drop("_b").join(active(sessions, F.col("session_id"), "session_id"), [by, "event_time", "frame_sequence"], "left")
+    out = points.join(active(sessions, F.col("session_id"), "session_id"), [by, "event_time", "frame_sequence"], "left")
     out = out.join(active(alarms, F.col("code"), "active_alarms"), [by, "event_time", "frame_sequence"], "left")
     if faults is not None:
         out = out.join(active(faults, F.col("code"), "active_faults"), [by, "event_time", "frame_sequence"], "left")

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState
 
 from gridloom.functions.scalars import business_date
 from gridloom.operators.coverage import CoverageRules, day_coverage, day_gaps
+from gridloom.operators.events import SESSION_SCHEMA, graded_sessions, session_rows, session_step
 from gridloom.sources.store import replace_partitions
 
 LATE = "24 hours"
+SESSION_NAMES = [f.split()[0] for f in SESSION_SCHEMA.split(", ")]
 
 
 def observations(spark: SparkSession, folder: str, schema: str, files_per_trigger: int = 100) -> DataFrame:
@@ -89,6 +94,81 @@ def alarm_runs(events: DataFrame, by: tuple[str, ...] = ("charger_id", "code"),
     return rows.groupBy(*by).applyInPandasWithState(walk, schema, "start long, last long, n long, times array<long>, ons array<boolean>", "append", "EventTimeTimeout")
 
 
+class SessionMachine(StatefulProcessor):
+    """A connector's session in progress, its last settled row, and the rows that the watermark hasn't passed yet.
+
+    Rows wait in a map by stamp and sequence, so a batch writes its own rows only; a timer at each stamp settles them in
+    order. Silence of idle_seconds after the last settled row closes an open session there.
+    """
+
+    def __init__(self, idle_seconds: int):
+        self.idle_ms = idle_seconds * 1000
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "ms long", "rows binary")
+        self.open = handle.getValueState("open", "session binary")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802
+        fresh: dict[int, list] = {}
+        for f in rows:
+            for r in f.to_dict("records"):
+                fresh.setdefault(int(r["event_time"].value // 1_000_000) + 1, []).append(r)
+        for ms, new in fresh.items():
+            old = pickle.loads(self.waiting.getValue((ms,))[0]) if self.waiting.containsKey((ms,)) else []
+            self.waiting.updateValue((ms,), (pickle.dumps(old + new),))
+            self.handle.registerTimer(ms)
+        yield pd.DataFrame(columns=SESSION_NAMES)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802
+        mark, out = timerValues.getCurrentWatermarkInMs(), []
+        now, before = pickle.loads(self.open.get()[0]) if self.open.exists() else (None, None)
+        # timers of one batch come in no stated order: each settles all rows up to it, a later one finds none left
+        due = sorted(k[0] for k in self.waiting.keys() if k[0] <= mark)
+        for ms in due:
+            rows = [SimpleNamespace(**r) for r in pickle.loads(self.waiting.getValue((ms,))[0])]
+            for r in sorted(rows, key=lambda r: (r.event_time, r.frame_sequence)):
+                if now and (r.event_time - before.event_time).total_seconds() * 1000 > self.idle_ms:
+                    out.append(now.closed(before))
+                    now = None
+                now, done = session_step(now, r)
+                out += done
+                before = r
+            self.waiting.removeKey((ms,))
+        until = None if before is None else int(before.event_time.value // 1_000_000) + self.idle_ms
+        if now and mark >= until:  # what comes is later still
+            out.append(now.closed(before))
+            now = None
+        if now is None:
+            self.open.clear()
+        elif due:
+            self.open.update((pickle.dumps((now, before)),))
+            self.handle.registerTimer(until)
+        yield pd.DataFrame(out, columns=SESSION_NAMES)
+
+    def close(self) -> None:
+        pass
+
+
+def charging_sessions(events: DataFrame, late: str = LATE, idle_seconds: int = 86_400) -> DataFrame:
+    """A stream of charging sessions, as operators.events.sessions() has them: each is given out once the row that closes
+    it is settled, or its connector has been silent for idle_seconds of event time (then it ends at its last row).
+
+    Rows are walked once the watermark has passed them, so late ones within it find their place. has_gap is false: gaps
+    are known by day, not yet on the stream. Needs the RocksDB state store, see with_state().
+    """
+    rows = session_rows(events).where("event_time is not null").withWatermark("event_time", late)
+    found = rows.groupBy("charger_id", "connector_id").transformWithStateInPandas(SessionMachine(idle_seconds), SESSION_SCHEMA, "append", "eventTime")
+    return graded_sessions(found.withColumn("has_gap", F.lit(False)))
+
+
+def with_state(spark: SparkSession) -> SparkSession:
+    """A session of its own settings whose streams keep state in RocksDB, which charging_sessions() needs."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return own
+
+
 def keep_days_current(events: DataFrame, raw: str, target: str, checkpoint: str, rules: CoverageRules | None = None):
     """Keep coverage and gaps by day exact, however late rows come: each batch adds its rows, then recomputes the days it touched.
 
