@@ -123,6 +123,27 @@ def next_sequence(frames: DataFrame) -> DataFrame:
     return frames.withColumn("frame_sequence", F.row_number().over(w) - 1)
 
 
+STORED = "charger_id string, event_time timestamp, fingerprint string, file_id string, stored_sequence long"
+
+
+def against_stored(frames: DataFrame, stored: DataFrame) -> DataFrame:
+    """Frames of a batch of files with what storing them gives: is_source, first_file and stored_sequence.
+
+    A frame of a charger, stamp and fingerprint that an earlier file has, stored or of the batch, is one more source of
+    that file's frame (first_file) and takes no number (null). Others, repetitions within their own file too, are numbered
+    on from the stored ones of their charger and stamp, in the order received. Batches in the order received give what one run over
+    all their files gives. `stored` has the columns of STORED, for the batch's stamps at least.
+    """
+    stamp, same = ["charger_id", "event_time"], ["charger_id", "event_time", "fingerprint"]
+    known = stored.groupBy(*same).agg(F.min_by("file_id", "stored_sequence").alias("_known"))
+    past = stored.groupBy(*stamp).agg((F.max("stored_sequence") + 1).alias("_next"))
+    order = ["received_at", "file_id", "frame_sequence"]
+    found = frames.join(known, same, "left").withColumn("first_file", F.coalesce("_known", F.first("file_id").over(Window.partitionBy(*same).orderBy(*order))))
+    found = found.withColumn("is_source", F.col("_known").isNotNull() | (F.col("file_id") != F.col("first_file"))).join(past, stamp, "left")
+    number = F.row_number().over(Window.partitionBy(*stamp, "is_source").orderBy(*order)) - 1 + F.coalesce("_next", F.lit(0))
+    return found.withColumn("stored_sequence", F.when(~F.col("is_source"), number).cast("long")).drop("_known", "_next")
+
+
 def summary(frames: DataFrame, *by: str) -> DataFrame:
     """Counts of statuses and classes, stamps and canonical collisions."""
     stamps = frames.groupBy(*by, "charger_id", "event_time").agg(F.count_if(F.col("duplicate_class").isin(list(CANONICAL))).alias("_c"), F.count("*").alias("_n"), *(F.count_if(F.col("status") == s).alias(s.lower()) for s in ("COMPLETE", "PARTIAL", "SEVERELY_INCOMPLETE", "MALFORMED", "AMBIGUOUS")), F.count_if(F.col("duplicate_class") == "FULL_FRAME_REPLAY").alias("full_replays"))

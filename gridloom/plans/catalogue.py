@@ -379,6 +379,43 @@ def next_sequence(spark, d):
     return frames.next_sequence(rows).groupBy("charger_id").agg(F.max("frame_sequence").alias("last_sequence"), F.count("*").alias("n"))
 
 
+@query("frames_in_batches", """
+WITH f AS (SELECT l_partkey charger_id, 'F' || CAST(l_suppkey % 7 AS VARCHAR) file_id, l_returnflag fingerprint, l_linenumber frame_sequence, l_orderkey k FROM lineitem),
+o AS (SELECT *, first_value(file_id) OVER (PARTITION BY charger_id, fingerprint ORDER BY file_id) first_file FROM f),
+n AS (SELECT *, row_number() OVER (PARTITION BY charger_id, file_id <> first_file ORDER BY file_id, frame_sequence, k) - 1 q FROM o)
+SELECT charger_id, count(*) n, count(*) FILTER (file_id <> first_file) sources, max(q) FILTER (file_id = first_file) last_sequence, max(first_file) last_file FROM n GROUP BY 1""")
+def frames_in_batches(spark, d):
+    f = read(spark, d, "lineitem").select(
+        F.col("l_partkey").cast("string").alias("charger_id"), F.to_timestamp(F.lit("2026-01-01")).alias("event_time"), F.concat(F.lit("F"), (F.col("l_suppkey") % 7).cast("string")).alias("file_id"),
+        F.col("l_returnflag").alias("fingerprint"), F.struct("l_linenumber", "l_orderkey").alias("frame_sequence"), F.lit(0).alias("received_at"),
+    )
+    kept = spark.createDataFrame([], frames.STORED)
+    done = []
+    for batch in (F.col("file_id") < "F2", (F.col("file_id") >= "F2") & (F.col("file_id") < "F5"), F.col("file_id") >= "F5"):
+        done.append(frames.against_stored(f.where(batch), kept))
+        kept = kept.unionByName(done[-1].where("not is_source").select(kept.columns))
+    every = done[0].unionByName(done[1]).unionByName(done[2])
+    return every.groupBy(F.col("charger_id").cast("long").alias("charger_id")).agg(F.count("*").alias("n"), F.count_if("is_source").alias("sources"), F.max("stored_sequence").alias("last_sequence"), F.max("first_file").alias("last_file"))
+
+
+def monthly_signals(spark, d):
+    """A column for each of four measures and each month that an item was shipped in."""
+    items, months = read(spark, d, "lineitem").withColumn("_m", F.month("l_shipdate")), range(1, 13)
+    return items.select(*(F.when(F.col("_m") == m, F.col(c).cast("double")).alias(f"{c}_{m:02d}") for c in ("l_discount", "l_extendedprice", "l_quantity", "l_tax") for m in months))
+
+
+@query("wide_correlations", """
+WITH x AS (SELECT month(l_shipdate) m, l_discount d, l_extendedprice e, l_quantity q, l_tax t FROM lineitem),
+r AS (SELECT m, count(*) n, corr(d, e) de, corr(d, q) dq, corr(d, t) dt, corr(e, q) eq, corr(e, t) et, corr(q, t) qt FROM x GROUP BY 1),
+s AS (SELECT unnest(['l_discount', 'l_extendedprice', 'l_quantity', 'l_tax']) s), c AS (SELECT s, m, s || '_' || lpad(CAST(m AS VARCHAR), 2, '0') c FROM s, range(1, 13) g(m))
+SELECT a.c a, b.c b, CASE WHEN a.m = b.m THEN coalesce(n, 0) ELSE 0 END pairs,
+round(CASE WHEN a.m = b.m AND n >= 3 THEN CASE a.s || b.s WHEN 'l_discountl_extendedprice' THEN de WHEN 'l_discountl_quantity' THEN dq WHEN 'l_discountl_tax' THEN dt WHEN 'l_extendedpricel_quantity' THEN eq WHEN 'l_extendedpricel_tax' THEN et ELSE qt END END, 4) r
+FROM c a JOIN c b ON a.c < b.c LEFT JOIN r ON r.m = a.m""")
+def wide_correlations(spark, d):
+    rows = monthly_signals(spark, d)
+    return research.correlation_matrix(rows, rows.columns).withColumn("r", F.round("r", 4))
+
+
 @query("repeated_rows", "SELECT l_orderkey, CAST(sum(n - 1) AS BIGINT) repeated_rows FROM (SELECT l_orderkey, l_returnflag, count(*) n FROM lineitem GROUP BY ALL) GROUP BY 1")
 def repeated_rows(spark, d):
     return frames.first_seen_duplicates(read(spark, d, "lineitem"), "l_orderkey", "l_returnflag")

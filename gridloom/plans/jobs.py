@@ -183,7 +183,8 @@ def process_uploads(spark: SparkSession, inbox: str, out: str, rules: coverage.C
     """One batch of uploads: outcomes of all new files, coverage of the days that the staged ones touch, then their frames.
 
     A file that is rejected, a copy or doesn't fit keeps no other from being landed; files over a batch's limits wait for
-    the next call. The frames of a batch are one partition, so a repeated batch replaces its own.
+    the next call. Frames are held against those of earlier batches and kept by day and batch: a batch reads the days of
+    its own stamps, and a repeated one leaves out and replaces its own.
     """
     files = store.staged(spark, inbox).drop("outcome")
     batch = store.outcomes(files.join(_known(spark, out), ["sha256", "name"], "left_anti"))
@@ -196,10 +197,25 @@ def process_uploads(spark: SparkSession, inbox: str, out: str, rules: coverage.C
     landed = _land(spark, batch.where("outcome = 'STAGED'"), out, rules)
     if landed is None:
         return 3
-    store.replace_partitions(sliced(landed[0]).withColumn("batch", F.lit(key)), f"{out}/upload_frames", "batch")
+    found = sliced(landed[0]).join(batch.selectExpr("path file_id", "received_at"), "file_id").withColumn("batch", F.lit(key))
+    store.replace_partitions(stored_frames(spark, found, f"{out}/upload_frames"), f"{out}/upload_frames", "day", "batch")
     return 0
 
 
+def stored_frames(spark: SparkSession, found, target: str):
+    """Classified frames of a batch (also received_at, batch) held against the frames under target, of which only the days
+    of the batch's stamps and other batches are read."""
+    found = found.withColumn("day", F.to_date("event_time"))
+    days = [r.day for r in found.select("day").distinct().collect()]
+    key = found.select("batch").first().batch if days else ""
+    try:
+        stored = spark.read.parquet(target).where(F.col("day").isin(days) & (F.col("batch").cast("string") != key) & ~F.col("is_source"))
+        stored = stored.select(*(c.split()[0] for c in frames.STORED.split(", ")))
+    except AnalysisException:  # no table yet
+        stored = spark.createDataFrame([], frames.STORED)
+    return frames.against_stored(found, stored)
+
+
 def sliced(rows):
     """Classified frames of rows of text columns, fingerprinted by all their columns but keys."""
     payload = [c for c in rows.columns if c not in KEYS]

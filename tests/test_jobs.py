@@ -124,3 +124,19 @@ def test_reconcile_reads_a_registry_that_a_job_writes(spark, tmp_path):
     t = api.Tables(spark, {"coverage": f"{out}/coverage", "registry": f"{out}/registry"})
     summary = api.daily_summary(t, "2026-03-01").first()
     assert (summary.n_received, summary.n_missing) == (1, 1)
+
+
+def test_frames_of_later_uploads_are_held_against_stored_ones(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    rules = CoverageRules(interval_seconds=3600, zone="UTC")
+    inbox(source, "a.csv", "01", 4)
+    assert jobs.process_uploads(spark, str(source), out, rules) == 0
+    inbox(source, "b.csv", "01", 6)  # four stamps as before, two new
+    changed = (source / "b.csv").read_text().replace("00:00:00,1,1,Available", "00:00:00,1,1,Faulted", 1)
+    (source / "b.csv").write_text(changed)
+    assert jobs.process_uploads(spark, str(source), out, rules) == 0
+    found = spark.read.parquet(f"{out}/upload_frames").orderBy("event_time", "file_id").collect()
+    got = [(r.event_time.hour, r.file_id[-5:], r.is_source, r.first_file[-5:], r.stored_sequence) for r in found]
+    assert got[:4] == [(0, "a.csv", False, "a.csv", 0), (0, "b.csv", False, "b.csv", 1), (1, "a.csv", False, "a.csv", 0), (1, "b.csv", True, "a.csv", None)]
+    assert got[8:] == [(4, "b.csv", False, "b.csv", 0), (5, "b.csv", False, "b.csv", 0)]
