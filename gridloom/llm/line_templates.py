@@ -35,6 +35,8 @@ FLUSH_LINES, BUCKETS_LEAST, BUCKET_LINES = 200_000, 48, 100_000
 FEW, COMPARED = 64, 1 << 21
 #: Recurring lines (16 bytes each) that a caller lets be sent to every worker; by default none, so one plan serves any size.
 SHARED_LINES = 0
+#: A token of a leaf's lines: the low half of its hash.
+TOKEN = np.dtype("<u4")
 _FIELD = np.uint64(0x2545F4914F6CDD1D)
 _K = 0x9FB21C651E98DF25
 
@@ -89,7 +91,7 @@ def _line_pass(buckets: int):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys), pa.array(lines, pa.list_(pa.int64())), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
                 _, once = np.unique(signed, return_index=True)
                 once = once[f["count"][once] > LEADING]  # shorter lines have no position left to differ in
-                short = (f["tokens"] & np.uint64(0xFFFF)).astype("<u2")
+                short = np.maximum(f["tokens"] & np.uint64(0xFFFFFFFF), np.uint64(1)).astype(TOKEN)  # 0 is left to fields
                 short[f["tokens"] == _FIELD] = 0
                 bucket = (f["leaf"] % np.uint64(buckets)).astype(np.int64)
                 for b, h, leaf, n, at in zip(bucket[once].tolist(), f["hash"][once].tolist(), f["leaf"][once].tolist(), f["count"][once].tolist(), f["first"][once].tolist(), strict=True):
@@ -113,9 +115,9 @@ class _Leaf:
     positions are fields and what the others are; a line asks for each pattern of fields that its leaf has.
     """
 
-    def __init__(self, n: int, least: int):
+    def __init__(self, n: int, least: int, kind: np.dtype = TOKEN):
         self.n, self.count = n, 0
-        self.rows = np.zeros((4, n), "<u2")
+        self.rows = np.zeros((4, n), kind)
         parts = n - least + 1
         self.edges = [LEADING + (n - LEADING) * k // parts for k in range(parts + 1)]
         self.index: list[dict[bytes, dict[bytes, set[int]]]] | None = None
@@ -179,7 +181,7 @@ def templates_of(lines: list[tuple[int, np.ndarray]], alike: float = ALIKE) -> l
     """(line, template) of a leaf's lines (hash, tokens; 0 is a field), in order; a template is named by its founder."""
     n = len(lines[0][1])
     least = next(c for c in range(max(0, int(alike * n) - 1), n + 1) if c / n >= alike)
-    leaf, names, out = _Leaf(n, least), [], []
+    leaf, names, out = _Leaf(n, least, lines[0][1].dtype), [], []
     for name, tokens in lines:
         m, agree = leaf.best(tokens)
         if agree < least:
@@ -198,12 +200,12 @@ def _parse_bucket(table: pa.Table) -> pa.Table:
         at = 0
         while at < len(blob):
             h, leaf, n = int.from_bytes(blob[at : at + 8], "little"), int.from_bytes(blob[at + 8 : at + 16], "little"), int.from_bytes(blob[at + 16 : at + 20], "little")
-            leaves.setdefault(leaf, {})[h] = blob[at + 20 : at + 20 + 2 * n]
-            at += 20 + 2 * n
+            leaves.setdefault(leaf, {})[h] = blob[at + 20 : at + 20 + TOKEN.itemsize * n]
+            at += 20 + TOKEN.itemsize * n
     line, template = [], []
     for own in leaves.values():
         if len(own) > 1:
-            for a, b in templates_of([(h, np.frombuffer(own[h], "<u2")) for h in sorted(own)]):
+            for a, b in templates_of([(h, np.frombuffer(own[h], TOKEN)) for h in sorted(own)]):
                 if a != b:
                     line.append(a)
                     template.append(b)

@@ -210,3 +210,21 @@ def test_a_file_read_twice_by_one_task(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.minPartitionNum") if was is None else spark.conf.set("spark.sql.files.minPartitionNum", was)
     assert sorted(r.slot for r in got) == list(range(len(got))) and len(got) % 2 == 0
+
+
+def test_lines_whose_words_agree_in_their_low_bits_stay_apart(spark):
+    """Words whose hashes share 16 bits are different words: a line isn't joined to a template by them."""
+    from gridloom.llm import line_templates
+
+    def tokens(text):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return line_templates.line_hashes(raw, np.array([0, len(raw)]))["tokens"]
+
+    words = np.array([f"w{chr(97 + a)}{chr(97 + b)}{chr(97 + c)}{chr(97 + e)}" for a in range(26) for b in range(26) for c in range(26) for e in range(4)])
+    low = tokens(" ".join(words)) & np.uint64(0xFFFF)
+    order = np.argsort(low, kind="stable")
+    same = np.flatnonzero(low[order][1:] == low[order][:-1])[:24:2]
+    pairs = [(words[order[k]], words[order[k + 1]]) for k in same]
+    one, other = (" ".join(["the", "same", "begin", *(p[k] for p in pairs)]) for k in (0, 1))
+    docs = spark.createDataFrame([(1, one), (2, other), (3, "alone here")], "doc_id long, text string")
+    assert {r.doc_id: r.n_dropped for r in line_templates.digests(spark, docs).collect()} == {1: 0, 2: 0, 3: 0}
