@@ -56,6 +56,11 @@ def active_intervals(rows: DataFrame, active: str, by: list[str], debounce_secon
     Closed runs that are at most debounce_seconds apart become one. `gaps` (gap_by or by columns, gap_start, gap_end)
     lowers the confidence of intervals that they overlap; of an open one the part up to its last active row counts.
     """
+    return flagged_intervals(active_runs(rows, active, by, debounce_seconds, state), gaps, gap_by or by)
+
+
+def active_runs(rows: DataFrame, active: str, by: list[str], debounce_seconds: float = 0.0, state: str | None = None) -> DataFrame:
+    """active_intervals() without what gaps say about them."""
     w = _window(by)
     on = F.coalesce(F.col(active), F.lit(False))
     rows = rows.select(*by, "event_time", "frame_sequence", on.alias("on"), (F.col(state) if state else F.lit(None)).cast("string").alias("_state"))
@@ -72,10 +77,13 @@ def active_intervals(rows: DataFrame, active: str, by: list[str], debounce_secon
         apart = seconds(F.col("start_time")) - seconds(F.lag("end_time").over(u))
         runs = runs.withColumn("_new", F.coalesce((apart > debounce_seconds).cast("int"), F.lit(1))).withColumn("_g", F.sum("_new").over(u))
         runs = runs.groupBy(*by, "_g").agg(F.min("start_time").alias("start_time"), F.max("last_active").alias("last_active"), F.sum("observations").alias("observations"), F.expr("max_by(end_time, _island)").alias("end_time"), *(F.expr(f"{'min_by' if c in ('start_state', 'first_sequence') else 'max_by'}({c}, _island)").alias(c) for c in ("start_state", "end_state", "first_sequence", "last_sequence") if state))
-    until = F.coalesce("end_time", "last_active")
-    runs = runs.withColumn("duration_seconds", seconds(until) - seconds(F.col("start_time"))).drop("_island", "_g")
+    return runs.withColumn("duration_seconds", seconds(F.coalesce("end_time", "last_active")) - seconds(F.col("start_time"))).drop("_island", "_g")
+
+
+def flagged_intervals(runs: DataFrame, gaps: DataFrame | None, by: list[str]) -> DataFrame:
+    """active_runs() with has_gap, confidence and quality flags; without gaps none is met."""
     if gaps is not None:
-        lasting = with_gap_flag(runs.withColumn("_end", F.col("end_time")).withColumn("end_time", until), gaps, gap_by or by)
+        lasting = with_gap_flag(runs.withColumn("_end", F.col("end_time")).withColumn("end_time", F.coalesce("end_time", "last_active")), gaps, by)
         runs = lasting.withColumn("end_time", F.col("_end")).drop("_end")
     else:
         runs = runs.withColumn("has_gap", F.lit(False))
@@ -197,8 +205,17 @@ def sessions(rows: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
     and, where known, begin_time, session_consumed_energy, session_output_current, start_soc, stop_soc, stop_reason,
     reported_charging_time, meter_energy.
     """
+    return flagged_sessions(walked_sessions(rows), gaps)
+
+
+def walked_sessions(rows: DataFrame) -> DataFrame:
+    """sessions() as the machine leaves them, without what gaps say and without their class."""
     placed = session_rows(rows).repartition("charger_id", "connector_id").sortWithinPartitions("charger_id", "connector_id", "event_time", "frame_sequence")
-    found = placed.mapInPandas(_walk, SESSION_SCHEMA)
+    return placed.mapInPandas(_walk, SESSION_SCHEMA)
+
+
+def flagged_sessions(found: DataFrame, gaps: DataFrame | None) -> DataFrame:
+    """walked_sessions() with has_gap and their class, flags and confidence; without gaps none is met."""
     return graded_sessions(with_gap_flag(found, gaps, ["charger_id"]) if gaps is not None else found.withColumn("has_gap", F.lit(False)))
 
 
@@ -245,6 +262,11 @@ def reconstruct(rows: DataFrame, alarms: list[str] | dict[str, str], faults: lis
     `config` names a map column of settings, whose changes become a table too. `alarms` may give each code its severity.
     """
     gaps = timeline_gaps(rows) if gaps is None else gaps
+    return flagged_events(found_events(rows, list(alarms), faults, config), gaps, alarms)
+
+
+def found_events(rows: DataFrame, alarms: list[str], faults: list[str], config: str | None = None) -> dict[str, DataFrame]:
+    """reconstruct() without what gaps say about the events, so that the rows of a stretch of time give its events."""
 
     def long(fields: list[str]) -> DataFrame:
         some = [f for f in fields if f in rows.columns]
@@ -255,8 +277,19 @@ def reconstruct(rows: DataFrame, alarms: list[str] | dict[str, str], faults: lis
 
     by = ["charger_id", "code"]
     return {
-        "sessions": sessions(rows, gaps),
-        "alarms": active_intervals(long(list(alarms)), "active", by, 0.0, gaps, ["charger_id"], "raw").withColumn("severity", cases([(F.col("code") == c, s) for c, s in alarms.items()], "MAJOR") if isinstance(alarms, dict) else F.lit("MAJOR")),
-        "faults": fault_intervals(long(faults), "active", by, gaps, ["charger_id"], "raw"),
+        "sessions": walked_sessions(rows),
+        "alarms": active_runs(long(alarms), "active", by, 0.0, "raw"),
+        "faults": active_runs(long(faults), "active", by, 0.0, "raw"),
         "transitions": state_transitions(rows.where("trim(connector_status) <> ''"), "connector_status", ["charger_id", "connector_id"]),
     } | ({"config_changes": config_changes(rows.where(F.size(config) > 0), config, ["charger_id"])} if config else {})
+
+
+def flagged_events(found: dict[str, DataFrame], gaps: DataFrame, alarms: list[str] | dict[str, str]) -> dict[str, DataFrame]:
+    """found_events() with what the chargers' gaps (charger_id, gap_start, gap_end) say about them, and severities."""
+    by = ["charger_id"]
+    severity = cases([(F.col("code") == c, s) for c, s in alarms.items()], "MAJOR") if isinstance(alarms, dict) else F.lit("MAJOR")
+    return found | {
+        "sessions": flagged_sessions(found["sessions"], gaps),
+        "alarms": flagged_intervals(found["alarms"], gaps, by).withColumn("severity", severity),
+        "faults": flagged_intervals(found["faults"], gaps, by).withColumn("severity", F.lit("CRITICAL")),
+    }

@@ -24,13 +24,26 @@ def _deltas(rows: DataFrame, by: str) -> DataFrame:
     return rows.withColumn("prev_time", before).withColumn("delta", seconds(F.col("event_time")) - seconds(before))
 
 
+def step_counts(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, delta, n): how often each step between observations of an entity (the first of by) is found; null for its first one.
+
+    Counts of parts of a history, such as days, add up to those of all of it.
+    """
+    return _deltas(rows, by[0]).groupBy(*by, "delta").agg(F.count("*").alias("n"))
+
+
 def sampling_profile(rows: DataFrame, by: str = "charger_id") -> DataFrame:
     """Each entity's steps between observations and, where they are steady, the interval expected.
 
     Steps are counted by their length, so an entity's history is no list; all of it stays in the partitions of the
     window that finds the steps.
     """
-    steps = _deltas(rows, by).groupBy(by, "delta").agg(F.count("*").alias("n"))
+    return profile_of_steps(step_counts(rows, [by]), by)
+
+
+def profile_of_steps(steps: DataFrame, by: str = "charger_id") -> DataFrame:
+    """sampling_profile() of step_counts(), which may come in several parts of an entity's history."""
+    steps = steps.groupBy(by, "delta").agg(F.sum("n").alias("n"))
     steps = with_ranks(steps.withColumn("d", F.when(F.col("delta") > 0, F.col("delta"))), [by], "d", "n")
     at = lambda k: F.min(F.when(F.col("upto") > k, F.col("d")))
     total, group = F.col("total"), Window.partitionBy(by)
@@ -47,10 +60,15 @@ def sampling_profile(rows: DataFrame, by: str = "charger_id") -> DataFrame:
 def history_gaps(rows: DataFrame, by: str = "charger_id", profile: DataFrame | None = None) -> DataFrame:
     """Steps over max(180 s, 2.5 times the interval): the expected one, of unsteady entities the median, and over 300 s where there is none."""
     profile = profile if profile is not None else sampling_profile(rows, by)
+    return gaps_of_steps(_deltas(rows, by).select(by, F.col("prev_time").alias("start_time"), F.col("event_time").alias("end_time"), "delta"), profile, by)
+
+
+def gaps_of_steps(steps: DataFrame, profile: DataFrame, by: str = "charger_id") -> DataFrame:
+    """history_gaps() of steps (by, start_time, end_time, delta); those of GAP_LEAST or less needn't be there."""
     usual = F.coalesce(*(c for c in ("expected_interval", "median_interval") if c in profile.columns))
-    d = _deltas(rows, by).join(profile.select(by, F.when(usual > 0, usual).alias("usual")), by, "left")
+    d = steps.join(profile.select(by, F.when(usual > 0, usual).alias("usual")), by, "left")
     threshold = F.when(F.col("usual").isNull(), GAP_FALLBACK).otherwise(F.greatest(F.lit(GAP_LEAST), F.col("usual") * GAP_FACTOR))
-    return d.where(F.col("delta") > threshold).select(by, F.col("prev_time").alias("start_time"), F.col("event_time").alias("end_time"), F.col("delta").alias("duration_seconds"), F.round(F.col("delta") / F.col("usual"), 2).alias("multiple"))
+    return d.where(F.col("delta") > threshold).select(by, "start_time", "end_time", F.col("delta").alias("duration_seconds"), F.round(F.col("delta") / F.col("usual"), 2).alias("multiple"))
 
 
 def counter_transitions(rows: DataFrame, value: str, by: str = "charger_id") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Batch jobs for spark-submit: run-daily, reconcile, reconstruct, process-uploads, build-silver. Exit 0: done, 1: failed, 2: bad call, 3: nothing to do."""
+"""Batch jobs for spark-submit: run-daily, reconcile, reconstruct, resume, process-uploads, build-silver. Exit 0: done, 1: failed, 2: bad call, 3: nothing to do."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import classifier
 from gridloom.functions.scalars import business_date, identity
 from gridloom.operators import coverage, events, frames, silver
-from gridloom.plans import landing
+from gridloom.plans import landing, resumed
 from gridloom.plans.api import Tables, daily_summary
 from gridloom.sources import csv_files, scan, staging, store
 from gridloom.sources.dictionary import Definition, Dictionary
@@ -234,15 +234,39 @@ def reconstruct(spark: SparkSession, inbox: str, out: str, rules: coverage.Cover
         rows = rows.where(business_date(F.col("event_time"), rules.zone) == F.lit(day).cast("date"))
         out = f"{out}/days/{day}"
     sliced(rows).write.mode("overwrite").parquet(f"{out}/frames")
+    seen = observed(rows)
+    found = events.reconstruct(seen, ALARMS, list(FAULTS), config="settings")
+    for name, table in (found | {"timeline_gaps": events.timeline_gaps(seen)}).items():
+        table.write.mode("overwrite").parquet(f"{out}/{name}")
+    return 0
+
+
+def observed(rows):
+    """Rows of files as observations that events are made of."""
     settings = [c for c in rows.columns if c.startswith("config")]
     seen = rows.withColumn("connector_id", identity(F.col("connector_no"))).withColumn("frame_sequence", F.col("source_row_number"))
     seen = seen.withColumn("settings", F.create_map(*(x for c in settings for x in (F.lit(c), F.col(c)))) if settings else F.create_map().cast("map<string,string>"))
     for c in ("connector_status", "session_id"):
         if c not in seen.columns:
             seen = seen.withColumn(c, F.lit(None).cast("string"))
-    found = events.reconstruct(seen, ALARMS, list(FAULTS), config="settings")
-    for name, table in (found | {"timeline_gaps": events.timeline_gaps(seen)}).items():
-        table.write.mode("overwrite").parquet(f"{out}/{name}")
+    return seen
+
+
+def resume(spark: SparkSession, inbox: str, out: str, rules: coverage.CoverageRules) -> int:
+    """Bring the events under resumed/ up to date with an inbox's files that they don't know yet: of each charger only the
+    days from the last quiet one before its new rows to the first one that they leave as it was; see plans.resumed."""
+    store_of = f"{out}/resumed"
+    files = _listed(spark, inbox, out)
+    files = files.join(resumed.known_files(spark, store_of), "sha256", "left_anti").dropDuplicates(["sha256"])
+    files = spark.createDataFrame([tuple(r) for r in files.select("path", "name", "sha256", "length", "received_at").collect()], "path string, name string, sha256 string, length long, received_at timestamp")
+    if files.isEmpty():
+        return 3
+    rows, verdicts, _ = by_file(spark, files, out, rules.zone)
+    quarantined(spark, files, verdicts, out)
+    fit = [r.sha256 for r in files.join(verdicts.where("reason is null"), "path").select("sha256").collect()]
+    if not fit:
+        return 3
+    resumed.add(spark, observed(rows), store_of, list(ALARMS), list(FAULTS), rules.zone, fit)
     return 0
 
 
@@ -298,7 +322,7 @@ def registered_fleet(spark: SparkSession, source: str, out: str) -> None:
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="gridloom")
-    parser.add_argument("job", choices=("run-daily", "process-uploads", "reconcile", "reconstruct", "build-silver"))
+    parser.add_argument("job", choices=("run-daily", "process-uploads", "reconcile", "reconstruct", "resume", "build-silver"))
     parser.add_argument("--inbox")
     parser.add_argument("--out", required=True)
     parser.add_argument("--archive")
@@ -322,6 +346,8 @@ def main(argv: list[str] | None = None) -> int:
             return 0
         if args.job == "reconstruct":
             return reconstruct(spark, args.inbox, args.out, rules, args.day)
+        if args.job == "resume":
+            return resume(spark, args.inbox, args.out, rules)
         if args.job == "build-silver":
             return build_silver(spark, args.inbox, args.out, rules)
         if args.job == "process-uploads":

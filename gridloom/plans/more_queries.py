@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import classifier
 from gridloom.functions import scalars as S
-from gridloom.operators import coverage, events, fleet, profile, quality, silver
-from gridloom.plans import api, jobs, landing
-from gridloom.plans.catalogue import _RUNS, _STEPS, _T, RULES, _plain, intervals, query, read, telemetry
+from gridloom.operators import coverage, events, fleet, history, profile, quality, silver
+from gridloom.plans import api, jobs, landing, resumed
+from gridloom.plans.catalogue import _PROFILE, _RUNS, _STEPS, _T, RULES, _plain, intervals, query, read, telemetry
 from gridloom.session import shared_dir
 from gridloom.sources import csv_files, store
 from gridloom.sources.dictionary import Definition
@@ -245,6 +245,29 @@ def reconstructed_settings(spark, d):
     return _plain(_reconstructed(spark, d)["config_changes"].groupBy("charger_id").agg(F.count("*").alias("changes"), F.max("event_time").alias("last_change")))
 
 
+@query("resumed_alarms", f"""
+WITH {_PROFILE}, u AS (SELECT charger_id, coalesce(expected, round(med, 2)) usual FROM f), gaps AS (SELECT charger_id, prev gs, event_time ge FROM p JOIN u USING (charger_id) WHERE delta > CASE WHEN usual > 0 THEN greatest(180, usual * 2.5) ELSE 300 END),
+{_RUNS.removeprefix(f"{_T}, ")}, h AS (SELECT *, EXISTS (SELECT 1 FROM gaps g WHERE g.charger_id = runs.charger_id AND NOT (ge <= start_time OR gs >= coalesce(end_time, last_active))) has_gap FROM runs)
+SELECT CAST(charger_id AS VARCHAR) charger_id, start_time, last_active, end_time, observations, has_gap, CASE WHEN end_time IS NULL OR has_gap THEN 'MEDIUM' ELSE 'HIGH' END confidence FROM h""")
+def resumed_alarms(spark, d):
+    """Alarms after a first run, and after a second one whose rows come late and lie all over the first one's days."""
+    target = f"{shared_dir(spark)}/resumed-{uuid.uuid4().hex}"
+    rows = telemetry(spark, d).withColumn("connector_id", F.lit("1")).withColumn("grid_fail", F.when(F.col("state") == "error", "Alarm").otherwise("ok"))
+    late = (F.col("charger_id") % 4 == 0) & (F.dayofmonth("event_time") == 11)
+    for part in (rows.where(~late), rows.where(late)):
+        resumed.add(spark, part, target, ["grid_fail"], [], "UTC")
+    found = resumed.tables(spark, target, ["grid_fail"])["alarms"]
+    return _plain(found.select("charger_id", "start_time", "last_active", "end_time", "observations", "has_gap", "confidence"))
+
+
+@query("profile_of_days", f"""
+WITH {_PROFILE} SELECT charger_id, observations, deltas, round(med, 2) median_interval, expected expected_interval FROM f""")
+def profile_of_days(spark, d):
+    """Each charger's cadence from counts of steps by day, which are a table that later days are added to."""
+    steps = history.step_counts(telemetry(spark, d).withColumn("day", F.to_date("event_time")), ["charger_id", "day"])
+    return history.profile_of_steps(steps).select("charger_id", "observations", "deltas", "median_interval", "expected_interval")
+
+
 @query("sessions_with_ids", f"""
 WITH {_T}, {_GAPS}, r AS (SELECT charger_id, CAST(CAST(event_time AS DATE) AS VARCHAR) sid, min(event_time) s, max(event_time) l, arg_min(value, event_time) soc0, arg_max(value, event_time) soc1, count(*) observations FROM t GROUP BY ALL),
 f AS (SELECT *, coalesce(lead(s) OVER (PARTITION BY charger_id ORDER BY s), l) e FROM r)
