@@ -93,7 +93,8 @@ def _current(spark: SparkSession, out: str) -> DataFrame:
 
 
 def _append(table: DataFrame, out: str, name: str, run: str) -> None:
-    table.withColumn("run", F.lit(run)).write.mode("append").partitionBy("day", "run").parquet(f"{out}/{name}")
+    # a day's rows come together in a few files, large days in several
+    table.withColumn("run", F.lit(run)).hint("rebalance", "day").write.mode("append").partitionBy("day", "run").parquet(f"{out}/{name}")
 
 
 def _written(table: DataFrame, out: str, run: str, name: str) -> DataFrame:
