@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.scalars import rounded
+
 PAIRS_AS_COLUMNS = 120  # pairs up to which one aggregate of expressions is planned
 BLOCK, FIRST_MERGES = 64, 64
 
@@ -45,7 +47,7 @@ def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([n, a[1] + dx * share, a[2] + dy * share, a[3] + b[3] + dx * dx * w, a[4] + b[4] + dy * dy * w, a[5] + b[5] + dx * dy * w])
 
 
-def block_correlations(rows: DataFrame, signals: list[str]) -> DataFrame:
+def block_correlations(rows: DataFrame, signals: list[str], digits: int = 6) -> DataFrame:
     """(a, b, pairs, r) of each pair of columns, all doubles with null for what isn't valid, in one pass over the rows.
 
     A task holds one matrix of co-moments, each pair over the rows where both are there, and gives it out in blocks of
@@ -95,4 +97,4 @@ def block_correlations(rows: DataFrame, signals: list[str]) -> DataFrame:
     found = halves.groupBy("i", "j").applyInPandas(last, "a string, b string, pairs long, r double")
     every = rows.sparkSession.range(1).select(F.posexplode(F.lit(names)).alias("x", "a"))
     every = every.select("a", F.explode(F.slice(F.lit(names), F.col("x") + 2, F.lit(len(names)))).alias("b"))
-    return every.join(found, ["a", "b"], "left").select("a", "b", F.coalesce("pairs", F.lit(0)).alias("pairs"), F.round("r", 6).alias("r"))
+    return every.join(found, ["a", "b"], "left").select("a", "b", F.coalesce("pairs", F.lit(0)).alias("pairs"), rounded(F.col("r"), digits).alias("r"))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.scalars import RESEARCH_SENTINELS, cases, is_sentinel, seconds
+from gridloom.functions.scalars import RESEARCH_SENTINELS, cases, is_sentinel, rounded, seconds
 from gridloom.operators.intervals import points_in
 from gridloom.operators.moments import PAIRS_AS_COLUMNS, block_correlations
 from gridloom.operators.ranks import average_ranks, group_quantiles, quantiles
@@ -16,10 +16,10 @@ from gridloom.operators.ranks import average_ranks, group_quantiles, quantiles
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 
-def valid(c: Column) -> Column:
+def valid(c: Column, sentinels: tuple[float, ...] = RESEARCH_SENTINELS) -> Column:
     """The number, null for other texts, non-finite values and sentinels."""
     v = c.try_cast("double") if isinstance(c, Column) else c
-    return F.when(~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))) & ~is_sentinel(v, RESEARCH_SENTINELS, 1e-12), v)
+    return F.when(~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))) & ~is_sentinel(v, sentinels, 1e-12), v)
 
 
 def signal_statistics(rows: DataFrame, signals: list[str], by: list[str] | None = None) -> DataFrame:
@@ -61,29 +61,29 @@ def _pearson(a: Column, b: Column) -> Column:
     return F.when((F.count(a) >= 3) & (F.stddev_pop(a) > 1e-12) & (F.stddev_pop(b) > 1e-12), F.covar_pop(a, b) / (F.stddev_pop(a) * F.stddev_pop(b)))
 
 
-def correlation_matrix(rows: DataFrame, signals: list[str]) -> DataFrame:
+def correlation_matrix(rows: DataFrame, signals: list[str], sentinels: tuple[float, ...] = RESEARCH_SENTINELS, digits: int = 6) -> DataFrame:
     """(a, b, pairs, r) of each pair of signals in sorted order, in one pass: a few sums a pair, however many rows.
 
-    A few pairs are columns of one aggregate; hundreds of signals go through matrices, see moments.block_correlations().
+    `sentinels` are the numbers that stand for no value, none of them where all numbers are measured. A few pairs are columns of one aggregate; hundreds of signals go through matrices, see moments.block_correlations().
     """
     pairs = list(combinations(sorted(signals), 2))
-    cols = {s: valid(F.col(f"`{s}`").cast("double")) for s in signals}
+    cols = {s: valid(F.col(f"`{s}`").cast("double"), sentinels) for s in signals}
     rows = rows.select(*(c.alias(s) for s, c in cols.items()))
     if len(pairs) > PAIRS_AS_COLUMNS:
-        return block_correlations(rows, signals)
-    agg = rows.agg(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count_if(F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull()).alias("pairs"), F.round(_pearson(F.col(f"`{a}`"), F.col(f"`{b}`")), 6).alias("r")).alias(f"{a}|{b}") for a, b in pairs))
+        return block_correlations(rows, signals, digits)
+    agg = rows.agg(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count_if(F.col(f"`{a}`").isNotNull() & F.col(f"`{b}`").isNotNull()).alias("pairs"), rounded(_pearson(F.col(f"`{a}`"), F.col(f"`{b}`")), digits).alias("r")).alias(f"{a}|{b}") for a, b in pairs))
     return agg.select(F.explode(F.array(*(F.col(f"`{a}|{b}`") for a, b in pairs))).alias("x")).select("x.*")
 
 
-def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
+def spearman(rows: DataFrame, a: str, b: str, sentinels: tuple[float, ...] = RESEARCH_SENTINELS, digits: int = 6) -> DataFrame:
     """(pairs, rho): Pearson of average ranks among rows where both are valid.
 
     Ranks come from counts of distinct values and running sums over pieces of their range, so no window holds all rows.
     """
-    rows = rows.select(valid(F.col(a).cast("double")).alias("a"), valid(F.col(b).cast("double")).alias("b")).where("a is not null and b is not null")
+    rows = rows.select(valid(F.col(a).cast("double"), sentinels).alias("a"), valid(F.col(b).cast("double"), sentinels).alias("b")).where("a is not null and b is not null")
     ra, rb = _average_ranks(rows, "a"), _average_ranks(rows, "b")
     ranked = rows.join(ra, "a").join(rb, "b")
-    return ranked.agg(F.count("*").alias("pairs"), F.round(_pearson(F.col("rank_a"), F.col("rank_b")), 6).alias("rho"))
+    return ranked.agg(F.count("*").alias("pairs"), rounded(_pearson(F.col("rank_a"), F.col("rank_b")), digits).alias("rho"))
 
 
 def _average_ranks(rows: DataFrame, c: str) -> DataFrame:
