@@ -198,12 +198,12 @@ def process_uploads(spark: SparkSession, inbox: str, out: str, rules: coverage.C
     if landed is None:
         return 3
     found = sliced(landed[0]).join(batch.selectExpr("path file_id", "received_at"), "file_id").withColumn("batch", F.lit(key))
-    store.replace_partitions(stored_frames(spark, found, f"{out}/upload_frames"), f"{out}/upload_frames", "day", "batch")
+    store.replace_partitions(stored_frames(spark, found, f"{out}/upload_frames", landed[0].count()), f"{out}/upload_frames", "day", "batch")
     return 0
 
 
-def stored_frames(spark: SparkSession, found, target: str):
-    """Classified frames of a batch (also received_at, batch) held against the frames under target, of which only the days
+def stored_frames(spark: SparkSession, found, target: str, rows: int):
+    """Classified frames of a batch of so many rows (also received_at, batch) held against the frames under target, of which only the days
     of the batch's stamps and other batches are read."""
     found = found.withColumn("day", F.to_date("event_time"))
     days = [r.day for r in found.select("day").distinct().collect()]
@@ -213,7 +213,7 @@ def stored_frames(spark: SparkSession, found, target: str):
         stored = stored.select(*(c.split()[0] for c in frames.STORED.split(", ")))
     except AnalysisException:  # no table yet
         stored = spark.createDataFrame([], frames.STORED)
-    return frames.against_stored(found, stored)
+    return frames.against_stored(found, stored, rows + stored.count())  # frames are no more than rows
 
 
 def sliced(rows):

@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridloom.session import shared_dir
+
+
+def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, so that what reads it twice doesn't make it twice."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
 
 def safe_name(name: Column) -> Column:
     """A file's base name with other characters than letters, digits, dot, dash and underscore replaced; 128 at most."""
