@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.scalars import cases, coerce_boolean, coerce_float, coerce_integer, coerce_string, coerce_timestamp, is_missing, is_sentinel
 from gridloom.operators.events import config_hash
+from gridloom.session import dealt, tasks_for
 
 # Sentinels masked by field family, words of an active alarm.
 MASKS = {"gun": (999.0,), "rectifier": (-50.0,), "smr": (-150.0,)}
@@ -53,11 +54,12 @@ def resolved_long(rows: DataFrame, specs: list[FieldSpec], frame: str = "frame_i
         own = [s for s in specs if s.scope == scope]
         sid = F.lit(None).cast("string") if scope is None else F.when(is_missing(F.col(scope).cast("string")) | (F.col(scope).cast("string").try_cast("double") == 0), F.lit("1")).otherwise(F.regexp_replace(F.trim(F.col(scope).cast("string")), r"\.0$", ""))
         wide = rows.select(frame, sid.alias("scope_id"), *(F.col(s.name).cast("string").alias(s.name) for s in own))
-        wide = wide.repartition(frame)  # a frame's rows are few; both aggregates below stay where they are
         parts.append(wide.unpivot([frame, "scope_id"], [s.name for s in own], "name", "raw"))
     long = parts[0]
     for p in parts[1:]:
         long = long.unionByName(p)
+    # a frame's cells are few; dealt once they are cells, so that the aggregates from here to silver_table() stay where they are
+    long = dealt(long, tasks_for(rows.sparkSession, rows.count() * len(specs)), frame)
     text = F.when(~is_missing(F.col("raw")), F.trim("raw"))
     long = long.withColumn("raw", text)
     once = long.groupBy(frame, "scope_id", "name", "raw").agg(F.lit(1).alias("_"))
