@@ -31,14 +31,16 @@ def field_profiles(cells: DataFrame, definitions: DataFrame, names: list[str]) -
     """The `fields` that quality.file_rules() takes, with `violations`, from cells (file_id, column, value) in one aggregation.
 
     `names` are the columns of definitions; those that a file doesn't have are rows without counts. Without any
-    definition every field is known.
+    definition every field is known. Definitions go to the cells' tasks: by column, all cells would meet in as many tasks as there are columns.
     """
-    value = F.when(~is_missing(F.col("value")), F.trim("value"))
-    number = value.try_cast("double")
-    number = F.when(~F.isnan(number), number)
-    own = cells.join(definitions, "column", "left")
-    marked = F.exists("sentinels", lambda s: F.abs(s - number) < 1e-3)
-    fit = F.when(~F.coalesce(marked, F.lit(False)), number)  # sentinels are not out of range
+    definitions = F.broadcast(definitions)
+    own = cells.join(definitions, "column", "left").withColumn("_value", F.when(~is_missing(F.col("value")), F.trim("value")))
+    value, number, fit, marked = (F.col(f"_{c}") for c in ("value", "number", "fit", "marked"))
+    # each step is a column, so that a cell is parsed once; texts that can't begin a number aren't tried, as each failure is an exception
+    own = own.withColumn("_number", F.when((value < ":") | F.lower(F.left(value, F.lit(1))).isin("i", "n"), value.try_cast("double")))
+    own = own.withColumn("_number", F.when(~F.isnan(number), number))
+    own = own.withColumn("_marked", F.when((F.size("sentinels") > 0) & number.isNotNull(), F.exists("sentinels", lambda s: F.abs(s - number) < 1e-3)))
+    own = own.withColumn("_fit", F.when(~F.coalesce(marked, F.lit(False)), number))  # sentinels are not out of range
     outside = (fit < F.col("low")) | (fit > F.col("high"))
     odd = (F.size("allowed") > 0) & value.isNotNull() & ~F.array_contains("allowed", value)
     wrong = F.col("kind").isin("INTEGER", "FLOAT") & value.isNotNull() & number.isNull()
@@ -46,8 +48,12 @@ def field_profiles(cells: DataFrame, definitions: DataFrame, names: list[str]) -
         F.count("*").alias("rows"), F.count(value).alias("non_null"), (F.count("*") - F.count(value)).alias("nulls"), ((F.count(value) > 0) & (F.count(number) == F.count(value))).alias("is_numeric"),
         F.min(fit).alias("num_min"), F.max(fit).alias("num_max"), F.count_if(marked).alias("sentinel_hits"), F.count_if(odd).alias("invalid_enum"), F.count_if(outside | odd | wrong).alias("violations"),
     )
-    absent = found.groupBy("file_id").agg(F.array_except(F.array(*map(F.lit, names)).cast("array<string>"), F.collect_set("column")).alias("c")).select("file_id", F.explode("c").alias("column"))
-    every = found.unionByName(absent, allowMissingColumns=True).join(definitions.select("column", "kind", "required", "low", "high"), "column", "left")
+    # a file's columns, and those that it doesn't have, in a row: the cells are read once
+    absent = F.array_except(F.array(*map(F.lit, names)).cast("array<string>"), F.collect_set("column"))
+    counts = found.columns[2:]
+    bare = F.transform(absent, lambda c: F.struct(c.alias("column"), *(F.lit(None).cast(found.schema[n].dataType).alias(n) for n in counts)))
+    own = found.groupBy("file_id").agg(F.concat(F.collect_list(F.struct("column", *counts)), bare).alias("c"))
+    every = own.select("file_id", F.explode("c").alias("c")).select("file_id", "c.*").join(definitions.select("column", "kind", "required", "low", "high"), "column", "left")
     known = F.col("kind").isNotNull() if names else F.lit(True)
     return every.withColumn("known", known).withColumn("required", F.coalesce("required", F.lit(False)))
 
